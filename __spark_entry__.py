@@ -78,6 +78,74 @@ def q_feature_pvalues(spark: SparkSession, sf: str) -> DataFrame:
     return r.select(F.col("rank").cast("long").alias("rank"), "feature", "f_score", "p_value", "significant", "selected")
 
 
+def _prep(spark, sf, cols=None, source="tpch"):
+    from groupcast.plans.prepare import prepare
+
+    return prepare(_features(spark, sf, source), list(cols or CANDIDATE_FEATURES))
+
+
+def q_split_summary(spark: SparkSession, sf: str) -> DataFrame:
+    from groupcast.operators.split import split_summary
+    from groupcast.plans.selection import split_rows
+
+    return split_summary(split_rows(_features(spark, sf)))
+
+
+def q_selection_summary(spark: SparkSession, sf: str) -> DataFrame:
+    from groupcast.operators.select import selection_summary
+    from groupcast.plans.selection import split_rows
+
+    s = selection_summary(split_rows(_features(spark, sf)).filter(F.col("split") == "train"))
+    return s.select("total_samples", "num_clients", "min_samples", "max_samples", _r("mean_samples"))
+
+
+def q_scaler_standard(spark: SparkSession, sf: str) -> DataFrame:
+    from groupcast.operators.scale import standard_long
+
+    p = _prep(spark, sf)
+    return standard_long(p.x_stats, p.feature_cols).select("client_id", "feature", _r("center"), _r("scale"))
+
+
+def q_scaler_robust(spark: SparkSession, sf: str) -> DataFrame:
+    p = _prep(spark, sf)
+    return p.y_stats.select("client_id", _r("y_center"), _r("y_scale"), _r("y_q25"), _r("y_q75"))
+
+
+def q_sequences(spark: SparkSession, sf: str) -> DataFrame:
+    from groupcast.functions.arrays import array_sum
+
+    p = _prep(spark, sf)
+    s = p.sequences.select(
+        "client_id", "item_id", "split", _d("target_date"), F.round("y", 6).alias("y"),
+        F.round(array_sum("x"), 6).alias("x_sum"), F.round(F.col("x")[0], 6).alias("x_first"),
+        F.round(F.element_at("x", -1), 6).alias("x_last"),
+    )
+    return s
+
+
+def _naive_client(spark, sf):
+    from groupcast.operators.metrics import client_metrics, naive_mae
+    from groupcast.plans.prepare import naive_predictions
+
+    p = _prep(spark, sf)
+    pred = naive_predictions(p)
+    tr = p.sequences.filter(F.col("split") == "train").select("client_id", "item_id", "target_date", F.col("y_raw").alias("y_true"))
+    return client_metrics(pred, naive_mae(tr))
+
+
+def q_naive_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    m = _naive_client(spark, sf)
+    return m.select("client_id", "num_samples", *[_r(c) for c in ["mae", "rmse", "smape", "wmape", "mase"]])
+
+
+def q_naive_strategy(spark: SparkSession, sf: str) -> DataFrame:
+    from groupcast.operators.metrics import weighted_metrics
+
+    m = _naive_client(spark, sf).withColumn("strategy", F.lit("naive"))
+    w = weighted_metrics(m, ["strategy"])
+    return w.select("strategy", "num_samples", *[_r(c) for c in ["mae", "rmse", "smape", "wmape", "mase"]])
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Flagship: rank the 16 candidate features by F test on train rows (sf0.001)."""
     return q_feature_pvalues(spark, SF_SMOKE)
@@ -92,6 +160,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "chrono_split": q_chrono_split,
         "feature_ranking": q_feature_ranking,
         "feature_pvalues": q_feature_pvalues,
+        "split_summary": q_split_summary,
+        "selection_summary": q_selection_summary,
+        "scaler_standard": q_scaler_standard,
+        "scaler_robust": q_scaler_robust,
+        "sequences": q_sequences,
+        "naive_metrics": q_naive_metrics,
+        "naive_strategy": q_naive_strategy,
     }
 
 
@@ -199,7 +274,73 @@ scored AS (
   FROM long_)"""
 
 
+def _scaled_cte(cols: list[str]) -> str:
+    xa = ", ".join(f"avg({c}) AS m{i}, stddev_pop({c}) AS s{i}" for i, c in enumerate(cols))
+    xs = ", ".join(f"(s.{c} - x.m{i}) / CASE WHEN x.s{i} = 0 OR x.s{i} IS NULL THEN 1.0 ELSE x.s{i} END AS {c}" for i, c in enumerate(cols))
+    rowsum = " + ".join(cols)
+    return f"""
+xstats AS (SELECT client_id, {xa} FROM split WHERE split = 'train' GROUP BY client_id),
+ystats AS (
+  SELECT client_id, quantile_cont(y, 0.5) AS y_center,
+         CASE WHEN quantile_cont(y, 0.75) - quantile_cont(y, 0.25) = 0 THEN 1.0
+              ELSE quantile_cont(y, 0.75) - quantile_cont(y, 0.25) END AS y_scale,
+         quantile_cont(y, 0.25) AS y_q25, quantile_cont(y, 0.75) AS y_q75
+  FROM split WHERE split = 'train' GROUP BY client_id),
+scaled AS (
+  SELECT s.client_id, s.item_id, s.split, s.date, s.rolling_mean_7 AS raw_rm7, {xs},
+         (s.y - r.y_center) / r.y_scale AS ys, s.y AS y_raw, ({rowsum.replace(cols[0], 's.' + cols[0], 1) if False else ''}0) AS _unused
+  FROM split s JOIN xstats x ON s.client_id = x.client_id JOIN ystats r ON s.client_id = r.client_id),
+seqs AS (
+  SELECT client_id, item_id, split, date AS target_date, ys AS y, y_raw, raw_rm7,
+         count(*) OVER wq AS cnt, sum({rowsum}) OVER wq AS x_sum,
+         first_value({cols[0]}) OVER wq AS x_first, last_value({cols[-1]}) OVER wq AS x_last
+  FROM scaled
+  WINDOW wq AS (PARTITION BY client_id, item_id, split ORDER BY date ROWS BETWEEN {SEQ_LEN} PRECEDING AND 1 PRECEDING)),
+valid AS (SELECT * FROM seqs WHERE cnt = {SEQ_LEN})"""
+
+
+_NAIVE = """
+counts AS (SELECT client_id, sum(CASE WHEN split = 'test' THEN 1 ELSE 0 END) AS n_test FROM valid GROUP BY client_id),
+ev AS (SELECT v.* FROM valid v JOIN counts c ON v.client_id = c.client_id
+       WHERE v.split = CASE WHEN c.n_test > 0 THEN 'test' ELSE 'val' END),
+naive AS (
+  SELECT client_id, CASE WHEN count(*) > 1 THEN greatest(sum(d) / (count(*) - 1), 1e-8) ELSE 1e-8 END AS naive_mae
+  FROM (SELECT client_id, abs(y_raw - lag(y_raw) OVER (PARTITION BY client_id ORDER BY item_id, target_date)) AS d
+        FROM valid WHERE split = 'train') t GROUP BY client_id),
+pm AS (
+  SELECT e.client_id, count(*) AS num_samples,
+         avg(abs(7.0 * raw_rm7 - y_raw)) AS mae,
+         sqrt(avg((7.0 * raw_rm7 - y_raw) * (7.0 * raw_rm7 - y_raw))) AS rmse,
+         100.0 * avg(2.0 * abs(7.0 * raw_rm7 - y_raw) / (abs(y_raw) + abs(7.0 * raw_rm7) + 1e-8)) AS smape,
+         sum(abs(7.0 * raw_rm7 - y_raw)) / (sum(abs(y_raw)) + 1e-8) AS wmape
+  FROM ev e GROUP BY e.client_id),
+cm AS (SELECT pm.*, pm.mae / coalesce(n.naive_mae, 1e-8) AS mase FROM pm LEFT JOIN naive n ON pm.client_id = n.client_id)"""
+
+_M5 = ["mae", "rmse", "smape", "wmape", "mase"]
+
+
+def _split_summary_sql() -> str:
+    L = SEQ_LEN
+    return f"""
+per AS (SELECT client_id, item_id, split, count(*) AS n, greatest(count(*) - {L}, 0) AS seqs FROM split GROUP BY client_id, item_id, split),
+agg AS (
+  SELECT client_id, sum(n) AS raw_rows,
+    sum(CASE WHEN split = 'train' THEN n ELSE 0 END) AS train_rows,
+    sum(CASE WHEN split = 'val' THEN n ELSE 0 END) AS val_rows,
+    sum(CASE WHEN split = 'test' THEN n ELSE 0 END) AS test_rows,
+    sum(CASE WHEN split = 'train' THEN seqs ELSE 0 END) AS tr_s,
+    sum(CASE WHEN split = 'val' THEN seqs ELSE 0 END) AS val_sequences,
+    sum(CASE WHEN split = 'test' THEN seqs ELSE 0 END) AS te_s,
+    count(DISTINCT item_id) AS num_items
+  FROM per GROUP BY client_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
+    # ``0.0 + round(..)`` turns DuckDB's -0.0 into 0.0, as Spark's round does.
+    return {k: v.replace("round(", "0.0 + round(") for k, v in _oracle_sql().items()}
+
+
+def _oracle_sql() -> dict[str, str]:
     c16 = list(CANDIDATE_FEATURES)
     return {
         "panel_daily": _with(_TPCH_ROWS, _PANEL) + " SELECT client_id, item_id, CAST(date AS VARCHAR) AS date, round(quantity, 6) AS quantity, round(sell_price, 6) AS sell_price FROM panel",
@@ -210,4 +351,31 @@ def oracle_sql() -> dict[str, str]:
         "feature_ranking": _with(*_base(), _FEATS, _split_cte(c16), _fscore_sql(c16))
         + " SELECT row_number() OVER (ORDER BY f_score DESC, feature) AS rank, feature, round(f_score, 3) AS f_score,"
         " row_number() OVER (ORDER BY f_score DESC, feature) <= 12 AS selected FROM scored",
+        "split_summary": _with(*_base(), _FEATS, _split_cte(c16), _split_summary_sql())
+        + " SELECT client_id, CAST(raw_rows AS BIGINT) AS raw_rows, CAST(train_rows AS BIGINT) AS train_rows,"
+        " CAST(val_rows AS BIGINT) AS val_rows, CAST(test_rows AS BIGINT) AS test_rows,"
+        " CAST(CASE WHEN tr_s > 0 THEN tr_s ELSE 1 END AS BIGINT) AS train_sequences,"
+        " CAST(val_sequences AS BIGINT) AS val_sequences,"
+        " CAST(CASE WHEN te_s > 0 THEN te_s WHEN val_sequences > 0 THEN val_sequences ELSE 1 END AS BIGINT) AS test_sequences,"
+        " CAST(num_items AS BIGINT) AS num_items FROM agg",
+        "selection_summary": _with(*_base(), _FEATS, _split_cte(c16))
+        + " SELECT CAST(sum(c) AS BIGINT) AS total_samples, CAST(count(*) AS BIGINT) AS num_clients,"
+        " CAST(min(c) AS BIGINT) AS min_samples, CAST(max(c) AS BIGINT) AS max_samples, round(avg(c), 6) AS mean_samples"
+        " FROM (SELECT client_id, count(*) AS c FROM split WHERE split = 'train' GROUP BY client_id) t",
+        "scaler_standard": _with(*_base(), _FEATS, _split_cte(c16), _scaled_cte(c16))
+        + " " + " UNION ALL ".join(
+            f"SELECT client_id, '{c}' AS feature, round(m{i}, 6) AS center,"
+            f" round(CASE WHEN s{i} = 0 OR s{i} IS NULL THEN 1.0 ELSE s{i} END, 6) AS scale FROM xstats"
+            for i, c in enumerate(c16)),
+        "scaler_robust": _with(*_base(), _FEATS, _split_cte(c16), _scaled_cte(c16))
+        + " SELECT client_id, round(y_center, 6) AS y_center, round(y_scale, 6) AS y_scale,"
+        " round(y_q25, 6) AS y_q25, round(y_q75, 6) AS y_q75 FROM ystats",
+        "sequences": _with(*_base(), _FEATS, _split_cte(c16), _scaled_cte(c16))
+        + " SELECT client_id, item_id, split, CAST(target_date AS VARCHAR) AS target_date, round(y, 6) AS y,"
+        " round(x_sum, 6) AS x_sum, round(x_first, 6) AS x_first, round(x_last, 6) AS x_last FROM valid",
+        "naive_metrics": _with(*_base(), _FEATS, _split_cte(c16), _scaled_cte(c16), _NAIVE)
+        + " SELECT client_id, num_samples, " + ", ".join(f"round({m}, 6) AS {m}" for m in _M5) + " FROM cm",
+        "naive_strategy": _with(*_base(), _FEATS, _split_cte(c16), _scaled_cte(c16), _NAIVE)
+        + " SELECT 'naive' AS strategy, CAST(sum(num_samples) AS BIGINT) AS num_samples, "
+        + ", ".join(f"round(sum({m} * num_samples) / sum(num_samples), 6) AS {m}" for m in _M5) + " FROM cm",
     }

@@ -73,7 +73,7 @@ def require_train_rows(split_df: DataFrame, clients: DataFrame) -> None:
 
 
 def make_sequences(split_df: DataFrame, feature_cols: list[str], y_col: str = "y", seq_len: int = SEQ_LEN,
-                   group_keys: list[str] | None = None) -> DataFrame:
+                   group_keys: list[str] | None = None, extra_cols: list[str] | None = None) -> DataFrame:
     """E3/E4 + E8: windows of L rows inside one (client, item, split) run;
     the target is the row after the window. ``x`` is the flattened window
     (L * F values, time-major), ``y`` the target row's value.
@@ -89,7 +89,8 @@ def make_sequences(split_df: DataFrame, feature_cols: list[str], y_col: str = "y
         split_df.withColumn("_v", vec)
         .withColumn("_win", F.collect_list("_v").over(frame))
         .filter(F.size("_win") == seq_len)
-        .select(*keys, F.col("date").alias("target_date"), F.flatten("_win").alias("x"), F.col(y_col).cast("double").alias("y"))
+        .select(*keys, F.col("date").alias("target_date"), F.flatten("_win").alias("x"), F.col(y_col).cast("double").alias("y"),
+                *(extra_cols or []))
     )
 
 
@@ -116,3 +117,37 @@ def sample_per_client(df: DataFrame, n: int, seed: int, key_cols: list[str], buc
         .filter(F.col("_rk") <= n)
         .drop("_rk", "_u", "_b")
     )
+
+
+def zero_samples(clients: DataFrame, dim: int, split: str) -> DataFrame:
+    """E5: one all-zero sample (x = 0, y = 0 in scaled space) per client."""
+    return clients.select(
+        "client_id",
+        F.lit("__fallback__").alias("item_id"),
+        F.lit(split).alias("split"),
+        F.lit(None).cast("date").alias("target_date"),
+        F.array_repeat(F.lit(0.0), dim).alias("x"),
+        F.lit(0.0).alias("y"),
+        F.lit(True).alias("is_fallback"),
+    )
+
+
+def training_sets(seqs: DataFrame, clients: DataFrame, dim: int) -> tuple[DataFrame, DataFrame]:
+    """E5: train sequences (zero sample when a client has none) and eval
+    sequences = test, else val, else a zero sample (N12, N25).
+
+    The per-client split counts are one small row per client; they are
+    joined back on client_id (AQE broadcasts them when small)."""
+    base = seqs.select("client_id", "item_id", "split", "target_date", "x", "y").withColumn("is_fallback", F.lit(False))
+    train = base.filter(F.col("split") == "train")
+    no_train = clients.join(train.select("client_id").distinct(), "client_id", "left_anti")
+    train = train.unionByName(zero_samples(no_train, dim, "train"))
+    counts = seqs.groupBy("client_id").agg(
+        F.sum(F.when(F.col("split") == "test", 1).otherwise(0)).alias("n_test"),
+        F.sum(F.when(F.col("split") == "val", 1).otherwise(0)).alias("n_val"),
+    )
+    pick = counts.select("client_id", F.when(F.col("n_test") > 0, F.lit("test")).otherwise(F.lit("val")).alias("eval_split"))
+    ev = base.join(pick, "client_id").filter(F.col("split") == F.col("eval_split")).drop("eval_split")
+    no_eval = clients.join(ev.select("client_id").distinct(), "client_id", "left_anti")
+    ev = ev.unionByName(zero_samples(no_eval, dim, "test"))
+    return train, ev
