@@ -146,6 +146,94 @@ def q_naive_strategy(spark: SparkSession, sf: str) -> DataFrame:
     return w.select("strategy", "num_samples", *[_r(c) for c in ["mae", "rmse", "smape", "wmape", "mase"]])
 
 
+def _noisy_profiles(spark, sf, split="train"):
+    from groupcast.constants import PIPELINE_EPSILON
+    from groupcast.operators.profiles import profile_clients
+
+    p = _prep(spark, sf)
+    return profile_clients(p.sequences.filter(F.col("split") == split), epsilon=PIPELINE_EPSILON)
+
+
+def _long(df, col, key="client_id"):
+    return df.select(key, F.posexplode(col).alias("pos", "value")).select(
+        key, F.col("pos").cast("long").alias("pos"), F.round("value", 6).alias("value"))
+
+
+def q_profiles_noisy(spark: SparkSession, sf: str) -> DataFrame:
+    return _long(_noisy_profiles(spark, sf), "importance")
+
+
+def q_profile_top3(spark: SparkSession, sf: str) -> DataFrame:
+    from groupcast.operators.profiles import top_features
+
+    t = top_features(_noisy_profiles(spark, sf), "importance", 3)
+    return t.select("client_id", F.col("rank").cast("long").alias("rank"), F.col("pos").cast("long").alias("pos"), F.round("value", 6).alias("value"))
+
+
+def _normalised(spark, sf, split="train"):
+    from groupcast.operators.cluster import normalise_profiles, with_scope
+
+    return normalise_profiles(with_scope(_noisy_profiles(spark, sf, split)), "importance", "dist")
+
+
+def q_profiles_normalised(spark: SparkSession, sf: str) -> DataFrame:
+    return _long(_normalised(spark, sf), "dist")
+
+
+def q_profiles_ema(spark: SparkSession, sf: str) -> DataFrame:
+    from groupcast.operators.cluster import ema_profiles
+
+    old = _normalised(spark, sf, "train")
+    new = _normalised(spark, sf, "val")
+    return _long(ema_profiles(new, old, 0.8, "dist"), "dist")
+
+
+def q_emd_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    from groupcast.operators.cluster import emd_pairs
+
+    return emd_pairs(_normalised(spark, sf)).select("client_a", "client_b", F.round("emd", 6).alias("emd"))
+
+
+def _emb(spark, sf):
+    from groupcast.functions.arrays import normalise_distribution
+    from groupcast.sources.tables import read_table
+
+    e = read_table(spark, sf, "embeddings", ["vec_id", "embedding", "label"])
+    return e.select("vec_id", "label", F.lit("all").alias("scope"), normalise_distribution("embedding").alias("dist"))
+
+
+def q_embedding_emd(spark: SparkSession, sf: str) -> DataFrame:
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    from groupcast.functions.arrays import array_cdf, array_l1
+
+    e = _emb(spark, sf)
+    cent = e.groupBy("label").agg(vector_to_array(Summarizer.mean(array_to_vector("dist"))).alias("centroid"))
+    j = e.join(cent, "label")
+    return j.select("vec_id", "label", F.round(array_l1(array_cdf("dist"), array_cdf("centroid")), 6).alias("emd"))
+
+
+def q_embedding_dbi(spark: SparkSession, sf: str) -> DataFrame:
+    from groupcast.operators.cluster import davies_bouldin_df
+
+    d = davies_bouldin_df(_emb(spark, sf), "dist", "label")
+    return d.select(F.round("dbi", 6).alias("dbi"), F.col("num_labels").cast("long").alias("num_labels"))
+
+
+def q_client_clusters(spark: SparkSession, sf: str) -> DataFrame:
+    from groupcast.constants import MAX_CLUSTERS_PIPELINE
+    from groupcast.operators.cluster import cluster_profiles
+
+    return cluster_profiles(_normalised(spark, sf), "dist", max_clusters=MAX_CLUSTERS_PIPELINE)
+
+
+def q_cluster_record(spark: SparkSession, sf: str) -> DataFrame:
+    from groupcast.operators.cluster import cluster_record
+
+    return cluster_record(q_client_clusters(spark, sf), "initial_clustering", 0)
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Flagship: rank the 16 candidate features by F test on train rows (sf0.001)."""
     return q_feature_pvalues(spark, SF_SMOKE)
@@ -167,6 +255,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "sequences": q_sequences,
         "naive_metrics": q_naive_metrics,
         "naive_strategy": q_naive_strategy,
+        "profiles_noisy": q_profiles_noisy,
+        "profile_top3": q_profile_top3,
+        "profiles_normalised": q_profiles_normalised,
+        "profiles_ema": q_profiles_ema,
+        "emd_pairs": q_emd_pairs,
+        "embedding_emd": q_embedding_emd,
+        "embedding_dbi": q_embedding_dbi,
+        "client_clusters": q_client_clusters,
+        "cluster_record": q_cluster_record,
     }
 
 
@@ -335,13 +432,54 @@ agg AS (
   FROM per GROUP BY client_id)"""
 
 
+def _profile_sql(cols: list[str], split: str, tag: str, eps: float, clip: float = 0.15, seed: int = 42) -> str:
+    vec = "[" + ", ".join(cols) + "]"
+    scale = repr(clip / eps)
+    return f"""
+rv_{tag} AS (SELECT client_id, item_id, split, date, ys, {vec} AS v FROM scaled),
+sx_{tag} AS (
+  SELECT client_id, split, ys AS y, flatten(list(v) OVER wq) AS x, count(*) OVER wq AS cnt FROM rv_{tag}
+  WINDOW wq AS (PARTITION BY client_id, item_id, split ORDER BY date ROWS BETWEEN {SEQ_LEN} PRECEDING AND 1 PRECEDING)),
+ex_{tag} AS (SELECT client_id, y, unnest(x) AS xv, unnest(range(len(x))) AS pos FROM sx_{tag} WHERE cnt = {SEQ_LEN} AND split = '{split}'),
+st_{tag} AS (SELECT client_id, pos, covar_pop(xv, y) AS c, var_pop(xv) AS vx, var_pop(y) AS vy FROM ex_{tag} GROUP BY client_id, pos),
+r2_{tag} AS (SELECT client_id, pos, CASE WHEN vx * vy > 0 THEN least(c * c / (vx * vy), 1.0) ELSE 0.0 END AS r2 FROM st_{tag}),
+imp_{tag} AS (
+  SELECT client_id, pos, CASE WHEN sum(r2) OVER (PARTITION BY client_id) > 0 THEN r2 / sum(r2) OVER (PARTITION BY client_id)
+                              ELSE r2 END AS imp FROM r2_{tag}),
+nrm_{tag} AS (SELECT client_id, sqrt(sum(imp * imp)) AS nv FROM imp_{tag} GROUP BY client_id),
+clip_{tag} AS (
+  SELECT i.client_id, i.pos, CASE WHEN n.nv > {clip} THEN i.imp * ({clip} / n.nv) ELSE i.imp END AS v
+  FROM imp_{tag} i JOIN nrm_{tag} n ON i.client_id = n.client_id),
+noisy_{tag} AS (
+  SELECT client_id, pos, v + (-{scale} * sign(u - 0.5) * ln(1 - 2 * abs(u - 0.5))) AS value
+  FROM (SELECT *, (CAST(('0x' || substr(md5(client_id || '|' || CAST(pos AS VARCHAR) || '|' || '{seed}'), 1, 8)) AS BIGINT) + 0.5)
+                  / 4294967296.0 AS u FROM clip_{tag}) t),
+pp_{tag} AS (SELECT client_id, pos, greatest(value, 0.0) AS p FROM noisy_{tag}),
+tot_{tag} AS (SELECT client_id, sum(p) AS s, count(*) AS d FROM pp_{tag} GROUP BY client_id),
+norm_{tag} AS (
+  SELECT a.client_id, a.pos, CASE WHEN t.s > 0 THEN a.p / t.s ELSE 1.0 / t.d END AS value
+  FROM pp_{tag} a JOIN tot_{tag} t ON a.client_id = t.client_id)"""
+
+
+_EMB = """
+eb AS (SELECT vec_id, label, unnest(embedding) AS v, unnest(range(len(embedding))) AS pos FROM embeddings),
+ebp AS (SELECT vec_id, label, pos, greatest(CAST(v AS DOUBLE), 0.0) AS p FROM eb),
+ebt AS (SELECT vec_id, sum(p) AS s, count(*) AS d FROM ebp GROUP BY vec_id),
+en AS (SELECT a.vec_id, a.label, a.pos, CASE WHEN t.s > 0 THEN a.p / t.s ELSE 1.0 / t.d END AS val
+       FROM ebp a JOIN ebt t ON a.vec_id = t.vec_id),
+cent AS (SELECT label, pos, avg(val) AS c FROM en GROUP BY label, pos)"""
+
+
 def oracle_sql() -> dict[str, str]:
     # ``0.0 + round(..)`` turns DuckDB's -0.0 into 0.0, as Spark's round does.
     return {k: v.replace("round(", "0.0 + round(") for k, v in _oracle_sql().items()}
 
 
 def _oracle_sql() -> dict[str, str]:
+    from groupcast.constants import PIPELINE_EPSILON
+
     c16 = list(CANDIDATE_FEATURES)
+    prof = [*_base(), _FEATS, _split_cte(c16), _scaled_cte(c16), _profile_sql(c16, "train", "t", PIPELINE_EPSILON)]
     return {
         "panel_daily": _with(_TPCH_ROWS, _PANEL) + " SELECT client_id, item_id, CAST(date AS VARCHAR) AS date, round(quantity, 6) AS quantity, round(sell_price, 6) AS sell_price FROM panel",
         "panel_dense": _with(_TPCH_ROWS, _PANEL) + " SELECT client_id, item_id, CAST(date AS VARCHAR) AS date, round(quantity, 6) AS quantity, round(sell_price, 6) AS sell_price FROM dense",
@@ -378,4 +516,32 @@ def _oracle_sql() -> dict[str, str]:
         "naive_strategy": _with(*_base(), _FEATS, _split_cte(c16), _scaled_cte(c16), _NAIVE)
         + " SELECT 'naive' AS strategy, CAST(sum(num_samples) AS BIGINT) AS num_samples, "
         + ", ".join(f"round(sum({m} * num_samples) / sum(num_samples), 6) AS {m}" for m in _M5) + " FROM cm",
+        "profiles_noisy": _with(*prof) + " SELECT client_id, pos, round(value, 6) AS value FROM noisy_t",
+        "profile_top3": _with(*prof)
+        + " SELECT client_id, rank, pos, round(value, 6) AS value FROM (SELECT client_id, pos, value,"
+        " row_number() OVER (PARTITION BY client_id ORDER BY value DESC, pos) AS rank FROM noisy_t) z WHERE rank <= 3",
+        "profiles_normalised": _with(*prof) + " SELECT client_id, pos, round(value, 6) AS value FROM norm_t",
+        "profiles_ema": _with(*prof, _profile_sql(c16, "val", "v", PIPELINE_EPSILON))
+        + " SELECT n.client_id, n.pos, round(CASE WHEN o.value IS NOT NULL THEN 0.8 * o.value + 0.2 * n.value ELSE n.value END, 6) AS value"
+        " FROM norm_v n LEFT JOIN norm_t o ON n.client_id = o.client_id AND n.pos = o.pos",
+        "emd_pairs": _with(*prof, """
+cdf AS (SELECT client_id, pos, sum(value) OVER (PARTITION BY client_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS c
+        FROM norm_t)""")
+        + " SELECT a.client_id AS client_a, b.client_id AS client_b, round(sum(abs(a.c - b.c)), 6) AS emd"
+        " FROM cdf a JOIN cdf b ON a.pos = b.pos AND a.client_id < b.client_id GROUP BY a.client_id, b.client_id",
+        "embedding_emd": _with(_EMB, """
+ec AS (SELECT vec_id, label, pos, sum(val) OVER (PARTITION BY vec_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS c
+       FROM en),
+cc AS (SELECT label, pos, sum(c) OVER (PARTITION BY label ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS c FROM cent)""")
+        + " SELECT e.vec_id, e.label, round(sum(abs(e.c - k.c)), 6) AS emd FROM ec e JOIN cc k ON e.label = k.label AND e.pos = k.pos"
+        " GROUP BY e.vec_id, e.label",
+        "embedding_dbi": _with(_EMB, """
+dd AS (SELECT e.vec_id, e.label, sqrt(sum((e.val - c.c) * (e.val - c.c))) AS d FROM en e JOIN cent c ON e.label = c.label AND e.pos = c.pos
+       GROUP BY e.vec_id, e.label),
+ss AS (SELECT label, avg(d) AS s FROM dd GROUP BY label),
+mm AS (SELECT a.label AS la, b.label AS lb, sqrt(sum((a.c - b.c) * (a.c - b.c))) AS m FROM cent a JOIN cent b
+       ON a.pos = b.pos AND a.label <> b.label GROUP BY a.label, b.label),
+rr AS (SELECT la, max(CASE WHEN m > 0 THEN (sa.s + sb.s) / m ELSE 0.0 END) AS d FROM mm
+       JOIN ss sa ON sa.label = mm.la JOIN ss sb ON sb.label = mm.lb GROUP BY la)""")
+        + " SELECT round(avg(d), 6) AS dbi, CAST(count(*) AS BIGINT) AS num_labels FROM rr",
     }

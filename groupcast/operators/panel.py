@@ -82,6 +82,21 @@ def events_panel_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # --------------------------------------------------------------------- D2
+def series_partitions(spark: SparkSession) -> int:
+    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def by_series(panel: DataFrame) -> DataFrame:
+    """Hash-partition the (aggregated, small) daily panel by series.
+
+    Every later window is partitioned by (client, item[, split]), which this
+    partitioning satisfies, so it is the only exchange of the feature,
+    split and sequence stages. The count is explicit so AQE does not fold
+    the densified, window-heavy work into one task because the shuffled
+    input was small in bytes."""
+    return panel.repartition(series_partitions(panel.sparkSession), *KEYS)
+
+
 def densify_calendar(panel: DataFrame) -> DataFrame:
     """One row per calendar day from a series' first to its last sale.
 
@@ -93,7 +108,8 @@ def densify_calendar(panel: DataFrame) -> DataFrame:
     w = series_window()
     last_day_covered = F.coalesce(F.date_sub(F.lead("date").over(w), 1), F.col("date"))
     return (
-        panel.withColumn("_until", last_day_covered)
+        by_series(panel)
+        .withColumn("_until", last_day_covered)
         .select(
             "client_id",
             "item_id",
