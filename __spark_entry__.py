@@ -234,6 +234,61 @@ def q_cluster_record(spark: SparkSession, sf: str) -> DataFrame:
     return cluster_record(q_client_clusters(spark, sf), "initial_clustering", 0)
 
 
+def _train_ctx(spark, sf):
+    from groupcast.operators.params import init_params
+
+    p = _prep(spark, sf)
+    return p, init_params(p.clients, p.dim, 42)
+
+
+def q_params_init(spark: SparkSession, sf: str) -> DataFrame:
+    from groupcast.operators.params import params_table
+
+    _, params = _train_ctx(spark, sf)
+    t = params_table(params)
+    return t.select("client_id", "layer", F.col("pos").cast("long").alias("pos"), F.round("value", 8).alias("value"))
+
+
+def q_params_average(spark: SparkSession, sf: str) -> DataFrame:
+    from groupcast.operators.params import average_params, params_table
+
+    p, params = _train_ctx(spark, sf)
+    n = p.train.groupBy("client_id").agg(F.count(F.lit(1)).alias("n"))
+    avg = average_params(params.join(n, "client_id").withColumn("bubble", F.lit(0)), "bubble", "n")
+    t = params_table(avg.withColumnRenamed("bubble", "client_id"))
+    return t.select("layer", F.col("pos").cast("long").alias("pos"), F.round("value", 8).alias("value"))
+
+
+def q_predict_init(spark: SparkSession, sf: str) -> DataFrame:
+    from groupcast.operators.train import predict
+
+    p, params = _train_ctx(spark, sf)
+    pr = predict(p.eval, params, p.y_stats)
+    sc = F.greatest(F.col("y_scale"), F.lit(1e-8))
+    return pr.select("client_id", "item_id", _d("target_date"),
+                     F.round(F.col("p_scaled") * sc + F.col("y_center"), 6).alias("y_pred"),
+                     F.round(F.col("y") * sc + F.col("y_center"), 6).alias("y_true"))
+
+
+def q_loss_init(spark: SparkSession, sf: str) -> DataFrame:
+    from groupcast.operators.metrics import huber_smape_loss
+    from groupcast.operators.train import predict
+
+    p, params = _train_ctx(spark, sf)
+    lo = huber_smape_loss(predict(p.eval, params, p.y_stats), ["client_id"])
+    return lo.select("client_id", F.round("loss", 6).alias("loss"), "num_samples")
+
+
+def q_train_step(spark: SparkSession, sf: str) -> DataFrame:
+    from groupcast.functions.arrays import array_sum
+    from groupcast.operators.train import gradient_step
+
+    p, params = _train_ctx(spark, sf)
+    st = gradient_step(p.train, params, p.y_stats, lr=0.001)
+    return st.select("client_id", F.round(array_sum("body"), 6).alias("body_sum"), F.round("a", 8).alias("a"),
+                     F.round("b", 8).alias("b"), "n")
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Flagship: rank the 16 candidate features by F test on train rows (sf0.001)."""
     return q_feature_pvalues(spark, SF_SMOKE)
@@ -264,6 +319,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "embedding_dbi": q_embedding_dbi,
         "client_clusters": q_client_clusters,
         "cluster_record": q_cluster_record,
+        "params_init": q_params_init,
+        "params_average": q_params_average,
+        "predict_init": q_predict_init,
+        "loss_init": q_loss_init,
+        "train_step": q_train_step,
     }
 
 
@@ -470,6 +530,47 @@ en AS (SELECT a.vec_id, a.label, a.pos, CASE WHEN t.s > 0 THEN a.p / t.s ELSE 1.
 cent AS (SELECT label, pos, avg(val) AS c FROM en GROUP BY label, pos)"""
 
 
+def _train_sql(cols: list[str], seed: int = 42) -> str:
+    dim = SEQ_LEN * len(cols)
+    vec = "[" + ", ".join(cols) + "]"
+
+    def u(key: str, pos: str) -> str:
+        return (f"((CAST(('0x' || substr(md5(client_id || '|{key}|' || CAST({pos} AS VARCHAR) || '|{seed}'), 1, 8)) AS BIGINT)"
+                " + 0.5) / 4294967296.0)")
+
+    return f"""
+seqx AS (
+  SELECT client_id, item_id, split, date AS target_date, ys AS y, flatten(list({vec}) OVER wq) AS x, count(*) OVER wq AS cnt
+  FROM scaled WINDOW wq AS (PARTITION BY client_id, item_id, split ORDER BY date ROWS BETWEEN {SEQ_LEN} PRECEDING AND 1 PRECEDING)),
+sq AS (SELECT * FROM seqx WHERE cnt = {SEQ_LEN}),
+cnts AS (SELECT client_id, sum(CASE WHEN split = 'test' THEN 1 ELSE 0 END) AS n_test FROM sq GROUP BY client_id),
+evs AS (SELECT s.* FROM sq s JOIN cnts c ON s.client_id = c.client_id
+        WHERE s.split = CASE WHEN c.n_test > 0 THEN 'test' ELSE 'val' END),
+trs AS (SELECT * FROM sq WHERE split = 'train'),
+cl AS (SELECT DISTINCT client_id FROM split),
+pw AS (SELECT client_id, pos, (2 * {u('body.w', 'pos')} - 1) * (1.0 / sqrt({dim})) AS w
+       FROM (SELECT client_id, unnest(range({dim})) AS pos FROM cl) t),
+ph AS (SELECT client_id, 2 * {u('head.a', '0')} - 1 AS a, 2 * {u('head.b', '0')} - 1 AS b FROM cl),
+evx AS (SELECT client_id, item_id, target_date, y, unnest(x) AS xv, unnest(range(len(x))) AS pos FROM evs),
+evsc AS (SELECT e.client_id, e.item_id, e.target_date, e.y, sum(e.xv * w.w) AS score FROM evx e
+         JOIN pw w ON e.client_id = w.client_id AND e.pos = w.pos GROUP BY e.client_id, e.item_id, e.target_date, e.y),
+evp AS (SELECT s.*, h.a * s.score + h.b AS p, r.y_center AS c, greatest(r.y_scale, 1e-8) AS sc FROM evsc s
+        JOIN ph h ON s.client_id = h.client_id JOIN ystats r ON s.client_id = r.client_id),
+trx AS (SELECT client_id, item_id, target_date, y, unnest(x) AS xv, unnest(range(len(x))) AS pos FROM trs),
+trsc AS (SELECT e.client_id, e.item_id, e.target_date, e.y, sum(e.xv * w.w) AS score FROM trx e
+         JOIN pw w ON e.client_id = w.client_id AND e.pos = w.pos GROUP BY e.client_id, e.item_id, e.target_date, e.y),
+trp AS (SELECT s.*, h.a, h.a * s.score + h.b AS p, r.y_center AS c, greatest(r.y_scale, 1e-8) AS sc FROM trsc s
+        JOIN ph h ON s.client_id = h.client_id JOIN ystats r ON s.client_id = r.client_id),
+trg AS (SELECT *, greatest(-1.0, least(1.0, p - y))
+          + 0.1 * 2.0 * (sign((p * sc + c) - (y * sc + c)) * (abs(y * sc + c) + abs(p * sc + c) + 1e-8)
+                         - abs((p * sc + c) - (y * sc + c)) * sign(p * sc + c))
+                / ((abs(y * sc + c) + abs(p * sc + c) + 1e-8) * (abs(y * sc + c) + abs(p * sc + c) + 1e-8)) * sc AS g
+        FROM trp),
+gw AS (SELECT t.client_id, x.pos, avg(t.g * t.a * x.xv) AS gb FROM trg t JOIN trx x
+       ON t.client_id = x.client_id AND t.item_id = x.item_id AND t.target_date = x.target_date GROUP BY t.client_id, x.pos),
+gh AS (SELECT client_id, avg(g * score) AS ga, avg(g) AS gbias, count(*) AS n FROM trg GROUP BY client_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
     # ``0.0 + round(..)`` turns DuckDB's -0.0 into 0.0, as Spark's round does.
     return {k: v.replace("round(", "0.0 + round(") for k, v in _oracle_sql().items()}
@@ -480,6 +581,7 @@ def _oracle_sql() -> dict[str, str]:
 
     c16 = list(CANDIDATE_FEATURES)
     prof = [*_base(), _FEATS, _split_cte(c16), _scaled_cte(c16), _profile_sql(c16, "train", "t", PIPELINE_EPSILON)]
+    tr = [*_base(), _FEATS, _split_cte(c16), _scaled_cte(c16), _train_sql(c16)]
     return {
         "panel_daily": _with(_TPCH_ROWS, _PANEL) + " SELECT client_id, item_id, CAST(date AS VARCHAR) AS date, round(quantity, 6) AS quantity, round(sell_price, 6) AS sell_price FROM panel",
         "panel_dense": _with(_TPCH_ROWS, _PANEL) + " SELECT client_id, item_id, CAST(date AS VARCHAR) AS date, round(quantity, 6) AS quantity, round(sell_price, 6) AS sell_price FROM dense",
@@ -544,4 +646,20 @@ mm AS (SELECT a.label AS la, b.label AS lb, sqrt(sum((a.c - b.c) * (a.c - b.c)))
 rr AS (SELECT la, max(CASE WHEN m > 0 THEN (sa.s + sb.s) / m ELSE 0.0 END) AS d FROM mm
        JOIN ss sa ON sa.label = mm.la JOIN ss sb ON sb.label = mm.lb GROUP BY la)""")
         + " SELECT round(avg(d), 6) AS dbi, CAST(count(*) AS BIGINT) AS num_labels FROM rr",
+        "params_init": _with(*tr) + " SELECT client_id, 'body.w' AS layer, CAST(pos AS BIGINT) AS pos, round(w, 8) AS value FROM pw"
+        " UNION ALL SELECT client_id, 'head.a', 0, round(a, 8) FROM ph UNION ALL SELECT client_id, 'head.b', 0, round(b, 8) FROM ph",
+        "params_average": _with(*tr, "tn AS (SELECT client_id, count(*) AS n FROM trs GROUP BY client_id)")
+        + " SELECT 'body.w' AS layer, CAST(pos AS BIGINT) AS pos, round(sum(w * n) / sum(n), 8) AS value FROM pw JOIN tn"
+        " ON pw.client_id = tn.client_id GROUP BY pos"
+        " UNION ALL SELECT 'head.a', 0, round(sum(a * n) / sum(n), 8) FROM ph JOIN tn ON ph.client_id = tn.client_id"
+        " UNION ALL SELECT 'head.b', 0, round(sum(b * n) / sum(n), 8) FROM ph JOIN tn ON ph.client_id = tn.client_id",
+        "predict_init": _with(*tr) + " SELECT client_id, item_id, CAST(target_date AS VARCHAR) AS target_date,"
+        " round(p * sc + c, 6) AS y_pred, round(y * sc + c, 6) AS y_true FROM evp",
+        "loss_init": _with(*tr) + " SELECT client_id, round(avg(CASE WHEN abs(p - y) <= 1 THEN 0.5 * (p - y) * (p - y)"
+        " ELSE abs(p - y) - 0.5 END) + 0.1 * avg(2.0 * abs((p * sc + c) - (y * sc + c))"
+        " / (abs(y * sc + c) + abs(p * sc + c) + 1e-8)), 6) AS loss, count(*) AS num_samples FROM evp GROUP BY client_id",
+        "train_step": _with(*tr) + " SELECT h.client_id, round(b.body_sum, 6) AS body_sum, round(p.a - 0.001 * h.ga, 8) AS a,"
+        " round(p.b - 0.001 * h.gbias, 8) AS b, h.n FROM gh h JOIN ph p ON h.client_id = p.client_id"
+        " JOIN (SELECT w.client_id, sum(w.w - 0.001 * g.gb) AS body_sum FROM pw w JOIN gw g ON w.client_id = g.client_id"
+        " AND w.pos = g.pos GROUP BY w.client_id) b ON h.client_id = b.client_id",
     }
