@@ -289,6 +289,27 @@ def q_train_step(spark: SparkSession, sf: str) -> DataFrame:
                      F.round("b", 8).alias("b"), "n")
 
 
+def _short_schedule():
+    from groupcast.plans.strategies import StrategyConfig
+
+    # A short schedule of the same algorithm (the library defaults are the
+    # original run's 100 rounds x 3 epochs, 20 warm-up, 20 head epochs).
+    return StrategyConfig(num_rounds=2, epochs_per_round=1, global_warmup_rounds=1, head_finetune_epochs=1,
+                          recluster_interval=1, local_epochs=2)
+
+
+def q_strategy_results(spark: SparkSession, sf: str) -> DataFrame:
+    from groupcast.constants import FEATURE_TOP_K
+    from groupcast.plans.strategies import run_strategies
+
+    from groupcast.operators.select import selected_features
+    from groupcast.plans.selection import feature_ranking
+
+    chosen = selected_features(feature_ranking(spark, sf, top_k=FEATURE_TOP_K))
+    _, results = run_strategies(_prep(spark, sf, chosen), _short_schedule())
+    return results.select("strategy", "num_samples", *[_r(c) for c in ["rmse", "smape", "mae", "wmape", "mase"]])
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Flagship: rank the 16 candidate features by F test on train rows (sf0.001)."""
     return q_feature_pvalues(spark, SF_SMOKE)
@@ -324,6 +345,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "predict_init": q_predict_init,
         "loss_init": q_loss_init,
         "train_step": q_train_step,
+        "strategy_results": q_strategy_results,
     }
 
 

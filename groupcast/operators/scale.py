@@ -2,8 +2,9 @@
 
 Statistics are kept in one row per client (arrays over features), so
 applying them is a single equi-join on client_id. The stats table has one
-row per client; AQE measures it at run time and broadcasts it only when it
-is under ``spark.sql.autoBroadcastJoinThreshold``, else it shuffle-joins.
+row per client; it is broadcast after a row-count check (``join_small``),
+so the row side keeps its (client, item) partitioning, and shuffle-joined
+beyond the bound.
 """
 
 from __future__ import annotations
@@ -49,15 +50,17 @@ def apply_scaler(df: DataFrame, x_stats: DataFrame | None, y_stats: DataFrame |
                  feature_cols: list[str], y_col: str = "y") -> DataFrame:
     """(x - center) / scale on every split with the train fit.
     The raw target is kept as ``y_raw``."""
+    from groupcast.functions.columns import join_small
+
     out = df
     if x_stats is not None:
-        out = out.join(x_stats, "client_id")
+        out = join_small(out, x_stats, "client_id")
         out = out.select(
             *[c for c in df.columns if c not in feature_cols],
             *[((F.col(c).cast("double") - F.col("x_center")[i]) / F.col("x_scale")[i]).alias(c) for i, c in enumerate(feature_cols)],
         )
     if y_stats is not None:
-        out = out.join(y_stats.select("client_id", "y_center", "y_scale"), "client_id")
+        out = join_small(out, y_stats.select("client_id", "y_center", "y_scale"), "client_id")
         out = out.withColumn("y_raw", F.col(y_col)).withColumn(y_col, (F.col(y_col) - F.col("y_center")) / F.col("y_scale"))
     return out
 

@@ -132,22 +132,31 @@ def zero_samples(clients: DataFrame, dim: int, split: str) -> DataFrame:
     )
 
 
-def training_sets(seqs: DataFrame, clients: DataFrame, dim: int) -> tuple[DataFrame, DataFrame]:
+def sequence_counts(split_df: DataFrame, seq_len: int = SEQ_LEN) -> DataFrame:
+    """Sequences per client and split, from row counts: a run of n rows in
+    one (item, split) gives max(0, n - L) sequences. No window needed."""
+    per = split_df.groupBy("client_id", "item_id", "split").agg(F.count(F.lit(1)).alias("n"))
+    per = per.withColumn("s", F.greatest(F.col("n") - F.lit(seq_len), F.lit(0)))
+
+    def c(name):
+        return F.sum(F.when(F.col("split") == name, F.col("s")).otherwise(F.lit(0))).alias(f"n_{name}")
+
+    return per.groupBy("client_id").agg(c("train"), c("val"), c("test"))
+
+
+def training_sets(seqs: DataFrame, split_df: DataFrame, dim: int, seq_len: int = SEQ_LEN) -> tuple[DataFrame, DataFrame]:
     """E5: train sequences (zero sample when a client has none) and eval
     sequences = test, else val, else a zero sample (N12, N25).
 
-    The per-client split counts are one small row per client; they are
-    joined back on client_id (AQE broadcasts them when small)."""
+    The per-client choice comes from row counts of the split table (one
+    small row per client, joined back on client_id), so the sequence
+    windows are only computed where they are consumed."""
+    cnt = sequence_counts(split_df, seq_len)
     base = seqs.select("client_id", "item_id", "split", "target_date", "x", "y").withColumn("is_fallback", F.lit(False))
-    train = base.filter(F.col("split") == "train")
-    no_train = clients.join(train.select("client_id").distinct(), "client_id", "left_anti")
-    train = train.unionByName(zero_samples(no_train, dim, "train"))
-    counts = seqs.groupBy("client_id").agg(
-        F.sum(F.when(F.col("split") == "test", 1).otherwise(0)).alias("n_test"),
-        F.sum(F.when(F.col("split") == "val", 1).otherwise(0)).alias("n_val"),
-    )
-    pick = counts.select("client_id", F.when(F.col("n_test") > 0, F.lit("test")).otherwise(F.lit("val")).alias("eval_split"))
-    ev = base.join(pick, "client_id").filter(F.col("split") == F.col("eval_split")).drop("eval_split")
-    no_eval = clients.join(ev.select("client_id").distinct(), "client_id", "left_anti")
-    ev = ev.unionByName(zero_samples(no_eval, dim, "test"))
+    train = base.filter(F.col("split") == "train").unionByName(zero_samples(cnt.filter(F.col("n_train") == 0), dim, "train"))
+    pick = cnt.select("client_id", F.when(F.col("n_test") > 0, F.lit("test")).when(F.col("n_val") > 0, F.lit("val")).alias("eval_split"))
+    from groupcast.functions.columns import join_small
+
+    ev = join_small(base, pick, "client_id").filter(F.col("split") == F.col("eval_split")).drop("eval_split")
+    ev = ev.unionByName(zero_samples(cnt.filter((F.col("n_test") == 0) & (F.col("n_val") == 0)), dim, "test"))
     return train, ev

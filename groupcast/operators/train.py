@@ -33,9 +33,11 @@ def dot(a: Column, b: Column) -> Column:
 def predict(seqs: DataFrame, params: DataFrame, y_stats: DataFrame | None = None) -> DataFrame:
     """K2: score every sequence with its owner's parameters (no UDF).
     Adds score, p_scaled and, with y_stats, y_center / y_scale."""
-    j = seqs.join(params.select(OWNER, "body", "a", "b"), OWNER)
+    from groupcast.functions.columns import PARAMS_BROADCAST_MAX_ROWS, join_small
+
+    j = join_small(seqs, params.select(OWNER, "body", "a", "b"), OWNER, max_rows=PARAMS_BROADCAST_MAX_ROWS)
     if y_stats is not None:
-        j = j.join(y_stats.select(OWNER, "y_center", "y_scale"), OWNER)
+        j = join_small(j, y_stats.select(OWNER, "y_center", "y_scale"), OWNER)
     return j.withColumn("score", dot(F.col("body"), F.col("x"))).withColumn(
         "p_scaled", F.col("a") * F.col("score") + F.col("b")
     )

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,13 +37,16 @@ class Prepared:
 
 def prepare(features: DataFrame, feature_cols: list[str], seq_len: int = SEQ_LEN,
             train_ratio: float = TRAIN_RATIO, val_ratio: float = VAL_RATIO) -> Prepared:
-    split = split_rows(features, feature_cols, train_ratio, val_ratio)
+    # The split table feeds both scalers, the scaled rows, the client list
+    # and the sequence counts; it is kept (memory, spilling to disk) so its
+    # windows run once. A lost block is recomputed from lineage.
+    split = split_rows(features, feature_cols, train_ratio, val_ratio).persist(StorageLevel.MEMORY_AND_DISK)
     x_stats = fit_standard(split, feature_cols)
     y_stats = fit_robust(split, "y")
     scaled = apply_scaler(split, x_stats, y_stats, feature_cols)
     seqs = make_sequences(scaled, feature_cols, "y", seq_len, extra_cols=["y_raw"])
     clients = split.select("client_id").distinct()
-    train, ev = training_sets(seqs, clients, seq_len * len(feature_cols))
+    train, ev = training_sets(seqs, split, seq_len * len(feature_cols), seq_len)
     return Prepared(list(feature_cols), split, x_stats, y_stats, scaled, seqs, clients, train, ev)
 
 
