@@ -310,6 +310,20 @@ def q_strategy_results(spark: SparkSession, sf: str) -> DataFrame:
     return results.select("strategy", "num_samples", *[_r(c) for c in ["rmse", "smape", "mae", "wmape", "mase"]])
 
 
+RAW_SAMPLE_ROWS = 5000  # per-client sample size of the raw-row profile (sampling operator parameter)
+
+
+def q_profiles_raw_sample(spark: SparkSession, sf: str) -> DataFrame:
+    from groupcast.constants import DEFAULT_EPSILON
+    from groupcast.operators.profiles import profile_all_raw
+    from groupcast.plans.selection import split_rows
+
+    rows = split_rows(_features(spark, sf))
+    prof = profile_all_raw(rows, list(CANDIDATE_FEATURES), "y", max_rows=RAW_SAMPLE_ROWS, epsilon=DEFAULT_EPSILON,
+                           key_cols=["client_id", "item_id", "date"])
+    return _long(prof, "importance")
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Flagship: rank the 16 candidate features by F test on train rows (sf0.001)."""
     return q_feature_pvalues(spark, SF_SMOKE)
@@ -346,6 +360,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "loss_init": q_loss_init,
         "train_step": q_train_step,
         "strategy_results": q_strategy_results,
+        "profiles_raw_sample": q_profiles_raw_sample,
     }
 
 
@@ -593,6 +608,27 @@ gw AS (SELECT t.client_id, x.pos, avg(t.g * t.a * x.xv) AS gb FROM trg t JOIN tr
 gh AS (SELECT client_id, avg(g * score) AS ga, avg(g) AS gbias, count(*) AS n FROM trg GROUP BY client_id)"""
 
 
+def _raw_profile_sql(cols: list[str], n: int, eps: float, clip: float = 0.15, seed: int = 42) -> str:
+    vec = "[" + ", ".join(f"CAST({c} AS DOUBLE)" for c in cols) + "]"
+    key = f"client_id || '|' || item_id || '|' || CAST(date AS VARCHAR) || '|{seed}'"
+    return f"""
+hs AS (SELECT *, (CAST(('0x' || substr(md5({key}), 1, 8)) AS BIGINT) + 0.5) / 4294967296.0 AS u FROM split),
+samp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY client_id ORDER BY u, client_id, item_id, date) AS rk FROM hs) z
+         WHERE rk <= {n}),
+rx AS (SELECT client_id, y, unnest({vec}) AS xv, unnest(range({len(cols)})) AS pos FROM samp),
+rst AS (SELECT client_id, pos, covar_pop(xv, y) AS c, var_pop(xv) AS vx, var_pop(y) AS vy FROM rx GROUP BY client_id, pos),
+rr2 AS (SELECT client_id, pos, CASE WHEN vx * vy > 0 THEN least(c * c / (vx * vy), 1.0) ELSE 0.0 END AS r2 FROM rst),
+rimp AS (SELECT client_id, pos, CASE WHEN sum(r2) OVER (PARTITION BY client_id) > 0 THEN r2 / sum(r2) OVER (PARTITION BY client_id)
+                                     ELSE r2 END AS imp FROM rr2),
+rnrm AS (SELECT client_id, sqrt(sum(imp * imp)) AS nv FROM rimp GROUP BY client_id),
+rclip AS (SELECT i.client_id, i.pos, CASE WHEN n.nv > {clip} THEN i.imp * ({clip} / n.nv) ELSE i.imp END AS v
+          FROM rimp i JOIN rnrm n ON i.client_id = n.client_id),
+rnoisy AS (
+  SELECT client_id, pos, v + (-{repr(clip / eps)} * sign(u - 0.5) * ln(1 - 2 * abs(u - 0.5))) AS value
+  FROM (SELECT *, (CAST(('0x' || substr(md5(client_id || '|' || CAST(pos AS VARCHAR) || '|' || '{seed}'), 1, 8)) AS BIGINT) + 0.5)
+                  / 4294967296.0 AS u FROM rclip) t)"""
+
+
 def oracle_sql() -> dict[str, str]:
     # ``0.0 + round(..)`` turns DuckDB's -0.0 into 0.0, as Spark's round does.
     return {k: v.replace("round(", "0.0 + round(") for k, v in _oracle_sql().items()}
@@ -668,6 +704,8 @@ mm AS (SELECT a.label AS la, b.label AS lb, sqrt(sum((a.c - b.c) * (a.c - b.c)))
 rr AS (SELECT la, max(CASE WHEN m > 0 THEN (sa.s + sb.s) / m ELSE 0.0 END) AS d FROM mm
        JOIN ss sa ON sa.label = mm.la JOIN ss sb ON sb.label = mm.lb GROUP BY la)""")
         + " SELECT round(avg(d), 6) AS dbi, CAST(count(*) AS BIGINT) AS num_labels FROM rr",
+        "profiles_raw_sample": _with(*_base(), _FEATS, _split_cte(c16), _raw_profile_sql(c16, 5000, 10.0))
+        + " SELECT client_id, pos, round(value, 6) AS value FROM rnoisy",
         "params_init": _with(*tr) + " SELECT client_id, 'body.w' AS layer, CAST(pos AS BIGINT) AS pos, round(w, 8) AS value FROM pw"
         " UNION ALL SELECT client_id, 'head.a', 0, round(a, 8) FROM ph UNION ALL SELECT client_id, 'head.b', 0, round(b, 8) FROM ph",
         "params_average": _with(*tr, "tn AS (SELECT client_id, count(*) AS n FROM trs GROUP BY client_id)")
