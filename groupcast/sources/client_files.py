@@ -9,6 +9,8 @@ Files are listed and read by Spark; the client id comes from the file path
 (``_metadata.file_path``), so all clients of one kind are one DataFrame.
 SQLite files are read by a Python data source with one input partition per
 file, on the executors; the FEATURES/SALES_RECORDS join then runs in Spark.
+SQLite needs a POSIX path, so on a cluster those files must sit on a
+shared mounted filesystem; CSV and parquet work on any Hadoop store.
 """
 
 from __future__ import annotations
@@ -27,6 +29,24 @@ _SQLITE_TYPES = {"INTEGER": "bigint", "INT": "bigint", "REAL": "double", "FLOAT"
                  "NUMERIC": "double", "TEXT": "string", "VARCHAR": "string", "DATE": "string", "TIMESTAMP": "string"}
 
 
+def list_files(spark: SparkSession, data_dir: str, pattern: str, recursive: bool = False) -> list[str]:
+    """File paths under ``data_dir`` matching a glob on the file name,
+    listed by Spark (works on any Hadoop-compatible store). Only paths are
+    returned: the binary source prunes the unused content column."""
+    rd = spark.read.format("binaryFile").option("pathGlobFilter", pattern)
+    if recursive:
+        rd = rd.option("recursiveFileLookup", True)
+    try:
+        df = rd.load(data_dir).select("path")
+    except Exception:  # noqa: BLE001 - an empty or missing folder has no files
+        return []
+    return sorted(r.path for r in df.collect())
+
+
+def _local(path: str) -> str:
+    return path[len("file:"):] if path.startswith("file:") else path
+
+
 def _client_of_db(path: str) -> str:
     base = os.path.basename(path)
     return base[len("client_"):-len(".db")]
@@ -49,6 +69,8 @@ class SqliteTableSource(DataSource):
         return "groupcast_sqlite"
 
     def _files(self):
+        if "files" in self.options:
+            return [p for p in self.options["files"].split("\n") if p]
         return sorted(glob.glob(os.path.join(self.options["path"], "client_*.db")))
 
     def schema(self):
@@ -104,8 +126,10 @@ def read_client_sqlite(spark: SparkSession, data_dir: str) -> DataFrame:
     """A2 + C1: FEATURES joined with SALES_RECORDS on (client, item, sale_date);
     ``sales`` becomes ``quantity``; duplicates multiply, as an inner join."""
     register_sources(spark)
-    f = spark.read.format("groupcast_sqlite").option("path", data_dir).option("table", "FEATURES").load()
-    s = spark.read.format("groupcast_sqlite").option("path", data_dir).option("table", "SALES_RECORDS").load()
+    files = "\n".join(_local(p) for p in list_files(spark, data_dir, "client_*.db"))
+    rd = spark.read.format("groupcast_sqlite").option("path", data_dir).option("files", files)
+    f = rd.option("table", "FEATURES").load()
+    s = rd.option("table", "SALES_RECORDS").load()
     s = s.select("client_id", "item_id", "sale_date", F.col("sales").cast("double").alias("quantity"))
     j = f.join(s, ["client_id", "item_id", "sale_date"], "inner")
     return j.withColumn("date", F.to_date("sale_date"))
@@ -123,7 +147,7 @@ def read_client_csv(spark: SparkSession, data_dir: str, schema: str | None = Non
     rd = rd.schema(schema) if schema else rd.option("inferSchema", True)
     parts = []
     for name in ("train.csv", "valid.csv"):
-        paths = sorted(glob.glob(os.path.join(data_dir, "*", name)))
+        paths = list_files(spark, data_dir, name, recursive=True)
         if paths:
             parts.append(rd.csv(paths).withColumn("client_id", _client_from_dir()))
     if not parts:
@@ -138,7 +162,7 @@ def read_client_csv(spark: SparkSession, data_dir: str, schema: str | None = Non
 # --------------------------------------------------------------------- A4
 def read_client_parquet(spark: SparkSession, data_dir: str) -> DataFrame:
     """A4: features.parquet per client; ``date`` else ``sale_date``."""
-    paths = sorted(glob.glob(os.path.join(data_dir, "*", "features.parquet")))
+    paths = list_files(spark, data_dir, "features.parquet", recursive=True)
     if not paths:
         raise FileNotFoundError(f"no parquet clients under {data_dir}")
     df = spark.read.parquet(*paths).withColumn("client_id", _client_from_dir())
@@ -150,11 +174,11 @@ def read_client_parquet(spark: SparkSession, data_dir: str) -> DataFrame:
 def source_listing(spark: SparkSession, data_dir: str) -> DataFrame:
     """(client_id, kind, priority) for every file found."""
     rows = []
-    for p in glob.glob(os.path.join(data_dir, "client_*.db")):
+    for p in list_files(spark, data_dir, "client_*.db"):
         rows.append((_client_of_db(p), "sqlite", 1))
-    for p in glob.glob(os.path.join(data_dir, "*", "train.csv")):
+    for p in list_files(spark, data_dir, "train.csv", recursive=True):
         rows.append((os.path.basename(os.path.dirname(p)), "csv", 2))
-    for p in glob.glob(os.path.join(data_dir, "*", "features.parquet")):
+    for p in list_files(spark, data_dir, "features.parquet", recursive=True):
         rows.append((os.path.basename(os.path.dirname(p)), "parquet", 3))
     return spark.createDataFrame(rows, "client_id string, kind string, priority int")
 
