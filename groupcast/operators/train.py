@@ -30,14 +30,26 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, v: acc + v)
 
 
-def predict(seqs: DataFrame, params: DataFrame, y_stats: DataFrame | None = None) -> DataFrame:
+def predict(seqs: DataFrame, params: DataFrame, y_stats: DataFrame | None = None,
+            small_sides: bool | None = None) -> DataFrame:
     """K2: score every sequence with its owner's parameters (no UDF).
-    Adds score, p_scaled and, with y_stats, y_center / y_scale."""
+    Adds score, p_scaled and, with y_stats, y_center / y_scale.
+
+    ``small_sides``: None -> check the row counts of the per-owner tables
+    before broadcasting them; True -> the caller has checked them;
+    False -> shuffle joins."""
     from groupcast.functions.columns import PARAMS_BROADCAST_MAX_ROWS, join_small
 
-    j = join_small(seqs, params.select(OWNER, "body", "a", "b"), OWNER, max_rows=PARAMS_BROADCAST_MAX_ROWS)
-    if y_stats is not None:
-        j = join_small(j, y_stats.select(OWNER, "y_center", "y_scale"), OWNER)
+    p = params.select(OWNER, "body", "a", "b")
+    ys = y_stats.select(OWNER, "y_center", "y_scale") if y_stats is not None else None
+    if small_sides is None:
+        j = join_small(seqs, p, OWNER, max_rows=PARAMS_BROADCAST_MAX_ROWS)
+        if ys is not None:
+            j = join_small(j, ys, OWNER)
+    else:
+        j = seqs.join(F.broadcast(p) if small_sides else p, OWNER)
+        if ys is not None:
+            j = j.join(F.broadcast(ys) if small_sides else ys, OWNER)
     return j.withColumn("score", dot(F.col("body"), F.col("x"))).withColumn(
         "p_scaled", F.col("a") * F.col("score") + F.col("b")
     )
@@ -59,9 +71,9 @@ def residual_grad(delta: float = HUBER_DELTA, smape_weight: float = SMAPE_WEIGHT
 
 
 def gradients(seqs: DataFrame, params: DataFrame, y_stats: DataFrame, delta: float = HUBER_DELTA,
-              smape_weight: float = SMAPE_WEIGHT) -> DataFrame:
+              smape_weight: float = SMAPE_WEIGHT, small_sides: bool | None = None) -> DataFrame:
     """K3: per owner mean gradient of the loss: g_body, g_a, g_b, n."""
-    pr = predict(seqs, params, y_stats).withColumn("_g", residual_grad(delta, smape_weight))
+    pr = predict(seqs, params, y_stats, small_sides).withColumn("_g", residual_grad(delta, smape_weight))
     ga = F.array_repeat(F.col("_g") * F.col("a"), F.size("x"))
     vec = F.concat(F.zip_with("x", ga, lambda v, s: v * s), F.array(F.col("_g") * F.col("score"), F.col("_g")))
     agg = pr.groupBy(OWNER).agg(
@@ -111,8 +123,12 @@ def fit(train: DataFrame, params: DataFrame, y_stats: DataFrame, epochs: int, tr
     counts = train.join(params.select(OWNER), OWNER).groupBy(OWNER).agg(F.count(F.lit(1)).cast("long").alias("n"))
     if epochs <= 0:
         return params.drop("n").join(counts, OWNER, "left").fillna({"n": 0})
+    # one size check per fit: the owner tables keep one row per owner
+    from groupcast.functions.columns import PARAMS_BROADCAST_MAX_ROWS
+
+    small = params.select(OWNER).limit(PARAMS_BROADCAST_MAX_ROWS + 1).count() <= PARAMS_BROADCAST_MAX_ROWS
     for t in range(1, epochs + 1):
-        g = gradients(train, st, y_stats)
+        g = gradients(train, st, y_stats, small_sides=small)
         j = st.join(g.drop("n"), OWNER)
         upd = {
             "m_a": F.lit(BETA1) * F.col("m_a") + F.lit(1 - BETA1) * F.col("g_a"),
