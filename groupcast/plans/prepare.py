@@ -50,13 +50,12 @@ def prepare(features: DataFrame, feature_cols: list[str], seq_len: int = SEQ_LEN
     return Prepared(list(feature_cols), split, x_stats, y_stats, scaled, seqs, clients, train, ev)
 
 
-def naive_predictions(prep: Prepared, features_split: DataFrame | None = None) -> DataFrame:
+def naive_predictions(prep: Prepared) -> DataFrame:
     """Seasonal-naive forecast of the next-7-day total: 7 x the mean of the
     7 days before the target row (already a strictly-past feature). Gives
-    metrics something to score before any model is trained."""
-    src = features_split if features_split is not None else prep.split
-    base = src.select("client_id", "item_id", F.col("date").alias("target_date"), (F.lit(7.0) * F.col("rolling_mean_7")).alias("y_pred"))
+    metrics something to score before any model is trained. Forecast and
+    raw target come from the (cached) split rows of each eval target."""
+    base = prep.split.select("client_id", "item_id", F.col("date").alias("target_date"),
+                             (F.lit(7.0) * F.col("rolling_mean_7")).alias("y_pred"), F.col("y").alias("y_true"))
     ev = prep.eval.filter(~F.col("is_fallback")).select("client_id", "item_id", "target_date")
-    return ev.join(base, ["client_id", "item_id", "target_date"]).join(
-        prep.sequences.select("client_id", "item_id", "target_date", F.col("y_raw").alias("y_true")), ["client_id", "item_id", "target_date"]
-    )
+    return ev.join(base, ["client_id", "item_id", "target_date"])
