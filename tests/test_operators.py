@@ -73,19 +73,16 @@ def test_array_helpers(spark):
 
 
 def test_ema_fold(spark):
-    df = spark.createDataFrame([([1.0],)], "v array<double>")
-    s = df.select(F.col("v").alias("old"))
     out = []
     state = None
     for val in [1.0, 0.0, 0.0]:
-        cur = spark.createDataFrame([([val],)], "v array<double>")
+        cur = spark.createDataFrame([("c", [val])], "client_id string, v array<double>")
         if state is None:
-            state = cur.select(F.col("v").alias("s"))
+            state = cur.select("client_id", F.col("v").alias("s"))
         else:
-            state = state.crossJoin(cur).select(ema_combine("s", "v", 0.8).alias("s"))
+            state = state.join(cur, "client_id").select("client_id", ema_combine("s", "v", 0.8).alias("s"))
         out.append(state.first().s[0])
     assert out == pytest.approx([1.0, 0.8, 0.64])
-    assert s.count() == 1
 
 
 def test_ema_length_change_resets(spark):
