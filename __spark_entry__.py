@@ -482,7 +482,7 @@ ystats AS (
   FROM split WHERE split = 'train' GROUP BY client_id),
 scaled AS (
   SELECT s.client_id, s.item_id, s.split, s.date, s.rolling_mean_7 AS raw_rm7, {xs},
-         (s.y - r.y_center) / r.y_scale AS ys, s.y AS y_raw, ({rowsum.replace(cols[0], 's.' + cols[0], 1) if False else ''}0) AS _unused
+         (s.y - r.y_center) / r.y_scale AS ys, s.y AS y_raw
   FROM split s JOIN xstats x ON s.client_id = x.client_id JOIN ystats r ON s.client_id = r.client_id),
 seqs AS (
   SELECT client_id, item_id, split, date AS target_date, ys AS y, y_raw, raw_rm7,
