@@ -324,6 +324,17 @@ def q_profiles_raw_sample(spark: SparkSession, sf: str) -> DataFrame:
     return _long(prof, "importance")
 
 
+def q_split_summary_selected(spark: SparkSession, sf: str) -> DataFrame:
+    """E2 as the original reports it: rows complete in the selected
+    features (top 12 by the train-only F test) and the target."""
+    from groupcast.operators.select import selected_features
+    from groupcast.operators.split import split_summary
+    from groupcast.plans.selection import feature_ranking, split_rows
+
+    chosen = selected_features(feature_ranking(spark, sf, with_pvalue=False))
+    return split_summary(split_rows(_features(spark, sf), chosen))
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Flagship: rank the 16 candidate features by F test on train rows (sf0.001)."""
     return q_feature_pvalues(spark, SF_SMOKE)
@@ -361,6 +372,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "train_step": q_train_step,
         "strategy_results": q_strategy_results,
         "profiles_raw_sample": q_profiles_raw_sample,
+        "split_summary_selected": q_split_summary_selected,
     }
 
 
@@ -629,6 +641,23 @@ rnoisy AS (
                   / 4294967296.0 AS u FROM rclip) t)"""
 
 
+def _selected_split_sql(cols: list[str], top_k: int = 12) -> str:
+    flags = ", ".join(f"max(CASE WHEN feature = '{c}' AND rk <= {top_k} THEN 1 ELSE 0 END) AS s_{c}" for c in cols)
+    cond = " AND ".join(f"(sel.s_{c} = 0 OR f.{c} IS NOT NULL)" for c in cols)
+    return f"""
+ranked AS (SELECT feature, row_number() OVER (ORDER BY f_score DESC, feature) AS rk FROM scored),
+sel AS (SELECT {flags} FROM ranked),
+complete2 AS (SELECT f.*, CAST(f.target_7d AS DOUBLE) AS y FROM feat f, sel WHERE f.target_7d IS NOT NULL AND {cond}),
+numbered2 AS (
+  SELECT *, row_number() OVER (PARTITION BY client_id, item_id ORDER BY date) AS rn,
+         count(*) OVER (PARTITION BY client_id, item_id) AS n_item
+  FROM complete2),
+split2 AS (
+  SELECT *, CASE WHEN rn <= floor(n_item * {_T}::DOUBLE) THEN 'train'
+                 WHEN rn <= floor(n_item * {_TV}::DOUBLE) THEN 'val' ELSE 'test' END AS split
+  FROM numbered2)"""
+
+
 def oracle_sql() -> dict[str, str]:
     # ``0.0 + round(..)`` turns DuckDB's -0.0 into 0.0, as Spark's round does.
     return {k: v.replace("round(", "0.0 + round(") for k, v in _oracle_sql().items()}
@@ -656,6 +685,14 @@ def _oracle_sql() -> dict[str, str]:
         " CAST(val_sequences AS BIGINT) AS val_sequences,"
         " CAST(CASE WHEN te_s > 0 THEN te_s WHEN val_sequences > 0 THEN val_sequences ELSE 1 END AS BIGINT) AS test_sequences,"
         " CAST(num_items AS BIGINT) AS num_items FROM agg",
+        "split_summary_selected": _with(*_base(), _FEATS, _split_cte(c16), _fscore_sql(c16), _selected_split_sql(c16),
+                                        _split_summary_sql().replace("FROM split GROUP BY", "FROM split2 GROUP BY"))
+        + " SELECT client_id, CAST(raw_rows AS BIGINT) AS raw_rows, CAST(train_rows AS BIGINT) AS train_rows,"
+        " CAST(val_rows AS BIGINT) AS val_rows, CAST(test_rows AS BIGINT) AS test_rows,"
+        " CAST(CASE WHEN tr_s > 0 THEN tr_s ELSE 1 END AS BIGINT) AS train_sequences,"
+        " CAST(val_sequences AS BIGINT) AS val_sequences,"
+        " CAST(CASE WHEN te_s > 0 THEN te_s WHEN val_sequences > 0 THEN val_sequences ELSE 1 END AS BIGINT) AS test_sequences,"
+        " CAST(num_items AS BIGINT) AS num_items FROM agg",
         "selection_summary": _with(*_base(), _FEATS, _split_cte(c16))
         + " SELECT CAST(sum(c) AS BIGINT) AS total_samples, CAST(count(*) AS BIGINT) AS num_clients,"
         " CAST(min(c) AS BIGINT) AS min_samples, CAST(max(c) AS BIGINT) AS max_samples, round(avg(c), 6) AS mean_samples"

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from groupcast.constants import EPS, HUBER_DELTA, LEARNING_RATE, SMAPE_WEIGHT
-from groupcast.operators.metrics import client_metrics, huber_smape_loss, naive_mae
+from groupcast.operators.metrics import naive_mae
 
 OWNER = "client_id"
 BETA1, BETA2, ADAM_EPS = 0.9, 0.999, 1e-8
@@ -160,14 +160,29 @@ def fit(train: DataFrame, params: DataFrame, y_stats: DataFrame, epochs: int, tr
 
 def evaluate(eval_seqs: DataFrame, params: DataFrame, y_stats: DataFrame, naive: DataFrame | None = None,
              delta: float = HUBER_DELTA, smape_weight: float = SMAPE_WEIGHT) -> DataFrame:
-    """Loss and the five metrics per owner on its eval sequences."""
+    """Loss and the five metrics per owner on its eval sequences, in one
+    grouped aggregate over the predictions (computed once)."""
     pr = predict(eval_seqs, params, y_stats)
     s = F.greatest(F.col("y_scale"), F.lit(EPS))
-    unscaled = pr.withColumn("y_pred", F.col("p_scaled") * s + F.col("y_center")).withColumn(
-        "y_true", F.col("y") * s + F.col("y_center"))
-    m = client_metrics(unscaled, naive)
-    loss = huber_smape_loss(pr, [OWNER], delta, smape_weight).drop("num_samples")
-    return m.join(loss, OWNER)
+    yp = F.col("p_scaled") * s + F.col("y_center")
+    yt = F.col("y") * s + F.col("y_center")
+    e = F.col("p_scaled") - F.col("y")
+    ae = F.abs(e)
+    huber = F.when(ae <= delta, F.lit(0.5) * e * e).otherwise(F.lit(delta) * (ae - F.lit(0.5 * delta)))
+    sm = F.lit(2.0) * F.abs(yp - yt) / (F.abs(yt) + F.abs(yp) + F.lit(EPS))
+    err = yp - yt
+    agg = pr.groupBy(OWNER).agg(
+        F.count(F.lit(1)).cast("long").alias("num_samples"),
+        F.avg(F.abs(err)).alias("mae"),
+        F.sqrt(F.avg(err * err)).alias("rmse"),
+        (F.lit(100.0) * F.avg(sm)).alias("smape"),
+        (F.sum(F.abs(err)) / (F.sum(F.abs(yt)) + F.lit(EPS))).alias("wmape"),
+        (F.avg(huber) + (F.lit(smape_weight) * F.avg(sm) if smape_weight > 0 else F.lit(0.0))).alias("loss"),
+    )
+    if naive is None:
+        return agg.withColumn("mase", F.lit(None).cast("double"))
+    return agg.join(naive, OWNER, "left").withColumn(
+        "mase", F.col("mae") / F.coalesce(F.col("naive_mae"), F.lit(EPS))).drop("naive_mae")
 
 
 def naive_from_train(train: DataFrame, y_stats: DataFrame) -> DataFrame:

@@ -37,3 +37,12 @@ def test_results_equal_at_one_and_eight_partitions(spark):
     spark.conf.set("spark.sql.shuffle.partitions", old)
     assert out[0] == out[1]
     assert F is not None
+
+
+def test_sequence_identity_on_selected_split(spark):
+    # Published identity of the original run: train_rows - train_sequences = 14 x num_items
+    rows = E.q_split_summary_selected(spark, "/root/testdata/sf0.001").collect()
+    assert rows
+    for r in rows:
+        assert r.train_rows - r.train_sequences == 14 * r.num_items
+        assert r.raw_rows == r.train_rows + r.val_rows + r.test_rows

@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -183,3 +184,27 @@ def test_predict_matches_numpy(spark):
     params = spark.createDataFrame([("c", [0.5, -1.0, 2.0], 2.0, 0.25)], "client_id string, body array<double>, a double, b double")
     r = predict(seqs, params).first()
     assert r.score == pytest.approx(4.5) and r.p_scaled == pytest.approx(9.25)
+
+
+def test_evaluate_agrees_with_separate_operators(spark):
+    from groupcast.operators.metrics import client_metrics, huber_smape_loss
+    from groupcast.operators.train import evaluate, predict
+
+    rng = np.random.default_rng(4)
+    seqs = spark.createDataFrame(
+        [(c, [float(v) for v in rng.normal(0, 1, 3)], float(rng.normal(0, 2))) for c in ("a", "b") for _ in range(25)],
+        "client_id string, x array<double>, y double")
+    params = spark.createDataFrame([("a", [0.2, -0.1, 0.4], 1.5, 0.1), ("b", [0.0, 0.3, -0.2], 0.7, -0.3)],
+                                   "client_id string, body array<double>, a double, b double")
+    ys = spark.createDataFrame([("a", 10.0, 2.0), ("b", -1.0, 0.5)], "client_id string, y_center double, y_scale double")
+    ev = {r.client_id: r for r in evaluate(seqs, params, ys).collect()}
+    pr = predict(seqs, params, ys)
+    un = pr.withColumn("y_pred", F.col("p_scaled") * F.col("y_scale") + F.col("y_center")).withColumn(
+        "y_true", F.col("y") * F.col("y_scale") + F.col("y_center"))
+    cm = {r.client_id: r for r in client_metrics(un).collect()}
+    lo = {r.client_id: r.loss for r in huber_smape_loss(pr, ["client_id"]).collect()}
+    for c in ("a", "b"):
+        for m in ("mae", "rmse", "smape", "wmape"):
+            assert ev[c][m] == pytest.approx(cm[c][m], rel=1e-12)
+        assert ev[c].loss == pytest.approx(lo[c], rel=1e-12)
+        assert ev[c].num_samples == 25
