@@ -335,6 +335,19 @@ def q_split_summary_selected(spark: SparkSession, sf: str) -> DataFrame:
     return split_summary(split_rows(_features(spark, sf), chosen))
 
 
+def q_fedavg_rounds(spark: SparkSession, sf: str) -> DataFrame:
+    """K9 + L8: the averaged strategy on the short schedule, one record per
+    (round, bubble) with weighted rmse / smape and the per-client list."""
+    from groupcast.operators.select import selected_features
+    from groupcast.plans.selection import feature_ranking
+    from groupcast.plans.strategies import Context, run_averaged
+    from groupcast.sources.records import round_metrics
+
+    chosen = selected_features(feature_ranking(spark, sf, with_pvalue=False))
+    ctx = Context(_prep(spark, sf, chosen))
+    return round_metrics(run_averaged(ctx, _short_schedule()))
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Flagship: rank the 16 candidate features by F test on train rows (sf0.001)."""
     return q_feature_pvalues(spark, SF_SMOKE)
@@ -373,6 +386,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "strategy_results": q_strategy_results,
         "profiles_raw_sample": q_profiles_raw_sample,
         "split_summary_selected": q_split_summary_selected,
+        "fedavg_rounds": q_fedavg_rounds,
     }
 
 
