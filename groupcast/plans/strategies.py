@@ -150,7 +150,10 @@ def run_averaged(ctx: Context, cfg: StrategyConfig) -> DataFrame:
     return _union(recs)
 
 
-def _union(dfs: list[DataFrame]) -> DataFrame:
+def _union(dfs: list[DataFrame]) -> DataFrame | None:
+    dfs = [d for d in dfs if d is not None]
+    if not dfs:
+        return None
     out = dfs[0]
     for d in dfs[1:]:
         out = out.unionByName(d, allowMissingColumns=True)
@@ -204,7 +207,7 @@ def run_clustered(ctx: Context, cfg: StrategyConfig, history: list | None = None
         common = nxt
         if cfg.recluster_interval > 0 and r % cfg.recluster_interval == 0 and r < cfg.num_rounds:
             vec = ema.update(normalise_profiles(with_scope(upd), "importance", "dist"))
-            clusters = _cut(cluster_profiles(vec, "dist", 15))
+            clusters = _cut(cluster_profiles(vec, "dist", MAX_CLUSTERS_PIPELINE))
             if history is not None:
                 history.append(cluster_record(clusters, "dynamic_recluster", r, len(history) + 1))
             assign = _cut(_assign_from_clusters(clusters))
@@ -227,9 +230,7 @@ def run_clustered(ctx: Context, cfg: StrategyConfig, history: list | None = None
     sent_iso = _with_body(client_state, iso.select(OWNER, F.lit(0).alias("bubble")), shared_b)
     tuned_iso = fit(ctx.train, sent_iso, ctx.y_stats, cfg.local, "head", cfg.lr)
     iso_recs = ctx.records(tuned_iso, "PA-CFL", "personalized", None, cfg.local, None)
-    fed = _union(recs)
-    parts = [fed] + ([head_recs] if head_recs is not None else []) + [iso_recs]
-    return _union(parts)
+    return _union([_union(recs), head_recs, iso_recs])
 
 
 def final_records(records: DataFrame, num_rounds: int) -> DataFrame:
@@ -257,6 +258,8 @@ def run_strategies(prep: Prepared, cfg: StrategyConfig, history: list | None = N
     if "PA-CFL" in cfg.strategies:
         parts.append(run_clustered(ctx, cfg, history))
     records = _union(parts)
+    if records is None:
+        raise ValueError("no strategy produced records (check cfg.strategies and cfg.num_rounds)")
     spark = records.sparkSession
     names = spark.createDataFrame([(s,) for s in cfg.strategies], "strategy string")
     results = strategy_metrics(final_records(records, cfg.num_rounds), names)
