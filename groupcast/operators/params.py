@@ -24,15 +24,19 @@ OWNER = "client_id"
 
 def init_params(owners: DataFrame, dim: int, seed: int = SEED) -> DataFrame:
     """Seeded start per owner: body ~ U(-1/sqrt(dim), 1/sqrt(dim)),
-    head a, b ~ U(-1, 1) (fan-in 1), from md5(owner | layer | pos | seed)."""
+    head a, b ~ U(-1, 1) (fan-in 1), from md5(owner | layer | pos | seed).
+
+    Built in long form (one scalar hash per owner and position), then
+    gathered per owner, so every hash is computed exactly once."""
     r = 1.0 / math.sqrt(dim)
-    body = F.transform(
-        F.sequence(F.lit(0), F.lit(dim - 1)),
-        lambda i: (F.lit(2.0) * hash_uniform(F.col(OWNER), F.lit("body.w"), i, seed=seed) - F.lit(1.0)) * F.lit(r),
-    )
+    pos = owners.select(OWNER, F.explode(F.sequence(F.lit(0), F.lit(dim - 1))).alias("pos"))
+    w = (F.lit(2.0) * hash_uniform(F.col(OWNER), F.lit("body.w"), F.col("pos"), seed=seed) - F.lit(1.0)) * F.lit(r)
+    body = pos.select(OWNER, "pos", w.alias("w")).groupBy(OWNER).agg(
+        F.sort_array(F.collect_list(F.struct("pos", "w"))).alias("_s")
+    ).select(OWNER, F.transform("_s", lambda s: s["w"]).alias("body"))
     a = F.lit(2.0) * hash_uniform(F.col(OWNER), F.lit("head.a"), F.lit(0), seed=seed) - F.lit(1.0)
     b = F.lit(2.0) * hash_uniform(F.col(OWNER), F.lit("head.b"), F.lit(0), seed=seed) - F.lit(1.0)
-    return owners.select(OWNER, body.alias("body"), a.alias("a"), b.alias("b"))
+    return body.join(owners.select(OWNER, a.alias("a"), b.alias("b")), OWNER)
 
 
 def params_table(params: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ The result tables are keyed by client_id; nothing is per-client in Python.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
@@ -18,21 +18,60 @@ from groupcast.operators.split import make_sequences, training_sets
 from groupcast.plans.selection import split_rows
 
 
-@dataclass
 class Prepared:
-    feature_cols: list[str]
-    split: DataFrame      # complete rows with split, y (raw)
-    x_stats: DataFrame    # client_id, x_center[], x_scale[]
-    y_stats: DataFrame    # client_id, y_center, y_scale
-    scaled: DataFrame     # rows with scaled features and y, y_raw
-    sequences: DataFrame  # client_id, item_id, split, target_date, x[], y, y_raw
-    clients: DataFrame    # client_id
-    train: DataFrame      # train sequences (+ fallbacks)
-    eval: DataFrame       # eval sequences (test, else val, else fallback)
+    """Per-client setup tables, built lazily: each table (and the size
+    checks of its joins) is planned only when a caller uses it.
+
+    split      complete rows with split, y (raw) - persisted, shared by all
+    x_stats    client_id, x_center[], x_scale[]
+    y_stats    client_id, y_center, y_scale
+    scaled     rows with scaled features and y, y_raw
+    sequences  client_id, item_id, split, target_date, x[], y, y_raw
+    clients    client_id
+    train      train sequences (+ fallbacks)
+    eval       eval sequences (test, else val, else fallback)
+    """
+
+    def __init__(self, feature_cols: list[str], split: DataFrame, seq_len: int = SEQ_LEN):
+        self.feature_cols = list(feature_cols)
+        self.split = split
+        self.seq_len = seq_len
 
     @property
     def dim(self) -> int:
-        return SEQ_LEN * len(self.feature_cols)
+        return self.seq_len * len(self.feature_cols)
+
+    @cached_property
+    def x_stats(self) -> DataFrame:
+        return fit_standard(self.split, self.feature_cols)
+
+    @cached_property
+    def y_stats(self) -> DataFrame:
+        return fit_robust(self.split, "y")
+
+    @cached_property
+    def scaled(self) -> DataFrame:
+        return apply_scaler(self.split, self.x_stats, self.y_stats, self.feature_cols)
+
+    @cached_property
+    def sequences(self) -> DataFrame:
+        return make_sequences(self.scaled, self.feature_cols, "y", self.seq_len, extra_cols=["y_raw"])
+
+    @cached_property
+    def clients(self) -> DataFrame:
+        return self.split.select("client_id").distinct()
+
+    @cached_property
+    def _sets(self) -> tuple[DataFrame, DataFrame]:
+        return training_sets(self.sequences, self.split, self.dim, self.seq_len)
+
+    @property
+    def train(self) -> DataFrame:
+        return self._sets[0]
+
+    @property
+    def eval(self) -> DataFrame:
+        return self._sets[1]
 
 
 def prepare(features: DataFrame, feature_cols: list[str], seq_len: int = SEQ_LEN,
@@ -41,13 +80,7 @@ def prepare(features: DataFrame, feature_cols: list[str], seq_len: int = SEQ_LEN
     # and the sequence counts; it is kept (memory, spilling to disk) so its
     # windows run once. A lost block is recomputed from lineage.
     split = split_rows(features, feature_cols, train_ratio, val_ratio).persist(StorageLevel.MEMORY_AND_DISK)
-    x_stats = fit_standard(split, feature_cols)
-    y_stats = fit_robust(split, "y")
-    scaled = apply_scaler(split, x_stats, y_stats, feature_cols)
-    seqs = make_sequences(scaled, feature_cols, "y", seq_len, extra_cols=["y_raw"])
-    clients = split.select("client_id").distinct()
-    train, ev = training_sets(seqs, split, seq_len * len(feature_cols), seq_len)
-    return Prepared(list(feature_cols), split, x_stats, y_stats, scaled, seqs, clients, train, ev)
+    return Prepared(feature_cols, split, seq_len)
 
 
 def naive_predictions(prep: Prepared) -> DataFrame:
