@@ -53,7 +53,7 @@ class StrategyConfig:
     max_clusters: int | None = MAX_CLUSTERS_PIPELINE
     epsilon: float = PIPELINE_EPSILON
     seed: int = SEED
-    strategies: list[str] = field(default_factory=lambda: ["Local", "Global FedAvg", "PA-CFL"])
+    strategies: list[str] = field(default_factory=lambda: ["Local", "Global FedAvg", "Clustered"])
 
     @property
     def local(self) -> int:
@@ -203,7 +203,7 @@ def run_clustered(ctx: Context, cfg: StrategyConfig, history: list | None = None
         nxt = _cut(average_params(with_b, "bubble", "n", with_head=False))
         client_state = _cut(fitted.select(OWNER, "body", "a", "b", "n"))
         evp = _with_body(client_state, assign, nxt).join(client_state.select(OWNER, "n"), OWNER)
-        recs.append(ctx.records(evp, "PA-CFL", "federated", r, cfg.epochs_per_round, assign))
+        recs.append(ctx.records(evp, "Clustered", "federated", r, cfg.epochs_per_round, assign))
         common = nxt
         if cfg.recluster_interval > 0 and r % cfg.recluster_interval == 0 and r < cfg.num_rounds:
             vec = ema.update(normalise_profiles(with_scope(upd), "importance", "dist"))
@@ -223,13 +223,13 @@ def run_clustered(ctx: Context, cfg: StrategyConfig, history: list | None = None
     if cfg.head_finetune_epochs > 0:
         sent = _with_body(client_state, multi, common)
         tuned = fit(ctx.train, sent, ctx.y_stats, cfg.head_finetune_epochs, "head", cfg.lr)
-        head_recs = ctx.records(tuned, "PA-CFL", "head_finetune", None, cfg.head_finetune_epochs, assign)
+        head_recs = ctx.records(tuned, "Clustered", "head_finetune", None, cfg.head_finetune_epochs, assign)
     # isolated clients: head only on the shared body
     iso = assign.filter(F.col("is_isolated"))
     shared_b = shared.select(F.lit(0).alias("bubble"), "body")
     sent_iso = _with_body(client_state, iso.select(OWNER, F.lit(0).alias("bubble")), shared_b)
     tuned_iso = fit(ctx.train, sent_iso, ctx.y_stats, cfg.local, "head", cfg.lr)
-    iso_recs = ctx.records(tuned_iso, "PA-CFL", "personalized", None, cfg.local, None)
+    iso_recs = ctx.records(tuned_iso, "Clustered", "personalized", None, cfg.local, None)
     return _union([_union(recs), head_recs, iso_recs])
 
 
@@ -255,7 +255,7 @@ def run_strategies(prep: Prepared, cfg: StrategyConfig, history: list | None = N
         parts.append(run_local(ctx, cfg))
     if "Global FedAvg" in cfg.strategies:
         parts.append(run_averaged(ctx, cfg))
-    if "PA-CFL" in cfg.strategies:
+    if "Clustered" in cfg.strategies:
         parts.append(run_clustered(ctx, cfg, history))
     records = _union(parts)
     if records is None:

@@ -17,11 +17,11 @@ def test_three_strategies_short_schedule(spark):
     history = []
     records, results = run_strategies(prep, cfg, history)
     res = {r.strategy: r for r in results.collect()}
-    assert set(res) == {"Local", "Global FedAvg", "PA-CFL"}
+    assert set(res) == {"Local", "Global FedAvg", "Clustered"}
     n_clients = prep.clients.count()
     # every strategy reports every client once in its final records
     assert all(r.num_samples > 0 for r in res.values())
-    assert res["Local"].num_samples == res["Global FedAvg"].num_samples == res["PA-CFL"].num_samples
+    assert res["Local"].num_samples == res["Global FedAvg"].num_samples == res["Clustered"].num_samples
     stages = {(r.strategy, r.stage): r["count"] for r in records.groupBy("strategy", "stage").count().collect()}
     assert stages[("Local", "personalized")] == n_clients
     assert stages[("Global FedAvg", "federated")] == 2 * n_clients
