@@ -8,8 +8,16 @@ the same name on both sides.
 
 from __future__ import annotations
 
+import os
+import sys
 from collections.abc import Callable
 
+# The package sits next to this file; make it importable wherever the
+# driver loads the entry file from.
+_ROOT = os.path.dirname(os.path.abspath(__file__))
+if _ROOT not in sys.path:
+    sys.path.insert(0, _ROOT)
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
