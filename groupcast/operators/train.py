@@ -98,9 +98,10 @@ def gradient_step(seqs: DataFrame, params: DataFrame, y_stats: DataFrame, lr: fl
     )
 
 
-def _adam(w: Column, m: Column, v: Column, t: int, lr: float) -> Column:
-    mhat = m / F.lit(1.0 - BETA1 ** t)
-    vhat = v / F.lit(1.0 - BETA2 ** t)
+def _adam(w: Column, m: Column, v: Column, t: Column, lr: float) -> Column:
+    """Adam update with bias correction for a per-owner step count ``t``."""
+    mhat = m / (F.lit(1.0) - F.pow(F.lit(BETA1), t))
+    vhat = v / (F.lit(1.0) - F.pow(F.lit(BETA2), t))
     return w - F.lit(lr) * mhat / (F.sqrt(vhat) + F.lit(ADAM_EPS))
 
 
@@ -111,15 +112,46 @@ def _cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def _adam_step(st: DataFrame, g: DataFrame, trainable: str, lr: float) -> DataFrame:
+    """One Adam update for the owners present in ``g``; the others keep
+    their current state (parameters, moments and step count)."""
+    j = st.join(g.drop("n"), OWNER).withColumn("t", F.col("t") + 1)
+    t = F.col("t").cast("double")
+    j = j.withColumns({
+        "m_a": F.lit(BETA1) * F.col("m_a") + F.lit(1 - BETA1) * F.col("g_a"),
+        "v_a": F.lit(BETA2) * F.col("v_a") + F.lit(1 - BETA2) * F.col("g_a") * F.col("g_a"),
+        "m_b": F.lit(BETA1) * F.col("m_b") + F.lit(1 - BETA1) * F.col("g_b"),
+        "v_b": F.lit(BETA2) * F.col("v_b") + F.lit(1 - BETA2) * F.col("g_b") * F.col("g_b"),
+    })
+    j = j.withColumns({"a": _adam(F.col("a"), F.col("m_a"), F.col("v_a"), t, lr),
+                       "b": _adam(F.col("b"), F.col("m_b"), F.col("v_b"), t, lr)})
+    if trainable == "all":
+        j = j.withColumn("m_w", F.zip_with("m_w", "g_body", lambda m, d: m * BETA1 + d * (1 - BETA1)))
+        j = j.withColumn("v_w", F.zip_with("v_w", "g_body", lambda v, d: v * BETA2 + d * d * (1 - BETA2)))
+        j = j.withColumn("body", F.transform(
+            F.arrays_zip(F.col("body").alias("w"), F.col("m_w").alias("m"), F.col("v_w").alias("v"),
+                         F.array_repeat(t, F.size("body")).alias("t")),
+            lambda s: _adam(s["w"], s["m"], s["v"], s["t"], lr)))
+    j = j.drop("g_body", "g_a", "g_b")
+    return j.unionByName(st.join(j.select(OWNER), OWNER, "left_anti"))
+
+
 def fit(train: DataFrame, params: DataFrame, y_stats: DataFrame, epochs: int, trainable: str = "all",
-        lr: float = LEARNING_RATE, checkpoint_every: int = 1) -> DataFrame:
-    """K4 / K6: ``epochs`` Adam steps (fresh optimiser state per call) for
-    every owner in ``params`` at once; ``trainable`` is 'all' or 'head'.
-    Returns params (+ n = train samples of the owner)."""
+        lr: float = LEARNING_RATE, checkpoint_every: int = 1, batch_size: int | None = None,
+        seed: int = 42) -> DataFrame:
+    """K4 / K6 (+ E7): Adam (fresh optimiser state per call) for every owner
+    in ``params`` at once; ``trainable`` is 'all' or 'head'. Returns params
+    (+ n = train samples of the owner).
+
+    ``batch_size=None``: one full-batch step per epoch (default).
+    ``batch_size=B``: each epoch puts every train sequence of an owner in one
+    of ceil(n/B) batches by a hash of (owner, item, date, seed, epoch) - a
+    reshuffle per epoch without ranking a whole owner - and takes one step
+    per batch index; owners with fewer batches skip the later steps."""
     keep = [c for c in params.columns if c not in ("body", "a", "b", "n")]
     st = params.select(OWNER, "body", "a", "b", *[c for c in keep if c != OWNER]).withColumn(
         "m_w", F.transform("body", lambda x: F.lit(0.0))).withColumn("v_w", F.col("m_w")).withColumns(
-        {"m_a": F.lit(0.0), "v_a": F.lit(0.0), "m_b": F.lit(0.0), "v_b": F.lit(0.0)})
+        {"m_a": F.lit(0.0), "v_a": F.lit(0.0), "m_b": F.lit(0.0), "v_b": F.lit(0.0), "t": F.lit(0)})
     counts = train.join(params.select(OWNER), OWNER).groupBy(OWNER).agg(F.count(F.lit(1)).cast("long").alias("n"))
     if epochs <= 0:
         return params.drop("n").join(counts, OWNER, "left").fillna({"n": 0})
@@ -127,34 +159,24 @@ def fit(train: DataFrame, params: DataFrame, y_stats: DataFrame, epochs: int, tr
     from groupcast.functions.columns import PARAMS_BROADCAST_MAX_ROWS
 
     small = params.select(OWNER).limit(PARAMS_BROADCAST_MAX_ROWS + 1).count() <= PARAMS_BROADCAST_MAX_ROWS
-    for t in range(1, epochs + 1):
-        g = gradients(train, st, y_stats, small_sides=small)
-        j = st.join(g.drop("n"), OWNER)
-        upd = {
-            "m_a": F.lit(BETA1) * F.col("m_a") + F.lit(1 - BETA1) * F.col("g_a"),
-            "v_a": F.lit(BETA2) * F.col("v_a") + F.lit(1 - BETA2) * F.col("g_a") * F.col("g_a"),
-            "m_b": F.lit(BETA1) * F.col("m_b") + F.lit(1 - BETA1) * F.col("g_b"),
-            "v_b": F.lit(BETA2) * F.col("v_b") + F.lit(1 - BETA2) * F.col("g_b") * F.col("g_b"),
-        }
-        j = j.withColumns(upd).withColumns({"a": _adam(F.col("a"), F.col("m_a"), F.col("v_a"), t, lr),
-                                            "b": _adam(F.col("b"), F.col("m_b"), F.col("v_b"), t, lr)})
-        if trainable == "all":
-            j = j.withColumn("m_w", F.zip_with("m_w", "g_body", lambda m, d: m * BETA1 + d * (1 - BETA1)))
-            j = j.withColumn("v_w", F.zip_with("v_w", "g_body", lambda v, d: v * BETA2 + d * d * (1 - BETA2)))
-            j = j.withColumn("body", F.transform(
-                F.arrays_zip(F.col("body").alias("w"), F.col("m_w").alias("m"), F.col("v_w").alias("v")),
-                lambda s: _adam(s["w"], s["m"], s["v"], t, lr)))
-        st = j.drop("g_body", "g_a", "g_b")
-        # owners without train rows keep their parameters
-        st = st.unionByName(
-            params.select(OWNER).join(st.select(OWNER), OWNER, "left_anti").join(
-                params.select(OWNER, "body", "a", "b", *[c for c in keep if c != OWNER]), OWNER)
-            .withColumn("m_w", F.transform("body", lambda x: F.lit(0.0))).withColumn("v_w", F.col("m_w"))
-            .withColumns({"m_a": F.lit(0.0), "v_a": F.lit(0.0), "m_b": F.lit(0.0), "v_b": F.lit(0.0)})
-        )
-        if checkpoint_every and t % checkpoint_every == 0:
-            st = _cut(st)
-    out = st.drop("m_w", "v_w", "m_a", "v_a", "m_b", "v_b")
+    if batch_size:
+        nb = counts.select(OWNER, F.ceil(F.col("n") / F.lit(float(batch_size))).cast("long").alias("_nb"))
+        max_nb = int(nb.agg(F.max("_nb")).first()[0] or 0)
+        with_nb = train.join(F.broadcast(nb) if small else nb, OWNER)
+    step = 0
+    for e in range(1, epochs + 1):
+        if not batch_size:
+            batches = [train]
+        else:
+            h = F.xxhash64(F.col(OWNER), F.col("item_id"), F.col("target_date"), F.lit(seed), F.lit(e))
+            tagged = with_nb.withColumn("_b", F.pmod(h, F.col("_nb")))
+            batches = [tagged.filter(F.col("_b") == b).drop("_b", "_nb") for b in range(max_nb)]
+        for rows in batches:
+            st = _adam_step(st, gradients(rows, st, y_stats, small_sides=small), trainable, lr)
+            step += 1
+            if checkpoint_every and step % checkpoint_every == 0:
+                st = _cut(st)
+    out = st.drop("m_w", "v_w", "m_a", "v_a", "m_b", "v_b", "t")
     return out.join(counts, OWNER, "left").fillna({"n": 0})
 
 

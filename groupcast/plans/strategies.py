@@ -50,6 +50,7 @@ class StrategyConfig:
     recluster_interval: int = RECLUSTER_INTERVAL
     local_epochs: int | None = None  # default num_rounds * epochs_per_round
     lr: float = LEARNING_RATE
+    batch_size: int | None = None  # None: one full-batch step per epoch; 1024 as the original's loader
     max_clusters: int | None = MAX_CLUSTERS_PIPELINE
     epsilon: float = PIPELINE_EPSILON
     seed: int = SEED
@@ -114,7 +115,7 @@ def _spread(rows: DataFrame, one_row: DataFrame) -> DataFrame:
 def run_local(ctx: Context, cfg: StrategyConfig) -> DataFrame:
     """Local: every client fits all layers from its own start."""
     params = init_params(ctx.clients, ctx.dim, cfg.seed)
-    fitted = fit(ctx.train, params, ctx.y_stats, cfg.local, "all", cfg.lr)
+    fitted = fit(ctx.train, params, ctx.y_stats, cfg.local, "all", cfg.lr, batch_size=cfg.batch_size, seed=cfg.seed)
     return ctx.records(fitted, "Local", "personalized", None, cfg.local, None)
 
 
@@ -129,7 +130,7 @@ def warmup(ctx: Context, cfg: StrategyConfig, start: DataFrame, rounds: int):
     glob = start
     last = None
     for _ in range(rounds):
-        fitted = fit(ctx.train, _send(assign, glob), ctx.y_stats, cfg.epochs_per_round, "all", cfg.lr)
+        fitted = fit(ctx.train, _send(assign, glob), ctx.y_stats, cfg.epochs_per_round, "all", cfg.lr, batch_size=cfg.batch_size, seed=cfg.seed)
         glob = _cut(average_params(fitted.withColumn("bubble", F.lit(0)), "bubble", "n"))
         last = fitted
     return glob, last
@@ -143,7 +144,7 @@ def run_averaged(ctx: Context, cfg: StrategyConfig) -> DataFrame:
     glob = start
     recs = []
     for r in range(1, cfg.num_rounds + 1):
-        fitted = fit(ctx.train, _send(assign, glob), ctx.y_stats, cfg.epochs_per_round, "all", cfg.lr)
+        fitted = fit(ctx.train, _send(assign, glob), ctx.y_stats, cfg.epochs_per_round, "all", cfg.lr, batch_size=cfg.batch_size, seed=cfg.seed)
         glob = _cut(average_params(fitted.withColumn("bubble", F.lit(0)), "bubble", "n"))
         sent = _send(assign, glob).join(fitted.select(OWNER, "n"), OWNER)
         recs.append(ctx.records(sent, "Global FedAvg", "federated", r, cfg.epochs_per_round, assign))
@@ -197,7 +198,7 @@ def run_clustered(ctx: Context, cfg: StrategyConfig, history: list | None = None
     recs = []
     for r in range(1, cfg.num_rounds + 1):
         sent = _with_body(client_state, assign, common)
-        fitted = fit(ctx.train, sent, ctx.y_stats, cfg.epochs_per_round, "all", cfg.lr)
+        fitted = fit(ctx.train, sent, ctx.y_stats, cfg.epochs_per_round, "all", cfg.lr, batch_size=cfg.batch_size, seed=cfg.seed)
         upd = update_vectors(fitted, assign, common)
         with_b = fitted.join(assign.select(OWNER, "bubble"), OWNER)
         nxt = _cut(average_params(with_b, "bubble", "n", with_head=False))
@@ -222,13 +223,13 @@ def run_clustered(ctx: Context, cfg: StrategyConfig, history: list | None = None
     head_recs = None
     if cfg.head_finetune_epochs > 0:
         sent = _with_body(client_state, multi, common)
-        tuned = fit(ctx.train, sent, ctx.y_stats, cfg.head_finetune_epochs, "head", cfg.lr)
+        tuned = fit(ctx.train, sent, ctx.y_stats, cfg.head_finetune_epochs, "head", cfg.lr, batch_size=cfg.batch_size, seed=cfg.seed)
         head_recs = ctx.records(tuned, "Clustered", "head_finetune", None, cfg.head_finetune_epochs, assign)
     # isolated clients: head only on the shared body
     iso = assign.filter(F.col("is_isolated"))
     shared_b = shared.select(F.lit(0).alias("bubble"), "body")
     sent_iso = _with_body(client_state, iso.select(OWNER, F.lit(0).alias("bubble")), shared_b)
-    tuned_iso = fit(ctx.train, sent_iso, ctx.y_stats, cfg.local, "head", cfg.lr)
+    tuned_iso = fit(ctx.train, sent_iso, ctx.y_stats, cfg.local, "head", cfg.lr, batch_size=cfg.batch_size, seed=cfg.seed)
     iso_recs = ctx.records(tuned_iso, "Clustered", "personalized", None, cfg.local, None)
     return _union([_union(recs), head_recs, iso_recs])
 

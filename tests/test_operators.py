@@ -208,3 +208,38 @@ def test_evaluate_agrees_with_separate_operators(spark):
             assert ev[c][m] == pytest.approx(cm[c][m], rel=1e-12)
         assert ev[c].loss == pytest.approx(lo[c], rel=1e-12)
         assert ev[c].num_samples == 25
+
+
+def _fit_fixture(spark):
+    rng = np.random.default_rng(9)
+    d0 = dt.date(2020, 1, 1)
+    rows = [(c, "i", d0 + dt.timedelta(days=k), [float(v) for v in rng.normal(0, 1, 3)], float(rng.normal(0, 1)))
+            for c, n in (("a", 30), ("b", 12)) for k in range(n)]
+    train = spark.createDataFrame(rows, "client_id string, item_id string, target_date date, x array<double>, y double")
+    params = spark.createDataFrame([("a", [0.1, 0.2, 0.3], 1.0, 0.0), ("b", [0.0, -0.1, 0.2], 0.5, 0.1)],
+                                   "client_id string, body array<double>, a double, b double")
+    ys = spark.createDataFrame([("a", 0.0, 1.0), ("b", 0.0, 1.0)], "client_id string, y_center double, y_scale double")
+    return train, params, ys
+
+
+def test_minibatch_with_one_batch_equals_full_batch(spark):
+    from groupcast.operators.train import fit
+
+    train, params, ys = _fit_fixture(spark)
+    full = {r.client_id: r for r in fit(train, params, ys, 2, lr=0.01).collect()}
+    one = {r.client_id: r for r in fit(train, params, ys, 2, lr=0.01, batch_size=100).collect()}
+    for c in ("a", "b"):
+        assert one[c].body == pytest.approx(full[c].body, rel=1e-12)
+        assert one[c].a == pytest.approx(full[c].a, rel=1e-12) and one[c].n == full[c].n
+
+
+def test_minibatch_takes_more_steps(spark):
+    from groupcast.operators.train import fit
+
+    train, params, ys = _fit_fixture(spark)
+    full = {r.client_id: r for r in fit(train, params, ys, 1, lr=0.01).collect()}
+    mb = {r.client_id: r for r in fit(train, params, ys, 1, lr=0.01, batch_size=10).collect()}
+    # client a has 3 batches (3 Adam steps), b has 2: both move further than one full-batch step
+    start = {"a": 1.0, "b": 0.5}
+    for c in ("a", "b"):
+        assert abs(mb[c].a - start[c]) > abs(full[c].a - start[c])
