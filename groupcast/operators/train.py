@@ -114,26 +114,32 @@ def _cut(df: DataFrame) -> DataFrame:
 
 def _adam_step(st: DataFrame, g: DataFrame, trainable: str, lr: float) -> DataFrame:
     """One Adam update for the owners present in ``g``; the others keep
-    their current state (parameters, moments and step count)."""
-    j = st.join(g.drop("n"), OWNER).withColumn("t", F.col("t") + 1)
+    their current state (parameters, moments and step count). A single left
+    join, so the gradient job runs once per step."""
+    j = st.join(g.drop("n"), OWNER, "left")
+    up = F.col("g_a").isNotNull()
+
+    def keep(new: Column, name: str) -> Column:
+        return F.when(up, new).otherwise(F.col(name))
+
+    j = j.withColumn("t", keep(F.col("t") + 1, "t"))
     t = F.col("t").cast("double")
     j = j.withColumns({
-        "m_a": F.lit(BETA1) * F.col("m_a") + F.lit(1 - BETA1) * F.col("g_a"),
-        "v_a": F.lit(BETA2) * F.col("v_a") + F.lit(1 - BETA2) * F.col("g_a") * F.col("g_a"),
-        "m_b": F.lit(BETA1) * F.col("m_b") + F.lit(1 - BETA1) * F.col("g_b"),
-        "v_b": F.lit(BETA2) * F.col("v_b") + F.lit(1 - BETA2) * F.col("g_b") * F.col("g_b"),
+        "m_a": keep(F.lit(BETA1) * F.col("m_a") + F.lit(1 - BETA1) * F.col("g_a"), "m_a"),
+        "v_a": keep(F.lit(BETA2) * F.col("v_a") + F.lit(1 - BETA2) * F.col("g_a") * F.col("g_a"), "v_a"),
+        "m_b": keep(F.lit(BETA1) * F.col("m_b") + F.lit(1 - BETA1) * F.col("g_b"), "m_b"),
+        "v_b": keep(F.lit(BETA2) * F.col("v_b") + F.lit(1 - BETA2) * F.col("g_b") * F.col("g_b"), "v_b"),
     })
-    j = j.withColumns({"a": _adam(F.col("a"), F.col("m_a"), F.col("v_a"), t, lr),
-                       "b": _adam(F.col("b"), F.col("m_b"), F.col("v_b"), t, lr)})
+    j = j.withColumns({"a": keep(_adam(F.col("a"), F.col("m_a"), F.col("v_a"), t, lr), "a"),
+                       "b": keep(_adam(F.col("b"), F.col("m_b"), F.col("v_b"), t, lr), "b")})
     if trainable == "all":
-        j = j.withColumn("m_w", F.zip_with("m_w", "g_body", lambda m, d: m * BETA1 + d * (1 - BETA1)))
-        j = j.withColumn("v_w", F.zip_with("v_w", "g_body", lambda v, d: v * BETA2 + d * d * (1 - BETA2)))
-        j = j.withColumn("body", F.transform(
+        j = j.withColumn("m_w", keep(F.zip_with("m_w", "g_body", lambda m, d: m * BETA1 + d * (1 - BETA1)), "m_w"))
+        j = j.withColumn("v_w", keep(F.zip_with("v_w", "g_body", lambda v, d: v * BETA2 + d * d * (1 - BETA2)), "v_w"))
+        j = j.withColumn("body", keep(F.transform(
             F.arrays_zip(F.col("body").alias("w"), F.col("m_w").alias("m"), F.col("v_w").alias("v"),
                          F.array_repeat(t, F.size("body")).alias("t")),
-            lambda s: _adam(s["w"], s["m"], s["v"], s["t"], lr)))
-    j = j.drop("g_body", "g_a", "g_b")
-    return j.unionByName(st.join(j.select(OWNER), OWNER, "left_anti"))
+            lambda s: _adam(s["w"], s["m"], s["v"], s["t"], lr)), "body"))
+    return j.drop("g_body", "g_a", "g_b")
 
 
 def fit(train: DataFrame, params: DataFrame, y_stats: DataFrame, epochs: int, trainable: str = "all",
