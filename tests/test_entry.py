@@ -46,3 +46,10 @@ def test_sequence_identity_on_selected_split(spark):
     for r in rows:
         assert r.train_rows - r.train_sequences == 14 * r.num_items
         assert r.raw_rows == r.train_rows + r.val_rows + r.test_rows
+
+
+def test_checkpoint_dir_is_taken_from_the_session(spark):
+    from groupcast.session import ensure_checkpoint_dir
+
+    first = ensure_checkpoint_dir(spark)
+    assert first and ensure_checkpoint_dir(spark) == first == spark.sparkContext.getCheckpointDir()
