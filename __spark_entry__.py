@@ -361,8 +361,18 @@ def entry(spark: SparkSession) -> DataFrame:
     return q_feature_pvalues(spark, SF_SMOKE)
 
 
+def _llm():
+    """Queries and SQL of the optional subpackage, if it is there."""
+    try:
+        from groupcast.llm import queries as llm
+    except ImportError:
+        return {}, {}
+    return llm.queries(), llm.oracle_sql()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        **_llm()[0],
         "panel_daily": q_panel_daily,
         "panel_dense": q_panel_dense,
         "panel_features": q_panel_features,
@@ -682,7 +692,8 @@ split2 AS (
 
 def oracle_sql() -> dict[str, str]:
     # ``0.0 + round(..)`` turns DuckDB's -0.0 into 0.0, as Spark's round does.
-    return {k: v.replace("round(", "0.0 + round(") for k, v in _oracle_sql().items()}
+    return {
+        **_llm()[1],k: v.replace("round(", "0.0 + round(") for k, v in _oracle_sql().items()}
 
 
 def _oracle_sql() -> dict[str, str]:
