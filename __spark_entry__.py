@@ -692,8 +692,8 @@ split2 AS (
 
 def oracle_sql() -> dict[str, str]:
     # ``0.0 + round(..)`` turns DuckDB's -0.0 into 0.0, as Spark's round does.
-    return {
-        **_llm()[1],k: v.replace("round(", "0.0 + round(") for k, v in _oracle_sql().items()}
+    own = {k: v.replace("round(", "0.0 + round(") for k, v in _oracle_sql().items()}
+    return {**own, **_llm()[1]}
 
 
 def _oracle_sql() -> dict[str, str]:
