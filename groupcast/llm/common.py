@@ -40,19 +40,12 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-def lower_ascii(col):
-    """A-Z to a-z and nothing else (``lower`` would also change other scripts)."""
-    return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
 #: bytes.translate tables: A-Z lowered; the second also turns every ASCII byte
-#: that is neither a letter nor a digit into a space.
+#: that is neither a letter nor a digit into a space. (bytes.split() cuts at 0x09-0x0D and 0x20.)
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 LOWER_WORDS = bytes(
     b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256)
 )
-#: The same for white space 0x09-0x0D and 0x20 only, so that split() cuts there alone.
-#: (bytes.split() without argument cuts at exactly these six bytes.)
 
 
 def space_words(text: str | None) -> list[bytes]:
@@ -108,6 +101,22 @@ def shingle_hashes(words, k: int):
     return out
 
 
+def bit_filter(hashes: DataFrame, column: str, bits: int):
+    """Bits set at hash mod ``bits``, as bytes: combined before it is collected, bits / 64 rows at most."""
+    import numpy as np
+
+    at = F.pmod(F.col(column), F.lit(bits))
+    rows = (
+        hashes.select(F.shiftright(at, 6).cast("int").alias("w"), at.cast("int").bitwiseAND(63).alias("b"))
+        .groupBy("w").agg(F.bit_or(F.expr("shiftleft(1L, b)")).alias("v"))
+        .collect()
+    )
+    out = np.zeros(bits // 64, dtype=np.int64)
+    if rows:
+        out[[r.w for r in rows]] = [r.v for r in rows]
+    return np.unpackbits(out.view(np.uint8), bitorder="little").astype(bool)
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of (a, b) long edges as (node, root), root the smallest
     node, for every node of an edge. Alternates large-star and small-star steps;

@@ -16,6 +16,26 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_main_text(spark: SparkSession, sf: str) -> DataFrame:
+    from groupcast.llm.html_wrapper import extract
+
+    return extract(table(spark, sf, "pages"))
+
+
+def op2_lattice_scores(spark: SparkSession, sf: str) -> DataFrame:
+    from groupcast.llm.language_id import held_out
+    from groupcast.llm.lattice_lm import lattice_scores
+
+    scores = lattice_scores(table(spark, sf, "documents"), ~held_out(remainder=1), tokenizer_path())
+    return scores.withColumn("trains", ~F.col("trains")).withColumnRenamed("trains", "held_out")
+
+
+def op3_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    from groupcast.llm.decontaminate import decontaminate
+
+    return decontaminate(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
 def op4_chat_format(spark: SparkSession, sf: str) -> DataFrame:
     from groupcast.llm.chat_format import format_conversations, read_back
 
@@ -49,6 +69,12 @@ def op7_token_frames(spark: SparkSession, sf: str) -> DataFrame:
     return read_files(write_files(table(spark, sf, "documents"), tokenizer_path()))
 
 
+def op8_jaccard_groups(spark: SparkSession, sf: str) -> DataFrame:
+    from groupcast.llm.jaccard_tree import link_documents
+
+    return link_documents(table(spark, sf, "documents"))
+
+
 def op9_language_id(spark: SparkSession, sf: str) -> DataFrame:
     from groupcast.llm.language_id import held_out, identify, learn
 
@@ -65,10 +91,14 @@ def op10_embedding_dedup(spark: SparkSession, sf: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op1_main_text": op1_main_text,
+        "op2_lattice_scores": op2_lattice_scores,
+        "op3_decontamination": op3_decontamination,
         "op4_chat_format": op4_chat_format,
         "op5_source_mix": op5_source_mix,
         "op6_secret_scan": op6_secret_scan,
         "op7_token_frames": op7_token_frames,
+        "op8_jaccard_groups": op8_jaccard_groups,
         "op9_language_id": op9_language_id,
         "op10_embedding_dedup": op10_embedding_dedup,
     }
