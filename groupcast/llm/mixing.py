@@ -31,6 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from groupcast.llm.common import cut
+
 CAP = 3
 SHARDS = 64
 BLOCK_WORDS = 50_000
@@ -46,14 +48,20 @@ def uniform(*cols):
     return (F.pmod(F.xxhash64(*cols), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
 
 
+def document_columns(of: str = "") -> dict:
+    """doc_id, source, size and u, a hash that permutes documents."""
+    doc_id = F.col(f"{of}doc_id").cast("long")
+    return {
+        "doc_id": doc_id,
+        "source": F.col(f"{of}source").cast("string"),
+        "size": words(F.col(f"{of}text")),
+        "u": F.xxhash64(doc_id, F.col(f"{of}text"), F.lit(SEED)),
+    }
+
+
 def sized(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, source, size and a hash that permutes them."""
-    return docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.col("source").cast("string").alias("source"),
-        words(F.col("text")).alias("size"),
-        F.xxhash64("doc_id", "text", F.lit(SEED)).alias("u"),
-    )
+    """One row per document: doc_id, source, size, u."""
+    return docs.select(*[c.alias(n) for n, c in document_columns().items()])
 
 
 def targets(rows: DataFrame) -> DataFrame:
@@ -268,3 +276,21 @@ def per_document(mixed: DataFrame) -> DataFrame:
     )
     each = F.explode(F.array_repeat(F.expr("all div n"), F.col("n").cast("int")))
     return per.select("doc_id", "size", "source_size", "target", each.alias("taken"))
+
+
+def mix_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
+    """docs as often as the mix takes them, the same columns: every row meets its source's row of the plan
+    and is repeated, then the rows of a draw go to its shard and lie there in the order of their places."""
+    rows = cut(sized(docs), "sizes")
+    plan = cut(draw_plan(rows), "plan")
+    draw = ["source", "block", "pass"]
+    dealt = cut(mix(rows, plan, shards).where("shard is not null").select(*draw, "shard").distinct(), "dealt")
+    whole = docs.select(F.struct(*docs.columns).alias("doc"))
+    own = whole.select("doc", *[c.alias(n) for n, c in document_columns("doc.").items()])
+    taken = draws(own, plan).where("copies > 0").withColumn("pass", F.explode(F.expr("sequence(1, copies)")))
+    where = same_source("r", "t") & (F.col("r.block") == F.col("t.block")) & (F.col("r.pass") == F.col("t.pass"))
+    placed = taken.alias("r").join(dealt.alias("t"), where).select(
+        "r.doc", "t.shard", F.xxhash64("r.u", "r.pass", F.lit("place")).alias("place")
+    )
+    # A shard is as large as the data over `shards`: its rows go to several tasks by ranges of their places.
+    return placed.repartitionByRange("shard", "place").sortWithinPartitions("shard", "place").select("doc.*")

@@ -89,8 +89,15 @@ def op10_embedding_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return link_vectors(table(spark, sf, "embeddings"))
 
 
+def pipeline(spark: SparkSession, sf: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf)
+
+
 def queries() -> dict:
     return {
+        "pipeline": pipeline,
         "op1_main_text": op1_main_text,
         "op2_lattice_scores": op2_lattice_scores,
         "op3_decontamination": op3_decontamination,
