@@ -297,39 +297,25 @@ def q_train_step(spark: SparkSession, sf: str) -> DataFrame:
                      F.round("b", 8).alias("b"), "n")
 
 
-def _short_schedule():
-    from groupcast.plans.strategies import StrategyConfig
-
-    # A short schedule of the same algorithm (the library defaults are the
-    # original run's 100 rounds x 3 epochs, 20 warm-up, 20 head epochs).
-    return StrategyConfig(num_rounds=2, epochs_per_round=1, global_warmup_rounds=1, head_finetune_epochs=1,
-                          recluster_interval=1, local_epochs=2)
-
-
-def q_strategy_results(spark: SparkSession, sf: str) -> DataFrame:
-    from groupcast.constants import FEATURE_TOP_K
-    from groupcast.plans.strategies import run_strategies
-
-    from groupcast.operators.select import selected_features
-    from groupcast.plans.selection import feature_ranking
+def q_profiles_raw(spark: SparkSession, sf: str) -> DataFrame:
+    from groupcast.constants import DEFAULT_EPSILON
+    from groupcast.operators.profiles import profile_all_raw
+    from groupcast.plans.selection import split_rows
 
-    chosen = selected_features(feature_ranking(spark, sf, top_k=FEATURE_TOP_K))
-    _, results = run_strategies(_prep(spark, sf, chosen), _short_schedule())
-    return results.select("strategy", "num_samples", *[_r(c) for c in ["rmse", "smape", "mae", "wmape", "mase"]])
+    prof, _ = profile_all_raw(split_rows(_features(spark, sf)), list(CANDIDATE_FEATURES), "y", epsilon=DEFAULT_EPSILON)
+    return _long(prof, "importance")
 
 
-RAW_SAMPLE_ROWS = 5000  # per-client sample size of the raw-row profile (sampling operator parameter)
+SAMPLE_PER_CLIENT = 500  # the sampling operator's own parameter: the sample is the result
 
 
-def q_profiles_raw_sample(spark: SparkSession, sf: str) -> DataFrame:
-    from groupcast.constants import DEFAULT_EPSILON
-    from groupcast.operators.profiles import profile_all_raw
+def q_sample_rows(spark: SparkSession, sf: str) -> DataFrame:
+    from groupcast.constants import SEED
+    from groupcast.operators.split import sample_per_client
     from groupcast.plans.selection import split_rows
 
-    rows = split_rows(_features(spark, sf))
-    prof = profile_all_raw(rows, list(CANDIDATE_FEATURES), "y", max_rows=RAW_SAMPLE_ROWS, epsilon=DEFAULT_EPSILON,
-                           key_cols=["client_id", "item_id", "date"])
-    return _long(prof, "importance")
+    s = sample_per_client(split_rows(_features(spark, sf)), SAMPLE_PER_CLIENT, SEED, ["client_id", "item_id", "date"])
+    return s.select("client_id", "item_id", _d(), _r("y"))
 
 
 def q_split_summary_selected(spark: SparkSession, sf: str) -> DataFrame:
@@ -343,17 +329,118 @@ def q_split_summary_selected(spark: SparkSession, sf: str) -> DataFrame:
     return split_summary(split_rows(_features(spark, sf), chosen))
 
 
-def q_fedavg_rounds(spark: SparkSession, sf: str) -> DataFrame:
-    """K9 + L8: the averaged strategy on the short schedule, one record per
-    (round, bubble) with weighted rmse / smape and the per-client list."""
-    from groupcast.operators.select import selected_features
-    from groupcast.plans.selection import feature_ranking
-    from groupcast.plans.strategies import Context, run_averaged
+def _region(col: str = "client_id"):
+    return F.substring_index(F.col(col), "_", 1)
+
+
+def _sent(spark, sf):
+    """One averaging round over the regions as bubbles: every client starts from
+    its region's average of the initial parameters (K7, C5)."""
+    from groupcast.operators.params import average_params, send_params
+    from groupcast.operators.train import train_counts
+
+    p, params = _train_ctx(spark, sf)
+    n = train_counts(p.train)
+    assign = p.clients.select("client_id", _region().alias("bubble"))
+    averaged = average_params(params.join(n, "client_id").join(assign, "client_id"), "bubble", "n")
+    return p, params, n, assign, averaged, send_params(assign, averaged)
+
+
+def q_params_shared(spark: SparkSession, sf: str) -> DataFrame:
+    """The shared layers of the regions' averages."""
+    from groupcast.operators.params import params_table, shared_part
+
+    *_, averaged, _ = _sent(spark, sf)
+    t = shared_part(params_table(averaged.withColumnRenamed("bubble", "client_id")))
+    return t.select(F.col("client_id").alias("bubble"), "layer", F.col("pos").cast("long").alias("pos"), F.round("value", 8).alias("value"))
+
+
+def q_params_overlay(spark: SparkSession, sf: str) -> DataFrame:
+    """Own heads under the region's body."""
+    from groupcast.operators.params import overlay_params, params_table
+
+    _, params, _, _, _, sent = _sent(spark, sf)
+    t = params_table(overlay_params(params, sent))
+    return t.select("client_id", "layer", F.col("pos").cast("long").alias("pos"), F.round("value", 8).alias("value"))
+
+
+def q_fedavg_round(spark: SparkSession, sf: str) -> DataFrame:
+    """K9: one round over the regions: send, one full-batch step per client, average."""
+    from groupcast.functions.arrays import array_sum
+    from groupcast.operators.params import average_params
+    from groupcast.operators.train import gradient_step
+
+    p, _, _, assign, _, sent = _sent(spark, sf)
+    fitted = gradient_step(p.train, sent, p.y_stats, lr=0.001)
+    out = average_params(fitted.join(assign, "client_id"), "bubble", "n")
+    return out.select("bubble", F.round(array_sum("body"), 6).alias("body_sum"), F.round("a", 8).alias("a"), F.round("b", 8).alias("b"), "n")
+
+
+def q_update_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """I14 after one step from the regions' averages."""
+    from groupcast.operators.train import gradient_step
+    from groupcast.plans.strategies import update_vectors
+
+    p, _, _, assign, averaged, sent = _sent(spark, sf)
+    u = update_vectors(gradient_step(p.train, sent, p.y_stats, lr=0.001), assign, averaged)
+    rows = u.select("client_id", F.posexplode("importance").alias("pos", "value"))
+    return rows.select("client_id", F.col("pos").cast("long").alias("pos"), F.round("value", 8).alias("value"))
+
+
+def _evaluated(spark, sf):
+    from groupcast.operators.train import evaluate, naive_from_train
+
+    p, params = _train_ctx(spark, sf)
+    return p, evaluate(p.eval, params, p.y_stats, naive_from_train(p.train, p.y_stats))
+
+
+def q_evaluate_init(spark: SparkSession, sf: str) -> DataFrame:
+    """Loss and metrics of the initial parameters."""
+    _, m = _evaluated(spark, sf)
+    return m.select("client_id", "num_samples", *[_r(c) for c in ["mae", "rmse", "smape", "wmape", "mase", "loss"]])
+
+
+def _round(spark, sf):
+    from groupcast.operators.train import train_counts
     from groupcast.sources.records import round_metrics
 
-    chosen = selected_features(feature_ranking(spark, sf, with_pvalue=False))
-    ctx = Context(_prep(spark, sf, chosen))
-    return round_metrics(run_averaged(ctx, _short_schedule()))
+    p, m = _evaluated(spark, sf)
+    n = train_counts(p.train).withColumnRenamed("n", "train_samples")
+    return round_metrics(m.join(n, "client_id").withColumns(
+        {"strategy": F.lit("initial"), "stage": F.lit("federated"), "round": F.lit(0), "bubble": _region()}))
+
+
+def q_round_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    """Per region the sample-weighted metrics of the initial parameters."""
+    r = _round(spark, sf)
+    return r.select("strategy", "stage", "bubble", "num_samples", "train_samples", _r("rmse"), _r("smape"),
+                    F.array_join("clients", ",").alias("clients"))
+
+
+def q_flatten_history(spark: SparkSession, sf: str) -> DataFrame:
+    """The nested per-client lists of the rounds, one row per client."""
+    from groupcast.sources.records import flatten_history
+
+    f = flatten_history(_round(spark, sf))
+    return f.select("strategy", "stage", "bubble", "client_id", "num_samples", "train_samples", _r("rmse"), _r("smape"))
+
+
+def _two_strategies(spark, sf):
+    from groupcast.operators.metrics import strategy_metrics
+
+    _, m = _evaluated(spark, sf)
+    cols = ["client_id", "num_samples", "mae", "rmse", "smape", "wmape", "mase"]
+    both = m.select(*cols, F.lit("initial").alias("strategy")).unionByName(
+        _naive_client(spark, sf).select(*cols, F.lit("naive").alias("strategy")))
+    names = spark.createDataFrame([("initial",), ("naive",), ("none",)], "strategy string")
+    return strategy_metrics(both, names)
+
+
+def q_strategy_comparison(spark: SparkSession, sf: str) -> DataFrame:
+    """L9 + L11: metrics per strategy; a strategy without records has zeros."""
+    from groupcast.sources.records import compare_strategies
+
+    return compare_strategies(_two_strategies(spark, sf)).select("strategy", *[_r(c) for c in ["rmse", "smape", "mae", "wmape", "mase"]])
 
 
 def entry(spark: SparkSession) -> DataFrame:
@@ -401,10 +488,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "predict_init": q_predict_init,
         "loss_init": q_loss_init,
         "train_step": q_train_step,
-        "strategy_results": q_strategy_results,
-        "profiles_raw_sample": q_profiles_raw_sample,
+        "profiles_raw": q_profiles_raw,
+        "sample_rows": q_sample_rows,
+        "params_shared": q_params_shared,
+        "params_overlay": q_params_overlay,
+        "fedavg_round": q_fedavg_round,
+        "update_vectors": q_update_vectors,
+        "evaluate_init": q_evaluate_init,
+        "round_metrics": q_round_metrics,
+        "flatten_history": q_flatten_history,
+        "strategy_comparison": q_strategy_comparison,
         "split_summary_selected": q_split_summary_selected,
-        "fedavg_rounds": q_fedavg_rounds,
     }
 
 
@@ -436,11 +530,11 @@ panel AS (
   SELECT client_id, item_id, date, sum(quantity) AS quantity, avg(unit_price) AS sell_price
   FROM rows_ GROUP BY client_id, item_id, date),
 nxt AS (
-  SELECT *, lead(date) OVER (PARTITION BY client_id, item_id ORDER BY date) AS nd FROM panel),
+  SELECT *, lead(date) OVER (PARTITION BY client_id, item_id ORDER BY date) AS nd, max(date) OVER () AS last_day FROM panel),
 dense AS (
   SELECT client_id, item_id, CAST(date + CAST(k AS INTEGER) AS DATE) AS date,
          CASE WHEN k = 0 THEN quantity ELSE 0.0 END AS quantity, sell_price
-  FROM (SELECT *, unnest(generate_series(0, coalesce(date_diff('day', date, nd) - 1, 0))) AS k FROM nxt))"""
+  FROM (SELECT *, unnest(generate_series(0, coalesce(date_diff('day', date, nd) - 1, date_diff('day', date, last_day)))) AS k FROM nxt))"""
 
 _FEATS = f"""
 feat AS (
@@ -652,14 +746,47 @@ gw AS (SELECT t.client_id, x.pos, avg(t.g * t.a * x.xv) AS gb FROM trg t JOIN tr
 gh AS (SELECT client_id, avg(g * score) AS ga, avg(g) AS gbias, count(*) AS n FROM trg GROUP BY client_id)"""
 
 
-def _raw_profile_sql(cols: list[str], n: int, eps: float, clip: float = 0.15, seed: int = 42) -> str:
-    vec = "[" + ", ".join(f"CAST({c} AS DOUBLE)" for c in cols) + "]"
+def _region_start(sql: str) -> str:
+    """The same SQL from the regions' averages of the initial parameters."""
+    start = """
+trn AS (SELECT client_id, split_part(client_id, '_', 1) AS bubble, count(*) AS n FROM trs GROUP BY client_id),
+pwa AS (SELECT bubble, pos, sum(w * n) / sum(n) AS w FROM pw0 JOIN trn ON pw0.client_id = trn.client_id GROUP BY bubble, pos),
+pha AS (SELECT bubble, sum(a * n) / sum(n) AS a, sum(b * n) / sum(n) AS b FROM ph0 JOIN trn ON ph0.client_id = trn.client_id GROUP BY bubble),
+pw AS (SELECT c.client_id, a.pos, a.w FROM cl c JOIN pwa a ON a.bubble = split_part(c.client_id, '_', 1)),
+ph AS (SELECT c.client_id, a.a, a.b FROM cl c JOIN pha a ON a.bubble = split_part(c.client_id, '_', 1)),
+evx AS ("""
+    return sql.replace("pw AS (", "pw0 AS (").replace("ph AS (", "ph0 AS (").replace("evx AS (", start.strip("\n"))
+
+
+_EVALUATED = """
+trn AS (SELECT client_id, count(*) AS train_samples FROM trs GROUP BY client_id),
+naive AS (
+  SELECT client_id, CASE WHEN count(*) > 1 THEN greatest(sum(d) / (count(*) - 1), 1e-8) ELSE 1e-8 END AS naive_mae
+  FROM (SELECT client_id, abs(y_raw - lag(y_raw) OVER (PARTITION BY client_id ORDER BY item_id, target_date)) AS d
+        FROM valid WHERE split = 'train') t GROUP BY client_id),
+evu AS (SELECT client_id, p - y AS es, p * sc + c AS pu, y * sc + c AS tu FROM evp),
+evm0 AS (
+  SELECT client_id, count(*) AS num_samples, avg(abs(pu - tu)) AS mae, sqrt(avg((pu - tu) * (pu - tu))) AS rmse,
+         100.0 * avg(2.0 * abs(pu - tu) / (abs(tu) + abs(pu) + 1e-8)) AS smape, sum(abs(pu - tu)) / (sum(abs(tu)) + 1e-8) AS wmape,
+         avg(CASE WHEN abs(es) <= 1 THEN 0.5 * es * es ELSE abs(es) - 0.5 END)
+           + 0.1 * avg(2.0 * abs(pu - tu) / (abs(tu) + abs(pu) + 1e-8)) AS loss
+  FROM evu GROUP BY client_id),
+evm AS (SELECT e.*, t.train_samples, e.mae / coalesce(n.naive_mae, 1e-8) AS mase FROM evm0 e
+        LEFT JOIN naive n ON e.client_id = n.client_id LEFT JOIN trn t ON e.client_id = t.client_id)"""
+
+
+def _sample_sql(n: int, seed: int = 42) -> str:
     key = f"client_id || '|' || item_id || '|' || CAST(date AS VARCHAR) || '|{seed}'"
     return f"""
 hs AS (SELECT *, (CAST(('0x' || substr(md5({key}), 1, 8)) AS BIGINT) + 0.5) / 4294967296.0 AS u FROM split),
 samp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY client_id ORDER BY u, client_id, item_id, date) AS rk FROM hs) z
-         WHERE rk <= {n}),
-rx AS (SELECT client_id, y, unnest({vec}) AS xv, unnest(range({len(cols)})) AS pos FROM samp),
+         WHERE rk <= {n})"""
+
+
+def _raw_profile_sql(cols: list[str], eps: float, clip: float = 0.15, seed: int = 42) -> str:
+    vec = "[" + ", ".join(f"CAST({c} AS DOUBLE)" for c in cols) + "]"
+    return f"""
+rx AS (SELECT client_id, y, unnest({vec}) AS xv, unnest(range({len(cols)})) AS pos FROM split),
 rst AS (SELECT client_id, pos, covar_pop(xv, y) AS c, var_pop(xv) AS vx, var_pop(y) AS vy FROM rx GROUP BY client_id, pos),
 rr2 AS (SELECT client_id, pos, CASE WHEN vx * vy > 0 THEN least(c * c / (vx * vy), 1.0) ELSE 0.0 END AS r2 FROM rst),
 rimp AS (SELECT client_id, pos, CASE WHEN sum(r2) OVER (PARTITION BY client_id) > 0 THEN r2 / sum(r2) OVER (PARTITION BY client_id)
@@ -702,6 +829,7 @@ def _oracle_sql() -> dict[str, str]:
     c16 = list(CANDIDATE_FEATURES)
     prof = [*_base(), _FEATS, _split_cte(c16), _scaled_cte(c16), _profile_sql(c16, "train", "t", PIPELINE_EPSILON)]
     tr = [*_base(), _FEATS, _split_cte(c16), _scaled_cte(c16), _train_sql(c16)]
+    tr_region = [*tr[:-1], _region_start(_train_sql(c16))]
     return {
         "panel_daily": _with(_TPCH_ROWS, _PANEL) + " SELECT client_id, item_id, CAST(date AS VARCHAR) AS date, round(quantity, 6) AS quantity, round(sell_price, 6) AS sell_price FROM panel",
         "panel_dense": _with(_TPCH_ROWS, _PANEL) + " SELECT client_id, item_id, CAST(date AS VARCHAR) AS date, round(quantity, 6) AS quantity, round(sell_price, 6) AS sell_price FROM dense",
@@ -774,8 +902,35 @@ mm AS (SELECT a.label AS la, b.label AS lb, sqrt(sum((a.c - b.c) * (a.c - b.c)))
 rr AS (SELECT la, max(CASE WHEN m > 0 THEN (sa.s + sb.s) / m ELSE 0.0 END) AS d FROM mm
        JOIN ss sa ON sa.label = mm.la JOIN ss sb ON sb.label = mm.lb GROUP BY la)""")
         + " SELECT round(avg(d), 6) AS dbi, CAST(count(*) AS BIGINT) AS num_labels FROM rr",
-        "profiles_raw_sample": _with(*_base(), _FEATS, _split_cte(c16), _raw_profile_sql(c16, 5000, 10.0))
-        + " SELECT client_id, pos, round(value, 6) AS value FROM rnoisy",
+        "profiles_raw": _with(*_base(), _FEATS, _split_cte(c16), _raw_profile_sql(c16, 10.0))
+        + " SELECT client_id, CAST(pos AS BIGINT) AS pos, round(value, 6) AS value FROM rnoisy",
+        "sample_rows": _with(*_base(), _FEATS, _split_cte(c16), _sample_sql(SAMPLE_PER_CLIENT))
+        + " SELECT client_id, item_id, CAST(date AS VARCHAR) AS date, round(y, 6) AS y FROM samp",
+        "params_shared": _with(*tr_region) + " SELECT bubble, 'body.w' AS layer, CAST(pos AS BIGINT) AS pos, round(w, 8) AS value FROM pwa",
+        "params_overlay": _with(*tr_region) + " SELECT client_id, 'body.w' AS layer, CAST(pos AS BIGINT) AS pos, round(w, 8) AS value FROM pw"
+        " UNION ALL SELECT client_id, 'head.a', 0, round(a, 8) FROM ph0 UNION ALL SELECT client_id, 'head.b', 0, round(b, 8) FROM ph0",
+        "fedavg_round": _with(*tr_region) + " SELECT h.bubble, round(b.body_sum, 6) AS body_sum, round(h.a, 8) AS a, round(h.b, 8) AS b, CAST(h.n AS BIGINT) AS n FROM"
+        " (SELECT split_part(p.client_id, '_', 1) AS bubble, sum((p.a - 0.001 * g.ga) * g.n) / sum(g.n) AS a,"
+        " sum((p.b - 0.001 * g.gbias) * g.n) / sum(g.n) AS b, sum(g.n) AS n FROM ph p JOIN gh g ON p.client_id = g.client_id GROUP BY 1) h"
+        " JOIN (SELECT split_part(w.client_id, '_', 1) AS bubble, sum((w.w - 0.001 * g.gb) * n.n) / any_value(t.n) AS body_sum FROM pw w"
+        " JOIN gw g ON w.client_id = g.client_id AND w.pos = g.pos JOIN gh n ON n.client_id = w.client_id"
+        " JOIN (SELECT split_part(client_id, '_', 1) AS bubble, sum(n) AS n FROM gh GROUP BY 1) t ON t.bubble = split_part(w.client_id, '_', 1)"
+        " GROUP BY 1) b ON h.bubble = b.bubble",
+        "update_vectors": _with(*tr_region) + f" SELECT client_id, CAST(pos AS BIGINT) AS pos, round(greatest(-0.001 * gb, 0.0), 8) AS value FROM gw"
+        f" UNION ALL SELECT client_id, CAST(pos + {SEQ_LEN * len(c16)} AS BIGINT), round(greatest(0.001 * gb, 0.0), 8) FROM gw",
+        "evaluate_init": _with(*tr, _EVALUATED) + " SELECT client_id, num_samples, round(mae, 6) AS mae, round(rmse, 6) AS rmse, round(smape, 6) AS smape,"
+        " round(wmape, 6) AS wmape, round(mase, 6) AS mase, round(loss, 6) AS loss FROM evm",
+        "round_metrics": _with(*tr, _EVALUATED) + " SELECT 'initial' AS strategy, 'federated' AS stage, split_part(client_id, '_', 1) AS bubble,"
+        " CAST(sum(num_samples) AS BIGINT) AS num_samples, CAST(sum(train_samples) AS BIGINT) AS train_samples,"
+        " round(sum(rmse * num_samples) / sum(num_samples), 6) AS rmse, round(sum(smape * num_samples) / sum(num_samples), 6) AS smape,"
+        " string_agg(client_id, ',' ORDER BY client_id) AS clients FROM evm GROUP BY split_part(client_id, '_', 1)",
+        "flatten_history": _with(*tr, _EVALUATED) + " SELECT 'initial' AS strategy, 'federated' AS stage, split_part(client_id, '_', 1) AS bubble,"
+        " client_id, num_samples, train_samples, round(rmse, 6) AS rmse, round(smape, 6) AS smape FROM evm",
+        "strategy_comparison": _with(*tr, _EVALUATED, *[_NAIVE.replace("naive AS (", "naive0 AS (").replace("LEFT JOIN naive n", "LEFT JOIN naive0 n")])
+        + " SELECT strategy, " + ", ".join(f"round(sum({m} * num_samples) / sum(num_samples), 6) AS {m}" for m in ["rmse", "smape", "mae", "wmape", "mase"])
+        + " FROM (SELECT 'initial' AS strategy, num_samples, rmse, smape, mae, wmape, mase FROM evm"
+        " UNION ALL SELECT 'naive', num_samples, rmse, smape, mae, wmape, mase FROM cm) z GROUP BY strategy"
+        " UNION ALL SELECT 'none', 0.0, 0.0, 0.0, 0.0, 0.0",
         "params_init": _with(*tr) + " SELECT client_id, 'body.w' AS layer, CAST(pos AS BIGINT) AS pos, round(w, 8) AS value FROM pw"
         " UNION ALL SELECT client_id, 'head.a', 0, round(a, 8) FROM ph UNION ALL SELECT client_id, 'head.b', 0, round(b, 8) FROM ph",
         "params_average": _with(*tr, "tn AS (SELECT client_id, count(*) AS n FROM trs GROUP BY client_id)")

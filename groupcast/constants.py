@@ -46,6 +46,7 @@ GLOBAL_WARMUP_ROUNDS = 20
 HEAD_FINETUNE_EPOCHS = 20
 RECLUSTER_INTERVAL = 20
 SEED = 42
+HISTORY_SCHEMA_VERSION = 3
 
 # --- our own definitions (the original only consumes these columns) -------
 # Fixed-date holidays, month-day.

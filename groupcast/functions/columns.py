@@ -37,19 +37,3 @@ def laplace_from_uniform(u: Column, scale: float | Column) -> Column:
     scale_c = scale if isinstance(scale, Column) else F.lit(float(scale))
     d = u - F.lit(0.5)
     return -scale_c * F.signum(d) * F.log(F.lit(1.0) - F.lit(2.0) * F.abs(d))
-
-
-# Row bounds under which a per-client table is broadcast. The check is an
-# explicit count (capped by a limit), so the broadcast side's size is known;
-# beyond the bound the join falls back to a shuffle join.
-STATS_BROADCAST_MAX_ROWS = 200_000   # one row per client, a few dozen doubles
-PARAMS_BROADCAST_MAX_ROWS = 20_000   # one row per client, a parameter vector
-
-
-def join_small(big, small, on, how: str = "inner", max_rows: int = STATS_BROADCAST_MAX_ROWS):
-    """Equi-join ``big`` with ``small``; ``small`` is broadcast only when it
-    has at most ``max_rows`` rows (checked), so the big side keeps its
-    partitioning and is not shuffled. Otherwise a plain (shuffle) join."""
-    if small.limit(max_rows + 1).count() <= max_rows:
-        small = F.broadcast(small)
-    return big.join(small, on, how)

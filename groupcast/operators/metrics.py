@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from groupcast.constants import EPS
+from groupcast.operators.scale import inverse_scale, scaler_center_scale
 
 METRICS = ["rmse", "smape", "mae", "wmape", "mase"]
 
@@ -80,8 +81,8 @@ def huber_smape_loss(pred: DataFrame, group_cols: list[str], delta: float = 1.0,
     e = F.col(p_col) - F.col(t_col)
     ae = F.abs(e)
     huber = F.when(ae <= delta, F.lit(0.5) * e * e).otherwise(F.lit(delta) * (ae - F.lit(0.5 * delta)))
-    pu = F.col(p_col) * F.greatest(F.col(scale), F.lit(EPS)) + F.col(center)
-    tu = F.col(t_col) * F.greatest(F.col(scale), F.lit(EPS)) + F.col(center)
+    by = scaler_center_scale(F.col(center), F.col(scale))
+    pu, tu = inverse_scale(F.col(p_col), *by), inverse_scale(F.col(t_col), *by)
     smape = F.lit(2.0) * F.abs(pu - tu) / (F.abs(tu) + F.abs(pu) + F.lit(EPS))
     loss = F.avg(huber) + (F.lit(smape_weight) * F.avg(smape) if smape_weight > 0 else F.lit(0.0))
     return pred.groupBy(*group_cols).agg(loss.alias("loss"), F.count(F.lit(1)).cast("long").alias("num_samples"))

@@ -101,15 +101,17 @@ def by_series(panel: DataFrame) -> DataFrame:
 
 
 def densify_calendar(panel: DataFrame) -> DataFrame:
-    """One row per calendar day from a series' first to its last sale.
+    """One row per calendar day from a series' first sale to the panel's end.
 
     Filled days get quantity 0 and the last seen price. Each observed day is
-    expanded to itself plus the empty days before the next observed day, so no
-    calendar table and no join are needed: one window (``lead``) and an
-    ``explode`` over the already partitioned series.
+    expanded to itself plus the empty days before the next observed day (the
+    last one to the panel's last day, a scalar subquery), so no calendar table and
+    no join are needed: one window (``lead``) and an ``explode`` over the already
+    partitioned series.
     """
     w = series_window()
-    last_day_covered = F.coalesce(F.date_sub(F.lead("date").over(w), 1), F.col("date"))
+    end = panel.agg(F.max("date")).scalar()
+    last_day_covered = F.coalesce(F.date_sub(F.lead("date").over(w), 1), end)
     return (
         by_series(panel)
         .withColumn("_until", last_day_covered)
@@ -164,26 +166,11 @@ def add_features(dense: DataFrame, with_target: bool = True) -> DataFrame:
 
 
 # --------------------------------------------------------------------- B1-B6
-def normalise_columns(df: DataFrame) -> DataFrame:
-    """B1: sales -> quantity, event_flag -> is_holiday when present."""
-    ren = {}
-    if "sales" in df.columns:
-        ren["sales"] = "quantity"
-    if "event_flag" in df.columns:
-        ren["event_flag"] = "is_holiday"
-    return df.withColumnsRenamed(ren) if ren else df
-
-
-def default_column(df: DataFrame, name: str = "rolling_std_28", value: float = 0.0) -> DataFrame:
-    """B2: add a constant column when it is absent."""
-    return df if name in df.columns else df.withColumn(name, F.lit(value))
-
-
 def require_columns(df: DataFrame, cols: list[str], owner: str = "panel") -> None:
     """Fail before any job when wanted columns are missing."""
     missing = [c for c in cols if c not in df.columns]
     if missing:
-        raise KeyError(f"Missing feature columns for {owner}: {missing}")
+        raise KeyError(f"{owner}: no column named {', '.join(missing)}")
 
 
 def choose_target(df: DataFrame) -> str:

@@ -85,7 +85,7 @@ def overlay_params(current: DataFrame, new: DataFrame, shared_only: bool = True)
 
 def send_params(assign: DataFrame, group_params: DataFrame, group_col: str = "bubble") -> DataFrame:
     """Give every owner its group's parameters (equi-join on group)."""
-    return assign.select(OWNER, group_col).join(group_params, group_col).drop(group_col)
+    return assign.select(OWNER, group_col).join(group_params.drop("n"), group_col).drop(group_col)
 
 
 def average_params(params: DataFrame, group_col: str = "bubble", weight: str = "n", with_head: bool = True) -> DataFrame:

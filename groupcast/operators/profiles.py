@@ -15,7 +15,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from groupcast.constants import CLIP_NORM, DEFAULT_EPSILON, SEED
-from groupcast.functions.arrays import clip_l2
 from groupcast.functions.columns import hash_uniform, laplace_from_uniform
 
 
@@ -33,10 +32,13 @@ def _moments(seqs: DataFrame, group_col: str, x_col: str, y_col: str) -> DataFra
 def importance_long(seqs: DataFrame, group_col: str = "client_id", x_col: str = "x", y_col: str = "y") -> DataFrame:
     """H1 in long form: group_col, pos, importance (r^2 share, sums to 1)."""
     mo = _moments(seqs, group_col, x_col, y_col)
-    ex = mo.select(group_col, "d", "m", F.explode(F.sequence(F.lit(0), F.col("d") - 1)).alias("pos"))
+    # The moments of a position side by side, then one row per position: no row carries the whole vector.
     d = F.col("d")
-    ex_, exy, exx = F.element_at("m", F.col("pos") + 1), F.element_at("m", F.col("pos") + d + 1), F.element_at("m", F.col("pos") + 2 * d + 1)
-    ey, eyy = F.element_at("m", 3 * d + 1), F.element_at("m", 3 * d + 2)
+    each = F.arrays_zip(F.slice("m", F.lit(1), d).alias("x"), F.slice("m", d + 1, d).alias("xy"), F.slice("m", 2 * d + 1, d).alias("xx"))
+    ends = mo.select(group_col, each.alias("each"), F.element_at("m", 3 * d + 1).alias("_y"), F.element_at("m", 3 * d + 2).alias("_yy"))
+    ex = ends.select(group_col, "_y", "_yy", F.posexplode("each").alias("pos", "e"))
+    ex_, exy, exx = F.col("e.x"), F.col("e.xy"), F.col("e.xx")
+    ey, eyy = F.col("_y"), F.col("_yy")
     cov, vx, vy = exy - ex_ * ey, exx - ex_ * ex_, eyy - ey * ey
     den = vx * vy
     r2 = F.when(den > 0.0, F.least(cov * cov / den, F.lit(1.0))).otherwise(F.lit(0.0))
@@ -60,48 +62,40 @@ def importance_r2(seqs: DataFrame, group_col: str = "client_id", x_col: str = "x
     return to_array(importance_long(seqs, group_col, x_col, y_col), group_col, "importance", "importance")
 
 
-def l2_clip(df: DataFrame, col: str = "importance", clip: float = CLIP_NORM) -> DataFrame:
-    """H3: scale the vector by clip/||v|| when ||v|| > clip."""
-    return df.withColumn(col, clip_l2(col, clip))
+def l2_clip(long: DataFrame, clip: float = CLIP_NORM, key: str = "client_id") -> DataFrame:
+    """H3: scale a vector (key, pos, importance rows) by clip/||v|| when ||v|| > clip."""
+    norm = F.sqrt(F.sum(F.col("importance") * F.col("importance")).over(Window.partitionBy(key)))
+    scaled = F.when(F.col("_n") > clip, F.col("importance") * (F.lit(clip) / F.col("_n"))).otherwise(F.col("importance"))
+    return long.withColumn("_n", norm).withColumn("importance", scaled).drop("_n")
 
 
-def laplace_noise(df: DataFrame, col: str = "importance", epsilon: float = DEFAULT_EPSILON, clip: float = CLIP_NORM,
-                  seed: int = SEED, key: str = "client_id") -> DataFrame:
+def laplace_noise(long: DataFrame, epsilon: float = DEFAULT_EPSILON, clip: float = CLIP_NORM, seed: int = SEED,
+                  key: str = "client_id") -> DataFrame:
     """H4: add Laplace(0, clip/epsilon) to every element; epsilon <= 0 -> none.
 
-    The uniform for element i of key k is a hash of (k, i, seed), so noise
+    The uniform for position i of key k is a hash of (k, i, seed), so noise
     is reproducible and independent of partitioning (the same expression is
     written in SQL)."""
     if epsilon <= 0:
-        return df.withColumn("sensitivity", F.lit(float(clip)))
-    scale = float(clip) / float(epsilon)
-    noisy = F.transform(F.col(col), lambda v, i: v + laplace_from_uniform(hash_uniform(F.col(key), i, seed=seed), scale))
-    return df.withColumn(col, noisy).withColumn("sensitivity", F.lit(float(clip)))
+        return long
+    u = hash_uniform(F.col(key), F.col("pos"), seed=seed)
+    return long.withColumn("importance", F.col("importance") + laplace_from_uniform(u, float(clip) / float(epsilon)))
 
 
 def profile_clients(train_seqs: DataFrame, epsilon: float = DEFAULT_EPSILON, clip: float = CLIP_NORM,
                     seed: int = SEED) -> DataFrame:
     """H5: flattened train sequences -> importance -> clip -> noise.
-    Returns client_id, importance[] (noisy), sensitivity.
-
-    Clip and noise are applied on (client, position) rows, with the norm
-    taken by a window over the client's positions."""
-    imp = importance_long(train_seqs)
-    norm = F.sqrt(F.sum(F.col("importance") * F.col("importance")).over(Window.partitionBy("client_id")))
-    clipped = imp.withColumn("_n", norm).withColumn(
-        "importance", F.when(F.col("_n") > clip, F.col("importance") * (F.lit(clip) / F.col("_n"))).otherwise(F.col("importance")))
-    if epsilon > 0:
-        u = hash_uniform(F.col("client_id"), F.col("pos"), seed=seed)
-        clipped = clipped.withColumn("importance", F.col("importance") + laplace_from_uniform(u, float(clip) / float(epsilon)))
-    return to_array(clipped, "client_id", "importance", "importance").withColumn("sensitivity", F.lit(float(clip)))
+    Returns client_id, importance[] (noisy), sensitivity."""
+    noisy = laplace_noise(l2_clip(importance_long(train_seqs), clip), epsilon, clip, seed)
+    return to_array(noisy, "client_id", "importance", "importance").withColumn("sensitivity", F.lit(float(clip)))
 
 
 def profile_all_raw(rows: DataFrame, feature_cols: list[str], y_col: str, max_rows: int | None = None,
                     epsilon: float = DEFAULT_EPSILON, clip: float = CLIP_NORM, seed: int = SEED,
-                    key_cols: list[str] | None = None) -> DataFrame:
-    """H6: the same on unsequenced rows of all splits, at most ``max_rows``
-    rows per client (hash sample, E6). Clients whose rows are unusable (no
-    finite target) land in no profile; ``profile_errors`` lists them."""
+                    key_cols: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """H6: the same on unsequenced rows of all splits: all of them, or a hash
+    sample of ``max_rows`` per client (E6). Returns the profiles and an error table
+    (client_id, error) of the clients without a usable row (no finite target)."""
     from groupcast.operators.split import sample_per_client
 
     src = rows
@@ -109,14 +103,8 @@ def profile_all_raw(rows: DataFrame, feature_cols: list[str], y_col: str, max_ro
         src = sample_per_client(rows, max_rows, seed, key_cols or ["client_id", "item_id", "date"])
     seqs = src.select("client_id", F.array(*[F.col(c).cast("double") for c in feature_cols]).alias("x"), F.col(y_col).cast("double").alias("y"))
     good = seqs.filter(F.col("y").isNotNull() & ~F.isnan("y"))
-    return profile_clients(good, epsilon, clip, seed)
-
-
-def profile_errors(rows: DataFrame, profiles: DataFrame) -> DataFrame:
-    """H6 error table: clients present in the input without a profile."""
-    return rows.select("client_id").distinct().join(profiles.select("client_id"), "client_id", "left_anti").withColumn(
-        "error", F.lit("no usable rows")
-    )
+    errors = rows.select("client_id").distinct().join(good.select("client_id").distinct(), "client_id", "left_anti")
+    return profile_clients(good, epsilon, clip, seed), errors.withColumn("error", F.lit("no usable rows"))
 
 
 def top_features(profiles: DataFrame, col: str = "importance", k: int = 3) -> DataFrame:
@@ -125,7 +113,3 @@ def top_features(profiles: DataFrame, col: str = "importance", k: int = 3) -> Da
     ex = profiles.select("client_id", F.posexplode(col).alias("pos", "value"))
     w = Window.partitionBy("client_id").orderBy(F.col("value").desc(), F.col("pos").asc())
     return ex.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-
-
-def profiles_long(profiles: DataFrame, col: str = "importance", key: str = "client_id") -> DataFrame:
-    return profiles.select(key, F.posexplode(col).alias("pos", "value"))

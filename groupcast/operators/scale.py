@@ -1,10 +1,8 @@
 """Scalers fitted per client on train rows only.
 
 Statistics are kept in one row per client (arrays over features), so
-applying them is a single equi-join on client_id. The stats table has one
-row per client; it is broadcast after a row-count check (``join_small``),
-so the row side keeps its (client, item) partitioning, and shuffle-joined
-beyond the bound.
+applying them is a single equi-join on client_id; adaptive execution picks
+the join from the measured size of the per-client side.
 """
 
 from __future__ import annotations
@@ -49,22 +47,28 @@ def fit_robust(split_df: DataFrame, y_col: str = "y", fit_scope: str = "train")
 def apply_scaler(df: DataFrame, x_stats: DataFrame | None, y_stats: DataFrame | None,
                  feature_cols: list[str], y_col: str = "y") -> DataFrame:
     """(x - center) / scale on every split with the train fit.
-    The raw target is kept as ``y_raw``."""
-    from groupcast.functions.columns import join_small
-
+    The raw target is kept as ``y_raw``. A client without train rows has no
+    fit and stops the job (E9)."""
     out = df
     if x_stats is not None:
-        out = join_small(out, x_stats, "client_id")
+        out = out.join(x_stats, "client_id", "left").withColumn("x_center", require_fit(F.col("x_center"), "array<double>"))
         out = out.select(
             *[c for c in df.columns if c not in feature_cols],
             *[((F.col(c).cast("double") - F.col("x_center")[i]) / F.col("x_scale")[i]).alias(c) for i, c in enumerate(feature_cols)],
         )
     if y_stats is not None:
-        out = join_small(out, y_stats.select("client_id", "y_center", "y_scale"), "client_id")
+        out = out.join(y_stats.select("client_id", "y_center", "y_scale"), "client_id", "left")
+        out = out.withColumn("y_center", require_fit(F.col("y_center"), "double"))
         out = out.withColumn("y_raw", F.col(y_col)).withColumn(y_col, (F.col(y_col) - F.col("y_center")) / F.col("y_scale"))
     return out
 
 
+def require_fit(stat: Column, kind: str) -> Column:
+    """The client's fitted value; a client that has none stops the job."""
+    message = F.concat(F.lit("client has no rows to fit on: "), F.col("client_id"))
+    return F.coalesce(stat, F.raise_error(message).cast(kind))
+
+
 def inverse_scale(c: Column, center: Column, scale: Column) -> Column:
     """x * scale + center."""
     return c * scale + center

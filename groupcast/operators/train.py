@@ -5,11 +5,11 @@ join of sequences with their owner's parameters and a dot product in
 higher-order functions; per-owner gradients are a weighted vector mean
 (MLlib Summarizer) grouped by owner, partial-aggregated before the shuffle
 so a hot owner is combined map-side. Adam state lives in the same small
-one-row-per-owner table. Each step ends with a reliable ``checkpoint()`` of
-that table, which cuts lineage and survives executor loss.
+one-row-per-owner table. Each step writes that table to the checkpoint
+folder, which cuts lineage and survives executor loss.
 
-Difference from the original: an epoch is one full-batch step, not a pass
-of 1024-row mini-batches (sequential mini-batches would be one job each).
+An epoch is a pass of mini-batches of 1024 rows. Its rows are written once,
+partitioned by batch, so a step reads its batch alone.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 
 from groupcast.constants import EPS, HUBER_DELTA, LEARNING_RATE, SMAPE_WEIGHT
 from groupcast.operators.metrics import naive_mae
+from groupcast.operators.scale import inverse_scale, scaler_center_scale
+from groupcast.session import settle
 
 OWNER = "client_id"
 BETA1, BETA2, ADAM_EPS = 0.9, 0.999, 1e-8
@@ -30,26 +32,12 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, v: acc + v)
 
 
-def predict(seqs: DataFrame, params: DataFrame, y_stats: DataFrame | None = None,
-            small_sides: bool | None = None) -> DataFrame:
+def predict(seqs: DataFrame, params: DataFrame, y_stats: DataFrame | None = None) -> DataFrame:
     """K2: score every sequence with its owner's parameters (no UDF).
-    Adds score, p_scaled and, with y_stats, y_center / y_scale.
-
-    ``small_sides``: None -> check the row counts of the per-owner tables
-    before broadcasting them; True -> the caller has checked them;
-    False -> shuffle joins."""
-    from groupcast.functions.columns import PARAMS_BROADCAST_MAX_ROWS, join_small
-
-    p = params.select(OWNER, "body", "a", "b")
-    ys = y_stats.select(OWNER, "y_center", "y_scale") if y_stats is not None else None
-    if small_sides is None:
-        j = join_small(seqs, p, OWNER, max_rows=PARAMS_BROADCAST_MAX_ROWS)
-        if ys is not None:
-            j = join_small(j, ys, OWNER)
-    else:
-        j = seqs.join(F.broadcast(p) if small_sides else p, OWNER)
-        if ys is not None:
-            j = j.join(F.broadcast(ys) if small_sides else ys, OWNER)
+    Adds score, p_scaled and, with y_stats, y_center / y_scale."""
+    j = seqs.join(params.select(OWNER, "body", "a", "b"), OWNER)
+    if y_stats is not None:
+        j = j.join(y_stats.select(OWNER, "y_center", "y_scale"), OWNER)
     return j.withColumn("score", dot(F.col("body"), F.col("x"))).withColumn(
         "p_scaled", F.col("a") * F.col("score") + F.col("b")
     )
@@ -63,17 +51,17 @@ def residual_grad(delta: float = HUBER_DELTA, smape_weight: float = SMAPE_WEIGHT
     hub = F.greatest(F.lit(-delta), F.least(F.lit(delta), e))
     if smape_weight <= 0:
         return hub
-    s = F.greatest(F.col("y_scale"), F.lit(EPS))
-    pu, tu = p * s + F.col("y_center"), y * s + F.col("y_center")
+    center, s = scaler_center_scale(F.col("y_center"), F.col("y_scale"))
+    pu, tu = inverse_scale(p, center, s), inverse_scale(y, center, s)
     den = F.abs(tu) + F.abs(pu) + F.lit(EPS)
     ds = F.lit(2.0) * (F.signum(pu - tu) * den - F.abs(pu - tu) * F.signum(pu)) / (den * den)
     return hub + F.lit(smape_weight) * ds * s
 
 
 def gradients(seqs: DataFrame, params: DataFrame, y_stats: DataFrame, delta: float = HUBER_DELTA,
-              smape_weight: float = SMAPE_WEIGHT, small_sides: bool | None = None) -> DataFrame:
+              smape_weight: float = SMAPE_WEIGHT) -> DataFrame:
     """K3: per owner mean gradient of the loss: g_body, g_a, g_b, n."""
-    pr = predict(seqs, params, y_stats, small_sides).withColumn("_g", residual_grad(delta, smape_weight))
+    pr = predict(seqs, params, y_stats).withColumn("_g", residual_grad(delta, smape_weight))
     ga = F.array_repeat(F.col("_g") * F.col("a"), F.size("x"))
     vec = F.concat(F.zip_with("x", ga, lambda v, s: v * s), F.array(F.col("_g") * F.col("score"), F.col("_g")))
     agg = pr.groupBy(OWNER).agg(
@@ -105,13 +93,6 @@ def _adam(w: Column, m: Column, v: Column, t: Column, lr: float) -> Column:
     return w - F.lit(lr) * mhat / (F.sqrt(vhat) + F.lit(ADAM_EPS))
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    from groupcast.session import ensure_checkpoint_dir
-
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def _adam_step(st: DataFrame, g: DataFrame, trainable: str, lr: float) -> DataFrame:
     """One Adam update for the owners present in ``g``; the others keep
     their current state (parameters, moments and step count). A single left
@@ -142,48 +123,52 @@ def _adam_step(st: DataFrame, g: DataFrame, trainable: str, lr: float) -> DataFr
     return j.drop("g_body", "g_a", "g_b")
 
 
+BATCH_SIZE = 1024
+
+
+def train_counts(train: DataFrame) -> DataFrame:
+    """Train samples per owner: client_id, n."""
+    return train.groupBy(OWNER).agg(F.count(F.lit(1)).cast("long").alias("n"))
+
+
+def epoch_batches(train: DataFrame, counts: DataFrame, batch_size: int, seed: int, epoch: int) -> tuple[DataFrame, int]:
+    """The epoch's rows, partitioned on disk by ``batch``, and the number of
+    batches. Every sequence of an owner with n of them goes to one of ceil(n /
+    batch_size) batches by a hash of (owner, item, date, seed, epoch): a reshuffle
+    per epoch without ranking a whole owner."""
+    nb = counts.select(OWNER, F.ceil(F.col("n") / F.lit(float(batch_size))).alias("_nb"))
+    h = F.xxhash64(F.col(OWNER), F.col("item_id"), F.col("target_date"), F.lit(seed), F.lit(epoch))
+    rows = train.join(nb, OWNER).withColumn("batch", F.pmod(h, F.col("_nb")).cast("int")).drop("_nb")
+    most = nb.agg(F.max("_nb")).first()[0] or 0
+    return settle(rows.repartition("batch", OWNER), partition_by="batch"), int(most)
+
+
 def fit(train: DataFrame, params: DataFrame, y_stats: DataFrame, epochs: int, trainable: str = "all",
-        lr: float = LEARNING_RATE, checkpoint_every: int = 1, batch_size: int | None = None,
-        seed: int = 42) -> DataFrame:
+        lr: float = LEARNING_RATE, batch_size: int | None = BATCH_SIZE, seed: int = 42,
+        counts: DataFrame | None = None) -> DataFrame:
     """K4 / K6 (+ E7): Adam (fresh optimiser state per call) for every owner
     in ``params`` at once; ``trainable`` is 'all' or 'head'. Returns params
     (+ n = train samples of the owner).
 
-    ``batch_size=None``: one full-batch step per epoch (default).
-    ``batch_size=B``: each epoch puts every train sequence of an owner in one
-    of ceil(n/B) batches by a hash of (owner, item, date, seed, epoch) - a
-    reshuffle per epoch without ranking a whole owner - and takes one step
-    per batch index; owners with fewer batches skip the later steps."""
-    keep = [c for c in params.columns if c not in ("body", "a", "b", "n")]
-    st = params.select(OWNER, "body", "a", "b", *[c for c in keep if c != OWNER]).withColumn(
+    An epoch takes one step per batch index; owners with fewer batches skip the
+    later steps. ``batch_size=None``: one full-batch step per epoch. ``counts``
+    (client_id, n) saves counting ``train``."""
+    mine = train.join(params.select(OWNER), OWNER, "left_semi")
+    counts = settle(train_counts(mine) if counts is None else counts.join(params.select(OWNER), OWNER, "left_semi"))
+    keep = [c for c in params.columns if c not in ("body", "a", "b", "n", OWNER)]
+    st = params.select(OWNER, "body", "a", "b", *keep).withColumn(
         "m_w", F.transform("body", lambda x: F.lit(0.0))).withColumn("v_w", F.col("m_w")).withColumns(
         {"m_a": F.lit(0.0), "v_a": F.lit(0.0), "m_b": F.lit(0.0), "v_b": F.lit(0.0), "t": F.lit(0)})
-    counts = train.join(params.select(OWNER), OWNER).groupBy(OWNER).agg(F.count(F.lit(1)).cast("long").alias("n"))
-    if epochs <= 0:
-        return params.drop("n").join(counts, OWNER, "left").fillna({"n": 0})
-    # one size check per fit: the owner tables keep one row per owner
-    from groupcast.functions.columns import PARAMS_BROADCAST_MAX_ROWS
-
-    small = params.select(OWNER).limit(PARAMS_BROADCAST_MAX_ROWS + 1).count() <= PARAMS_BROADCAST_MAX_ROWS
-    if batch_size:
-        nb = counts.select(OWNER, F.ceil(F.col("n") / F.lit(float(batch_size))).cast("long").alias("_nb"))
-        max_nb = int(nb.agg(F.max("_nb")).first()[0] or 0)
-        with_nb = train.join(F.broadcast(nb) if small else nb, OWNER)
-    step = 0
     for e in range(1, epochs + 1):
-        if not batch_size:
-            batches = [train]
+        if batch_size:
+            rows, most = epoch_batches(mine, counts, batch_size, seed, e)
+            steps = [rows.filter(F.col("batch") == b).drop("batch") for b in range(most)]
         else:
-            h = F.xxhash64(F.col(OWNER), F.col("item_id"), F.col("target_date"), F.lit(seed), F.lit(e))
-            tagged = with_nb.withColumn("_b", F.pmod(h, F.col("_nb")))
-            batches = [tagged.filter(F.col("_b") == b).drop("_b", "_nb") for b in range(max_nb)]
-        for rows in batches:
-            st = _adam_step(st, gradients(rows, st, y_stats, small_sides=small), trainable, lr)
-            step += 1
-            if checkpoint_every and step % checkpoint_every == 0:
-                st = _cut(st)
+            steps = [mine]
+        for step in steps:
+            st = settle(_adam_step(st, gradients(step, st, y_stats), trainable, lr))
     out = st.drop("m_w", "v_w", "m_a", "v_a", "m_b", "v_b", "t")
-    return out.join(counts, OWNER, "left").fillna({"n": 0})
+    return settle(out.join(counts, OWNER, "left").fillna({"n": 0}))
 
 
 def evaluate(eval_seqs: DataFrame, params: DataFrame, y_stats: DataFrame, naive: DataFrame | None = None,
@@ -191,9 +176,9 @@ def evaluate(eval_seqs: DataFrame, params: DataFrame, y_stats: DataFrame, naive:
     """Loss and the five metrics per owner on its eval sequences, in one
     grouped aggregate over the predictions (computed once)."""
     pr = predict(eval_seqs, params, y_stats)
-    s = F.greatest(F.col("y_scale"), F.lit(EPS))
-    yp = F.col("p_scaled") * s + F.col("y_center")
-    yt = F.col("y") * s + F.col("y_center")
+    center, s = scaler_center_scale(F.col("y_center"), F.col("y_scale"))
+    yp = inverse_scale(F.col("p_scaled"), center, s)
+    yt = inverse_scale(F.col("y"), center, s)
     e = F.col("p_scaled") - F.col("y")
     ae = F.abs(e)
     huber = F.when(ae <= delta, F.lit(0.5) * e * e).otherwise(F.lit(delta) * (ae - F.lit(0.5 * delta)))
@@ -217,5 +202,5 @@ def naive_from_train(train: DataFrame, y_stats: DataFrame) -> DataFrame:
     """L6 on the unscaled train targets of every owner."""
     t = train.join(y_stats.select(OWNER, "y_center", "y_scale"), OWNER).select(
         OWNER, "item_id", "target_date",
-        (F.col("y") * F.greatest(F.col("y_scale"), F.lit(EPS)) + F.col("y_center")).alias("y_true"))
+        inverse_scale(F.col("y"), *scaler_center_scale(F.col("y_center"), F.col("y_scale"))).alias("y_true"))
     return naive_mae(t)

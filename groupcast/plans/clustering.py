@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from groupcast.constants import MAX_CLUSTERS_PIPELINE
 from groupcast.operators.cluster import cluster_profiles, cluster_record, normalise_profiles, with_scope
+from groupcast.session import settle
 
 
 def cluster_from_profiles(profiles: DataFrame, max_clusters: int | None = None, stage: str = "initial_clustering",
                           round_num: int = 0) -> tuple[DataFrame, DataFrame]:
     """Profiles (client_id, importance[]) -> (assignments, v3 record)."""
     dist = normalise_profiles(with_scope(profiles), "importance", "dist")
-    assign = cluster_profiles(dist, "dist", max_clusters)
+    assign = settle(cluster_profiles(dist, "dist", max_clusters))
     return assign, cluster_record(assign, stage, round_num)
 
 
@@ -29,6 +30,6 @@ def first_clustering(train_seqs: DataFrame, epsilon: float, seed: int = 42,
     """I16: profile -> cluster -> record (round 0). Returns profiles too."""
     from groupcast.operators.profiles import profile_clients
 
-    prof = profile_clients(train_seqs, epsilon, seed=seed)
+    prof = settle(profile_clients(train_seqs, epsilon, seed=seed))
     assign, rec = cluster_from_profiles(prof, max_clusters)
     return prof, assign, rec

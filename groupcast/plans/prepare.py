@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,10 +18,10 @@ from groupcast.plans.selection import split_rows
 
 
 class Prepared:
-    """Per-client setup tables, built lazily: each table (and the size
-    checks of its joins) is planned only when a caller uses it.
+    """Per-client setup tables, built lazily: each table is planned only
+    when a caller uses it, and planning starts no job.
 
-    split      complete rows with split, y (raw) - persisted, shared by all
+    split      complete rows with split, y (raw)
     x_stats    client_id, x_center[], x_scale[]
     y_stats    client_id, y_center, y_scale
     scaled     rows with scaled features and y, y_raw
@@ -76,18 +75,17 @@ class Prepared:
 
 def prepare(features: DataFrame, feature_cols: list[str], seq_len: int = SEQ_LEN,
             train_ratio: float = TRAIN_RATIO, val_ratio: float = VAL_RATIO) -> Prepared:
-    # The split table feeds both scalers, the scaled rows, the client list
-    # and the sequence counts; it is kept (memory, spilling to disk) so its
-    # windows run once. A lost block is recomputed from lineage.
-    split = split_rows(features, feature_cols, train_ratio, val_ratio).persist(StorageLevel.MEMORY_AND_DISK)
-    return Prepared(feature_cols, split, seq_len)
+    # The split table feeds both scalers, the scaled rows, the client list and the
+    # sequence counts. Nothing is cached: within a query these share the panel's
+    # exchange, and callers that use it in several jobs settle the tables they need.
+    return Prepared(feature_cols, split_rows(features, feature_cols, train_ratio, val_ratio), seq_len)
 
 
 def naive_predictions(prep: Prepared) -> DataFrame:
     """Seasonal-naive forecast of the next-7-day total: 7 x the mean of the
     7 days before the target row (already a strictly-past feature). Gives
     metrics something to score before any model is trained. Forecast and
-    raw target come from the (cached) split rows of each eval target."""
+    raw target come from the split rows of each eval target."""
     base = prep.split.select("client_id", "item_id", F.col("date").alias("target_date"),
                              (F.lit(7.0) * F.col("rolling_mean_7")).alias("y_pred"), F.col("y").alias("y_true"))
     ev = prep.eval.filter(~F.col("is_fallback")).select("client_id", "item_id", "target_date")

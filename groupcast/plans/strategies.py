@@ -7,7 +7,7 @@ Clustered  profile -> cluster -> warm-up -> shared-body rounds per bubble with
 
 The driver only holds the round counter. Each fit step is one job over all
 clients (``bubble`` is a column); parameters, assignments and per-round
-records are small tables checkpointed to the reliable checkpoint folder.
+records are small tables written to the checkpoint folder.
 """
 
 from __future__ import annotations
@@ -30,11 +30,11 @@ from groupcast.constants import (
 )
 from groupcast.operators.cluster import cluster_profiles, cluster_record, normalise_profiles, with_scope
 from groupcast.operators.metrics import METRICS, strategy_metrics
-from groupcast.operators.params import average_params, first_owner_params, init_params
-from groupcast.operators.profiles import profile_clients
-from groupcast.operators.train import evaluate, fit, naive_from_train
+from groupcast.operators.params import average_params, first_owner_params, init_params, overlay_params, send_params
+from groupcast.operators.train import BATCH_SIZE, evaluate, fit, naive_from_train, train_counts
+from groupcast.plans.clustering import first_clustering
 from groupcast.plans.prepare import Prepared
-from groupcast.session import ensure_checkpoint_dir
+from groupcast.session import settle
 from groupcast.streaming.ema_state import EmaState
 
 OWNER = "client_id"
@@ -50,7 +50,7 @@ class StrategyConfig:
     recluster_interval: int = RECLUSTER_INTERVAL
     local_epochs: int | None = None  # default num_rounds * epochs_per_round
     lr: float = LEARNING_RATE
-    batch_size: int | None = None  # None: one full-batch step per epoch; 1024 as the original's loader
+    batch_size: int | None = BATCH_SIZE  # None: one full-batch step per epoch
     max_clusters: int | None = MAX_CLUSTERS_PIPELINE
     epsilon: float = PIPELINE_EPSILON
     seed: int = SEED
@@ -61,21 +61,17 @@ class StrategyConfig:
         return self.local_epochs if self.local_epochs is not None else self.num_rounds * self.epochs_per_round
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 class Context:
-    """Cached inputs shared by all strategies (checkpointed once)."""
+    """Inputs shared by all strategies, written once to the checkpoint folder."""
 
     def __init__(self, prep: Prepared):
         self.prep = prep
-        self.train = _cut(prep.train)
-        self.eval = _cut(prep.eval)
-        self.y_stats = _cut(prep.y_stats.select(OWNER, "y_center", "y_scale"))
-        self.clients = _cut(prep.clients)
-        self.naive = _cut(naive_from_train(self.train, self.y_stats))
+        self.train = settle(prep.train)
+        self.eval = settle(prep.eval)
+        self.y_stats = settle(prep.y_stats.select(OWNER, "y_center", "y_scale"))
+        self.clients = settle(prep.clients)
+        self.counts = settle(train_counts(self.train))
+        self.naive = settle(naive_from_train(self.train, self.y_stats))
         self.dim = prep.dim
 
     def records(self, params: DataFrame, strategy: str, stage: str, rnd: int | None, epochs: int | None,
@@ -91,18 +87,13 @@ class Context:
             F.lit(strategy).alias("strategy"), F.lit(stage).alias("stage"), F.lit(rnd).cast("int").alias("round"),
             F.col("bubble").cast("int").alias("bubble"), F.lit(epochs).cast("int").alias("epochs"), OWNER,
             "num_samples", F.col("train_samples").cast("long").alias("train_samples"), *METRICS, "loss")
-        return _cut(out)
-
-
-def _send(assign: DataFrame, group_params: DataFrame) -> DataFrame:
-    """Each client gets its bubble's parameters."""
-    return assign.select(OWNER, "bubble").join(group_params.drop("n"), "bubble").drop("bubble")
+        return settle(out)
 
 
 def _with_body(client_params: DataFrame, assign: DataFrame, bodies: DataFrame) -> DataFrame:
-    """Overlay each client's body with its bubble's; keep own head."""
-    b = assign.select(OWNER, "bubble").join(bodies.select("bubble", F.col("body").alias("_nb")), "bubble")
-    return client_params.drop("n").join(b.drop("bubble"), OWNER).withColumn("body", F.col("_nb")).drop("_nb")
+    """Overlay the body of each assigned client with its bubble's; keep own head."""
+    sent = settle(send_params(assign, bodies.select("bubble", "body")))
+    return overlay_params(client_params.drop("n").join(sent.select(OWNER), OWNER, "left_semi"), sent)
 
 
 def _spread(rows: DataFrame, one_row: DataFrame) -> DataFrame:
@@ -115,7 +106,7 @@ def _spread(rows: DataFrame, one_row: DataFrame) -> DataFrame:
 def run_local(ctx: Context, cfg: StrategyConfig) -> DataFrame:
     """Local: every client fits all layers from its own start."""
     params = init_params(ctx.clients, ctx.dim, cfg.seed)
-    fitted = fit(ctx.train, params, ctx.y_stats, cfg.local, "all", cfg.lr, batch_size=cfg.batch_size, seed=cfg.seed)
+    fitted = fit(ctx.train, params, ctx.y_stats, cfg.local, "all", cfg.lr, batch_size=cfg.batch_size, seed=cfg.seed, counts=ctx.counts)
     return ctx.records(fitted, "Local", "personalized", None, cfg.local, None)
 
 
@@ -130,8 +121,8 @@ def warmup(ctx: Context, cfg: StrategyConfig, start: DataFrame, rounds: int):
     glob = start
     last = None
     for _ in range(rounds):
-        fitted = fit(ctx.train, _send(assign, glob), ctx.y_stats, cfg.epochs_per_round, "all", cfg.lr, batch_size=cfg.batch_size, seed=cfg.seed)
-        glob = _cut(average_params(fitted.withColumn("bubble", F.lit(0)), "bubble", "n"))
+        fitted = fit(ctx.train, send_params(assign, glob), ctx.y_stats, cfg.epochs_per_round, "all", cfg.lr, batch_size=cfg.batch_size, seed=cfg.seed, counts=ctx.counts)
+        glob = settle(average_params(fitted.withColumn("bubble", F.lit(0)), "bubble", "n"))
         last = fitted
     return glob, last
 
@@ -144,9 +135,9 @@ def run_averaged(ctx: Context, cfg: StrategyConfig) -> DataFrame:
     glob = start
     recs = []
     for r in range(1, cfg.num_rounds + 1):
-        fitted = fit(ctx.train, _send(assign, glob), ctx.y_stats, cfg.epochs_per_round, "all", cfg.lr, batch_size=cfg.batch_size, seed=cfg.seed)
-        glob = _cut(average_params(fitted.withColumn("bubble", F.lit(0)), "bubble", "n"))
-        sent = _send(assign, glob).join(fitted.select(OWNER, "n"), OWNER)
+        fitted = fit(ctx.train, send_params(assign, glob), ctx.y_stats, cfg.epochs_per_round, "all", cfg.lr, batch_size=cfg.batch_size, seed=cfg.seed, counts=ctx.counts)
+        glob = settle(average_params(fitted.withColumn("bubble", F.lit(0)), "bubble", "n"))
+        sent = send_params(assign, glob).join(fitted.select(OWNER, "n"), OWNER)
         recs.append(ctx.records(sent, "Global FedAvg", "federated", r, cfg.epochs_per_round, assign))
     return _union(recs)
 
@@ -178,13 +169,12 @@ def run_clustered(ctx: Context, cfg: StrategyConfig, history: list | None = None
     """K10-K12 via I16: the full clustered strategy. ``history`` (a list)
     receives the cluster records (I12/I13) if given."""
     ema = EmaState()
-    # I16: profile, normalise, EMA, cluster, record
-    prof = with_scope(profile_clients(ctx.train, cfg.epsilon, seed=cfg.seed))
-    smoothed = ema.update(normalise_profiles(prof, "importance", "dist"))
-    clusters = _cut(cluster_profiles(smoothed, "dist", cfg.max_clusters))
+    # I16; the first profiles are the EMA's first state
+    prof, clusters, record = first_clustering(ctx.train, cfg.epsilon, cfg.seed, cfg.max_clusters)
+    ema.update(normalise_profiles(with_scope(prof), "importance", "dist"))
     if history is not None:
-        history.append(cluster_record(clusters, "initial_clustering", 0, len(history) + 1))
-    assign = _cut(_assign_from_clusters(clusters))
+        history.append(record.withColumn("sequence", F.lit(len(history) + 1)))
+    assign = settle(_assign_from_clusters(clusters))
 
     init = init_params(ctx.clients, ctx.dim, cfg.seed)
     start = first_owner_params(init).drop(OWNER).withColumn("bubble", F.lit(0))
@@ -193,29 +183,29 @@ def run_clustered(ctx: Context, cfg: StrategyConfig, history: list | None = None
     else:
         glob, client_state = start, init
     shared = glob.select(F.col("body"))
-    common = _cut(_spread(assign.select("bubble").distinct(), shared))
-    client_state = _cut(client_state.select(OWNER, "body", "a", "b"))
+    common = settle(_spread(assign.select("bubble").distinct(), shared))
+    client_state = settle(client_state.select(OWNER, "body", "a", "b"))
     recs = []
     for r in range(1, cfg.num_rounds + 1):
         sent = _with_body(client_state, assign, common)
-        fitted = fit(ctx.train, sent, ctx.y_stats, cfg.epochs_per_round, "all", cfg.lr, batch_size=cfg.batch_size, seed=cfg.seed)
+        fitted = fit(ctx.train, sent, ctx.y_stats, cfg.epochs_per_round, "all", cfg.lr, batch_size=cfg.batch_size, seed=cfg.seed, counts=ctx.counts)
         upd = update_vectors(fitted, assign, common)
         with_b = fitted.join(assign.select(OWNER, "bubble"), OWNER)
-        nxt = _cut(average_params(with_b, "bubble", "n", with_head=False))
-        client_state = _cut(fitted.select(OWNER, "body", "a", "b", "n"))
+        nxt = settle(average_params(with_b, "bubble", "n", with_head=False))
+        client_state = settle(fitted.select(OWNER, "body", "a", "b", "n"))
         evp = _with_body(client_state, assign, nxt).join(client_state.select(OWNER, "n"), OWNER)
         recs.append(ctx.records(evp, "Clustered", "federated", r, cfg.epochs_per_round, assign))
         common = nxt
         if cfg.recluster_interval > 0 and r % cfg.recluster_interval == 0 and r < cfg.num_rounds:
             vec = ema.update(normalise_profiles(with_scope(upd), "importance", "dist"))
-            clusters = _cut(cluster_profiles(vec, "dist", MAX_CLUSTERS_PIPELINE))
+            clusters = settle(cluster_profiles(vec, "dist", cfg.max_clusters))
             if history is not None:
                 history.append(cluster_record(clusters, "dynamic_recluster", r, len(history) + 1))
-            assign = _cut(_assign_from_clusters(clusters))
+            assign = settle(_assign_from_clusters(clusters))
             gl = average_params(client_state.withColumn("bubble", F.lit(0)), "bubble", "n", with_head=False)
             per = average_params(client_state.join(assign.select(OWNER, "bubble"), OWNER), "bubble", "n", with_head=False)
             sizes = assign.groupBy("bubble").agg(F.count(F.lit(1)).alias("_sz"))
-            common = _cut(_spread(per.join(sizes, "bubble"), gl.select(F.col("body").alias("_g")))
+            common = settle(_spread(per.join(sizes, "bubble"), gl.select(F.col("body").alias("_g")))
                           .select("bubble", F.when(F.col("_sz") == 1, F.col("_g")).otherwise(F.col("body")).alias("body")))
             shared = gl.select("body")
     # head tuning for multi-member bubbles
@@ -223,13 +213,13 @@ def run_clustered(ctx: Context, cfg: StrategyConfig, history: list | None = None
     head_recs = None
     if cfg.head_finetune_epochs > 0:
         sent = _with_body(client_state, multi, common)
-        tuned = fit(ctx.train, sent, ctx.y_stats, cfg.head_finetune_epochs, "head", cfg.lr, batch_size=cfg.batch_size, seed=cfg.seed)
+        tuned = fit(ctx.train, sent, ctx.y_stats, cfg.head_finetune_epochs, "head", cfg.lr, batch_size=cfg.batch_size, seed=cfg.seed, counts=ctx.counts)
         head_recs = ctx.records(tuned, "Clustered", "head_finetune", None, cfg.head_finetune_epochs, assign)
     # isolated clients: head only on the shared body
     iso = assign.filter(F.col("is_isolated"))
     shared_b = shared.select(F.lit(0).alias("bubble"), "body")
     sent_iso = _with_body(client_state, iso.select(OWNER, F.lit(0).alias("bubble")), shared_b)
-    tuned_iso = fit(ctx.train, sent_iso, ctx.y_stats, cfg.local, "head", cfg.lr, batch_size=cfg.batch_size, seed=cfg.seed)
+    tuned_iso = fit(ctx.train, sent_iso, ctx.y_stats, cfg.local, "head", cfg.lr, batch_size=cfg.batch_size, seed=cfg.seed, counts=ctx.counts)
     iso_recs = ctx.records(tuned_iso, "Clustered", "personalized", None, cfg.local, None)
     return _union([_union(recs), head_recs, iso_recs])
 

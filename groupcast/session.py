@@ -7,13 +7,14 @@ Library code never creates its own session; it uses the one it is given.
 from __future__ import annotations
 
 import os
-import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
-def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str = "groupcast") -> SparkSession:
-    spark = (
+def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str = "groupcast",
+                  checkpoint_dir: str | None = None) -> SparkSession:
+    builder = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
@@ -24,28 +25,25 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", os.environ.get("GROUPCAST_DRIVER_MEMORY", "8g"))
-        .getOrCreate()
     )
+    if checkpoint_dir:
+        builder = builder.config("spark.checkpoint.dir", checkpoint_dir)
+    spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the reliable checkpoint folder the cluster names.
-
-    On a cluster ``spark.checkpoint.dir`` points at shared storage and is used
-    as is; if it is unset there, this raises. Only a local master (tests,
-    the bench) falls back to a scratch folder.
-    """
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return current
-    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    if not configured:
-        if not sc.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir is not set: point it at a folder shared by all executors")
-        configured = tempfile.mkdtemp(prefix="groupcast-ckpt-")
-    sc.setCheckpointDir(configured)
-    return sc.getCheckpointDir() or configured
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder named by ``spark.checkpoint.dir``; where that is unset,
+    a folder under the warehouse, which the executors of a cluster share too."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    return named or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
+
+
+def settle(df: DataFrame, partition_by: str | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: lineage ends in files that
+    every executor can read, later scans prune columns, and joins know its size."""
+    spark = df.sparkSession
+    path = f"{checkpoint_folder(spark).rstrip('/')}/groupcast-{uuid.uuid4().hex}"
+    (df.write.partitionBy(partition_by) if partition_by else df.write).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

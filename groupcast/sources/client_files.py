@@ -5,12 +5,13 @@ Layouts, per client id ``<id>``:
   <dir>/<id>/train.csv, valid.csv CSV pair
   <dir>/<id>/features.parquet     parquet
 
-Files are listed and read by Spark; the client id comes from the file path
-(``_metadata.file_path``), so all clients of one kind are one DataFrame.
-SQLite files are read by a Python data source with one input partition per
-file, on the executors; the FEATURES/SALES_RECORDS join then runs in Spark.
-SQLite needs a POSIX path, so on a cluster those files must sit on a
-shared mounted filesystem; CSV and parquet work on any Hadoop store.
+Files are listed and read by Spark; the client id comes from the file path,
+so all clients of one kind are one DataFrame, and a listing is a DataFrame too.
+Columns are decided per file: a CSV file's header names its own columns, and each
+client's renames, defaults and date column depend on its own file. A missing
+folder raises. SQLite files are read by a Python data source with one input partition
+per file; they need a POSIX path, so on a cluster they must sit on a shared mounted
+file system. CSV and parquet work on any Hadoop store.
 """
 
 from __future__ import annotations
@@ -23,28 +24,20 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from groupcast.operators.panel import calendar_basic, default_column, normalise_columns
+from groupcast.operators.panel import calendar_basic, choose_target, drop_incomplete, parse_date, require_columns
 
 _SQLITE_TYPES = {"INTEGER": "bigint", "INT": "bigint", "REAL": "double", "FLOAT": "double", "DOUBLE": "double",
                  "NUMERIC": "double", "TEXT": "string", "VARCHAR": "string", "DATE": "string", "TIMESTAMP": "string"}
 
 
-def list_files(spark: SparkSession, data_dir: str, pattern: str, recursive: bool = False) -> list[str]:
-    """File paths under ``data_dir`` matching a glob on the file name,
-    listed by Spark (works on any Hadoop-compatible store). Only paths are
-    returned: the binary source prunes the unused content column."""
+def list_files(spark: SparkSession, data_dir: str, pattern: str, recursive: bool = False) -> DataFrame:
+    """(path, client_dir) of the files whose name matches a glob, listed by Spark
+    (any Hadoop-compatible store). Contents are not read: the binary source
+    prunes the unused column."""
     rd = spark.read.format("binaryFile").option("pathGlobFilter", pattern)
     if recursive:
         rd = rd.option("recursiveFileLookup", True)
-    try:
-        df = rd.load(data_dir).select("path")
-    except Exception:  # noqa: BLE001 - an empty or missing folder has no files
-        return []
-    return sorted(r.path for r in df.collect())
-
-
-def _local(path: str) -> str:
-    return path[len("file:"):] if path.startswith("file:") else path
+    return rd.load(data_dir).select("path", F.regexp_extract("path", r"/([^/]+)/[^/]+$", 1).alias("client_dir"))
 
 
 def _client_of_db(path: str) -> str:
@@ -69,8 +62,6 @@ class SqliteTableSource(DataSource):
         return "groupcast_sqlite"
 
     def _files(self):
-        if "files" in self.options:
-            return [p for p in self.options["files"].split("\n") if p]
         return sorted(glob.glob(os.path.join(self.options["path"], "client_*.db")))
 
     def schema(self):
@@ -115,10 +106,9 @@ def register_sources(spark: SparkSession) -> None:
 
 # --------------------------------------------------------------------- A1
 def discover_clients(spark: SparkSession, data_dir: str) -> DataFrame:
-    """A1: ids of client_<id>.db files, sorted. File contents are not read
-    (the binary source prunes the content column)."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "client_*.db").load(data_dir)
-    return files.select(F.regexp_extract("path", r"client_(.+)\.db$", 1).alias("client_id")).distinct().orderBy("client_id")
+    """A1: ids of client_<id>.db files, sorted."""
+    files = list_files(spark, data_dir, "client_*.db")
+    return files.select(F.regexp_extract("path", r"client_([^/]+)\.db$", 1).alias("client_id")).distinct().orderBy("client_id")
 
 
 # --------------------------------------------------------------------- A2, C1
@@ -126,61 +116,85 @@ def read_client_sqlite(spark: SparkSession, data_dir: str) -> DataFrame:
     """A2 + C1: FEATURES joined with SALES_RECORDS on (client, item, sale_date);
     ``sales`` becomes ``quantity``; duplicates multiply, as an inner join."""
     register_sources(spark)
-    files = "\n".join(_local(p) for p in list_files(spark, data_dir, "client_*.db"))
-    rd = spark.read.format("groupcast_sqlite").option("path", data_dir).option("files", files)
+    rd = spark.read.format("groupcast_sqlite").option("path", data_dir.removeprefix("file://").removeprefix("file:"))
     f = rd.option("table", "FEATURES").load()
     s = rd.option("table", "SALES_RECORDS").load()
     s = s.select("client_id", "item_id", "sale_date", F.col("sales").cast("double").alias("quantity"))
     j = f.join(s, ["client_id", "item_id", "sale_date"], "inner")
-    return j.withColumn("date", F.to_date("sale_date"))
+    return parse_date(j, "sale_date")
 
 
 # --------------------------------------------------------------------- A3, C2
-def _client_from_dir(path_col: str = "_metadata.file_path"):
-    return F.regexp_extract(F.col(path_col), r"/([^/]+)/[^/]+$", 1)
-
-
-def read_client_csv(spark: SparkSession, data_dir: str, schema: str | None = None) -> DataFrame:
-    """A3 + C2: train.csv and valid.csv of every client, by name, with
-    B1 renames, B2 default and B6 date parsing."""
-    rd = spark.read.option("header", True)
-    rd = rd.schema(schema) if schema else rd.option("inferSchema", True)
-    parts = []
-    for name in ("train.csv", "valid.csv"):
-        paths = list_files(spark, data_dir, name, recursive=True)
-        if paths:
-            parts.append(rd.csv(paths).withColumn("client_id", _client_from_dir()))
-    if not parts:
+TEXT_COLUMNS = {"item_id", "date", "sale_date"}
+
+
+def read_client_csv(spark: SparkSession, data_dir: str) -> DataFrame:
+    """A3 + C2: train.csv and valid.csv of every client, by the names in each
+    file's own header, with B1 renames, B2 default and B6 date parsing per file.
+
+    A file is a set of rows of text: its header is the line at its start (by the
+    position that Spark reports), and every other line meets its file's header in a
+    join. So clients may order, leave out or add columns; the result has every column
+    that any file has, as DOUBLE except ids and dates."""
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "{train,valid}.csv")
+    lines = files.text(data_dir).select(
+        F.col("value").alias("line"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"),
+        F.monotonically_increasing_id().alias("_id"))
+    lines = lines.filter(F.col("line").isNotNull() & (F.trim("line") != ""))
+    first = lines.filter("at = 0").groupBy("path").agg(F.min(F.struct("_id", "line")).alias("h"))
+    heads = first.select("path", F.col("h._id").alias("_head"), "h.line")
+    names = F.transform(F.split(F.regexp_replace("line", "^\ufeff|\r$", ""), ","), lambda c: F.trim(F.regexp_replace(c, '^"|"$', "")))
+    heads = heads.select("path", "_head", names.alias("names"))
+    found = [r.c for r in heads.select(F.explode("names").alias("c")).distinct().orderBy("c").collect()]  # column names
+    if not found:
         raise FileNotFoundError(f"no CSV clients under {data_dir}")
-    df = parts[0]
-    for p in parts[1:]:
-        df = df.unionByName(p, allowMissingColumns=True)
-    df = default_column(normalise_columns(df), "rolling_std_28", 0.0)
-    return df.withColumn("date", F.to_date("date"))
+    cells = lines.join(heads, "path").filter("_id != _head").withColumn(
+        "row", F.from_csv(F.regexp_replace("line", "\r$", ""), ", ".join(f"c{i} string" for i in range(len(found)))))
+    values = F.array(*[F.col(f"row.c{i}") for i in range(len(found))])
+    width = F.size("names")
+    named = cells.select("path", F.map_from_arrays("names", F.slice(values, F.lit(1), width)).alias("m"))
+    wanted = sorted({"sales": "quantity", "event_flag": "is_holiday"}.get(c, c) for c in found)
+
+    def column(name: str):
+        """B1 per file: a renamed column counts under its new name."""
+        old = {"quantity": "sales", "is_holiday": "event_flag"}.get(name)
+        value = F.coalesce(F.col("m")[old], F.col("m")[name]) if old else F.col("m")[name]
+        value = F.nullif(value, F.lit(""))
+        return (value if name in TEXT_COLUMNS else value.cast("double")).alias(name)
+
+    out = named.select(F.regexp_extract("path", r"/([^/]+)/[^/]+$", 1).alias("client_id"),
+                       F.map_contains_key("m", F.lit("rolling_std_28")).alias("_has"),
+                       *[column(c) for c in dict.fromkeys(wanted)])
+    # B2 per client: a client without the column in any of its files gets 0.
+    mine = F.max("_has").over(Window.partitionBy("client_id"))
+    std = F.col("rolling_std_28") if "rolling_std_28" in out.columns else F.lit(None).cast("double")
+    out = out.withColumn("rolling_std_28", F.when(mine, std).otherwise(F.lit(0.0))).drop("_has")
+    return parse_date(out, "date")
 
 
 # --------------------------------------------------------------------- A4
 def read_client_parquet(spark: SparkSession, data_dir: str) -> DataFrame:
-    """A4: features.parquet per client; ``date`` else ``sale_date``."""
-    paths = list_files(spark, data_dir, "features.parquet", recursive=True)
-    if not paths:
-        raise FileNotFoundError(f"no parquet clients under {data_dir}")
-    df = spark.read.parquet(*paths).withColumn("client_id", _client_from_dir())
-    src = "date" if "date" in df.columns else "sale_date"
-    return df.withColumn("date", F.to_date(F.col(src)))
+    """A4: features.parquet per client; per row ``date``, else ``sale_date``.
+    Files may have unlike columns: schemas are merged."""
+    rd = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "features.parquet").option("mergeSchema", True)
+    df = rd.parquet(data_dir)
+    client = F.regexp_extract("_metadata.file_path", r"/([^/]+)/[^/]+$", 1)
+    days = [F.to_date(F.col(c)) for c in ("date", "sale_date") if c in df.columns]
+    if not days:
+        raise KeyError("parquet clients: no column named date or sale_date")
+    return df.withColumn("client_id", client).withColumn("date", F.coalesce(*days))
 
 
 # --------------------------------------------------------------------- A5, A6
 def source_listing(spark: SparkSession, data_dir: str) -> DataFrame:
-    """(client_id, kind, priority) for every file found."""
-    rows = []
-    for p in list_files(spark, data_dir, "client_*.db"):
-        rows.append((_client_of_db(p), "sqlite", 1))
-    for p in list_files(spark, data_dir, "train.csv", recursive=True):
-        rows.append((os.path.basename(os.path.dirname(p)), "csv", 2))
-    for p in list_files(spark, data_dir, "features.parquet", recursive=True):
-        rows.append((os.path.basename(os.path.dirname(p)), "parquet", 3))
-    return spark.createDataFrame(rows, "client_id string, kind string, priority int")
+    """(client_id, kind, priority) for every client file found."""
+    db = list_files(spark, data_dir, "client_*.db").select(
+        F.regexp_extract("path", r"client_([^/]+)\.db$", 1).alias("client_id"), F.lit("sqlite").alias("kind"), F.lit(1).alias("priority"))
+    csv = list_files(spark, data_dir, "train.csv", recursive=True).select(
+        F.col("client_dir").alias("client_id"), F.lit("csv").alias("kind"), F.lit(2).alias("priority"))
+    parquet = list_files(spark, data_dir, "features.parquet", recursive=True).select(
+        F.col("client_dir").alias("client_id"), F.lit("parquet").alias("kind"), F.lit(3).alias("priority"))
+    return db.union(csv).union(parquet)
 
 
 def pick_source(listing: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
@@ -191,27 +205,35 @@ def pick_source(listing: DataFrame, wanted: DataFrame | None = None) -> DataFram
     if wanted is not None:
         missing = [r.client_id for r in wanted.join(chosen, "client_id", "left_anti").limit(20).collect()]
         if missing:
-            raise FileNotFoundError(f"Cannot find data for client(s): {missing}")
+            raise FileNotFoundError(f"clients without any input file: {missing}")
     return chosen
 
 
 def load_panel(spark: SparkSession, data_dir: str, feature_cols: list[str] | None = None) -> DataFrame:
     """Every client from its chosen source, unioned by name, with the
-    Monday=0 weekday and month added (B7)."""
+    Monday=0 weekday and month added (B7). With ``feature_cols``: the target is chosen
+    (B4), rows that lack a feature or the target go (B5), and the result is client_id,
+    item_id, date, the features in order and y (B8)."""
     chosen = pick_source(source_listing(spark, data_dir))
-    kinds = {r.kind for r in chosen.select("kind").distinct().collect()}
     readers = {"sqlite": read_client_sqlite, "csv": read_client_csv, "parquet": read_client_parquet}
-    parts = []
-    for k in ("sqlite", "csv", "parquet"):
-        if k in kinds:
-            df = readers[k](spark, data_dir)
-            parts.append(df.join(chosen.filter(F.col("kind") == k).select("client_id"), "client_id", "left_semi"))
+    kinds = {r.kind for r in chosen.select("kind").distinct().collect()}  # three at most
+    if not kinds:
+        raise FileNotFoundError(f"no client files under {data_dir}")
+    parts = [
+        readers[k](spark, data_dir).join(chosen.filter(F.col("kind") == k).select("client_id"), "client_id", "left_semi")
+        for k in readers if k in kinds
+    ]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p, allowMissingColumns=True)
-    out = calendar_basic(out)
-    if feature_cols:
-        from groupcast.operators.panel import require_columns
-
-        require_columns(out, feature_cols, "clients")
-    return out
+    out = calendar_basic(out.withColumn("item_id", F.col("item_id").cast("string")))
+    if not feature_cols:
+        return out
+    require_columns(out, feature_cols, "clients")
+    # A target column that only some clients have is null for the others: each falls back to its quantity.
+    target = F.col("quantity").cast("double")
+    if choose_target(out) == "target_7d":
+        has = F.count("target_7d").over(Window.partitionBy("client_id")) > 0
+        target = F.when(has, F.col("target_7d").cast("double")).otherwise(target)
+    rows = drop_incomplete(out.withColumn("y", target), [*feature_cols, "y"])
+    return rows.select("client_id", "item_id", "date", *[F.col(c).cast("double").alias(c) for c in feature_cols], "y")

@@ -8,12 +8,16 @@ DataFrames.
 from __future__ import annotations
 
 import datetime as dt
+import json
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from groupcast.constants import HISTORY_SCHEMA_VERSION
+
 PROFILE_MAP = T.MapType(T.StringType(), T.ArrayType(T.DoubleType()))
 
 
@@ -32,45 +36,67 @@ def read_profiles_json(spark: SparkSession, path: str) -> DataFrame:
     return m.select(F.explode("m").alias("client_id", "importance"))
 
 
-# --------------------------------------------------------------------- A8
-def read_cluster_history(spark: SparkSession, path: str) -> DataFrame:
-    """Bubbles and isolated clients from a clustering file.
-
-    Layouts: ``records`` (take the last), a single record, or legacy
-    ``assignments`` + ``isolated_clients``. Returns (client_id, bubble,
-    is_isolated). Bubbles without member lists raise."""
-    df = spark.read.option("multiLine", True).json(path)
-    cols = set(df.columns)
-    if "records" in cols or "multi_client_bubbles" in cols:
-        rec = df.select(F.element_at("records", -1).alias("r")).select("r.*") if "records" in cols else df
-        bub_type = rec.schema["multi_client_bubbles"].dataType
-        if isinstance(bub_type, T.ArrayType) and isinstance(bub_type.elementType, T.StructType):
-            if "clients" not in bub_type.elementType.names:
-                raise ValueError("Cannot load compact clustering history without per-bubble client membership.")
-        members = rec.select(F.posexplode("multi_client_bubbles").alias("bubble", "b")).select(
-            F.explode("b.clients").alias("client_id"), F.col("bubble").cast("int").alias("bubble"), F.lit(False).alias("is_isolated"))
-        iso = rec.select(F.explode("isolated_clients").alias("client_id")).select(
-            "client_id", F.lit(None).cast("int").alias("bubble"), F.lit(True).alias("is_isolated"))
-        return members.unionByName(iso)
-    # legacy layout: assignments map + isolated list
-    a = df.select(F.explode(F.col("assignments")).alias("client_id", "cluster"), F.col("isolated_clients"))
-    return a.select(
-        "client_id",
-        F.when(F.array_contains("isolated_clients", F.col("client_id")), F.lit(None)).otherwise(F.col("cluster")).cast("int").alias("bubble"),
-        F.array_contains("isolated_clients", F.col("client_id")).alias("is_isolated"),
-    )
+# --------------------------------------------------------------------- A8, I13
+_RECORD = """sequence int, stage string, round int, k_star int, total_clients int, num_clusters int,
+ num_multi_client_bubbles int, num_isolated_clients int, cluster_sizes array<int>,
+ cluster_size_stats struct<min: int, max: int, mean: double>,
+ multi_client_bubbles array<struct<bubble_id: int, size: int, clients: array<string>>>,
+ isolated_clients array<string>, assignments map<string, int>"""
+_HISTORY = f"schema_version int, description string, records array<struct<{_RECORD}>>, {_RECORD}"
 
 
-def write_cluster_history(records: DataFrame, path: str) -> None:
-    """Schema 3 document {schema_version, description, records[]},
-    records ordered by sequence."""
-    recs = F.collect_list(F.struct(*[F.col(c) for c in records.columns if c != "scope"]))
-    by_seq = F.array_sort(recs, lambda a, b: F.when(a["sequence"] < b["sequence"], -1).when(a["sequence"] > b["sequence"], 1).otherwise(0))
-    doc = records.agg(by_seq.alias("records"))
-    doc = doc.select(F.lit(3).alias("schema_version"),
-                     F.lit("Chronological clustering records with per-bubble clients and client-to-cluster assignments.").alias("description"),
-                     "records")
-    doc.coalesce(1).write.mode("overwrite").json(path)
+def read_history_records(spark: SparkSession, path: str) -> DataFrame:
+    """Every record of a clustering file, in any of its layouts: ``records``, a
+    single record, or the older ``assignments`` with ``isolated_clients``. Rows of
+    an appended history (one JSON document per run of Spark's writer) all count."""
+    doc = spark.read.schema(_HISTORY).option("multiLine", True).json(path)
+    names = [f.name for f in doc.schema["records"].dataType.elementType.fields]
+    single = F.array(F.struct(*names))
+    return doc.select(F.explode(F.coalesce("records", single)).alias("r")).select("r.*")
+
+
+def read_cluster_history(spark: SparkSession, path: str) -> DataFrame:
+    """(client_id, bubble, is_isolated) of the last record of a clustering file.
+
+    Records without member lists and without assignments cannot tell who is where and stop the job."""
+    last = read_history_records(spark, path).orderBy(F.col("sequence").desc_nulls_last()).limit(1)
+    bubbles = F.filter(F.coalesce("multi_client_bubbles", F.array().cast("array<struct<bubble_id:int,size:int,clients:array<string>>>")),
+                       lambda b: b["clients"].isNotNull())
+    listed = F.flatten(F.transform(bubbles, lambda b, i: F.transform(
+        b["clients"], lambda c: F.struct(c.alias("client_id"), i.alias("bubble"), F.lit(False).alias("is_isolated")))))
+    alone = F.coalesce("isolated_clients", F.array().cast("array<string>"))
+    isolated = F.transform(alone, lambda c: F.struct(
+        c.alias("client_id"), F.lit(None).cast("int").alias("bubble"), F.lit(True).alias("is_isolated")))
+    mapped = F.transform(F.map_entries("assignments"), lambda e: F.struct(
+        e["key"].alias("client_id"), e["value"].alias("bubble"), F.lit(False).alias("is_isolated")))
+    counted = F.coalesce(F.size("multi_client_bubbles"), F.lit(-1))
+    lists = (counted == F.size(bubbles)) & (counted >= 0)
+    kind = "array<struct<client_id:string,bubble:int,is_isolated:boolean>>"
+    members = (
+        F.when(lists, listed.cast(kind))
+        .when(F.col("assignments").isNotNull(), F.filter(mapped, lambda m: ~F.array_contains(alone, m["client_id"])).cast(kind))
+        .otherwise(F.raise_error(F.lit("cluster record without members: bubbles list no clients and there are no assignments")).cast(kind))
+    )
+    return last.select(F.explode(F.concat(members, isolated.cast(kind))).alias("m")).select("m.*")
+
+
+def append_cluster_history(records: DataFrame, path: str, reset: bool = False) -> DataFrame:
+    """Add records to the history table at ``path``, each with the sequence
+    number after the last, in the order they come in (by their own sequence).
+    Returns the added records."""
+    spark = records.sparkSession
+    before = 0
+    if not reset:
+        try:
+            before = read_history_records(spark, path).agg(F.max("sequence")).first()[0] or 0
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+    order = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("sequence"))  # one row per clustering
+    added = records.drop("scope").withColumn("sequence", (order + F.lit(before)).cast("int"))
+    doc = added.withColumn("schema_version", F.lit(HISTORY_SCHEMA_VERSION))
+    doc.write.mode("overwrite" if reset else "append").json(path)
+    return added
 
 
 # --------------------------------------------------------------------- A9, A10, A14
@@ -79,15 +105,22 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def write_metrics_csv(df: DataFrame, path: str) -> None:
-    """A10: header = the sorted union of keys (columns)."""
-    df.select(*sorted(df.columns)).write.mode("overwrite").option("header", True).csv(path)
+def write_metrics_csv(parts: list[DataFrame], path: str) -> None:
+    """A10: rows of unlike shapes as one CSV; the header is the sorted union of
+    their columns. No rows give a file without lines."""
+    if not parts:
+        raise ValueError("no metrics table given")
+    whole = parts[0]
+    for p in parts[1:]:
+        whole = whole.unionByName(p, allowMissingColumns=True)
+    header = not whole.isEmpty()
+    whole.select(*sorted(whole.columns)).coalesce(1).write.mode("overwrite").option("header", header).csv(path)
 
 
 def write_config(spark: SparkSession, config: dict, path: str) -> DataFrame:
-    """One-row config (rewritten after selection with selected_features)."""
-    row = spark.createDataFrame([{k: (v if not isinstance(v, list) else [str(x) for x in v]) for k, v in config.items()}])
-    row.coalesce(1).write.mode("overwrite").json(path)
+    """One-row config; values keep their JSON types."""
+    row = spark.createDataFrame([(json.dumps(config, sort_keys=True),)], "value string")
+    row.coalesce(1).write.mode("overwrite").text(path)
     return row
 
 
@@ -121,14 +154,22 @@ def run_manifest(spark: SparkSession, run_id: str, run_dir: str, files: dict[str
     return df.withColumn("path", F.concat_ws("/", F.lit(run_dir.rstrip("/")), F.col("relative")))
 
 
-def latest_run(spark: SparkSession, runs: DataFrame) -> DataFrame:
-    return runs.agg(F.max("run_id").alias("run_id"))
+def register_run(manifest: DataFrame, registry: str) -> None:
+    """Add a run's manifest rows to the registry table, one folder per run."""
+    manifest.write.mode("append").partitionBy("run_id").parquet(registry)
+
+
+def latest_run(spark: SparkSession, registry: str) -> DataFrame:
+    """The manifest rows of the newest run in the registry."""
+    runs = spark.read.parquet(registry).withColumn("run_id", F.col("run_id").cast("string"))
+    newest = runs.agg(F.max("run_id").alias("run_id"))
+    return runs.join(newest, "run_id")
 
 
 def render_report(results: DataFrame, order: list[str]) -> DataFrame:
     """One text line per strategy, 4 decimals, in the given order."""
     pos = F.array_position(F.array(*[F.lit(s) for s in order]), F.col("strategy"))
-    line = F.format_string("- **%s**: RMSE = %.4f, SMAPE = %.4f, MAE = %.4f, WMAPE = %.4f, MASE = %.4f",
+    line = F.format_string("%s | rmse %.4f | smape %.4f | mae %.4f | wmape %.4f | mase %.4f",
                            "strategy", "rmse", "smape", "mae", "wmape", "mase")
     return results.select(pos.alias("_o"), line.alias("line")).orderBy("_o").select("line")
 
@@ -141,10 +182,20 @@ def compare_strategies(results: DataFrame) -> DataFrame:
     return long.select("strategy", "s.metric", "s.value").groupBy("strategy").pivot("metric", METRICS).agg(F.first("value"))
 
 
-def flatten_history(records: DataFrame) -> DataFrame:
-    """The per-client rows of all strategies (records are already flat
-    here; nested per-bubble lists come from ``round_metrics``)."""
-    return records.select(*sorted(records.columns))
+def flatten_history(rounds: DataFrame) -> DataFrame:
+    """One row per client of records that nest ``per_client_metrics``; records
+    that have a client of their own (and no list) stay as they are."""
+    nested = "per_client_metrics"
+    if nested not in rounds.columns:
+        return rounds
+    inner = rounds.schema[nested].dataType.elementType.names
+    outer = [c for c in rounds.columns if c not in (nested, "clients", *inner)]
+    own = [c for c in inner if c in rounds.columns]
+    listed = rounds.filter(F.size(nested) > 0).select(*outer, F.explode(nested).alias("c")).select(*outer, "c.*")
+    single = rounds.filter(F.col(nested).isNull() | (F.size(nested) == 0))
+    if "client_id" not in rounds.columns:
+        return listed
+    return listed.unionByName(single.filter(F.col("client_id").isNotNull()).select(*outer, *own), allowMissingColumns=True)
 
 
 def round_metrics(records: DataFrame) -> DataFrame:

@@ -1,8 +1,8 @@
 """EMA profile state keyed by (scope, client_id) (I2 across rounds).
 
 Each update is a left join of the new vectors with the stored state and a
-zip_with; the merged table is the new state. It is checkpointed to the
-cluster's reliable checkpoint folder so rounds do not grow lineage.
+zip_with; the merged table is the new state. It is written to the
+cluster's checkpoint folder so rounds do not grow lineage.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 
 from groupcast.constants import EMA_ALPHA
 from groupcast.operators.cluster import ema_profiles
+from groupcast.session import settle
 
 
 class EmaState:
@@ -22,9 +23,6 @@ class EmaState:
         """Smooth ``current`` (scope, client_id, col) with the stored state
         and store the result (N14: a length change resets to current)."""
         smoothed = ema_profiles(current, self.state, self.alpha, col)
-        from groupcast.session import ensure_checkpoint_dir
-
-        ensure_checkpoint_dir(smoothed.sparkSession)
-        smoothed = smoothed.checkpoint(eager=True)
+        smoothed = settle(smoothed)
         self.state = smoothed.select("scope", "client_id", col)
         return smoothed

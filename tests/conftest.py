@@ -9,9 +9,10 @@ SF_SMALL = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from groupcast.session import local_session
 
-    s = local_session(cpus="*", shuffle_partitions=8, app="groupcast-tests")
+    folder = f"file://{tmp_path_factory.mktemp('checkpoints')}"
+    s = local_session(cpus="*", shuffle_partitions=8, app="groupcast-tests", checkpoint_dir=folder)
     yield s
     s.stop()

@@ -48,8 +48,17 @@ def test_sequence_identity_on_selected_split(spark):
         assert r.raw_rows == r.train_rows + r.val_rows + r.test_rows
 
 
-def test_checkpoint_dir_is_taken_from_the_session(spark):
-    from groupcast.session import ensure_checkpoint_dir
+def test_checkpoint_folder_is_taken_from_the_session(spark):
+    from groupcast.session import checkpoint_folder, settle
 
-    first = ensure_checkpoint_dir(spark)
-    assert first and ensure_checkpoint_dir(spark) == first == spark.sparkContext.getCheckpointDir()
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    assert checkpoint_folder(spark) == folder
+    kept = settle(spark.range(3))
+    assert kept.count() == 3 and all(f.startswith(folder) for f in kept.inputFiles())
+
+
+def test_building_a_query_starts_no_job(spark):
+    before = spark.sparkContext.statusTracker().getJobIdsForGroup(None)
+    E.q_train_step(spark, "/root/testdata/sf0.001")
+    # reading a parquet schema may start a job of its own; the plan itself counts nothing
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) - len(before) <= 10

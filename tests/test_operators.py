@@ -226,7 +226,7 @@ def test_minibatch_with_one_batch_equals_full_batch(spark):
     from groupcast.operators.train import fit
 
     train, params, ys = _fit_fixture(spark)
-    full = {r.client_id: r for r in fit(train, params, ys, 2, lr=0.01).collect()}
+    full = {r.client_id: r for r in fit(train, params, ys, 2, lr=0.01, batch_size=None).collect()}
     one = {r.client_id: r for r in fit(train, params, ys, 2, lr=0.01, batch_size=100).collect()}
     for c in ("a", "b"):
         assert one[c].body == pytest.approx(full[c].body, rel=1e-12)
@@ -237,7 +237,7 @@ def test_minibatch_takes_more_steps(spark):
     from groupcast.operators.train import fit
 
     train, params, ys = _fit_fixture(spark)
-    full = {r.client_id: r for r in fit(train, params, ys, 1, lr=0.01).collect()}
+    full = {r.client_id: r for r in fit(train, params, ys, 1, lr=0.01, batch_size=None).collect()}
     mb = {r.client_id: r for r in fit(train, params, ys, 1, lr=0.01, batch_size=10).collect()}
     # client a has 3 batches (3 Adam steps), b has 2: both move further than one full-batch step
     start = {"a": 1.0, "b": 0.5}

@@ -5,48 +5,12 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from groupcast.operators import cluster as C
-
-dist3 = st.lists(st.floats(0.0, 1.0), min_size=4, max_size=4)
-
-
 def _norm(v):
     v = np.maximum(np.asarray(v, dtype=float), 0)
     s = v.sum()
     return v / s if s > 0 else np.full(len(v), 1.0 / len(v))
 
 
-@settings(max_examples=60, deadline=None)
-@given(dist3, dist3, dist3)
-def test_emd_metric_properties(a, b, c):
-    m = C.emd_matrix(np.stack([_norm(a), _norm(b), _norm(c)]))
-    assert np.allclose(m, m.T)
-    assert np.allclose(np.diag(m), 0)
-    assert m[0, 2] <= m[0, 1] + m[1, 2] + 1e-12
-
-
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.integers(0, 20), min_size=1, max_size=30))
-def test_compact_labels_dense(labels):
-    out = C.compact_labels(np.array(labels))
-    assert sorted(set(out.tolist())) == list(range(len(set(labels))))
-    # order preserving
-    for i in range(len(labels)):
-        for j in range(len(labels)):
-            if labels[i] < labels[j]:
-                assert out[i] < out[j]
-
-
-@settings(max_examples=30, deadline=None)
-@given(st.lists(st.lists(st.floats(0.0, 1.0), min_size=3, max_size=3), min_size=3, max_size=9))
-def test_clustering_labels_are_a_partition(rows):
-    p = np.stack([_norm(r) for r in rows])
-    labels, k = C.cluster_one_scope([str(i) for i in range(len(rows))], p)
-    assert len(labels) == len(rows)
-    assert k == len(set(labels.tolist()))
-    assert sorted(set(labels.tolist())) == list(range(k))
-
-
 def test_array_properties_on_many_rows(spark):
     from groupcast.functions.arrays import array_l2_norm, array_sum, clip_l2, normalise_distribution
 

@@ -18,14 +18,52 @@ def test_params_write_read(spark, tmp_path):
     assert [(r.owner_id, r.layer, r.value) for r in bubbles] == [("0", "body.w", 1.0), ("0", "body.w", 2.0)]
 
 
-def test_manifest_and_latest(spark):
-    from groupcast.sources.records import latest_run, new_run_id, run_manifest
-
-    rid = new_run_id()
-    m = run_manifest(spark, rid, "/runs/" + rid + "/", {"config": "config.json", "models": "models/"}).collect()
-    assert {r.name: r.path for r in m} == {"config": f"/runs/{rid}/config.json", "models": f"/runs/{rid}/models/"}
-    runs = spark.createDataFrame([("20260101_000000_000001",), ("20260102_000000_000001",)], "run_id string")
-    assert latest_run(spark, runs).first().run_id == "20260102_000000_000001"
+def test_run_registry(spark, tmp_path):
+    from groupcast.sources.records import latest_run, new_run_id, register_run, run_manifest
+
+    registry = f"{tmp_path}/registry"
+    old, new = "20260101_000000_000001", new_run_id()
+    for rid in (new, old):
+        register_run(run_manifest(spark, rid, f"/runs/{rid}/", {"config": "config.json", "models": "models/"}), registry)
+    got = latest_run(spark, registry).collect()
+    assert {r.name: r.path for r in got} == {"config": f"/runs/{new}/config.json", "models": f"/runs/{new}/models/"}
+    assert {r.run_id for r in got} == {new}
+
+
+def test_metrics_csv_of_unlike_shapes(spark, tmp_path):
+    from groupcast.sources.records import write_metrics_csv
+
+    a = spark.createDataFrame([("S", 1)], "strategy string, round int")
+    b = spark.createDataFrame([("T", 2.0)], "strategy string, mae double")
+    write_metrics_csv([a, b], f"{tmp_path}/m")
+    got = spark.read.option("header", True).csv(f"{tmp_path}/m")
+    assert got.columns == ["mae", "round", "strategy"]
+    assert {tuple(r) for r in got.collect()} == {(None, "1", "S"), ("2.0", None, "T")}
+    write_metrics_csv([a.limit(0)], f"{tmp_path}/empty")
+    assert spark.read.text(f"{tmp_path}/empty").count() == 0
+    with pytest.raises(ValueError):
+        write_metrics_csv([], f"{tmp_path}/none")
+
+
+def test_config_keeps_types(spark, tmp_path):
+    import json
+
+    from groupcast.sources.records import write_config
+
+    config = {"selected_features": ["lag_7", "month"], "rounds": 100, "alpha": 0.1, "flags": {"x": True}}
+    write_config(spark, config, f"{tmp_path}/c")
+    assert json.loads(spark.read.text(f"{tmp_path}/c").first().value) == config
+
+
+def test_flatten_history(spark):
+    from groupcast.sources.records import flatten_history
+
+    rec = spark.createDataFrame(
+        [("S", 1, 0.5, [("a", 10, 2.0), ("b", 20, 3.0)], None), ("L", 2, 0.7, None, "c"), ("E", 3, 0.1, [], None)],
+        "strategy string, round int, rmse double, per_client_metrics array<struct<client_id:string,num_samples:long,rmse:double>>,"
+        " client_id string")
+    got = {(r.strategy, r.round, r.client_id, r.rmse) for r in flatten_history(rec).collect()}
+    assert got == {("S", 1, "a", 2.0), ("S", 1, "b", 3.0), ("L", 2, "c", 0.7)}
 
 
 def test_round_metrics_and_comparison(spark):

@@ -49,7 +49,10 @@ def test_three_layouts(spark, tmp_path):
     panel = load_panel(spark, d, CANDIDATE_FEATURES)
     got = {r.client_id: r["count"] for r in panel.groupBy("client_id").count().collect()}
     want = pdf.groupby("client_id").size().to_dict()
-    assert got == want
+    assert got == {c: len(g.dropna(subset=[f for f in CANDIDATE_FEATURES if c != clients[1] or f != "rolling_std_28"] + ["target_7d"]))
+                   for c, g in pdf.groupby("client_id")}
+    assert panel.columns == ["client_id", "item_id", "date", *CANDIDATE_FEATURES, "y"]
+    assert {r.client_id: r["count"] for r in load_panel(spark, d).groupBy("client_id").count().collect()} == want
     csv_std = panel.filter(F.col("client_id") == clients[1]).agg(F.max("rolling_std_28")).first()[0]
     assert csv_std == 0.0
     sq = panel.filter(F.col("client_id") == clients[0]).orderBy("item_id", "date").first()
@@ -57,7 +60,7 @@ def test_three_layouts(spark, tmp_path):
 
 
 def test_records_roundtrip(spark, tmp_path):
-    from groupcast.sources.records import read_cluster_history, read_profiles_json, render_report, write_cluster_history, write_profiles_json
+    from groupcast.sources.records import append_cluster_history, read_cluster_history, read_profiles_json, render_report, write_profiles_json
 
     prof = spark.createDataFrame([("a", [0.1, 0.9]), ("b", [0.5, 0.5])], "client_id string, importance array<double>")
     p = str(tmp_path / "profiles")
@@ -73,10 +76,88 @@ def test_records_roundtrip(spark, tmp_path):
     r = rec.first()
     assert r.cluster_sizes == [2, 1] and r.isolated_clients == ["c"] and r.assignments == {"a": 0, "b": 0, "c": 1}
     h = str(tmp_path / "hist")
-    write_cluster_history(rec, h)
+    append_cluster_history(rec, h, reset=True)
     members = {(x.client_id, x.bubble, x.is_isolated) for x in read_cluster_history(spark, h).collect()}
     assert members == {("a", 0, False), ("b", 0, False), ("c", None, True)}
+    alone = assign.limit(1).withColumn("cluster_size", F.lit(1)).withColumn("is_isolated", F.lit(True))
+    added = append_cluster_history(cluster_record(alone, "dynamic_recluster", 20), h)
+    assert added.first().sequence == 2
+    assert [tuple(x) for x in read_cluster_history(spark, h).collect()] == [("a", None, True)]
 
     res = spark.createDataFrame([("Local", 1.0, 2.0, 3.0, 4.0, 5.0)], "strategy string, rmse double, smape double, mae double, wmape double, mase double")
     line = render_report(res, ["Local"]).first().line
-    assert line == "- **Local**: RMSE = 1.0000, SMAPE = 2.0000, MAE = 3.0000, WMAPE = 4.0000, MASE = 5.0000"
+    assert line == "Local | rmse 1.0000 | smape 2.0000 | mae 3.0000 | wmape 4.0000 | mase 5.0000"
+
+
+def test_history_layouts(spark, tmp_path):
+    import json
+
+    import pytest
+
+    from groupcast.sources.records import read_cluster_history
+
+    def read(name, doc):
+        path = tmp_path / f"{name}.json"
+        path.write_text(json.dumps(doc, indent=1))
+        return {tuple(r) for r in read_cluster_history(spark, str(path)).collect()}
+
+    single = {"sequence": 1, "multi_client_bubbles": [{"bubble_id": 0, "size": 2, "clients": ["a", "b"]}], "isolated_clients": ["c"]}
+    want = {("a", 0, False), ("b", 0, False), ("c", None, True)}
+    assert read("single", single) == want
+    last = {"sequence": 2, "multi_client_bubbles": [], "isolated_clients": ["x"]}
+    assert read("records", {"schema_version": 3, "records": [single, last]}) == {("x", None, True)}
+    assert read("legacy", {"assignments": {"a": 0, "b": 0, "c": 1}, "isolated_clients": ["c"]}) == want
+    with pytest.raises(Exception, match="without members"):
+        read("compact", {"multi_client_bubbles": [{"bubble_id": 0, "size": 2}], "isolated_clients": []})
+
+
+def test_csv_clients_with_unlike_headers(spark, tmp_path):
+    from groupcast.sources.client_files import read_client_csv
+
+    for client, name, text in [
+        ("a", "train.csv", "date,item_id,sales,sell_price,rolling_std_28\n2020-01-01,i1,3,1.5,0.7\n"),
+        ("a", "valid.csv", "item_id,date,sales,sell_price,rolling_std_28\n\"i1\",2020-01-02,4,1.6,\n"),
+        ("b", "train.csv", "sell_price,quantity,event_flag,item_id,date,extra\r\n2.5,7,1,i9,2020-01-03,5\r\n"),
+        ("b", "valid.csv", "item_id,date\n"),
+    ]:
+        (tmp_path / client).mkdir(exist_ok=True)
+        (tmp_path / client / name).write_text(text, newline="")
+    got = {(r.client_id, str(r.date)): r for r in read_client_csv(spark, str(tmp_path)).collect()}
+    assert len(got) == 3
+    assert (got["a", "2020-01-01"].quantity, got["a", "2020-01-01"].rolling_std_28) == (3.0, 0.7)
+    assert got["a", "2020-01-02"].item_id == "i1" and got["a", "2020-01-02"].rolling_std_28 is None
+    b = got["b", "2020-01-03"]
+    assert (b.sell_price, b.quantity, b.is_holiday, b.extra, b.rolling_std_28) == (2.5, 7.0, 1.0, 5.0, 0.0)
+
+
+def test_parquet_clients_with_unlike_columns(spark, tmp_path):
+    import pandas as pd
+    import pytest
+
+    from groupcast.sources.client_files import load_panel, read_client_parquet
+
+    for client, frame in {
+        "a": pd.DataFrame({"item_id": ["i"], "date": ["2020-01-01"], "quantity": [1.0]}),
+        "b": pd.DataFrame({"item_id": ["i"], "sale_date": ["2020-01-02"], "quantity": [2.0], "extra": [9.0]}),
+    }.items():
+        (tmp_path / client).mkdir()
+        frame.to_parquet(tmp_path / client / "features.parquet", index=False)
+    got = {r.client_id: r for r in read_client_parquet(spark, str(tmp_path)).collect()}
+    assert str(got["a"].date) == "2020-01-01" and str(got["b"].date) == "2020-01-02"
+    assert got["a"].extra is None and got["b"].extra == 9.0
+    with pytest.raises(Exception):
+        load_panel(spark, str(tmp_path / "missing")).count()
+
+
+def test_client_without_train_rows_stops(spark):
+    import datetime as dt
+
+    import pytest
+
+    from groupcast.plans.prepare import prepare
+
+    days = [("a", "i", dt.date(2020, 1, 1) + dt.timedelta(days=k), float(k), float(k)) for k in range(30)]
+    rows = days + [("b", "i", dt.date(2020, 1, 1), 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "client_id string, item_id string, date date, f double, quantity double")
+    with pytest.raises(Exception, match="no rows to fit on: b"):
+        prepare(df, ["f"]).scaled.collect()

@@ -35,62 +35,9 @@ def test_pvalue_monotone_in_f():
     assert all(a > b for a, b in zip(ps, ps[1:]))
 
 
-def test_emd_hand_case():
-    d = C.emd_matrix(np.array([[0.5, 0.5, 0.0], [0.0, 0.5, 0.5]]))
-    assert d[0, 1] == pytest.approx(1.0)
-    assert d[1, 0] == pytest.approx(1.0)
 
 
 def test_k_range():
     assert list(C.k_range(3, None)) == [2]
     assert list(C.k_range(70, None)) == list(range(2, 10))
     assert list(C.k_range(70, 15)) == list(range(2, 16))
-
-
-def test_compact_and_canonical_labels():
-    assert C.compact_labels(np.array([5, 2, 5, 9])).tolist() == [1, 0, 1, 2]
-    assert C.canonical_labels(np.array([3, 1, 3, 0])).tolist() == [0, 1, 0, 2]
-
-
-def test_average_linkage_two_groups():
-    x = np.array([[0.0], [0.1], [5.0], [5.2]])
-    d = np.abs(x - x.T)
-    merges = C.average_linkage(d)
-    assert merges[0] == (0, 1)
-    assert C.cut(merges, 4, 2).tolist() == [0, 0, 1, 1]
-    assert C.cut(merges, 4, 4).tolist() == [0, 1, 2, 3]
-
-
-def test_davies_bouldin_matches_definition():
-    x = np.array([[0.0, 0.0], [0.0, 1.0], [4.0, 0.0], [4.0, 1.0]])
-    labels = np.array([0, 0, 1, 1])
-    # S = 0.5 each, centroid distance 4 -> (0.5 + 0.5) / 4
-    assert C.davies_bouldin(x, labels) == pytest.approx(0.25)
-    assert C.davies_bouldin(x, np.array([0, 0, 0, 0])) is None
-
-
-def test_small_scopes():
-    one = C.cluster_one_scope(["a"], np.array([[1.0, 0.0]]))
-    assert one[0].tolist() == [0] and one[1] == 1
-    two = C.cluster_one_scope(["a", "b"], np.array([[1.0, 0.0], [0.0, 1.0]]))
-    assert two[0].tolist() == [0, 0] and two[1] == 1
-
-
-def test_far_singleton_stays_isolated_near_one_merges():
-    # two tight groups and one far point: the far point stays alone
-    base = [[0.9, 0.1, 0.0], [0.88, 0.12, 0.0], [0.0, 0.1, 0.9], [0.0, 0.12, 0.88]]
-    far = base + [[0.34, 0.33, 0.33]]
-    labels = C.merge_singletons(np.array([0, 0, 1, 1, 2]), C.emd_matrix(np.array(far)), 0.75)
-    assert labels.tolist()[:4] == [0, 0, 1, 1]
-    d = C.emd_matrix(np.array(base + [[0.89, 0.11, 0.0]]))
-    merged = C.merge_singletons(np.array([0, 0, 1, 1, 2]), d, 0.75)
-    assert merged.tolist() == [0, 0, 1, 1, 0]
-
-
-def test_all_equal_profiles():
-    # DBI is 0 when every cluster has zero spread, so k=2 wins (one
-    # singleton penalty); with no nonzero distance the singleton walk is
-    # skipped, as in the original.
-    p = np.tile(np.array([[0.25, 0.25, 0.5]]), (5, 1))
-    labels, k = C.cluster_one_scope(list("abcde"), p)
-    assert k == 2 and sorted(np.bincount(labels).tolist()) == [1, 4]
