@@ -181,8 +181,9 @@ def dual_walk(a: Tree, b: Tree, link, percent: int = PERCENT) -> None:
                 link(int(a.members[p]), int(b.members[q]))
 
 
-def forest_links(sets: list[np.ndarray], labels: list, sides: np.ndarray | None, percent: int = PERCENT) -> list[tuple[int, int]]:
-    """Links (by place) that join what ``labels`` does not hold together yet; between sides, if given."""
+def grouped(sets: list[np.ndarray], labels: list, sides: np.ndarray | None = None, percent: int = PERCENT) -> list[int]:
+    """Place of each set's group: sets with equal labels and linked ones are together. Links are looked
+    for where they join two groups, between the sides if given."""
     up = list(range(len(sets)))
 
     def root(x):
@@ -194,7 +195,6 @@ def forest_links(sets: list[np.ndarray], labels: list, sides: np.ndarray | None,
     first: dict = {}
     for i, x in enumerate(labels):
         up[root(i)] = root(first.setdefault(x, i))
-    found = []
 
     def link(x, y):
         rx, ry = root(x), root(y)
@@ -203,7 +203,6 @@ def forest_links(sets: list[np.ndarray], labels: list, sides: np.ndarray | None,
         shared = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
         if 100 * shared >= percent * (len(sets[x]) + len(sets[y]) - shared):
             up[rx] = ry
-            found.append((x, y))
 
     everyone = np.arange(len(sets))
     if sides is None:
@@ -211,22 +210,26 @@ def forest_links(sets: list[np.ndarray], labels: list, sides: np.ndarray | None,
         dual_walk(tree, tree, link, percent)
     else:
         dual_walk(Tree(sets, everyone[sides == 0]), Tree(sets, everyone[sides == 1]), link, percent)
-    return found
+    return [root(i) for i in everyone]
 
 
-def _links_of(pdf: pd.DataFrame, sided: bool) -> pd.DataFrame:
-    sets = [np.frombuffer(x, dtype="<u8") for x in pdf["tokens"]]
-    nodes = pdf["node"].to_numpy()
-    got = forest_links(sets, pdf["comp"].tolist(), pdf["side"].to_numpy() if sided else None)
-    return pd.DataFrame([(nodes[x], nodes[y]) for x, y in got], columns=["a", "b"]).astype("int64")
+def _sets_of(pdf: pd.DataFrame) -> list[np.ndarray]:
+    return [np.frombuffer(x, dtype="<u8") for x in pdf["tokens"]]
 
 
-def page_links(pdf: pd.DataFrame) -> pd.DataFrame:
-    return _links_of(pdf, False)
+def page_groups(pdf: pd.DataFrame) -> pd.DataFrame:
+    """(node, comp) of a page: comp is the smallest node of the group."""
+    at = grouped(_sets_of(pdf), pdf["node"].tolist())
+    comp = pdf["node"].groupby(np.array(at)).transform("min")
+    return pd.DataFrame({"node": pdf["node"], "comp": comp}).drop_duplicates()
 
 
 def pair_links(pdf: pd.DataFrame) -> pd.DataFrame:
-    return _links_of(pdf, bool(pdf["sided"].iloc[0]))
+    """(x, y): components that a link between two pages, or within one, joins."""
+    at = grouped(_sets_of(pdf), pdf["comp"].tolist(), pdf["side"].to_numpy() if pdf["sided"].iloc[0] else None)
+    low = pdf["comp"].groupby(np.array(at)).transform("min")
+    out = pd.DataFrame({"x": pdf["comp"], "y": low})
+    return out[out["x"] != out["y"]].drop_duplicates()
 
 
 def document_sets(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
@@ -353,23 +356,19 @@ def link_documents(docs: DataFrame) -> DataFrame:
     nodes = cut(reps.join(blocks, "node").withColumnRenamed("root", "block"), "nodes")
     members = cut(token_sets(docs, nodes), "members")
 
-    # Each page by itself.
-    kind = "a long, b long"
-    paged = _paged(members.withColumn("comp", F.col("node")), ["block"])
-    links = [cut(paged.groupBy("block", "page").applyInPandas(page_links, kind), "links")]
-    # Blocks of several pages: one document per component, then pairs of pages of unlike components.
-    large = paged.where("pages > 1").drop("comp", "page", "pages")
-
-    def with_components() -> DataFrame:
-        every = links[0]
-        for more in links[1:]:
-            every = every.union(more)
-        roots = cut(components(every), "roots")
-        return large.join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
-
-    bridge = _paged(with_components().where("node = comp"), ["block"])
-    links.append(cut(bridge.groupBy("block", "page").applyInPandas(page_links, kind), "links"))
-    arranged = with_components()
+    # Each page by itself: a document is in one page, so its group there needs no further merging.
+    paged = _paged(members, ["block"])
+    inner = paged.groupBy("block", "page").applyInPandas(page_groups, "node long, comp long")
+    sizes = paged.select("node", (F.col("pages") > 1).alias("more")).distinct()
+    first = cut(inner.join(sizes, "node"), "first")
+    # Blocks of several pages: one document per group, again a page each ...
+    large = members.join(first.where("more").select("node", "comp"), "node")
+    inner = _paged(large.where("node = comp").drop("comp"), ["block"]).groupBy("block", "page").applyInPandas(
+        page_groups, "node long, comp long"
+    )
+    bridge = cut(inner.select(F.col("node").alias("comp"), F.col("comp").alias("wide")), "bridge")
+    # ... then pairs of pages that hold unlike groups.
+    arranged = large.join(bridge, "comp").drop("comp").withColumnRenamed("wide", "comp")
     counts = arranged.groupBy("block", "comp").agg((F.count("*") >= PAGE // 2).alias("own"))
     arranged = arranged.join(counts, ["block", "comp"]).withColumn("pure", F.when(F.col("own"), F.col("comp")).otherwise(F.lit(-1)))
     arranged = _paged(arranged.drop("own"), ["block", "pure"])
@@ -381,14 +380,12 @@ def link_documents(docs: DataFrame) -> DataFrame:
     sides = pairs.select("a", "b", "sided", F.col("a").alias("page"), F.lit(0).alias("side")).union(
         pairs.where("sided").select("a", "b", "sided", F.col("b").alias("page"), F.lit(1).alias("side"))
     )
-    met = sides.join(arranged.drop("block", "n"), "page").groupBy("a", "b").applyInPandas(
-        lambda pdf: pair_links(pdf).rename(columns={"a": "x", "b": "y"}), "x long, y long"
+    met = sides.join(arranged.drop("block", "n"), "page").groupBy("a", "b").applyInPandas(pair_links, "x long, y long")
+    roots = components(met.select(F.col("x").alias("a"), F.col("y").alias("b"))).select(F.col("node").alias("wide"), "root")
+    groups = first.select("node", "comp").join(bridge, "comp", "left").join(roots, "wide", "left").select(
+        "node", F.coalesce("root", "wide", "comp").alias("top")
     )
-    links.append(cut(met.select(F.col("x").alias("a"), F.col("y").alias("b")), "links"))
-
-    every = links[0].union(links[1]).union(links[2])
-    roots = components(every)
-    top = reps.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("top"))
+    top = reps.join(groups, "node", "left").select("fp", F.coalesce("top", "node").alias("top"))
     return sets.select("doc_id", "n", "fp").join(top, "fp", "left").select(
         "doc_id", F.col("n").alias("n_shingles"),
         F.when(F.col("doc_id").isNotNull(), F.coalesce("top", "doc_id")).alias("component_id"),
