@@ -111,5 +111,80 @@ def queries() -> dict:
     }
 
 
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_PLAIN = r"regexp_extract_all(" + _LOWER + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_SPACE = r"regexp_extract_all(" + _LOWER + r", '[^\x20\x09-\x0D]+')"
+
+_OP3 = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_PLAIN.format("coalesce(text, '')")} AS w FROM documents),
+i AS (SELECT item_id, {_PLAIN.format("coalesce(text, '')")} AS w FROM benchmark WHERE item_id IS NOT NULL),
+iw AS (SELECT item_id, least(13, len(w)) AS size, w, unnest(range(1, greatest(1, len(w) - 12) + 1)) AS s FROM i WHERE len(w) > 0),
+win AS (SELECT DISTINCT item_id, size, array_to_string(w[s:s + size - 1], ' ') AS t FROM iw),
+sizes AS (SELECT DISTINCT size FROM win),
+dw AS (SELECT rid, size, w, unnest(range(1, len(w) - size + 2)) AS s FROM d, sizes WHERE len(w) >= size),
+hit AS (SELECT DISTINCT x.rid, x.s, x.size, win.item_id FROM dw x JOIN win ON win.size = x.size AND win.t = array_to_string(x.w[x.s:x.s + x.size - 1], ' ')),
+pos AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(s, s + size)) AS p FROM hit) z GROUP BY rid),
+its AS (SELECT rid, count(*) AS n_items, string_agg(v, ',' ORDER BY v) AS ids FROM (SELECT DISTINCT rid, CAST(item_id AS VARCHAR) AS v FROM hit) z GROUP BY rid)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(p.n_hit, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(t.n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(t.ids, '')) AS items_sha256,
+       coalesce(p.n_hit, 0) > 0 AND 20 * coalesce(p.n_hit, 0) >= len(d.w) AS contaminated
+FROM d LEFT JOIN pos p ON p.rid = d.rid LEFT JOIN its t ON t.rid = d.rid
+"""
+
+_ESCAPED = r"regexp_replace({}, '([<\[])(\\*)(/?(?:s>|INST\]))', '\1\2\\\3', 'g')"
+_OP4 = f"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+num AS (
+  SELECT *, row_number() OVER w AS i, count(*) OVER (PARTITION BY conv_id) AS n,
+         20 + length({_ESCAPED.format("role")}) + length({_ESCAPED.format("text")}) AS chars
+  FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+cum AS (SELECT *, sum(chars) OVER (PARTITION BY conv_id ORDER BY i) AS whole FROM num)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
+       CAST(coalesce(sum(CASE WHEN role = 'assistant' THEN length(text) END), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY i), '')) AS loss_sha256,
+       CAST(sum(CASE WHEN role = 'assistant' OR i = n THEN whole ELSE 0 END) AS BIGINT) AS formatted_chars,
+       CAST(sum(CASE WHEN role = 'assistant' OR i = n THEN 1 ELSE 0 END) AS BIGINT) AS n_examples
+FROM cum GROUP BY conv_id
+"""
+
+_OP8 = f"""
+WITH RECURSIVE d AS (SELECT doc_id, {_SPACE.format("coalesce(text, '')")} AS w FROM documents),
+sh AS (SELECT DISTINCT doc_id, array_to_string(w[s:s + 2], ' ') AS t
+       FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 2) + 1)) AS s FROM d WHERE len(w) > 0) z),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+both_ AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sh a JOIN sh b ON a.t = b.t AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+link AS (SELECT a, b FROM both_ JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 90 * (x.n + y.n - c)),
+sym AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach(a, b) AS (SELECT a, b FROM sym UNION SELECT r.a, s.b FROM reach r JOIN sym s ON s.a = r.b)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles,
+       least(d.doc_id, coalesce((SELECT min(r.b) FROM reach r WHERE r.a = d.doc_id), d.doc_id)) AS component_id
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id
+"""
+
+_OP10 = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e,
+         label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+           AND len(list_filter(embedding, lambda x: x <> 0)) > 0 AS sound
+  FROM embeddings),
+link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+         WHERE a.sound AND b.sound AND list_cosine_similarity(a.e, b.e) >= 0.98),
+reach(a, b) AS (SELECT a, b FROM link UNION SELECT r.a, s.b FROM reach r JOIN link s ON s.a = r.b)
+SELECT v.vec_id, CAST((SELECT count(*) FROM link WHERE link.a = v.vec_id) AS BIGINT) AS n_links,
+       least(v.vec_id, coalesce((SELECT min(r.b) FROM reach r WHERE r.a = v.vec_id), v.vec_id)) AS component_id,
+       least(v.vec_id, coalesce((SELECT min(r.b) FROM reach r WHERE r.a = v.vec_id), v.vec_id)) = v.vec_id AS kept
+FROM v
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Plain SQL over whole tables. Jaccard and cosine compare all pairs there, which is for small
+    tables. The others have none: trained models, draws, read-back files and window entropies."""
+    return {
+        "op3_decontamination": _OP3,
+        "op4_chat_format": _OP4,
+        "op8_jaccard_groups": _OP8,
+        "op10_embedding_dedup": _OP10,
+    }
