@@ -291,6 +291,17 @@ def test_token_file_checks_and_reads_only_what_is_asked():
         list(FrameReader(Source(bytes(damaged))).documents())
 
 
-def test_near_copies_fixture_is_near():
-    a, b = texts()[1], edited(texts()[1], 1)
-    assert a != b
+def test_word_cache_of_two_generations_encodes_as_the_library(monkeypatch):
+    from groupcast.llm import token_frames
+
+    monkeypatch.setattr(token_frames, "CACHE_WORDS", 40)
+    encoder = token_frames.WordEncoder(tokenizer_path())
+    hard = [
+        "x\x0cy don't, it's. 3.5; a!! b!? «ça» naïve, Straße: Ünï cödé 😀, éa.  x y ЖЖ, 中文. ½, x²: ﬁ.",
+        "A<|B", "<|ENDOFTEXT|> a", "<|endoftext|>", "", None, "...", ".,a.", "É, é. İx", edited(texts()[1], 1),
+    ]
+    for _ in range(2):
+        for t in [*hard, *texts()[:10]]:
+            want = np.array(encoder.tok.encode(t or "", add_special_tokens=False).ids, dtype="<u4").tobytes()
+            assert list(encoder.encode([t])) == [want]
+    assert len(encoder.young) + len(encoder.old) < 40 * 2 + 400
