@@ -758,6 +758,49 @@ evx AS ("""
     return sql.replace("pw AS (", "pw0 AS (").replace("ph AS (", "ph0 AS (").replace("evx AS (", start.strip("\n"))
 
 
+_CLUSTERS = """
+cdf AS (SELECT client_id, pos, sum(value) OVER (PARTITION BY client_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS c
+        FROM norm_t),
+idx AS (SELECT client_id, row_number() OVER (ORDER BY client_id) AS i FROM (SELECT DISTINCT client_id FROM norm_t) t),
+emd AS (SELECT a.client_id AS ca, b.client_id AS cb, sum(abs(a.c - b.c)) AS d FROM cdf a JOIN cdf b ON a.pos = b.pos AND a.client_id < b.client_id
+        GROUP BY a.client_id, b.client_id),
+pairs AS (SELECT x.i AS i, y.i AS j, d FROM emd JOIN idx x ON x.client_id = ca JOIN idx y ON y.client_id = cb),
+dist2 AS (SELECT i, j, d FROM pairs UNION ALL SELECT j, i, d FROM pairs),
+cnt AS (SELECT count(*) AS n FROM idx),
+lk(k, labels) AS (
+  SELECT CAST(n AS BIGINT), CAST(range(1, n + 1) AS BIGINT[]) FROM cnt
+  UNION ALL
+  SELECT k - 1, list_transform(labels, lambda x: CASE WHEN x = m.b THEN m.a ELSE x END)
+  FROM (SELECT k, labels, arg_min(struct_pack(a := a, b := b), struct_pack(d := d, a := a, b := b)) AS m
+        FROM (SELECT k, labels, least(labels[i], labels[j]) AS a, greatest(labels[i], labels[j]) AS b, avg(d) AS d
+              FROM lk, pairs WHERE k > 2 AND labels[i] <> labels[j] GROUP BY ALL) z GROUP BY k, labels) y),
+cand AS (SELECT k, labels, unnest(labels) AS lab, unnest(range(1, len(labels) + 1)) AS i FROM lk, cnt
+         WHERE k BETWEEN 2 AND greatest(2, least(n - 1, {most}))),
+cvec AS (SELECT c.k, c.lab, c.i, v.pos, v.value FROM cand c JOIN idx x ON x.i = c.i JOIN norm_t v ON v.client_id = x.client_id),
+ccen AS (SELECT k, lab, pos, avg(value) AS c FROM cvec GROUP BY k, lab, pos),
+cspr AS (SELECT k, lab, avg(d) AS s FROM (SELECT v.k, v.lab, v.i, sqrt(sum((v.value - c.c) * (v.value - c.c))) AS d FROM cvec v
+         JOIN ccen c ON c.k = v.k AND c.lab = v.lab AND c.pos = v.pos GROUP BY v.k, v.lab, v.i) t GROUP BY k, lab),
+cgap AS (SELECT a.k, a.lab AS la, b.lab AS lb, sqrt(sum((a.c - b.c) * (a.c - b.c))) AS m FROM ccen a
+         JOIN ccen b ON a.k = b.k AND a.pos = b.pos AND a.lab <> b.lab GROUP BY a.k, a.lab, b.lab),
+cdbi AS (SELECT k, avg(r) AS dbi FROM (SELECT g.k, g.la, max(CASE WHEN g.m > 0 THEN (x.s + y.s) / g.m ELSE 0.0 END) AS r FROM cgap g
+         JOIN cspr x ON x.k = g.k AND x.lab = g.la JOIN cspr y ON y.k = g.k AND y.lab = g.lb GROUP BY g.k, g.la) t GROUP BY k),
+csin AS (SELECT k, sum(CASE WHEN c = 1 THEN 1 ELSE 0 END) AS singles FROM (SELECT k, lab, count(*) AS c FROM cand GROUP BY k, lab) t GROUP BY k),
+best AS (SELECT d.k FROM cdbi d JOIN csin s ON d.k = s.k
+         ORDER BY d.dbi + 0.03 * greatest(0, d.k - 2) + 0.15 * s.singles, d.k LIMIT 1),
+lim AS (SELECT avg(d) + 0.75 * stddev_pop(d) AS lim FROM pairs WHERE d > 0),
+walk(t, labels) AS (
+  SELECT CAST(1 AS BIGINT), labels FROM lk WHERE k = (SELECT k FROM best)
+  UNION ALL
+  SELECT t + 1, CASE WHEN len(list_filter(labels, lambda x: x = labels[t])) = 1 AND m.d <= (SELECT lim FROM lim)
+                     THEN list_concat(list_concat(labels[1:t - 1], [m.c]), labels[t + 1:]) ELSE labels END
+  FROM (SELECT t, labels, min(struct_pack(d := d, c := c)) AS m
+        FROM (SELECT t, labels, labels[b.j] AS c, avg(b.d) AS d FROM walk, dist2 b WHERE t <= len(labels) AND b.i = t
+              AND labels[b.j] <> labels[t] GROUP BY ALL) z GROUP BY t, labels) y),
+fin AS (SELECT unnest(labels) AS lab, unnest(range(1, len(labels) + 1)) AS i FROM walk ORDER BY t DESC LIMIT (SELECT n FROM cnt)),
+grp AS (SELECT lab, min(i) AS first, count(*) AS size FROM fin GROUP BY lab),
+num AS (SELECT lab, size, dense_rank() OVER (ORDER BY first) - 1 AS cluster_id FROM grp)"""
+
+
 _EVALUATED = """
 trn AS (SELECT client_id, count(*) AS train_samples FROM trs GROUP BY client_id),
 naive AS (
@@ -824,7 +867,7 @@ def oracle_sql() -> dict[str, str]:
 
 
 def _oracle_sql() -> dict[str, str]:
-    from groupcast.constants import PIPELINE_EPSILON
+    from groupcast.constants import MAX_CLUSTERS_PIPELINE, PIPELINE_EPSILON
 
     c16 = list(CANDIDATE_FEATURES)
     prof = [*_base(), _FEATS, _split_cte(c16), _scaled_cte(c16), _profile_sql(c16, "train", "t", PIPELINE_EPSILON)]
@@ -931,6 +974,10 @@ rr AS (SELECT la, max(CASE WHEN m > 0 THEN (sa.s + sb.s) / m ELSE 0.0 END) AS d
         + " FROM (SELECT 'initial' AS strategy, num_samples, rmse, smape, mae, wmape, mase FROM evm"
         " UNION ALL SELECT 'naive', num_samples, rmse, smape, mae, wmape, mase FROM cm) z GROUP BY strategy"
         " UNION ALL SELECT 'none', 0.0, 0.0, 0.0, 0.0, 0.0",
+        "client_clusters": _with(*prof, _CLUSTERS.replace("{most}", str(MAX_CLUSTERS_PIPELINE))).replace("WITH ", "WITH RECURSIVE ", 1)
+        + " SELECT 'all' AS scope, x.client_id, CAST(n.cluster_id AS INTEGER) AS cluster_id, CAST(n.size AS INTEGER) AS cluster_size,"
+        " n.size = 1 AS is_isolated, CAST((SELECT count(*) FROM num) AS INTEGER) AS k_star, CAST(c.n AS INTEGER) AS n_clients"
+        " FROM fin f JOIN idx x ON x.i = f.i JOIN num n ON n.lab = f.lab, cnt c",
         "params_init": _with(*tr) + " SELECT client_id, 'body.w' AS layer, CAST(pos AS BIGINT) AS pos, round(w, 8) AS value FROM pw"
         " UNION ALL SELECT client_id, 'head.a', 0, round(a, 8) FROM ph UNION ALL SELECT client_id, 'head.b', 0, round(b, 8) FROM ph",
         "params_average": _with(*tr, "tn AS (SELECT client_id, count(*) AS n FROM trs GROUP BY client_id)")

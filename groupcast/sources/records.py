@@ -77,7 +77,12 @@ def read_cluster_history(spark: SparkSession, path: str) -> DataFrame:
         .when(F.col("assignments").isNotNull(), F.filter(mapped, lambda m: ~F.array_contains(alone, m["client_id"])).cast(kind))
         .otherwise(F.raise_error(F.lit("cluster record without members: bubbles list no clients and there are no assignments")).cast(kind))
     )
-    return last.select(F.explode(F.concat(members, isolated.cast(kind))).alias("m")).select("m.*")
+    rows = last.select(F.explode(F.concat(members, isolated.cast(kind))).alias("m")).select("m.*")
+    # A bubble of one client is an isolated client too; who is listed twice counts once.
+    size = F.count("bubble").over(Window.partitionBy("bubble"))
+    alone_too = rows.withColumn("is_isolated", F.col("is_isolated") | (F.col("bubble").isNotNull() & (size == 1)))
+    one = alone_too.groupBy("client_id").agg(F.max("is_isolated").alias("is_isolated"), F.min("bubble").alias("bubble"))
+    return one.select("client_id", F.when(~F.col("is_isolated"), F.col("bubble")).alias("bubble"), "is_isolated")
 
 
 def append_cluster_history(records: DataFrame, path: str, reset: bool = False) -> DataFrame:

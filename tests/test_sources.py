@@ -107,6 +107,8 @@ def test_history_layouts(spark, tmp_path):
     last = {"sequence": 2, "multi_client_bubbles": [], "isolated_clients": ["x"]}
     assert read("records", {"schema_version": 3, "records": [single, last]}) == {("x", None, True)}
     assert read("legacy", {"assignments": {"a": 0, "b": 0, "c": 1}, "isolated_clients": ["c"]}) == want
+    # a bubble of one client counts as isolated
+    assert read("alone", {"assignments": {"a": 0, "b": 0, "c": 1}, "isolated_clients": []}) == want
     with pytest.raises(Exception, match="without members"):
         read("compact", {"multi_client_bubbles": [{"bubble_id": 0, "size": 2}], "isolated_clients": []})
 
