@@ -3,7 +3,7 @@ verification, distributed connected components.
 
 Vectors of one label are hashed in TABLES tables of BITS sign bits each. A pair at cosine 0.98 agrees
 on one bit with probability 1 - acos(0.98) / pi = 0.936, so on a table with 0.936 ** BITS and is
-missed by all with (1 - 0.936 ** BITS) ** TABLES (3e-6 for 12 and 20); closer pairs less. Every
+missed by all with (1 - 0.936 ** BITS) ** TABLES (1.2e-6 for 16 and 32); closer pairs less. Every
 bucket that two vectors share is compared in full, in double precision.
 
 Exact copies (same label, same components) are one class: copies link with each other, and a class
@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from groupcast.llm.common import components, cut, small_batches
 
 THRESHOLD = 0.98
-BITS = 12
-TABLES = 20
+BITS = 16
+TABLES = 32
 CHUNK = 1024
 SEED = 5
 
@@ -38,9 +38,9 @@ def planes(dim: int, bits: int = BITS, tables: int = TABLES) -> np.ndarray:
 
 
 def signatures(vectors: np.ndarray, bits: int = BITS, tables: int = TABLES) -> np.ndarray:
-    """One int64 per row and table."""
+    """One int32 per row and table."""
     sign = (vectors @ planes(vectors.shape[1], bits, tables) >= 0).reshape(len(vectors), tables, bits)
-    return sign @ (1 << np.arange(bits, dtype=np.int64))
+    return sign @ (1 << np.arange(bits, dtype=np.int32))
 
 
 class Forest:
@@ -79,13 +79,42 @@ def classes(vectors: DataFrame) -> DataFrame:
     )
 
 
+def bucket_links(node, weight, v, sig, chunk, t: int, low: int, high: int, threshold: float = THRESHOLD):
+    """Links of one task, a bucket or two chunks of it: (places, number of vectors linked to each) and the
+    pairs of places that join two trees. Pairs that an earlier table's bucket holds are left to it."""
+    a, b = np.flatnonzero(chunk == low), np.flatnonzero(chunk == high)
+    links, forest, edges = np.zeros(len(node), dtype=np.int64), Forest(len(node)), []
+    for at in range(0, len(a), 32):  # of a dense bucket, 32 rows give up to 32 * CHUNK pairs at a time
+        rows = a[at : at + 32]
+        i, j = np.nonzero(v[rows] @ v[b].T >= threshold - 1e-9)
+        i, j = rows[i], b[j]
+        if low == high:
+            once = i < j
+            i, j = i[once], j[once]
+        if not len(i):
+            continue
+        # The verified cosine: one dot product per pair, in double precision.
+        sure = np.einsum("ij,ij->i", v[i], v[j]) >= threshold
+        if t:
+            sure &= ~(sig[i, :t] == sig[j, :t]).any(axis=1)
+        i, j = i[sure], j[sure]
+        np.add.at(links, i, weight[j])
+        np.add.at(links, j, weight[i])
+        edges += [(x, y) for x, y in zip(i.tolist(), j.tolist(), strict=True) if forest.join(x, y)]
+    found = np.flatnonzero(links)
+    return found, links[found], edges
+
+
 def link_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row."""
     spark = vectors.sparkSession
     small_batches(spark, 2048)
     rows = cut(classes(vectors), "vectors")
-    groups = rows.where("key is not null and vec_id is not null").groupBy("key").agg(
-        F.min("vec_id").alias("node"), F.count("*").alias("weight")
+    groups = cut(
+        rows.where("key is not null and vec_id is not null").groupBy("key").agg(
+            F.min("vec_id").alias("node"), F.count("*").alias("weight")
+        ),
+        "classes",
     )
     # One row per class holds its vector (the row of the smallest id; a repeated id is taken once).
     reps = (
@@ -93,6 +122,7 @@ def link_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         .join(groups.alias("g"), (F.col("r.key") == F.col("g.key")) & (F.col("r.vec_id") == F.col("g.node")))
         .select("g.key", "g.node", "g.weight", "r.label", "r.e")
         .dropDuplicates(["key"])
+        .select("node", "weight", "label", "e")
     )
 
     def sign(batches):
@@ -102,67 +132,63 @@ def link_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
                 # Scaling by the largest component keeps the squares of any finite vector finite.
                 v /= np.abs(v).max(axis=1, keepdims=True)
                 v /= np.sqrt((v * v).sum(axis=1, keepdims=True))
-                out = part[["key", "node", "weight", "label"]].copy()
+                out = part[["node", "weight", "label"]].copy()
                 out["dim"] = dim
-                out["sig"] = list(signatures(v))
-                out["v"] = list(v)
+                sig = signatures(v)
+                out["sigs"] = list(sig)
+                out["sig"] = [x.tobytes() for x in sig]
+                out["v"] = [x.tobytes() for x in v]
                 yield out
 
-    kind = "key string, node long, weight long, label long, dim int, sig array<long>, v array<double>"
-    signed = cut(reps.mapInPandas(sign, kind), "signed")
-    bucket = signed.select("key", "label", "dim", F.posexplode("sig").alias("t", "s"))
+    kind = "node long, weight long, label long, dim int, sigs array<int>, sig binary, v binary"
+    signed = cut(reps.mapInPandas(sign, kind).withColumn("id", F.monotonically_increasing_id()), "signed")
+    bucket = signed.select("id", "label", "dim", F.posexplode("sigs").alias("t", "s"))
     full = bucket.groupBy("label", "dim", "t", "s").agg(F.count("*").alias("size")).where("size > 1")
+    chunks = F.ceil(F.col("size") / CHUNK).cast("int")
     member = bucket.join(full, ["label", "dim", "t", "s"]).select(
-        "key", "label", "dim", "t", "s", F.ceil(F.col("size") / CHUNK).cast("int").alias("chunks"),
-        F.pmod(F.xxhash64("key"), F.ceil(F.col("size") / CHUNK)).cast("int").alias("chunk"),
+        "id", "label", "dim", "t", "s", chunks.alias("chunks"), F.pmod(F.xxhash64("id"), chunks).cast("int").alias("chunk")
     )
-    # Chunk c meets every chunk from itself on: task (low, high) gets both.
-    meets = member.select(
-        "*", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")
-    ).select(
-        "key", "label", "dim", "t", "s", "chunk",
-        F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"),
+    # Chunk c meets every chunk: task (low, high) gets both.
+    meets = member.select("*", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")).select(
+        "id", "label", "dim", "t", "s", "chunk", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high")
     )
+    task = ["label", "dim", "t", "s", "low", "high"]
 
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        t, low, high = int(pdf["t"].iloc[0]), int(pdf["low"].iloc[0]), int(pdf["high"].iloc[0])
-        sig = np.array(pdf["sig"].tolist(), dtype=np.int64)
-        v = np.array(pdf["v"].tolist(), dtype=np.float64)
-        node, weight = pdf["node"].to_numpy(), pdf["weight"].to_numpy()
-        chunk = pdf["chunk"].to_numpy()
-        a, b = np.flatnonzero(chunk == low), np.flatnonzero(chunk == high)
-        links, forest, edges = np.zeros(len(pdf), dtype=np.int64), Forest(len(pdf)), []
-        for at in range(0, len(a), 256):
-            rows = a[at : at + 256]
-            hit = v[rows] @ v[b].T >= threshold - 1e-9
-            i, j = np.nonzero(hit)
-            i, j = rows[i], b[j]
-            kept = i < j if low == high else i >= 0
-            i, j = i[kept], j[kept]
-            if not len(i):
-                continue
-            # The verified cosine: one dot product per pair, in double precision.
-            sure = np.einsum("ij,ij->i", v[i], v[j]) >= threshold
-            first = ~(sig[i, :t] == sig[j, :t]).any(axis=1) if t else np.ones(len(i), dtype=bool)
-            i, j = i[sure & first], j[sure & first]
-            np.add.at(links, i, weight[j])
-            np.add.at(links, j, weight[i])
-            for x, y in zip(i.tolist(), j.tolist(), strict=True):
-                if forest.join(x, y):
-                    edges.append((x, y))
-        found = np.flatnonzero(links)
-        out = pd.DataFrame({"a": node[found], "b": node[found], "n": links[found]})
-        if edges:
-            x, y = np.array(edges).T
-            out = pd.concat([out, pd.DataFrame({"a": node[x], "b": node[y], "n": 0})])
-        return out
+    def compare(batches):
+        """Rows come in order of task: a task is at most 2 * CHUNK rows or so, tasks follow each other."""
+        held: list[pd.DataFrame] = []
+
+        def links(pdf: pd.DataFrame):
+            out = []
+            node, weight, chunk = (pdf[c].to_numpy() for c in ("node", "weight", "chunk"))
+            keys = pdf[task].to_numpy()
+            cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
+            for lo, hi in zip([0, *cuts], [*cuts, len(pdf)], strict=True):
+                v = np.frombuffer(b"".join(pdf["v"].iloc[lo:hi])).reshape(hi - lo, -1)
+                sig = np.frombuffer(b"".join(pdf["sig"].iloc[lo:hi]), dtype=np.int32).reshape(hi - lo, -1)
+                t, low, high = (int(x) for x in (keys[lo, 2], keys[lo, 4], keys[lo, 5]))
+                n = node[lo:hi]
+                found, count, edges = bucket_links(n, weight[lo:hi], v, sig, chunk[lo:hi], t, low, high, threshold)
+                out += zip(n[found].tolist(), n[found].tolist(), count.tolist(), strict=True)
+                out += [(int(n[x]), int(n[y]), 0) for x, y in edges]
+            return pd.DataFrame(out, columns=["a", "b", "n"]).astype("int64")
 
-    task = ["label", "dim", "t", "s", "low", "high"]
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            held.append(pdf)
+            whole = pd.concat(held, ignore_index=True) if len(held) > 1 else pdf
+            last = (whole[task] == whole[task].iloc[-1]).all(axis=1).to_numpy()
+            open_from = len(whole) - int(np.argmin(last[::-1])) if not last.all() else 0
+            if open_from:
+                yield links(whole.iloc[:open_from].reset_index(drop=True))
+            held = [whole.iloc[open_from:].reset_index(drop=True)]
+        if held:
+            yield links(held[0])
+
+    rows_of_tasks = meets.join(signed.select("id", "node", "weight", "sig", "v"), "id").drop("id")
     found = cut(
-        meets.join(signed.select("key", "node", "weight", "sig", "v"), "key")
-        .groupBy(*task)
-        .applyInPandas(compare, "a long, b long, n long"),
-        "links",
+        rows_of_tasks.repartition(*task).sortWithinPartitions(*task).mapInPandas(compare, "a long, b long, n long"), "links"
     )
     counts = found.groupBy("a").agg(F.sum("n").alias("others"))
     roots = components(found.where("a != b").select("a", "b"))
