@@ -8,7 +8,7 @@ together by stochastic gradient descent in numpy on a bounded sample of labelled
 rows (SAMPLE_ROWS in all, equally many per language, the lowest hashes of
 doc_id). A fifth of the sample is kept out of training: on it the softmax
 temperature is fitted and the rejection threshold is set to the REJECT_SHARE
-quantile of the confidence, at most REJECT_MOST.
+quantile of the confidence, at most REJECT_MOST, so that short and mixed texts stay.
 
 Cases: a null or letterless text (empty included) gets ``und`` and score 0; null
 languages are not learned from; a null doc_id counts as a training row; without
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from groupcast.llm.common import LOWER_WORDS, small_batches
+from groupcast.llm.common import LOWER_WORDS, cut, small_batches
 
 BUCKETS = 1 << 15
 DIM = 16
@@ -34,7 +34,7 @@ EPOCHS = 6
 RATE = 0.5
 SAMPLE_ROWS = 2000
 REJECT_SHARE = 0.001
-REJECT_MOST = 0.5
+REJECT_MOST = 0.35
 PIECE = 1 << 20
 
 
@@ -46,6 +46,11 @@ class Model:
     reject_below: float
 
 
+def parts_of(model: Model | None) -> tuple | None:
+    """Plain values, which a worker can read without this package on its path."""
+    return None if model is None else (model.labels, model.weights, model.bias, model.reject_below)
+
+
 def feature_ids(text: str):
     """Bucket numbers of the text's pieces, in parts of about PIECE bytes."""
     raw = b" " + b" ".join(text.encode().translate(LOWER_WORDS).split()) + b" "
@@ -135,7 +140,8 @@ def learn(docs: DataFrame, trains) -> Model | None:
     sizes = docs.where(trains & F.col("lang").isNotNull()).groupBy("lang").count()
     spread = F.pmod(F.xxhash64("doc_id", F.lit("language sample")), F.lit(1_000_000_007)) / 1_000_000_007.0
     each = F.greatest(F.lit(1), F.floor(F.lit(SAMPLE_ROWS) / F.count("*").over(W.partitionBy(F.lit(1)))))
-    quota = sizes.select("lang", "count", each.alias("each"))
+    # One row per language, written first: its size is known when the join is planned.
+    quota = cut(sizes.select("lang", "count", each.alias("each")), "quota")
     near = (
         rows.withColumn("u", spread)
         .join(quota, "lang")
@@ -170,10 +176,10 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     """(doc_id, lang_pred, score, rejected) for every row."""
     spark = docs.sparkSession
     small_batches(spark)
-    shared = spark.sparkContext.broadcast(model)
+    shared = spark.sparkContext.broadcast(parts_of(model))
 
     def run(batches):
-        m = shared.value
+        m = Model(*shared.value) if shared.value else None
         for b in batches:
             said = [
                 predict(m, t) if ok and m else ("und", 0.0)
@@ -197,11 +203,11 @@ def keep_identified(docs: DataFrame, model: Model | None) -> DataFrame:
     """docs without the rows that the model rejects; the same columns."""
     spark = docs.sparkSession
     small_batches(spark)
-    shared = spark.sparkContext.broadcast(model)
+    shared = spark.sparkContext.broadcast(parts_of(model))
     names = docs.columns
 
     def run(batches):
-        m = shared.value
+        m = Model(*shared.value) if shared.value else None
         for b in batches:
             ok = [
                 bool(o and m) and predict(m, t)[1] >= m.reject_below
