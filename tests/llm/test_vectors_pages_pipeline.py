@@ -105,6 +105,19 @@ def test_copies_of_one_page_keep_their_text(spark):
     assert {r.text for r in extract(df).collect()} == {"one\ntwo"}
 
 
+def test_near_copies_and_shared_headings_keep_their_text(spark):
+    from groupcast.llm.html_wrapper import extract
+
+    kinds = {"a": "<article>{}</article>", "b": "<p>Site</p><main>{}</main>", "c": "<p>Site</p><div class=content>{}</div>"}
+    body = "<h1>Title {}</h1><h2>Summary</h2><p>the same long body on each page</p>"
+    pages = [(i, f"http://{h}/{i}", k.format(body.format(i))) for h, k in kinds.items() for i in range(5)]
+    pages += [(i, f"http://d/{i}", f"<p>Site</p><p>page</p><div>text {i}</div>") for i in range(5)]  # no such element: template goes
+    got = extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    for r in got:
+        whole = f"Title {r.page_id}\nSummary\nthe same long body on each page"
+        assert r.text == (f"text {r.page_id}" if "//d/" in r.url else whole)
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
     from tests.llm.test_text_operators import contamination, groups
