@@ -118,6 +118,20 @@ def test_near_copies_and_shared_headings_keep_their_text(spark):
         assert r.text == (f"text {r.page_id}" if "//d/" in r.url else whole)
 
 
+def test_page_text_does_not_depend_on_row_order(spark):
+    from groupcast.llm.html_wrapper import extract
+
+    # 210 pages of one layout, then 215 of another whose nodes the first has not.
+    pages = [(i, "http://h/", f"<div class=x><p>old {i}</p></div>") for i in range(210)]
+    pages += [(i, "http://h/", f"<div class=y><h5>Site</h5><p>new {i}</p></div>") for i in range(210, 425)]
+    want = {i: f"{'old' if i < 210 else 'new'} {i}" for i in range(425)}
+    for some in (pages, pages[::-1]):
+        for parts in (1, 4):
+            df = spark.createDataFrame(some, "page_id long, url string, html string").coalesce(1)
+            got = extract(df if parts == 1 else df.repartition(parts)).collect()
+            assert {r.page_id: r.text for r in got} == want
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
     from tests.llm.test_text_operators import contamination, groups
