@@ -132,6 +132,15 @@ def test_page_text_does_not_depend_on_row_order(spark):
             assert {r.page_id: r.text for r in got} == want
 
 
+def test_deeply_nested_pages(spark):
+    from groupcast.llm.html_wrapper import extract
+
+    pages = [(i, "http://h/", "<div>" * 5000 + f"deep {i}" + "<ul>" * 1000 + "<li>x") for i in range(4)]
+    pages += [(9, "http://h/9", "<article>" * 2000 + "<p>a" + "</article>" * 2000 + "after")]
+    got = extract(spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1)).collect()
+    assert {r.page_id: r.text for r in got} == {i: f"deep {i}" for i in range(4)} | {9: "a"}
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
     from tests.llm.test_text_operators import contamination, groups
