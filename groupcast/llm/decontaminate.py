@@ -60,8 +60,13 @@ def item_windows(items: DataFrame, window: int = WINDOW, k: int = K) -> DataFram
     return rows.mapInArrow(run, "item_id long, words string, length int, shingles array<long>, k int").distinct()
 
 
+def nameless(of: str = ""):
+    """What a row with a null doc_id is known by: a digest of its text; null for all others."""
+    return F.when(F.col(f"{of}doc_id").isNull(), F.sha2(F.col(f"{of}text").cast("binary"), 256))
+
+
 def postings(docs: DataFrame, windows: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
-    """One row per document: rid, doc_id, n_words, posts of (pos, shingle, words, ahead): the shingle at
+    """One row per document: rid, doc_id, nameless, n_words, posts of (pos, shingle, words, ahead): the shingle at
     word ``pos`` and the words around it, of which ``ahead`` come before it. Written to the shared folder."""
     spark = docs.sparkSession
     small_batches(spark)
@@ -105,12 +110,12 @@ def postings(docs: DataFrame, windows: DataFrame, window: int = WINDOW, k: int =
                 pa.struct([("pos", pa.int32()), ("shingle", pa.int64()), ("words", pa.string()), ("ahead", pa.int32())])
             )
             yield pa.RecordBatch.from_arrays(
-                [b.column("rid"), b.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(posts, kind)],
-                names=["rid", "doc_id", "n_words", "posts"],
+                [b.column("rid"), b.column("doc_id"), b.column("nameless"), pa.array(n_words, pa.int64()), pa.array(posts, kind)],
+                names=["rid", "doc_id", "nameless", "n_words", "posts"],
             )
 
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    kind = "rid long, doc_id long, n_words long, posts array<struct<pos:int,shingle:long,words:string,ahead:int>>"
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), nameless().alias("nameless"), "text")
+    kind = "rid long, doc_id long, nameless string, n_words long, posts array<struct<pos:int,shingle:long,words:string,ahead:int>>"
     return cut(rows.mapInArrow(run, kind), "postings")
 
 
@@ -141,6 +146,11 @@ def find_hits(posts: DataFrame, windows: DataFrame) -> DataFrame:
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for every row of docs."""
+    return verdicts(docs, items, window).drop("nameless")
+
+
+def verdicts(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
+    """decontaminate() with the column nameless."""
     small_batches(docs.sparkSession)
     windows = cut(item_windows(items, window), "windows")
     posts = postings(docs, windows, window)
@@ -157,10 +167,10 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
     hit = F.coalesce("n_hit", F.lit(0))
     names = F.coalesce("items", F.array().cast("array<string>"))
     return (
-        posts.select("rid", "doc_id", "n_words")
+        posts.select("rid", "doc_id", "nameless", "n_words")
         .join(n_hit.join(found, "rid"), "rid", "left")
         .select(
-            "doc_id", "n_words", hit.cast("long").alias("n_hit"), F.size(names).cast("long").alias("n_items"),
+            "doc_id", "nameless", "n_words", hit.cast("long").alias("n_hit"), F.size(names).cast("long").alias("n_items"),
             F.sha2(F.array_join(names, ",").cast("binary"), 256).alias("items_sha256"),
             ((hit > 0) & (20 * hit >= F.col("n_words"))).alias("contaminated"),
         )
@@ -168,6 +178,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """docs without contaminated documents (an id goes if any of its rows is contaminated)."""
-    bad = cut(decontaminate(docs, items).where("contaminated").select("doc_id").distinct(), "contaminated")
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    """docs without contaminated documents (an id goes if any of its rows is contaminated; a row with a
+    null id goes if it is itself)."""
+    bad = cut(verdicts(docs, items).where("contaminated").select("doc_id", "nameless").distinct(), "contaminated")
+    same = F.col("d.doc_id").eqNullSafe(F.col("b.doc_id")) & nameless("d.").eqNullSafe(F.col("b.nameless"))
+    return docs.alias("d").join(bad.alias("b"), same, "left_anti").select(*docs.columns)

@@ -153,6 +153,16 @@ def test_decontamination(spark):
     assert kept.columns == frame(spark, []).columns
 
 
+def test_contaminated_rows_without_an_id_go(spark):
+    from groupcast.llm.decontaminate import drop_contaminated
+
+    base = texts()
+    table = [(None, base[7], "en", "s"), (None, base[7], "en", "t"), (None, base[8], "en", "s"), (None, None, "en", "s"), (1, base[9], "en", "s"), (2, base[7], None, None)]
+    items = spark.createDataFrame([(1, base[7])], "item_id long, text string")
+    kept = drop_contaminated(frame(spark, table), items).collect()
+    assert sorted(((r.doc_id, r.text) for r in kept), key=str) == sorted([(None, base[8]), (None, None), (1, base[9])], key=str)
+
+
 def test_lattice_sums_all_segmentations():
     from groupcast.llm.lattice_lm import Lattice, Vocabulary
 
