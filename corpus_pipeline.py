@@ -8,8 +8,8 @@ Each function takes (spark, docs, sf_dir) and returns a DataFrame; its result is
 to the shared folder and read again as the next one's docs. All but the last return the columns of docs.
 
 Cases (each operator's own are in its docstring): a table without rows goes through all stages; nulls in any
-column stay nulls; documents with a null text have no letter and go at the first stage; rows that repeat
-a doc_id are one document from the second stage on; columns other than doc_id, text, lang, source are carried along.
+column stay nulls; documents with a null text have no letter and go at the first stage; of rows that repeat
+a doc_id the second stage leaves one per group of like texts; columns other than doc_id, text, lang, source are carried along.
 """
 
 from __future__ import annotations

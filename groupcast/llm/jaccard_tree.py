@@ -1,7 +1,8 @@
 """N-gram Jaccard join by signature trees: groups of documents linked at Jaccard >= PERCENT / 100.
 
 A document's set is its distinct K-word shingles (fewer words: the whole sequence is one; none: empty,
-linked with nothing), as 64-bit hashes. Equal sets are one class, kept by its smallest doc_id.
+linked with nothing), as 64-bit hashes. Equal sets are one class, read from a row with its smallest doc_id (``least``),
+whose row number stands for the class (``node``).
 
 Blocks. A pair at the threshold whose larger set has m shingles differs in at most
 d = 2 * (100 - PERCENT) * m / (100 + PERCENT) of them. Sizes fall into classes (WIDTH apart); for a class with at most
@@ -23,7 +24,8 @@ pages arranged by component, whose OR bitmaps and size ranges decide which pairs
 of one and the same component are left out. No link between documents of unlike components is lost.
 
 Cases: null and wordless texts have an empty set; a null doc_id links with nothing and its component is null; rows that
-repeat a doc_id are one document (linked), each with its own row; an empty table gives no rows; other columns are ignored.
+repeat a doc_id are one document (linked, whatever their texts), each with its own row; keep_one decides by texts
+alone, so that no text leaves without a like one that stays; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,6 +35,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from groupcast.llm.common import WordHashes, bit_filter, components, cut, mix64, shingle_hashes, small_batches, space_words
 
@@ -233,7 +236,7 @@ def pair_links(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def document_sets(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n, fp (of the set; null if empty), sigs. Written to the shared folder."""
+    """rid, doc_id, n, fp (of the set; null if empty), sigs. Written to the shared folder."""
     def run(batches):
         import xxhash
 
@@ -249,22 +252,22 @@ def document_sets(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFr
             flat = np.concatenate(sigs) if sigs else np.empty(0, dtype=np.int64)
             yield pa.RecordBatch.from_arrays(
                 [
-                    b.column("doc_id"), pa.array(n, pa.int64()), pa.array(fp, pa.binary()),
+                    b.column("rid"), b.column("doc_id"), pa.array(n, pa.int64()), pa.array(fp, pa.binary()),
                     pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int64())),
                 ],
-                names=["doc_id", "n", "fp", "sigs"],
+                names=["rid", "doc_id", "n", "fp", "sigs"],
             )
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return cut(rows.mapInArrow(run, "doc_id long, n long, fp binary, sigs array<long>"), "sets")
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return cut(rows.mapInArrow(run, "rid long, doc_id long, n long, fp binary, sigs array<long>"), "sets")
 
 
 def token_sets(docs: DataFrame, nodes: DataFrame, k: int = K) -> DataFrame:
-    """nodes (node, fp, block) with n and tokens, the sorted hashes of the document's set.
+    """nodes (node, least, fp, block) with n and tokens, the sorted hashes of the document's set.
 
     Documents are chosen by a filter of fixed size before their texts are cut again; the join is exact."""
     spark = docs.sparkSession
-    mask = spark.sparkContext.broadcast(np.packbits(bit_filter(nodes.select(F.xxhash64("node").alias("h")), "h", FILTER_BITS)))
+    mask = spark.sparkContext.broadcast(np.packbits(bit_filter(nodes.select(F.xxhash64("least").alias("h")), "h", FILTER_BITS)))
 
     def run(batches):
         import xxhash
@@ -275,16 +278,16 @@ def token_sets(docs: DataFrame, nodes: DataFrame, k: int = K) -> DataFrame:
             sets = [shingle_set(space_words(t), known, k) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [
-                    b.column("node"), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
+                    b.column("least"), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
                     pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()),
                 ],
-                names=["node", "fp", "n", "tokens"],
+                names=["least", "fp", "n", "tokens"],
             )
 
     at = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(FILTER_BITS))
-    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("node"), "text", at.alias("at"))
-    sets = rows.mapInArrow(run, "node long, fp binary, n long, tokens binary")
-    return nodes.join(sets, ["node", "fp"]).dropDuplicates(["node", "fp"])
+    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("least"), "text", at.alias("at"))
+    sets = rows.mapInArrow(run, "least long, fp binary, n long, tokens binary")
+    return nodes.join(sets, ["least", "fp"]).dropDuplicates(["node"])
 
 
 def _paged(members: DataFrame, keys: list[str]) -> DataFrame:
@@ -337,17 +340,16 @@ def page_pairs(members: DataFrame) -> DataFrame:
     return flat.mapInPandas(prune, "a string, b string, sided boolean").union(one)
 
 
-def link_documents(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of docs (doc_id, text)."""
+def link_texts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows (doc_id, n, fp) of docs (doc_id, text) and their classes (fp, least, top): top is the number of the
+    group of linked classes. Empty sets have no class. Rows of one doc_id are linked by their texts only."""
     small_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     sets = document_sets(docs)
-    reps = cut(
-        sets.where("fp is not null and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node")), "classes"
-    )
-    holders = sets.alias("s").join(
-        reps.alias("r"), F.expr("s.fp = r.fp and s.doc_id = r.node")
-    ).select("r.node", F.explode("s.sigs").alias("sig"))
+    first = sets.where("fp is not null and doc_id is not null").groupBy("fp").agg(F.min(F.struct("doc_id", "rid")).alias("m"))
+    reps = cut(first.select("fp", F.col("m.doc_id").alias("least"), F.col("m.rid").alias("node")), "classes")
+    # Only numbers of rows meet the signatures: 8 bytes a class.
+    holders = sets.join(reps.select("node"), F.col("rid") == F.col("node")).select("node", F.explode("sigs").alias("sig"))
     shared = holders.groupBy("sig").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
     meet = holders.join(shared.select("sig", "low"), "sig").where("node != low").select(
         F.col("low").alias("a"), F.col("node").alias("b")
@@ -385,18 +387,62 @@ def link_documents(docs: DataFrame) -> DataFrame:
     groups = first.select("node", "comp").join(bridge, "comp", "left").join(roots, "wide", "left").select(
         "node", F.coalesce("root", "wide", "comp").alias("top")
     )
-    top = reps.join(groups, "node", "left").select("fp", F.coalesce("top", "node").alias("top"))
-    return sets.select("doc_id", "n", "fp").join(top, "fp", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"),
-        F.when(F.col("doc_id").isNotNull(), F.coalesce("top", "doc_id")).alias("component_id"),
+    top = reps.join(groups, "node", "left").select("fp", "least", F.coalesce("top", "node").alias("top"))
+    return sets.select("doc_id", "n", "fp"), top
+
+
+def link_documents(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id for every row of docs (doc_id, text)."""
+    rows, classes = link_texts(docs)
+    classes = cut(classes, "groups")
+    smallest = classes.groupBy("top").agg(F.min("least").alias("component"))
+    linked = rows.join(classes.join(smallest, "top").select("fp", "component"), "fp", "left").select(
+        "doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component")
+    )
+    linked = cut(linked, "linked")
+    # Rows of one doc_id are linked too: their components meet in the smallest of them.
+    several = linked.where("doc_id is not null").groupBy("doc_id").agg(
+        F.min("component").alias("a"), F.max("component").alias("b")
+    ).where("a < b")
+    meet = linked.join(several.select("doc_id", "a"), "doc_id").where("component != a").select("a", F.col("component").alias("b"))
+    roots = cut(components(meet.distinct()), "roots").withColumnRenamed("node", "component")
+    return linked.join(roots, "component", "left").select(
+        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "component").alias("component_id")
     )
 
 
+def with_fingerprint(docs: DataFrame, k: int = K) -> DataFrame:
+    """docs with _fp, the fingerprint of the text's set."""
+    def run(batches):
+        import xxhash
+
+        known = WordHashes()
+        for b in batches:
+            sets = [shingle_set(space_words(t), known, k) for t in b.column("text").to_pylist()]
+            fp = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fp, pa.binary())], names=[*b.schema.names, "_fp"])
+
+    small_batches(docs.sparkSession)
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("_fp", T.BinaryType())]))
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs with one document of each group: the one whose id is the group's smallest; of rows that
-    repeat its id, one. Rows with a null id stay. The same columns."""
-    linked = cut(link_documents(docs), "groups")
-    gone = cut(linked.where("doc_id != component_id").select("doc_id").distinct(), "gone")
-    again = cut(linked.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
-    single = docs.join(gone.union(again), "doc_id", "left_anti").select(*docs.columns)
-    return single.union(docs.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns))
+    """docs with one row of each group of linked texts: one of the class that has the group's smallest doc_id, with
+    that id. Of rows with an empty set one per doc_id stays, rows with a null id all stay. The same columns."""
+    rows, classes = link_texts(docs)
+    # The class that stays of each group, with the doc_id that keeps it.
+    best = classes.groupBy("top").agg(F.min(F.struct("least", "fp")).alias("best")).select("best.fp", F.col("best.least").alias("keeper"))
+    judged = rows.where("doc_id is not null").join(best, "fp", "left").select(
+        "doc_id", "fp", (F.col("fp").isNull() | F.coalesce(F.col("doc_id") == F.col("keeper"), F.lit(False))).alias("stays")
+    )
+    judged = cut(judged, "judged")
+    ids = cut(
+        judged.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("stays").alias("stays")).where("n > 1 or not stays"), "ids"
+    )
+    single = docs.join(ids.select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    # Rows of ids that repeat are told apart by their sets.
+    again = ids.where("stays").select("doc_id")
+    stay = judged.where("stays").join(again, "doc_id", "left_semi").select("doc_id", "fp").distinct()
+    some = with_fingerprint(docs.join(again, "doc_id", "left_semi").select(*docs.columns)).dropDuplicates(["doc_id", "_fp"])
+    same = F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")) & F.col("d._fp").eqNullSafe(F.col("s.fp"))
+    return single.union(some.alias("d").join(stay.alias("s"), same, "left_semi").select(*docs.columns))

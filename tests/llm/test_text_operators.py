@@ -92,6 +92,20 @@ def test_jaccard_keeps_one_of_each_group(spark):
     assert ids.count(None) == 2
 
 
+def test_jaccard_unlike_texts_of_one_id(spark):
+    from groupcast.llm.jaccard_tree import keep_one, link_documents
+
+    a, b, c = texts(n=3)
+    table = [(3, a), (5, a), (5, b), (5, b), (6, b), (7, c), (7, a), (7, c), (8, c), (9, ""), (9, ""), (9, c), (None, a), (None, a)]
+    docs = frame(spark, [(*r, "en", "s") for r in table])
+    kept = sorted(((r.doc_id, r.text) for r in keep_one(docs).collect()), key=str)
+    assert kept == sorted([(3, a), (5, b), (7, c), (9, ""), (None, a), (None, a)], key=str)
+    want = groups(table)
+    assert {want[i] for i in (3, 5, 6, 7, 8, 9)} == {3}
+    got = link_documents(docs).collect()
+    assert len(got) == len(table) and all(r.component_id == want.get(r.doc_id) for r in got)
+
+
 def test_empty_tables(spark):
     from groupcast.llm import decontaminate, jaccard_tree, language_id, lattice_lm, mixing, secrets, token_frames
 
