@@ -6,9 +6,11 @@
    excess is shared again by weight until none is above. In closed form: by
    rising CAP * size / weight the stopped sources come first, and a source stops
    if that ratio is at most (all - stopped before) / (weight from here on).
-3. Blocks. A source's documents fall into blocks by a hash of (doc_id, text). A
+3. Blocks. A source's documents fall into blocks by a hash of (doc_id, text); a document of
+   more than BLOCK_WORDS words is a block of its own. A
    target is ``floor(target / size)`` whole passes over the source plus a rest: the rest
-   takes blocks in permuted order, and of the block at the border those documents, in
+   takes blocks in permuted order up to one that does not fit (the border), then of those from there
+   on whole blocks that still fit, and at last of the next blocks those documents, in
    permuted order, that still fit. The plan of this is one row per source.
 4. Tree. The block draws of all sources are split between the two halves of the
    output shards, each half again, down to single shards. At each node the left
@@ -36,6 +38,7 @@ from groupcast.llm.common import cut
 CAP = 3
 SHARDS = 64
 BLOCK_WORDS = 50_000
+LAST_BLOCKS = 4
 SEED = 11
 
 
@@ -91,34 +94,50 @@ def targets(rows: DataFrame) -> DataFrame:
 
 def _place_blocks(df: DataFrame) -> DataFrame:
     """Adds block and ``turn``, the block's place in its source's permutation."""
-    return df.withColumn("block", F.pmod(F.xxhash64("u", F.lit("block")), F.col("blocks"))).withColumn(
+    own = -1 - F.pmod(F.xxhash64("u", F.lit("own block")), F.lit((1 << 63) - 1))
+    block = F.when(F.col("size") > BLOCK_WORDS, own).otherwise(F.pmod(F.xxhash64("u", F.lit("block")), F.col("blocks")))
+    return df.withColumn("block", block).withColumn(
         "turn", F.xxhash64("block", F.coalesce("source", F.lit("")), F.lit(SEED))
     )
 
 
 def draw_plan(rows: DataFrame) -> DataFrame:
-    """targets() with the border of the rest: of each source the blocks before ``border_turn`` are
-    taken once more, and of the block at ``border_turn`` the documents in ``border_us``.
+    """targets() with what the rest takes: of each source the blocks before ``border_turn``, the blocks
+    in ``border_blocks`` from there on, and the documents in ``border_us``.
 
-    Blocks are ordered from one row per block; only border blocks are ordered by document."""
+    Blocks are ordered from one row per block; only LAST_BLOCKS blocks a source are ordered by document."""
     per_source = targets(rows)
     same = F.col("s.source").eqNullSafe(F.col("d.source"))
     placed = _place_blocks(
         rows.alias("d").join(per_source.alias("s"), same).select("d.*", "s.rest", "s.blocks")
     )
-    blocks = placed.groupBy("source", "turn", "rest").agg(F.sum("size").alias("block_size"))
+    blocks = cut(placed.groupBy("source", "block", "turn", "rest").agg(F.sum("size").alias("block_size")), "blocks")
     ahead = F.sum("block_size").over(W.partitionBy("source").orderBy("turn")) - F.col("block_size")
-    border = (
+    border = cut(
         blocks.withColumn("ahead", ahead)
         .where("ahead <= rest and ahead + block_size > rest")
-        .groupBy("source").agg(F.min("turn").alias("border_turn"), F.min_by("ahead", "turn").alias("ahead"))
+        .groupBy("source", "rest").agg(F.min("turn").alias("border_turn"), F.min_by("ahead", "turn").alias("ahead")),
+        "border",
+    )
+    later = cut(
+        blocks.alias("k").join(border.alias("b"), same_source("k", "b") & (F.col("k.turn") >= F.col("b.border_turn")))
+        .where("block_size > 0").select("k.source", "k.block", "k.turn", "k.block_size"),
+        "later",
+    )
+    border = _fill(border, later)
+    open_blocks = later.alias("k").join(border.alias("b"), same_source("k", "b")).where(
+        (F.col("k.block") >= 0) & ~F.array_contains("b.border_blocks", F.col("k.block"))
+    )
+    next_ = W.partitionBy("k.source").orderBy("k.turn", "k.block")
+    last_blocks = open_blocks.withColumn("nth", F.row_number().over(next_)).where(F.col("nth") <= LAST_BLOCKS).select(
+        "k.source", "k.block", "k.turn", "b.rest", "b.ahead"
     )
     inside = (
         placed.alias("d")
-        .join(border.alias("b"), F.col("d.source").eqNullSafe(F.col("b.source")) & (F.col("d.turn") == F.col("b.border_turn")))
-        .select("d.source", "d.doc_id", "d.u", "d.size", "d.rest", "b.ahead")
+        .join(last_blocks.alias("b"), F.col("d.source").eqNullSafe(F.col("b.source")) & (F.col("d.block") == F.col("b.block")))
+        .select("d.source", "d.doc_id", "d.u", "d.turn", "d.size", "b.rest", "b.ahead")
     )
-    # A border block holds about BLOCK_WORDS words: one fold per source takes, in permuted order, what still fits.
+    # What is open is less than any of these blocks: one fold per source takes, in permuted order, what still fits.
     start = F.struct(F.col("ahead").cast("double").alias("sum"), F.array().cast("array<bigint>").alias("out"))
 
     def take(state, x):
@@ -130,17 +149,50 @@ def draw_plan(rows: DataFrame) -> DataFrame:
 
     last = (
         inside.where("size > 0").groupBy("source", "rest", "ahead")
-        .agg(F.sort_array(F.collect_list(F.struct("u", "size"))).alias("items"))
+        .agg(F.sort_array(F.collect_list(F.struct("turn", "u", "size"))).alias("items"))
         .select("source", F.aggregate("items", start, take, lambda s: s["out"]).alias("border_us"))
     )
     return (
         per_source.alias("s")
         .join(border.alias("b"), same_source("s", "b"), "left")
         .join(last.alias("l"), same_source("s", "l"), "left")
-        .select("s.*", "b.border_turn", "l.border_us")
+        .select("s.*", "b.border_turn", "b.border_blocks", "l.border_us")
     )
 
 
+def _fill(border: DataFrame, later: DataFrame) -> DataFrame:
+    """border with border_blocks, whole blocks from the border on that fit, and their words added to ahead.
+
+    A round takes the blocks that fit in order up to one that does not, or that one alone if it is
+    larger than they are: what is open at least halves, so there are few rounds."""
+    state = cut(border.withColumn("ahead", F.col("ahead").cast("long")).withColumn("border_blocks", F.array().cast("array<bigint>")), "fill")
+    sum_ = F.sum("block_size").over(W.partitionBy("k.source").orderBy("k.turn", "k.block"))
+    while True:
+        fits = (F.col("block_size") <= F.col("rest") - F.col("ahead")) & ~F.array_contains("b.border_blocks", F.col("k.block"))
+        run = later.alias("k").join(state.alias("b"), same_source("k", "b")).where(fits).withColumn("sum", sum_).select(
+            "k.source", "k.block", "k.block_size", "sum", (F.col("sum") <= F.col("b.rest") - F.col("b.ahead")).alias("whole")
+        )
+        step = run.groupBy("source").agg(
+            F.coalesce(F.max(F.when(F.col("whole"), F.col("sum"))), F.lit(0)).alias("words"),
+            F.collect_list(F.when(F.col("whole"), F.col("block"))).alias("taken"),
+            F.min_by(F.struct("block_size", "block"), F.when(~F.col("whole"), F.col("sum"))).alias("over"),
+        )
+        alone = F.coalesce(F.col("over.block_size") > F.col("words"), F.lit(False))
+        step = cut(step.select(
+            "source", F.when(alone, F.col("over.block_size")).otherwise(F.col("words")).alias("words"),
+            F.when(alone, F.array("over.block")).otherwise(F.col("taken")).alias("taken"),
+        ), "step")
+        if step.isEmpty():
+            return state
+        state = cut(
+            state.alias("b").join(step.alias("t"), same_source("b", "t"), "left").select(
+                "b.source", "b.rest", "b.border_turn", (F.col("b.ahead") + F.coalesce("t.words", F.lit(0))).alias("ahead"),
+                F.concat("b.border_blocks", F.coalesce("t.taken", F.array().cast("array<bigint>"))).alias("border_blocks"),
+            ),
+            "fill",
+        )
+
+
 def same_source(a: str, b: str):
     return F.col(f"{a}.source").eqNullSafe(F.col(f"{b}.source"))
 
@@ -150,16 +202,19 @@ def draws(rows: DataFrame, plan: DataFrame) -> DataFrame:
     often the mix takes them. Needs no shuffle of the rows while the plan, one row per source, is small."""
     placed = _place_blocks(
         rows.alias("d").join(plan.alias("p"), same_source("d", "p"))
-        .select("d.*", "p.source_size", "p.target", "p.passes", "p.blocks", "p.border_turn", "p.border_us")
+        .select("d.*", "p.source_size", "p.target", "p.passes", "p.blocks", "p.border_turn", "p.border_blocks", "p.border_us")
     )
     more = (
         F.col("border_turn").isNull()  # the rest is the whole source: only by rounding
         | (F.col("turn") < F.col("border_turn"))
-        | ((F.col("turn") == F.col("border_turn")) & F.coalesce(F.array_contains("border_us", F.col("u")), F.lit(False)))
+        | (
+            (F.col("turn") >= F.col("border_turn"))
+            & (F.array_contains("border_blocks", F.col("block")) | F.coalesce(F.array_contains("border_us", F.col("u")), F.lit(False)))
+        )
     )
     copies = F.least(F.lit(CAP), F.col("passes") + more.cast("int"))
     return placed.withColumn("copies", F.when(F.col("size") > 0, copies).otherwise(F.lit(0))).drop(
-        "passes", "blocks", "turn", "border_turn", "border_us"
+        "passes", "blocks", "turn", "border_turn", "border_blocks", "border_us"
     )
 
 

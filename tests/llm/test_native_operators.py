@@ -91,6 +91,28 @@ def test_mixing(spark):
             assert times[r.doc_id] * r["size"] == r.taken
 
 
+def test_mixing_goes_on_past_giant_documents(spark):
+    from groupcast.llm.mixing import draw_plan, mix, per_document, sized
+
+    # Sources of about 200,000 words, a third of it or more in one or two documents.
+    table = []
+    for n in range(9):
+        table += [(1000 * n + i, "w " * 250, "en", f"g{n}") for i in range(400)]
+        table += [(1000 * n + 900 + i, "w " * size, "en", f"g{n}") for i, size in enumerate([100_000] if n % 2 else [60_000, 70_000])]
+    found = sized(frame(spark, table))
+    taken, target, copies = collections.Counter(), {}, collections.defaultdict(set)
+    for r in per_document(mix(found, draw_plan(found))).collect():
+        n = r.doc_id // 1000
+        taken[n] += r.taken
+        target[n] = (r.target, r.source_size)
+        if r["size"] == 250:
+            copies[n].add(r.taken // 250)
+    for n, (want, size) in target.items():
+        assert taken[n] <= want + 1e-6
+        # Short by a small document or more only where every small one is taken once more.
+        assert want - taken[n] < 250 or copies[n] == {want // size + 1}
+
+
 def test_splitting_tree_keeps_quotas_and_halves(spark):
     from groupcast.llm.mixing import split_quotas
 
