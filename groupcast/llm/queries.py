@@ -89,6 +89,13 @@ def op10_embedding_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return link_vectors(table(spark, sf, "embeddings"))
 
 
+def op13_sequence_packing(spark: SparkSession, sf: str) -> DataFrame:
+    from groupcast.llm.sequence_packing import pack
+
+    pieces = pack(table(spark, sf, "documents"), tokenizer_path("byte_bpe_50k.json"))
+    return pieces.withColumn("ids", F.crc32("ids")).withColumnRenamed("ids", "ids_crc32")
+
+
 def pipeline(spark: SparkSession, sf: str) -> DataFrame:
     import corpus_pipeline
 
@@ -108,6 +115,7 @@ def queries() -> dict:
         "op8_jaccard_groups": op8_jaccard_groups,
         "op9_language_id": op9_language_id,
         "op10_embedding_dedup": op10_embedding_dedup,
+        "op13_sequence_packing": op13_sequence_packing,
     }
 
 
