@@ -12,6 +12,7 @@ Arrow's dictionary encoding; only a batch's distinct chunks are looked at in Pyt
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -115,32 +116,95 @@ class Lists:
         return np.repeat(self.at[rows] - ends + sizes, sizes) + np.arange(total), sizes
 
 
+def byte_pieces(tokenizer) -> list[bytes]:
+    """The bytes of each id of a byte-level tokenizer. Its alphabet writes printable Latin-1 characters as
+    themselves and the other bytes, in order, as the characters from U+0100 on."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    other = [b for b in range(256) if b not in set(own)]
+    letters = {chr(b): b for b in own} | {chr(0x100 + k): b for k, b in enumerate(other)}
+    vocabulary = tokenizer.get_vocab()
+    out = [b""] * (max(vocabulary.values()) + 1)
+    for piece, i in vocabulary.items():
+        out[i] = bytes(letters[c] for c in piece) if all(c in letters for c in piece) else piece.encode()
+    return out
+
+
+def of_worker(key: tuple, make: Callable):
+    """What ``make`` returns, made once per Python worker and kept from task to task."""
+    import sys
+    import types
+
+    kept = sys.modules.setdefault("_chunks_of_worker", types.ModuleType("_chunks_of_worker")).__dict__
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]
+
+
 class Encoder:
-    """ids of texts by ``encode`` (a list of chunks to a list of id lists), each distinct chunk once."""
+    """ids of texts by ``encode`` (a list of chunks to a list of id lists), each distinct chunk once.
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], cuts: bytes, dtype="<u4"):
-        self.encode, self.cuts, self.dtype = encode, cuts, dtype
+    With ``lengths`` (bytes per id), chunks that start with white space and end with another character are
+    encoded many in one text and told apart by their bytes."""
+
+    WHOLE = re.compile(rb"[ \n].*(?:[!-~]|\xc3[\x80-\xbf])", re.S)
+
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], cuts: bytes, lengths: np.ndarray | None = None):
+        self.encode, self.cuts, self.lengths = encode, cuts, lengths
         self.rows: dict[bytes, int] = {}
-        self.ids = Lists(dtype)
+        self.ids = Lists("<u4")
 
-    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the texts in order, and the bounds of each text's ids."""
-        got = Chunks(texts, self.cuts)
+    def _add(self, words: list[bytes], ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.rows.update(zip(words, range(len(self.rows), len(self.rows) + len(words)), strict=True))
+        self.ids.add(ids, sizes)
+
+    def learn(self, words: list[bytes]) -> None:
         if len(self.rows) > STORE_CHUNKS or len(self.ids.flat) > STORE_IDS:
-            self.rows, self.ids = {}, Lists(self.dtype)
-        new = [w for w in got.words if w not in self.rows]
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
+            self.rows, self.ids = {}, Lists("<u4")
+        new = [w for w in words if w not in self.rows]
+        apart = new
+        if self.lengths is not None:
+            joined, apart = [], []
+            for w in new:
+                (joined if self.WHOLE.fullmatch(w) else apart).append(w)
+            for at in range(0, len(joined), 4096):
+                part = joined[at : at + 4096]
+                ids = np.asarray(self.encode([b"".join(part).decode()])[0], dtype="<u4")
+                ends = np.cumsum(np.fromiter(map(len, part), np.int64, len(part)))
+                have = np.cumsum(self.lengths[ids])
+                stops = np.searchsorted(have, ends) + 1
+                if stops[-1] == len(ids) and (have[stops - 1] == ends).all():
+                    self._add(part, ids, np.diff(stops, prepend=0))
+                else:
+                    apart += part
+        for at in range(0, len(apart), 4096):
+            part = apart[at : at + 4096]
             lists = self.encode([w.decode() for w in part])
             sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-            self.ids.add(np.fromiter((i for x in lists for i in x), self.dtype, int(sizes.sum())), sizes)
-            self.rows.update(zip(part, range(len(self.rows), len(self.rows) + len(part)), strict=True))
+            self._add(part, np.fromiter((i for x in lists for i in x), "<u4", int(sizes.sum())), sizes)
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts in order, and the bounds of each text's ids."""
+        got = Chunks(texts, self.cuts)
+        self.learn(got.words)
         at = np.fromiter(map(self.rows.__getitem__, got.words), np.int64, len(got.words))
         spots, sizes = self.ids.spots(at[got.codes])
         ends = np.concatenate([[0], np.cumsum(sizes)])
         return self.ids.flat[spots], ends[got.bounds]
 
 
+def byte_encoder(path: str, special: bool = True, cuts: bytes = CUTS) -> Encoder:
+    """Encoder of a byte-level tokenizer file; without ``special``, its special tokens' strings are plain text."""
+    import os
+
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(path)
+    tok.encode_special_tokens = not special
+    lengths = np.fromiter(map(len, byte_pieces(tok)), np.int64)
+    return Encoder(lambda words: [e.ids for e in tok.encode_batch_fast(words, add_special_tokens=False)], cuts, lengths)
+
+
 def filled(texts: pa.Array, prefix: str = "") -> pa.Array:
     """The texts with nulls as empty ones, a prefix put before each."""
     out = pc.fill_null(texts.cast(pa.string()), "")

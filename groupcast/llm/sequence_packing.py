@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from groupcast.llm.chunks import CUTS, Encoder, filled, groups
+from groupcast.llm.chunks import byte_encoder, filled, groups, of_worker
 from groupcast.llm.common import arrow_rows, shared_path
 
 CAPACITY = 1024
@@ -131,14 +131,9 @@ def encoded(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int) ->
     spark = docs.sparkSession
 
     def run(batches):
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from pyspark import TaskContext
-        from tokenizers import Tokenizer
 
-        tok = Tokenizer.from_file(tokenizer_path)
-        encode = Encoder(lambda words: [e.ids for e in tok.encode_batch_fast(words, add_special_tokens=False)], CUTS)
+        encode = of_worker((tokenizer_path, "plain"), lambda: byte_encoder(tokenizer_path))
         place = TaskContext.get().partitionId() << 32
         runs = place
         for rows in groups(batches, "text", GROUP_BYTES):
