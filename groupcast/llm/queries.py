@@ -89,6 +89,13 @@ def op10_embedding_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return link_vectors(table(spark, sf, "embeddings"))
 
 
+def op11_tokenizer_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    from groupcast.llm.tokenizer_alignment import align
+
+    a, b = tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model")
+    return align(table(spark, sf, "documents"), a, b).drop("groups")
+
+
 def op13_sequence_packing(spark: SparkSession, sf: str) -> DataFrame:
     from groupcast.llm.sequence_packing import pack
 
@@ -115,6 +122,7 @@ def queries() -> dict:
         "op8_jaccard_groups": op8_jaccard_groups,
         "op9_language_id": op9_language_id,
         "op10_embedding_dedup": op10_embedding_dedup,
+        "op11_tokenizer_alignment": op11_tokenizer_alignment,
         "op13_sequence_packing": op13_sequence_packing,
     }
 
