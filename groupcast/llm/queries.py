@@ -96,6 +96,12 @@ def op11_tokenizer_alignment(spark: SparkSession, sf: str) -> DataFrame:
     return align(table(spark, sf, "documents"), a, b).drop("groups")
 
 
+def op12_conversation_trie(spark: SparkSession, sf: str) -> DataFrame:
+    from groupcast.llm.conversation_trie import rebuilt, trie
+
+    return trie(rebuilt(table(spark, sf, "conversations")))
+
+
 def op13_sequence_packing(spark: SparkSession, sf: str) -> DataFrame:
     from groupcast.llm.sequence_packing import pack
 
@@ -123,6 +129,7 @@ def queries() -> dict:
         "op9_language_id": op9_language_id,
         "op10_embedding_dedup": op10_embedding_dedup,
         "op11_tokenizer_alignment": op11_tokenizer_alignment,
+        "op12_conversation_trie": op12_conversation_trie,
         "op13_sequence_packing": op13_sequence_packing,
     }
 
@@ -195,6 +202,33 @@ FROM v
 """
 
 
+_CRC32 = """xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+  lambda v, b: list_reduce(list_concat([xor(v, b)], range(8)), lambda u, i: CASE WHEN u % 2 = 1 THEN xor(u >> 1, 3988292384::BIGINT) ELSE u >> 1 END)), 4294967295::BIGINT)"""
+_OP12 = f"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations WHERE conv_id IS NOT NULL),
+g AS (SELECT conv_id, turn, sha256(strlen(r) || ':' || r || x) AS said, length(x) AS chars FROM t),
+num AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, said) - 1 AS pos, said, chars FROM g),
+every AS (SELECT conv_id, conv_id - conv_id % 100 AS base, {_CRC32} % 6 AS h FROM (SELECT DISTINCT conv_id FROM num) z),
+turns AS (SELECT e.conv_id, f.pos, f.said, f.chars FROM every e JOIN num f ON f.conv_id = e.base AND f.pos < e.h
+          UNION ALL SELECT n.conv_id, n.pos, n.said, n.chars FROM num n JOIN every e ON e.conv_id = n.conv_id WHERE n.pos >= e.h),
+conv AS (SELECT e.conv_id, list(u.said ORDER BY u.pos) FILTER (WHERE u.said IS NOT NULL) AS w, list(u.chars ORDER BY u.pos) AS ch
+         FROM every e LEFT JOIN turns u ON u.conv_id = e.conv_id GROUP BY e.conv_id),
+pre AS (SELECT conv_id, d, w, array_to_string(w[1:d], ',') AS path, CASE WHEN d > 0 THEN ch[d] ELSE 0 END AS chars, d = coalesce(len(w), 0) AS ends
+        FROM (SELECT *, unnest(range(0, coalesce(len(w), 0) + 1)) AS d FROM conv) z),
+node AS (SELECT d, coalesce(path, '') AS path, min(conv_id) AS conv_id, count(*) AS n, max(chars) AS chars, arg_min(w, conv_id) AS w,
+                sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends_sha256
+         FROM pre GROUP BY d, coalesce(path, '')),
+linked AS (SELECT *, coalesce(array_to_string(w[1:d - 1], ','), '') AS up FROM node),
+kids AS (SELECT d - 1 AS d, up AS path, count(*) AS k FROM linked WHERE d > 0 GROUP BY d, up),
+full_ AS (SELECT l.*, coalesce(k.k, 0) AS k FROM linked l LEFT JOIN kids k ON k.d = l.d AND k.path = l.path),
+below AS (SELECT e, coalesce(array_to_string(w[1:e], ','), '') AS path, n, chars, k FROM (SELECT *, unnest(range(0, d + 1)) AS e FROM full_) z),
+sums AS (SELECT e AS d, path, count(*) FILTER (WHERE k = 0) AS n_leaves, sum((n - 1) * chars) AS saved FROM below GROUP BY e, path)
+SELECT f.conv_id, CAST(f.d AS BIGINT) AS depth, p.conv_id AS parent_conv_id, f.n AS n_convs, CAST(f.k AS BIGINT) AS n_children, s.n_leaves,
+       CAST(s.saved AS BIGINT) AS saved_tokens, f.ends_sha256
+FROM full_ f JOIN sums s ON s.d = f.d AND s.path = f.path LEFT JOIN node p ON f.d > 0 AND p.d = f.d - 1 AND p.path = f.up
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """Plain SQL over whole tables. Jaccard and cosine compare all pairs there, which is for small
     tables. The others have none: trained models, draws, read-back files and window entropies."""
@@ -203,4 +237,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_chat_format": _OP4,
         "op8_jaccard_groups": _OP8,
         "op10_embedding_dedup": _OP10,
+        "op12_conversation_trie": _OP12,
     }
