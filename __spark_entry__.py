@@ -137,7 +137,7 @@ def _naive_client(spark, sf):
 
     p = _prep(spark, sf)
     pred = naive_predictions(p)
-    tr = p.sequences.filter(F.col("split") == "train").select("client_id", "item_id", "target_date", F.col("y_raw").alias("y_true"))
+    tr = p.targets.filter(F.col("split") == "train").select("client_id", "item_id", F.col("date").alias("target_date"), F.col("y").alias("y_true"))
     return client_metrics(pred, naive_mae(tr))
 
 
@@ -159,7 +159,7 @@ def _noisy_profiles(spark, sf, split="train"):
     from groupcast.operators.profiles import profile_clients
 
     p = _prep(spark, sf)
-    return profile_clients(p.sequences.filter(F.col("split") == split), epsilon=PIPELINE_EPSILON)
+    return profile_clients(p.blocks.filter(F.col("split") == split), epsilon=PIPELINE_EPSILON)
 
 
 def _long(df, col, key="client_id"):
@@ -259,9 +259,10 @@ def q_params_init(spark: SparkSession, sf: str) -> DataFrame:
 
 def q_params_average(spark: SparkSession, sf: str) -> DataFrame:
     from groupcast.operators.params import average_params, params_table
+    from groupcast.operators.blocks import train_counts
 
     p, params = _train_ctx(spark, sf)
-    n = p.train.groupBy("client_id").agg(F.count(F.lit(1)).alias("n"))
+    n = train_counts(p.train)
     avg = average_params(params.join(n, "client_id").withColumn("bubble", F.lit(0)), "bubble", "n")
     t = params_table(avg.withColumnRenamed("bubble", "client_id"))
     return t.select("layer", F.col("pos").cast("long").alias("pos"), F.round("value", 8).alias("value"))
@@ -337,7 +338,7 @@ def _sent(spark, sf):
     """One averaging round over the regions as bubbles: every client starts from
     its region's average of the initial parameters (K7, C5)."""
     from groupcast.operators.params import average_params, send_params
-    from groupcast.operators.train import train_counts
+    from groupcast.operators.blocks import train_counts
 
     p, params = _train_ctx(spark, sf)
     n = train_counts(p.train)
@@ -401,7 +402,7 @@ def q_evaluate_init(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _round(spark, sf):
-    from groupcast.operators.train import train_counts
+    from groupcast.operators.blocks import train_counts
     from groupcast.sources.records import round_metrics
 
     p, m = _evaluated(spark, sf)

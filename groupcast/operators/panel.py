@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from groupcast.constants import CANDIDATE_FEATURES, HOLIDAYS_MM_DD
 from groupcast.functions.columns import safe_div
+from groupcast.session import settle
 from groupcast.sources.tables import read_table
 
 KEYS = ["client_id", "item_id"]
@@ -204,4 +205,5 @@ def calendar_basic(df: DataFrame) -> DataFrame:
 def feature_panel(spark: SparkSession, sf_dir: str, source: str = "tpch") -> DataFrame:
     """Raw tables -> daily panel -> dense calendar -> 16 candidate features + target."""
     rows = tpch_panel_rows(spark, sf_dir) if source == "tpch" else events_panel_rows(spark, sf_dir)
-    return add_features(densify_calendar(build_panel(rows)))
+    # Written once: its last day is needed before its rows are densified, and the joins run only once.
+    return add_features(densify_calendar(settle(build_panel(rows))))

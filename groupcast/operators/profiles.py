@@ -9,29 +9,51 @@ a hot client is combined map-side before its shuffle.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from groupcast.constants import CLIP_NORM, DEFAULT_EPSILON, SEED
+from groupcast.constants import CLIP_NORM, DEFAULT_EPSILON, SEED, SEQ_LEN
 from groupcast.functions.columns import hash_uniform, laplace_from_uniform
+from groupcast.operators.blocks import arrays, lagged_sums
 
 
-def _moments(seqs: DataFrame, group_col: str, x_col: str, y_col: str) -> DataFrame:
-    """Per group mean of [x, x*y, x*x, y, y*y] in one vector aggregate."""
+def row_moments(rows: DataFrame, group_col: str = "client_id", x_col: str = "x", y_col: str = "y") -> DataFrame:
+    """Per group the mean of [x, x*y, x*x, y, y*y] over rows with an array x: group_col, d (size of x), m."""
     x = F.col(x_col)
     y = F.col(y_col).cast("double")
     n = F.size(x)
     yv = F.array_repeat(y, n)
     packed = F.concat(x, F.zip_with(x, yv, lambda v, w: v * w), F.transform(x, lambda v: v * v), F.array(y, y * y))
-    s = seqs.select(group_col, n.alias("_d"), array_to_vector(packed).alias("_v"))
+    s = rows.select(group_col, n.alias("_d"), array_to_vector(packed).alias("_v"))
     return s.groupBy(group_col).agg(F.max("_d").alias("d"), vector_to_array(Summarizer.mean(F.col("_v"))).alias("m"))
 
 
-def importance_long(seqs: DataFrame, group_col: str = "client_id", x_col: str = "x", y_col: str = "y") -> DataFrame:
-    """H1 in long form: group_col, pos, importance (r^2 share, sums to 1)."""
-    mo = _moments(seqs, group_col, x_col, y_col)
+def sequence_moments(blocks: DataFrame, seq_len: int = SEQ_LEN) -> DataFrame:
+    """The same over the sequences of blocks, x being the flattened window: sums over the lags of products with the
+    rows, per block; Spark adds the blocks up."""
+    def run(batches):
+        for b in batches:
+            sums, widths = [], b.column("width").to_pylist()
+            for x, y, width in zip(arrays(b.column("x")), arrays(b.column("y")), widths, strict=True):
+                ones = np.ones(len(y))
+                sums.append(np.concatenate([
+                    lagged_sums(x, width, seq_len, ones), lagged_sums(x, width, seq_len, y), lagged_sums(x * x, width, seq_len, ones),
+                    [y.sum(), y @ y]]))
+            yield pa.RecordBatch.from_arrays([b.column("client_id"), b.column("n").cast(pa.int64()), pa.array(sums, pa.list_(pa.float64()))],
+                                             names=["client_id", "n", "sums"])
+
+    per = blocks.select("client_id", "n", "width", "x", "y").mapInArrow(run, "client_id string, n long, sums array<double>")
+    agg = per.groupBy("client_id").agg(F.sum("n").alias("n"), vector_to_array(Summarizer.sum(array_to_vector("sums"))).alias("s"))
+    each = F.transform(F.arrays_zip(F.col("s").alias("v"), F.array_repeat("n", F.size("s")).alias("n")), lambda z: z["v"] / z["n"])
+    return agg.select("client_id", F.floor((F.size("s") - 2) / 3).cast("int").alias("d"), each.alias("m"))
+
+
+def importance_long(mo: DataFrame, group_col: str = "client_id") -> DataFrame:
+    """H1 in long form from the moments: group_col, pos, importance (r^2 share, sums to 1)."""
     # The moments of a position side by side, then one row per position: no row carries the whole vector.
     d = F.col("d")
     each = F.arrays_zip(F.slice("m", F.lit(1), d).alias("x"), F.slice("m", d + 1, d).alias("xy"), F.slice("m", 2 * d + 1, d).alias("xx"))
@@ -53,13 +75,13 @@ def to_array(long: DataFrame, key: str, value: str, out: str) -> DataFrame:
         key, F.transform("_s", lambda s: s[value]).alias(out))
 
 
-def importance_r2(seqs: DataFrame, group_col: str = "client_id", x_col: str = "x", y_col: str = "y") -> DataFrame:
+def importance_r2(mo: DataFrame, group_col: str = "client_id") -> DataFrame:
     """H1: per group, r^2 of each x position with y, normalised to sum 1
     (all-zero when no position correlates). Returns group_col, importance[].
 
     Moments come from one vector aggregate; the per-position arithmetic is
     done on (group, position) rows, never on data rows."""
-    return to_array(importance_long(seqs, group_col, x_col, y_col), group_col, "importance", "importance")
+    return to_array(importance_long(mo, group_col), group_col, "importance", "importance")
 
 
 def l2_clip(long: DataFrame, clip: float = CLIP_NORM, key: str = "client_id") -> DataFrame:
@@ -82,14 +104,18 @@ def laplace_noise(long: DataFrame, epsilon: float = DEFAULT_EPSILON, clip: float
     return long.withColumn("importance", F.col("importance") + laplace_from_uniform(u, float(clip) / float(epsilon)))
 
 
-def profile_clients(train_seqs: DataFrame, epsilon: float = DEFAULT_EPSILON, clip: float = CLIP_NORM,
-                    seed: int = SEED) -> DataFrame:
-    """H5: flattened train sequences -> importance -> clip -> noise.
-    Returns client_id, importance[] (noisy), sensitivity."""
-    noisy = laplace_noise(l2_clip(importance_long(train_seqs), clip), epsilon, clip, seed)
+def _profiles(mo: DataFrame, epsilon: float, clip: float, seed: int) -> DataFrame:
+    noisy = laplace_noise(l2_clip(importance_long(mo), clip), epsilon, clip, seed)
     return to_array(noisy, "client_id", "importance", "importance").withColumn("sensitivity", F.lit(float(clip)))
 
 
+def profile_clients(train: DataFrame, epsilon: float = DEFAULT_EPSILON, clip: float = CLIP_NORM,
+                    seed: int = SEED, seq_len: int = SEQ_LEN) -> DataFrame:
+    """H5: the sequences of train blocks -> importance -> clip -> noise.
+    Returns client_id, importance[] (noisy), sensitivity."""
+    return _profiles(sequence_moments(train, seq_len), epsilon, clip, seed)
+
+
 def profile_all_raw(rows: DataFrame, feature_cols: list[str], y_col: str, max_rows: int | None = None,
                     epsilon: float = DEFAULT_EPSILON, clip: float = CLIP_NORM, seed: int = SEED,
                     key_cols: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
@@ -104,7 +130,7 @@ def profile_all_raw(rows: DataFrame, feature_cols: list[str], y_col: str, max_ro
     seqs = src.select("client_id", F.array(*[F.col(c).cast("double") for c in feature_cols]).alias("x"), F.col(y_col).cast("double").alias("y"))
     good = seqs.filter(F.col("y").isNotNull() & ~F.isnan("y"))
     errors = rows.select("client_id").distinct().join(good.select("client_id").distinct(), "client_id", "left_anti")
-    return profile_clients(good, epsilon, clip, seed), errors.withColumn("error", F.lit("no usable rows"))
+    return _profiles(row_moments(good), epsilon, clip, seed), errors.withColumn("error", F.lit("no usable rows"))
 
 
 def top_features(profiles: DataFrame, col: str = "importance", k: int = 3) -> DataFrame:

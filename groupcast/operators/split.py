@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from groupcast.constants import SEQ_LEN, TRAIN_RATIO, VAL_RATIO
 from groupcast.functions.columns import hash_uniform
+from groupcast.operators.blocks import series_blocks, windows
 
 KEYS = ["client_id", "item_id"]
 
@@ -64,28 +65,17 @@ def split_summary(split_df: DataFrame, seq_len: int = SEQ_LEN) -> DataFrame:
 
 
 def make_sequences(split_df: DataFrame, feature_cols: list[str], y_col: str = "y", seq_len: int = SEQ_LEN,
-                   group_keys: list[str] | None = None, extra_cols: list[str] | None = None) -> DataFrame:
-    """E3/E4 + E8: windows of L rows inside one (client, item, split) run;
-    the target is the row after the window. ``x`` is the flattened window
-    (L * F values, time-major), ``y`` the target row's value.
+                   group_keys: list[str] | None = None) -> DataFrame:
+    """E3/E4 + E8 written out: one row per sequence (keys, target_date, x = the flattened window, time-major, y).
+    The operators that train, score and profile read the blocks and never store these."""
+    return windows(series_blocks(split_df, feature_cols, y_col, seq_len, group_keys), seq_len * len(feature_cols))
 
-    The window is bounded by L rows and partitioned by series and split, so
-    no task ever needs more than one series at a time.
-    """
-    keys = group_keys if group_keys is not None else ["client_id", "item_id", "split"]
-    w = Window.partitionBy(*keys).orderBy("date")
-    frame = w.rowsBetween(-seq_len, -1)
-    vec = F.array(*[F.col(c).cast("double") for c in feature_cols])
-    # The full-window test uses a frame count, not the collected list, so a
-    # consumer that only needs sequence keys / targets lets the optimizer
-    # prune the collect_list window expression entirely.
-    return (
-        split_df.withColumn("_n", F.count(F.lit(1)).over(frame))
-        .withColumn("_win", F.collect_list(vec).over(frame))
-        .filter(F.col("_n") == seq_len)
-        .select(*keys, F.col("date").alias("target_date"), F.flatten("_win").alias("x"), F.col(y_col).cast("double").alias("y"),
-                *(extra_cols or []))
-    )
+
+def target_rows(split_df: DataFrame, seq_len: int = SEQ_LEN) -> DataFrame:
+    """The rows that are a sequence's target: those with ``seq_len`` rows before them in their
+    (client, item, split) run."""
+    w = Window.partitionBy("client_id", "item_id", "split").orderBy("date")
+    return split_df.withColumn("_pos", F.row_number().over(w)).filter(F.col("_pos") > seq_len).drop("_pos")
 
 
 def sample_per_client(df: DataFrame, n: int, seed: int, key_cols: list[str], buckets: int = 64) -> DataFrame:
@@ -111,44 +101,3 @@ def sample_per_client(df: DataFrame, n: int, seed: int, key_cols: list[str], buc
         .filter(F.col("_rk") <= n)
         .drop("_rk", "_u", "_b")
     )
-
-
-def zero_samples(clients: DataFrame, dim: int, split: str) -> DataFrame:
-    """E5: one all-zero sample (x = 0, y = 0 in scaled space) per client."""
-    return clients.select(
-        "client_id",
-        F.lit("__fallback__").alias("item_id"),
-        F.lit(split).alias("split"),
-        F.lit(None).cast("date").alias("target_date"),
-        F.array_repeat(F.lit(0.0), dim).alias("x"),
-        F.lit(0.0).alias("y"),
-        F.lit(True).alias("is_fallback"),
-    )
-
-
-def sequence_counts(split_df: DataFrame, seq_len: int = SEQ_LEN) -> DataFrame:
-    """Sequences per client and split, from row counts: a run of n rows in
-    one (item, split) gives max(0, n - L) sequences. No window needed."""
-    per = split_df.groupBy("client_id", "item_id", "split").agg(F.count(F.lit(1)).alias("n"))
-    per = per.withColumn("s", F.greatest(F.col("n") - F.lit(seq_len), F.lit(0)))
-
-    def c(name):
-        return F.sum(F.when(F.col("split") == name, F.col("s")).otherwise(F.lit(0))).alias(f"n_{name}")
-
-    return per.groupBy("client_id").agg(c("train"), c("val"), c("test"))
-
-
-def training_sets(seqs: DataFrame, split_df: DataFrame, dim: int, seq_len: int = SEQ_LEN) -> tuple[DataFrame, DataFrame]:
-    """E5: train sequences (zero sample when a client has none) and eval
-    sequences = test, else val, else a zero sample (N12, N25).
-
-    The per-client choice comes from row counts of the split table (one
-    small row per client, joined back on client_id), so the sequence
-    windows are only computed where they are consumed."""
-    cnt = sequence_counts(split_df, seq_len)
-    base = seqs.select("client_id", "item_id", "split", "target_date", "x", "y").withColumn("is_fallback", F.lit(False))
-    train = base.filter(F.col("split") == "train").unionByName(zero_samples(cnt.filter(F.col("n_train") == 0), dim, "train"))
-    pick = cnt.select("client_id", F.when(F.col("n_test") > 0, F.lit("test")).when(F.col("n_val") > 0, F.lit("val")).alias("eval_split"))
-    ev = base.join(pick, "client_id").filter(F.col("split") == F.col("eval_split")).drop("eval_split")
-    ev = ev.unionByName(zero_samples(cnt.filter((F.col("n_test") == 0) & (F.col("n_val") == 0)), dim, "test"))
-    return train, ev

@@ -31,7 +31,8 @@ from groupcast.constants import (
 from groupcast.operators.cluster import cluster_profiles, cluster_record, normalise_profiles, with_scope
 from groupcast.operators.metrics import METRICS, strategy_metrics
 from groupcast.operators.params import average_params, first_owner_params, init_params, overlay_params, send_params
-from groupcast.operators.train import BATCH_SIZE, evaluate, fit, naive_from_train, train_counts
+from groupcast.operators.blocks import train_counts
+from groupcast.operators.train import BATCH_SIZE, evaluate, fit, naive_from_train
 from groupcast.plans.clustering import first_clustering
 from groupcast.plans.prepare import Prepared
 from groupcast.session import settle

@@ -177,10 +177,18 @@ def test_sample_per_client_matches_brute_force(spark):
     assert got == sorted(want)
 
 
+def _as_blocks(spark, rows):
+    """Single sequences (client, item, window, target) as blocks of one target each."""
+    return spark.createDataFrame(
+        [(c, i, "train", k, 1, len(x), x, [y], None, [dt.date(2020, 1, 1) + dt.timedelta(days=k)]) for k, (c, i, x, y) in enumerate(rows)],
+        "client_id string, item_id string, split string, block int, n int, width int, x array<double>, y array<double>, "
+        "y_before double, target_date array<date>")
+
+
 def test_predict_matches_numpy(spark):
     from groupcast.operators.train import predict
 
-    seqs = spark.createDataFrame([("c", [1.0, 2.0, 3.0], 0.0)], "client_id string, x array<double>, y double")
+    seqs = _as_blocks(spark, [("c", "i", [1.0, 2.0, 3.0], 0.0)])
     params = spark.createDataFrame([("c", [0.5, -1.0, 2.0], 2.0, 0.25)], "client_id string, body array<double>, a double, b double")
     r = predict(seqs, params).first()
     assert r.score == pytest.approx(4.5) and r.p_scaled == pytest.approx(9.25)
@@ -191,9 +199,8 @@ def test_evaluate_agrees_with_separate_operators(spark):
     from groupcast.operators.train import evaluate, predict
 
     rng = np.random.default_rng(4)
-    seqs = spark.createDataFrame(
-        [(c, [float(v) for v in rng.normal(0, 1, 3)], float(rng.normal(0, 2))) for c in ("a", "b") for _ in range(25)],
-        "client_id string, x array<double>, y double")
+    seqs = _as_blocks(
+        spark, [(c, "i", [float(v) for v in rng.normal(0, 1, 3)], float(rng.normal(0, 2))) for c in ("a", "b") for _ in range(25)])
     params = spark.createDataFrame([("a", [0.2, -0.1, 0.4], 1.5, 0.1), ("b", [0.0, 0.3, -0.2], 0.7, -0.3)],
                                    "client_id string, body array<double>, a double, b double")
     ys = spark.createDataFrame([("a", 10.0, 2.0), ("b", -1.0, 0.5)], "client_id string, y_center double, y_scale double")
@@ -212,10 +219,8 @@ def test_evaluate_agrees_with_separate_operators(spark):
 
 def _fit_fixture(spark):
     rng = np.random.default_rng(9)
-    d0 = dt.date(2020, 1, 1)
-    rows = [(c, "i", d0 + dt.timedelta(days=k), [float(v) for v in rng.normal(0, 1, 3)], float(rng.normal(0, 1)))
-            for c, n in (("a", 30), ("b", 12)) for k in range(n)]
-    train = spark.createDataFrame(rows, "client_id string, item_id string, target_date date, x array<double>, y double")
+    rows = [(c, "i", [float(v) for v in rng.normal(0, 1, 3)], float(rng.normal(0, 1))) for c, n in (("a", 30), ("b", 12)) for _ in range(n)]
+    train = _as_blocks(spark, rows)
     params = spark.createDataFrame([("a", [0.1, 0.2, 0.3], 1.0, 0.0), ("b", [0.0, -0.1, 0.2], 0.5, 0.1)],
                                    "client_id string, body array<double>, a double, b double")
     ys = spark.createDataFrame([("a", 0.0, 1.0), ("b", 0.0, 1.0)], "client_id string, y_center double, y_scale double")
