@@ -171,6 +171,14 @@ def q_profiles_noisy(spark: SparkSession, sf: str) -> DataFrame:
     return _long(_noisy_profiles(spark, sf), "importance")
 
 
+def q_importance_gbt(spark: SparkSession, sf: str) -> DataFrame:
+    """H2: boosted trees per client, as many and as deep as the original's defaults."""
+    from groupcast.operators.profiles import importance_gbt
+
+    i = importance_gbt(_prep(spark, sf).train)
+    return i.select("client_id", F.col("pos").cast("long").alias("pos"), _r("importance"))
+
+
 def q_profile_top3(spark: SparkSession, sf: str) -> DataFrame:
     from groupcast.operators.profiles import top_features
 
@@ -388,6 +396,35 @@ def q_update_vectors(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("client_id", F.col("pos").cast("long").alias("pos"), F.round("value", 8).alias("value"))
 
 
+def _first_round(spark, sf):
+    """A round's context over the regions as bubbles, defaults throughout (3 epochs, mini-batches of 1024)."""
+    from groupcast.plans.rounds import RoundLog
+    from groupcast.plans.strategies import Context, StrategyConfig
+
+    ctx = Context(_prep(spark, sf))
+    return ctx, StrategyConfig(num_rounds=1), RoundLog(spark), ctx.clients.select(
+        "client_id", F.pmod(F.xxhash64(_region()), F.lit(2**31 - 1)).cast("int").alias("bubble"))
+
+
+def q_bubble_round(spark: SparkSession, sf: str) -> DataFrame:
+    """K9 (K4, K7, C5, E7, L7): one real averaging round of every bubble through ``fit``, scored on its clients."""
+    from groupcast.plans.strategies import run_averaged
+
+    ctx, cfg, log, assign = _first_round(spark, sf)
+    records = run_averaged(ctx, cfg, log, assign)
+    return records.select("client_id", "bubble", "round", "epochs", "num_samples", "train_samples", *[_r(c) for c in ["rmse", "smape", "mae", "wmape", "mase", "loss"]])
+
+
+def q_tuned_heads(spark: SparkSession, sf: str) -> DataFrame:
+    """K6: the heads after the default epochs of head tuning on the regions' averages of the initial parameters."""
+    from groupcast.constants import HEAD_FINETUNE_EPOCHS
+    from groupcast.operators.train import fit
+
+    p, *_, sent = _sent(spark, sf)
+    tuned = fit(p.train, sent, p.y_stats, HEAD_FINETUNE_EPOCHS, "head")
+    return tuned.select("client_id", F.round("a", 6).alias("a"), F.round("b", 6).alias("b"), "n")
+
+
 def _evaluated(spark, sf):
     from groupcast.operators.train import evaluate, naive_from_train
 
@@ -477,6 +514,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "naive_strategy": q_naive_strategy,
         "profiles_noisy": q_profiles_noisy,
         "profile_top3": q_profile_top3,
+        "importance_gbt": q_importance_gbt,
         "profiles_normalised": q_profiles_normalised,
         "profiles_ema": q_profiles_ema,
         "emd_pairs": q_emd_pairs,
@@ -494,6 +532,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "params_shared": q_params_shared,
         "params_overlay": q_params_overlay,
         "fedavg_round": q_fedavg_round,
+        "bubble_round": q_bubble_round,
+        "tuned_heads": q_tuned_heads,
         "update_vectors": q_update_vectors,
         "evaluate_init": q_evaluate_init,
         "round_metrics": q_round_metrics,

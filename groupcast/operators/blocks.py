@@ -216,3 +216,10 @@ def training_blocks(blocks: DataFrame, clients: DataFrame, width: int, seq_len:
 def train_counts(train: DataFrame) -> DataFrame:
     """Sequences per client: client_id, n."""
     return train.groupBy("client_id").agg(F.sum("n").cast("long").alias("n"))
+
+
+def shards(train: DataFrame, counts: DataFrame, per_shard: int) -> tuple[DataFrame, DataFrame]:
+    """Blocks with their shard, and the shards of each owner (client_id, shard)."""
+    many = counts.select("client_id", F.greatest(F.ceil(F.col("n") / F.lit(float(per_shard))), F.lit(1)).cast("int").alias("_k"))
+    dealt = train.join(many, "client_id").withColumn("shard", F.pmod(F.xxhash64("item_id", "split", "block"), F.col("_k")).cast("int")).drop("_k")
+    return dealt, many.select("client_id", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)).alias("shard"))

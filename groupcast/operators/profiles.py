@@ -1,6 +1,6 @@
 """Client profiles and privacy noise.
 
-H1 stands in for tree importances with a closed form: the squared
+H2 grows boosted trees per client. H1 stands in for it with a closed form: the squared
 correlation of every flattened sequence position with the target,
 normalised to sum 1. It is one grouped aggregate per client over a vector
 column (MLlib ``Summarizer``: JVM side, partial-aggregated, no explode), so
@@ -18,7 +18,11 @@ from pyspark.sql import functions as F
 
 from groupcast.constants import CLIP_NORM, DEFAULT_EPSILON, SEED, SEQ_LEN
 from groupcast.functions.columns import hash_uniform, laplace_from_uniform
-from groupcast.operators.blocks import arrays, lagged_sums
+from groupcast.operators.blocks import arrays, lagged_sums, shards, train_counts
+
+
+#: Sequences that one task grows trees on
+GBT_SHARD = 1 << 16
 
 
 def row_moments(rows: DataFrame, group_col: str = "client_id", x_col: str = "x", y_col: str = "y") -> DataFrame:
@@ -84,6 +88,34 @@ def importance_r2(mo: DataFrame, group_col: str = "client_id") -> DataFrame:
     return to_array(importance_long(mo, group_col), group_col, "importance", "importance")
 
 
+def importance_gbt(train: DataFrame, counts: DataFrame | None = None, seq_len: int = SEQ_LEN, per_shard: int = GBT_SHARD,
+                   **trees) -> DataFrame:
+    """H2: importance by boosted trees: per client and window position the average gain of its splits, as shares that
+    sum to 1 (all zero when nothing splits). client_id, pos, importance.
+
+    All clients in one job: a client's blocks are dealt to shards, each shard grows its trees where it lies (its windows as
+    one byte a value), and gains and numbers of splits are added up per client and position. Histograms of all nodes and
+    bins would be far larger than a client's binned rows, so rows travel once and histograms never; a client
+    of more than ``per_shard`` sequences gets the sum over the trees of its shards."""
+    from groupcast.functions.boosting import split_gains
+
+    dealt, _ = shards(train, train_counts(train) if counts is None else counts, per_shard)
+
+    def run(key, data):
+        data = data.sort_by([("item_id", "ascending"), ("split", "ascending"), ("block", "ascending")])
+        width = data.column("width")[0].as_py()
+        parts = list(zip(arrays(data.column("x")), arrays(data.column("y")), strict=True))
+        gain, count = split_gains(parts, width, width * seq_len, **trees)
+        return pa.table({"client_id": pa.array([key[0].as_py()] * len(gain)), "pos": pa.array(range(len(gain)), pa.int32()), "gain": gain, "splits": count})
+
+    per = dealt.select("client_id", "shard", "item_id", "split", "block", "width", "x", "y").groupBy("client_id", "shard").applyInArrow(
+        run, "client_id string, pos int, gain double, splits double")
+    mean = per.groupBy("client_id", "pos").agg(F.sum("gain").alias("g"), F.sum("splits").alias("k")).select(
+        "client_id", "pos", F.coalesce(F.col("g") / F.nullif(F.col("k"), F.lit(0.0)), F.lit(0.0)).alias("v"))
+    tot = F.sum("v").over(Window.partitionBy("client_id"))
+    return mean.select("client_id", "pos", F.when(tot > 0.0, F.col("v") / tot).otherwise(F.col("v")).alias("importance"))
+
+
 def l2_clip(long: DataFrame, clip: float = CLIP_NORM, key: str = "client_id") -> DataFrame:
     """H3: scale a vector (key, pos, importance rows) by clip/||v|| when ||v|| > clip."""
     norm = F.sqrt(F.sum(F.col("importance") * F.col("importance")).over(Window.partitionBy(key)))
@@ -104,16 +136,17 @@ def laplace_noise(long: DataFrame, epsilon: float = DEFAULT_EPSILON, clip: float
     return long.withColumn("importance", F.col("importance") + laplace_from_uniform(u, float(clip) / float(epsilon)))
 
 
-def _profiles(mo: DataFrame, epsilon: float, clip: float, seed: int) -> DataFrame:
-    noisy = laplace_noise(l2_clip(importance_long(mo), clip), epsilon, clip, seed)
+def _profiles(importance: DataFrame, epsilon: float, clip: float, seed: int) -> DataFrame:
+    noisy = laplace_noise(l2_clip(importance, clip), epsilon, clip, seed)
     return to_array(noisy, "client_id", "importance", "importance").withColumn("sensitivity", F.lit(float(clip)))
 
 
 def profile_clients(train: DataFrame, epsilon: float = DEFAULT_EPSILON, clip: float = CLIP_NORM,
-                    seed: int = SEED, seq_len: int = SEQ_LEN) -> DataFrame:
-    """H5: the sequences of train blocks -> importance -> clip -> noise.
+                    seed: int = SEED, seq_len: int = SEQ_LEN, by: str = "r2") -> DataFrame:
+    """H5: the sequences of train blocks -> importance (``by`` r2 or gbt) -> clip -> noise.
     Returns client_id, importance[] (noisy), sensitivity."""
-    return _profiles(sequence_moments(train, seq_len), epsilon, clip, seed)
+    found = importance_long(sequence_moments(train, seq_len)) if by == "r2" else importance_gbt(train, seq_len=seq_len)
+    return _profiles(found, epsilon, clip, seed)
 
 
 def profile_all_raw(rows: DataFrame, feature_cols: list[str], y_col: str, max_rows: int | None = None,
@@ -130,7 +163,7 @@ def profile_all_raw(rows: DataFrame, feature_cols: list[str], y_col: str, max_ro
     seqs = src.select("client_id", F.array(*[F.col(c).cast("double") for c in feature_cols]).alias("x"), F.col(y_col).cast("double").alias("y"))
     good = seqs.filter(F.col("y").isNotNull() & ~F.isnan("y"))
     errors = rows.select("client_id").distinct().join(good.select("client_id").distinct(), "client_id", "left_anti")
-    return _profiles(row_moments(good), epsilon, clip, seed), errors.withColumn("error", F.lit("no usable rows"))
+    return _profiles(importance_long(row_moments(good)), epsilon, clip, seed), errors.withColumn("error", F.lit("no usable rows"))
 
 
 def top_features(profiles: DataFrame, col: str = "importance", k: int = 3) -> DataFrame:

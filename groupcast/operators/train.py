@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from groupcast.constants import EPS, HUBER_DELTA, LEARNING_RATE, SMAPE_WEIGHT
-from groupcast.operators.blocks import arrays, lagged_scores, lagged_sums, train_counts, window_view
+from groupcast.operators.blocks import arrays, lagged_scores, lagged_sums, shards, train_counts, window_view
 from groupcast.operators.params import average_params
 from groupcast.operators.scale import inverse_scale, scaler_center_scale
 from groupcast.session import settle
@@ -168,13 +168,6 @@ def fit_shard(blocks: list[tuple[np.ndarray, np.ndarray]], width: int, theta: np
     return theta
 
 
-def shards(train: DataFrame, counts: DataFrame, per_shard: int) -> tuple[DataFrame, DataFrame]:
-    """Blocks with their shard, and the shards of each owner (client_id, shard)."""
-    many = counts.select(OWNER, F.greatest(F.ceil(F.col("n") / F.lit(float(per_shard))), F.lit(1)).cast("int").alias("_k"))
-    dealt = train.join(many, OWNER).withColumn("shard", F.pmod(F.xxhash64("item_id", "split", "block"), F.col("_k")).cast("int")).drop("_k")
-    return dealt, many.select(OWNER, F.explode(F.sequence(F.lit(0), F.col("_k") - 1)).alias("shard"))
-
-
 def fit(train: DataFrame, params: DataFrame, y_stats: DataFrame, epochs: int, trainable: str = "all",
         lr: float = LEARNING_RATE, batch_size: int | None = BATCH_SIZE, seed: int = 42,
         counts: DataFrame | None = None, per_shard: int = SHARD_SEQUENCES) -> DataFrame:
@@ -189,7 +182,7 @@ def fit(train: DataFrame, params: DataFrame, y_stats: DataFrame, epochs: int, tr
     right = start.select(F.col(OWNER).alias("_owner"), F.col("shard").alias("_shard"), "body", "a", "b", "y_center", "y_scale")
     head_only = trainable == "head"
 
-    def run(key, data: pa.Table, own: pa.Table) -> pa.Table:
+    def run(key, data, own):
         owner, shard = key[0].as_py(), key[1].as_py()
         if not own.num_rows:
             return pa.table({OWNER: pa.array([], pa.string()), "n": pa.array([], pa.int64()), "body": pa.array([], pa.list_(pa.float64())),

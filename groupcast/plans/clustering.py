@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from groupcast.constants import MAX_CLUSTERS_PIPELINE
+from groupcast.constants import MAX_CLUSTERS_PIPELINE, SEQ_LEN
 from groupcast.operators.cluster import cluster_profiles, cluster_record, normalise_profiles, with_scope
 from groupcast.session import settle
 
@@ -25,11 +25,11 @@ def cluster_from_file(spark: SparkSession, profiles_path: str, max_clusters: int
     return cluster_from_profiles(read_profiles_json(spark, profiles_path), max_clusters)
 
 
-def first_clustering(train_seqs: DataFrame, epsilon: float, seed: int = 42,
-                     max_clusters: int | None = MAX_CLUSTERS_PIPELINE) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """I16: profile -> cluster -> record (round 0). Returns profiles too."""
+def first_clustering(train: DataFrame, epsilon: float, seed: int = 42, max_clusters: int | None = MAX_CLUSTERS_PIPELINE,
+                     seq_len: int = SEQ_LEN) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """I16: train blocks -> profile -> cluster -> record (round 0). Returns profiles too."""
     from groupcast.operators.profiles import profile_clients
 
-    prof = settle(profile_clients(train_seqs, epsilon, seed=seed))
+    prof = settle(profile_clients(train, epsilon, seed=seed, seq_len=seq_len))
     assign, rec = cluster_from_profiles(prof, max_clusters)
     return prof, assign, rec
