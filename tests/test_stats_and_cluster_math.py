@@ -37,7 +37,15 @@ def test_pvalue_monotone_in_f():
 
 
 
-def test_k_range():
-    assert list(C.k_range(3, None)) == [2]
-    assert list(C.k_range(70, None)) == list(range(2, 10))
-    assert list(C.k_range(70, 15)) == list(range(2, 16))
+def test_k_range(spark):
+    clients = spark.createDataFrame([("s3", f"c{i}") for i in range(3)] + [("s70", f"c{i:02d}") for i in range(70)], "scope string, client_id string")
+    none = spark.createDataFrame([], "scope string, a string, b string, height double, round int, rank int")
+
+    def ks(most):
+        got = {}
+        for r in C.candidate_labels(clients, none, 0, most).select("scope", "k").distinct().collect():
+            got.setdefault(r.scope, []).append(r.k)
+        return {s: sorted(v) for s, v in got.items()}
+
+    assert ks(None) == {"s3": [2], "s70": list(range(2, 10))}
+    assert ks(15) == {"s3": [2], "s70": list(range(2, 16))}
