@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from groupcast.constants import EPS
+from groupcast.functions.quantiles import exact_quantiles
 
 
 def fit_standard(split_df: DataFrame, feature_cols: list[str], fit_scope: str = "train") -> DataFrame:
@@ -31,9 +32,10 @@ def fit_standard(split_df: DataFrame, feature_cols: list[str], fit_scope: str =
 
 def fit_robust(split_df: DataFrame, y_col: str = "y", fit_scope: str = "train") -> DataFrame:
     """per client median and IQR of the target (exact percentiles with
-    linear interpolation); IQR 0 -> 1. Returns client_id, y_center, y_scale."""
+    linear interpolation, in memory that does not grow with a client's distinct values); IQR 0 -> 1.
+    Returns client_id, y_center, y_scale."""
     df = split_df.filter(F.col("split") == "train") if fit_scope == "train" else split_df
-    q = df.groupBy("client_id").agg(F.percentile(F.col(y_col).cast("double"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
+    q = exact_quantiles(df, "client_id", y_col, [0.25, 0.5, 0.75])
     iqr = F.col("q")[2] - F.col("q")[0]
     return q.select(
         "client_id",
