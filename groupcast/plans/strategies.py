@@ -29,7 +29,7 @@ from groupcast.constants import (
     SEED,
 )
 from groupcast.operators.blocks import train_counts
-from groupcast.operators.cluster import cluster_profiles, cluster_record, ema_profiles, normalise_profiles, with_scope
+from groupcast.operators.cluster import cluster_profiles, cluster_record, normalise_profiles, with_scope
 from groupcast.operators.metrics import METRICS, strategy_metrics
 from groupcast.operators.params import average_params, first_owner_params, init_params, overlay_params, send_params
 from groupcast.operators.train import BATCH_SIZE, evaluate, fit, naive_from_train
@@ -37,6 +37,7 @@ from groupcast.plans.clustering import first_clustering
 from groupcast.plans.prepare import Prepared
 from groupcast.plans.rounds import RoundLog
 from groupcast.session import settle
+from groupcast.streaming.ema_stream import EmaStream
 
 OWNER = "client_id"
 RECORD_COLS = ["strategy", "stage", "round", "bubble", "epochs", "client_id", "num_samples", "train_samples", *METRICS, "loss"]
@@ -213,7 +214,7 @@ def run_dynamic(ctx: Context, cfg: StrategyConfig, log: RoundLog, first: dict[st
     done = log.steps("dynamic")
     assign = first["assign"]
     state = {
-        "clients": client_state, "assign": assign, "ema": first["ema"],
+        "clients": client_state, "assign": assign,
         "common": settle(_spread(assign.select("bubble").distinct(), glob.select("body"))), "shared": glob.select("body"),
     }
     if done:
@@ -228,16 +229,16 @@ def run_dynamic(ctx: Context, cfg: StrategyConfig, log: RoundLog, first: dict[st
         nxt = settle(average_params(fitted.join(assign.select(OWNER, "bubble"), OWNER), "bubble", "n", with_head=False))
         scored = _with_body(fitted, assign, nxt).join(fitted.select(OWNER, "n"), OWNER)
         tables = {
-            "clients": fitted, "common": nxt.select("bubble", "body"), "assign": assign, "ema": state["ema"], "shared": state["shared"],
+            "clients": fitted, "common": nxt.select("bubble", "body"), "assign": assign, "shared": state["shared"],
             "records": ctx.records(scored, "Clustered", "federated", r, cfg.epochs_per_round, assign),
         }
         if cfg.recluster_interval > 0 and r % cfg.recluster_interval == 0 and r < cfg.num_rounds:
             moved = normalise_profiles(with_scope(update_vectors(fitted, assign, common)), "importance", "dist")
-            ema = settle(ema_profiles(moved, state["ema"], col="dist"))
-            clusters = settle(cluster_profiles(ema, "dist", cfg.max_clusters))
+            smoothed = EmaStream(ctx.spark, f"{log.folder}/ema").update(moved, r)
+            clusters = settle(cluster_profiles(smoothed, "dist", cfg.max_clusters))
             assign = settle(_assign_from_clusters(clusters))
             tables |= {
-                "assign": assign, "ema": ema.select("scope", OWNER, "dist"), "common": reassigned(fitted, assign),
+                "assign": assign, "common": reassigned(fitted, assign),
                 "shared": average_params(fitted.withColumn("bubble", F.lit(0)), "bubble", "n", with_head=False).select("body"),
                 "history": cluster_record(clusters, "dynamic_recluster", r, r // cfg.recluster_interval + 1),
             }
@@ -279,10 +280,10 @@ def run_clustered(ctx: Context, cfg: StrategyConfig, log: RoundLog, history: lis
     """K10-K12 via I16: the full clustered strategy. ``history`` (a list)
     receives the cluster records (I12/I13) if given."""
     def cluster():
-        # I16; the first profiles are the EMA's first state
+        # I16; the first profiles are the smoothed vectors' first round
         prof, clusters, record = first_clustering(ctx.train, cfg.epsilon, cfg.seed, cfg.max_clusters, ctx.prep.seq_len)
-        first_state = normalise_profiles(with_scope(prof), "importance", "dist").select("scope", OWNER, "dist")
-        return {"assign": _assign_from_clusters(clusters), "ema": first_state, "history": record.withColumn("sequence", F.lit(1))}
+        EmaStream(ctx.spark, f"{log.folder}/ema").update(normalise_profiles(with_scope(prof), "importance", "dist"), 0)
+        return {"assign": _assign_from_clusters(clusters), "history": record.withColumn("sequence", F.lit(1))}
 
     first = log.once("clusters", 0, cluster)
     glob, client_state = warmup(ctx, cfg, log)

@@ -11,12 +11,12 @@ import datetime as dt
 import json
 import os
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from groupcast.constants import HISTORY_SCHEMA_VERSION
+from groupcast.sources.commit_log import CommitLog
 
 PROFILE_MAP = T.MapType(T.StringType(), T.ArrayType(T.DoubleType()))
 
@@ -45,12 +45,25 @@ _RECORD = """sequence int, stage string, round int, k_star int, total_clients in
 _HISTORY = f"schema_version int, description string, records array<struct<{_RECORD}>>, {_RECORD}"
 
 
+def _history_entries(spark: SparkSession, path: str) -> list[tuple[int, dict]]:
+    """(sequence, entry) of an appended history since it was last started anew."""
+    entries = CommitLog(spark, path).read()
+    start = max((n for n, e in entries if e.get("reset")), default=0)
+    return [(n - start, e) for n, e in entries if n > start]
+
+
 def read_history_records(spark: SparkSession, path: str) -> DataFrame:
     """Every record of a clustering file, in any of its layouts: ``records``, a
-    single record, or the older ``assignments`` with ``isolated_clients``. Rows of
-    an appended history (one JSON document per run of Spark's writer) all count."""
+    single record, or the older ``assignments`` with ``isolated_clients``; or of an appended history, whose log
+    numbers them."""
+    entries = _history_entries(spark, path)
+    names = [f.name for f in T.StructType.fromDDL(_RECORD).fields]
+    if entries:
+        docs = spark.read.schema(f"_pos int, {_RECORD}").json(sorted({f"{path.rstrip('/')}/data/{e['data']}" for _, e in entries}))
+        docs = docs.withColumn("_data", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)).drop("sequence")
+        claims = spark.createDataFrame([(n, e["data"], e["position"]) for n, e in entries], "sequence int, _data string, _pos int")
+        return docs.join(claims, ["_data", "_pos"]).select(*names)
     doc = spark.read.schema(_HISTORY).option("multiLine", True).json(path)
-    names = [f.name for f in doc.schema["records"].dataType.elementType.fields]
     single = F.array(F.struct(*names))
     return doc.select(F.explode(F.coalesce("records", single)).alias("r")).select("r.*")
 
@@ -86,22 +99,21 @@ def read_cluster_history(spark: SparkSession, path: str) -> DataFrame:
 
 
 def append_cluster_history(records: DataFrame, path: str, reset: bool = False) -> DataFrame:
-    """Add records to the history table at ``path``, each with the sequence
-    number after the last, in the order they come in (by their own sequence).
-    Returns the added records."""
-    spark = records.sparkSession
-    before = 0
-    if not reset:
-        try:
-            before = read_history_records(spark, path).agg(F.max("sequence")).first()[0] or 0
-        except AnalysisException as e:
-            if e.getCondition() != "PATH_NOT_FOUND":
-                raise
+    """Add records to the history at ``path``, each with the next sequence number, in the order they come in (by
+    their own sequence). The records are written first, then each claims its number in the history's log, so
+    several writers at once give 1..n. ``reset`` starts a new history. Returns the added records."""
+    log = CommitLog(records.sparkSession, path)
+    data = log.data_path()
     order = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("sequence"))  # one row per clustering
-    added = records.drop("scope").withColumn("sequence", (order + F.lit(before)).cast("int"))
-    doc = added.withColumn("schema_version", F.lit(HISTORY_SCHEMA_VERSION))
-    doc.write.mode("overwrite" if reset else "append").json(path)
-    return added
+    added = records.drop("scope").withColumn("_pos", order.cast("int")).withColumn("schema_version", F.lit(HISTORY_SCHEMA_VERSION))
+    added.drop("sequence").write.json(data)
+    if reset:
+        log.append({"reset": True})
+    name = data.rsplit("/", 1)[-1]
+    for pos in range(1, records.sparkSession.read.schema("_pos int").json(data).count() + 1):
+        log.append({"data": name, "position": pos})
+    mine = [n for n, e in _history_entries(records.sparkSession, path) if e.get("data") == name]
+    return read_history_records(records.sparkSession, path).filter(F.col("sequence").isin(mine))
 
 
 # --------------------------------------------------------------------- A9, A10, A14
@@ -147,7 +159,7 @@ def read_params(spark: SparkSession, path: str, kind: str = "clients") -> DataFr
     return spark.read.parquet(os.path.join(path, kind))
 
 
-# --------------------------------------------------------------------- A12, A13
+# --------------------------------------------------------------------- A12
 def new_run_id(now: dt.datetime | None = None) -> str:
     return (now or dt.datetime.now()).strftime("%Y%m%d_%H%M%S_%f")
 
@@ -159,18 +171,25 @@ def run_manifest(spark: SparkSession, run_id: str, run_dir: str, files: dict[str
     return df.withColumn("path", F.concat_ws("/", F.lit(run_dir.rstrip("/")), F.col("relative")))
 
 
-def register_run(manifest: DataFrame, registry: str) -> None:
-    """Add a run's manifest rows to the registry table, one folder per run."""
-    manifest.write.mode("append").partitionBy("run_id").parquet(registry)
+def register_run(manifest: DataFrame, registry: str) -> int:
+    """Add a run's manifest to the registry: its rows are written first, then an entry of the registry's log
+    names them. Returns the entry's number."""
+    log = CommitLog(manifest.sparkSession, registry)
+    path = log.data_path()
+    manifest.write.parquet(path)
+    return log.append({"data": path.rsplit("/", 1)[-1], "runs": sorted(r.run_id for r in manifest.select("run_id").distinct().collect())})
 
 
 def latest_run(spark: SparkSession, registry: str) -> DataFrame:
-    """The manifest rows of the newest run in the registry."""
-    runs = spark.read.parquet(registry).withColumn("run_id", F.col("run_id").cast("string"))
-    newest = runs.agg(F.max("run_id").alias("run_id"))
-    return runs.join(newest, "run_id")
+    """The manifest rows of the newest run in the registry (of one registered twice, the later entry's)."""
+    entries = CommitLog(spark, registry).read()
+    if not entries:
+        raise ValueError("no run is registered")
+    newest, _, data = max((run, n, e["data"]) for n, e in entries for run in e["runs"])
+    return spark.read.parquet(f"{registry.rstrip('/')}/data/{data}").filter(F.col("run_id") == newest)
 
 
+# --------------------------------------------------------------------- A13
 def render_report(results: DataFrame, order: list[str]) -> DataFrame:
     """One text line per strategy, 4 decimals, in the given order."""
     pos = F.array_position(F.array(*[F.lit(s) for s in order]), F.col("strategy"))
