@@ -83,7 +83,8 @@ def q_feature_pvalues(spark: SparkSession, sf: str) -> DataFrame:
     from groupcast.plans.selection import feature_ranking
 
     r = feature_ranking(spark, sf)
-    return r.select(F.col("rank").cast("long").alias("rank"), "feature", "f_score", "p_value", "significant", "selected")
+    return r.select(F.col("rank").cast("long").alias("rank"), "feature", F.round("f_score", 3).alias("f_score"),
+                    F.round("p_value", 9).alias("p_value"), "significant", "selected")
 
 
 def _prep(spark, sf, cols=None, source="tpch"):
@@ -647,6 +648,29 @@ scored AS (
   FROM long_)"""
 
 
+def _pvalue_sql() -> str:
+    """P(F(1, n - 2) > F) of ``scored``: the continued fraction as a recursion over its coefficients."""
+    lgamma_ratio = "0.5 * ln(a + 12) - 1 / (8 * (a + 12)) + 1 / (192 * (a + 12) ** 3) - 1 / (640 * (a + 12) ** 5)" + "".join(
+        f" - ln((a + {i + 0.5}) / (a + {i}))" for i in range(12))
+    return f"""
+side AS (SELECT feature, f_score, f_score AS f, n - 2.0 AS nu, (n - 2.0) / 2 AS a FROM scored WHERE f_score > 0 AND f_score < 1e300),
+near AS (SELECT *, nu / (nu + f) AS x, f / (nu + f) AS y, nu / (nu + f) < (a + 1) / (a + 2.5) AS low,
+                exp({lgamma_ratio} - 0.5 * ln(pi()) + a * ln(nu / (nu + f)) + 0.5 * ln(f / (nu + f))) AS front FROM side),
+args AS (SELECT feature, low, front, CASE WHEN low THEN a ELSE 0.5 END AS p, CASE WHEN low THEN 0.5 ELSE a END AS q, CASE WHEN low THEN x ELSE y END AS z,
+                400 + CASE WHEN low THEN ceil(24 * sqrt(nu / f)) ELSE 0 END AS steps FROM near),
+frac AS (
+  SELECT feature, low, front, p, q, z, steps, 1 AS k, 1.0::DOUBLE AS c, 1 / (1 - (p + q) * z / (p + 1)) AS d, 1 / (1 - (p + q) * z / (p + 1)) AS h FROM args
+  UNION ALL
+  SELECT feature, low, front, p, q, z, steps, k + 1, 1 + co / c, 1 / (1 + co * d), h * (1 + co / c) / (1 + co * d)
+  FROM (SELECT *, CASE WHEN (k + 1) % 2 = 0
+                       THEN ((k + 1) // 2) * (q - (k + 1) // 2) * z / ((p + 2 * ((k + 1) // 2) - 1) * (p + 2 * ((k + 1) // 2)))
+                       ELSE -(p + (k + 1) // 2) * (p + q + (k + 1) // 2) * z / ((p + 2 * ((k + 1) // 2)) * (p + 2 * ((k + 1) // 2) + 1)) END AS co
+        FROM frac WHERE k < steps) z_),
+tail AS (SELECT feature, CASE WHEN low THEN front * h / p ELSE 1 - front * h / p END AS p_value FROM frac WHERE k = steps),
+tested AS (SELECT s.feature, s.f_score, coalesce(t.p_value, CASE WHEN s.f_score > 0 THEN 0.0 ELSE 1.0 END) AS p_value
+           FROM scored s LEFT JOIN tail t ON t.feature = s.feature)"""
+
+
 def _scaled_cte(cols: list[str]) -> str:
     xa = ", ".join(f"avg({c}) AS m{i}, stddev_pop({c}) AS s{i}" for i, c in enumerate(cols))
     xs = ", ".join(f"(s.{c} - x.m{i}) / CASE WHEN x.s{i} = 0 OR x.s{i} IS NULL THEN 1.0 ELSE x.s{i} END AS {c}" for i, c in enumerate(cols))
@@ -923,6 +947,10 @@ def _oracle_sql() -> dict[str, str]:
         "feature_ranking": _with(*_base(), _FEATS, _split_cte(c16), _fscore_sql(c16))
         + " SELECT row_number() OVER (ORDER BY f_score DESC, feature) AS rank, feature, round(f_score, 3) AS f_score,"
         " row_number() OVER (ORDER BY f_score DESC, feature) <= 12 AS selected FROM scored",
+        "feature_pvalues": _with(*_base(), _FEATS, _split_cte(c16), _fscore_sql(c16), _pvalue_sql()).replace("WITH ", "WITH RECURSIVE ", 1)
+        + " SELECT row_number() OVER (ORDER BY p_value, f_score DESC, feature) AS rank, feature, round(f_score, 3) AS f_score,"
+        " round(p_value, 9) AS p_value, p_value <= 0.1 AS significant,"
+        " row_number() OVER (ORDER BY p_value, f_score DESC, feature) <= 12 AS selected FROM tested",
         "split_summary": _with(*_base(), _FEATS, _split_cte(c16), _split_summary_sql())
         + " SELECT client_id, CAST(raw_rows AS BIGINT) AS raw_rows, CAST(train_rows AS BIGINT) AS train_rows,"
         " CAST(val_rows AS BIGINT) AS val_rows, CAST(test_rows AS BIGINT) AS test_rows,"

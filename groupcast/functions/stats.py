@@ -1,77 +1,72 @@
-"""Distribution helpers used inside pandas UDFs (per-row math, no Spark).
+"""The upper tail of the F(1, nu) distribution in DataFrame functions.
 
-``f_sf`` is the survival function of the F(1, nu) distribution, written as a
-regularised incomplete beta function evaluated by a continued fraction
-(modified Lentz). It is only ever called on one value per feature.
+P(F > f) = I_x(nu/2, 1/2) with x = nu / (nu + f), a regularised incomplete beta function: a front factor times a
+continued fraction, evaluated by the modified Lentz scheme as a fold over its coefficients. Its convergence slows as x
+nears 1, by about the square root of nu / f, so the number of coefficients follows from the row. It is called on one
+value per feature; the same series is the query's recursive SQL.
 """
 
 from __future__ import annotations
 
 import math
 
-import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-_FPMIN = 1e-300
+_TINY = 1e-300
+_SHIFT = 12
+MAX_DOUBLE = 1.7976931348623157e308
 
 
-def _betacf(a: float, b: float, x: float, max_iter: int = 200000, eps: float = 3e-16) -> float:
-    qab, qap, qam = a + b, a + 1.0, a - 1.0
-    c = 1.0
-    d = 1.0 - qab * x / qap
-    d = 1.0 / (d if abs(d) > _FPMIN else _FPMIN)
-    h = d
-    for m in range(1, max_iter + 1):
-        m2 = 2 * m
-        aa = m * (b - m) * x / ((qam + m2) * (a + m2))
-        d = 1.0 + aa * d
-        d = d if abs(d) > _FPMIN else _FPMIN
-        c = 1.0 + aa / c
-        c = c if abs(c) > _FPMIN else _FPMIN
-        d = 1.0 / d
-        h *= d * c
-        aa = -(a + m) * (qab + m) * x / ((a + m2) * (qap + m2))
-        d = 1.0 + aa * d
-        d = d if abs(d) > _FPMIN else _FPMIN
-        c = 1.0 + aa / c
-        c = c if abs(c) > _FPMIN else _FPMIN
-        d = 1.0 / d
-        de = d * c
-        h *= de
-        if abs(de - 1.0) < eps:
-            break
-    return h
+def _guard(v: Column) -> Column:
+    return F.when(F.abs(v) > _TINY, v).otherwise(F.lit(_TINY))
 
 
-def betainc_reg(a: float, b: float, x: float) -> float:
-    """Regularised incomplete beta I_x(a, b)."""
-    if x <= 0.0:
-        return 0.0
-    if x >= 1.0:
-        return 1.0
-    log_front = math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)
-    if x < (a + 1.0) / (a + b + 2.0):
-        return math.exp(log_front) * _betacf(a, b, x) / a
-    return 1.0 - math.exp(log_front) * _betacf(b, a, 1.0 - x) / b
+def _log_gamma_ratio(a: Column) -> Column:
+    """ln(Gamma(a + 1/2) / Gamma(a)): its asymptotic series at a + _SHIFT, and the recurrence back."""
+    z = a + F.lit(float(_SHIFT))
+    series = F.lit(0.5) * F.log(z) - F.lit(1 / 8) / z + F.lit(1 / 192) / F.pow(z, F.lit(3.0)) - F.lit(1 / 640) / F.pow(z, F.lit(5.0))
+    for i in range(_SHIFT):
+        series = series - F.log((a + F.lit(i + 0.5)) / (a + F.lit(float(i))))
+    return series
 
 
-def f_sf(f: float, d1: float, d2: float) -> float:
-    """P(F(d1, d2) > f); NaN-safe: non-finite results become 1 (as sanitised)."""
-    if f is None or d2 is None or not math.isfinite(d2) or d2 <= 0:
-        return 1.0
-    if math.isnan(f):
-        return 1.0
-    if math.isinf(f) or f >= 1.7976931348623157e308:
-        return 0.0
-    if f <= 0.0:
-        return 1.0
-    x = d2 / (d2 + d1 * f)
-    p = betainc_reg(d2 / 2.0, d1 / 2.0, x)
-    return p if math.isfinite(p) else 1.0
+def _fraction(p: Column, q: Column, x: Column, steps: Column) -> Column:
+    """The continued fraction of I_x(p, q)."""
+    one = F.lit(1.0)
+    d0 = one / _guard(one - (p + q) * x / (p + one))
 
+    def step(acc, k):
+        m = F.floor(k / F.lit(2)).cast("double")
+        even = m * (q - m) * x / ((p + F.lit(2.0) * m - one) * (p + F.lit(2.0) * m))
+        odd = -(p + m) * (p + q + m) * x / ((p + F.lit(2.0) * m) * (p + F.lit(2.0) * m + one))
+        coefficient = F.when(k % 2 == 0, even).otherwise(odd)
+        d = one / _guard(one + coefficient * acc["d"])
+        c = _guard(one + coefficient / acc["c"])
+        return F.struct(c.alias("c"), d.alias("d"), (acc["h"] * c * d).alias("h"))
 
-@F.pandas_udf(T.DoubleType())
-def f_pvalue_udf(f: pd.Series, n: pd.Series) -> pd.Series:
-    """P-value of the univariate regression F test, nu = n - 2."""
-    return pd.Series([f_sf(float(a), 1.0, float(b) - 2.0) for a, b in zip(f, n)], dtype="float64")
+    start = F.struct(one.alias("c"), d0.alias("d"), d0.alias("h"))
+    return F.aggregate(F.sequence(F.lit(2), steps), start, step, lambda acc: acc["h"])
+
+
+def with_f1_pvalue(df: DataFrame, f: str, nu: str, out: str = "p_value") -> DataFrame:
+    """Adds P(F(1, nu) > f); 1 where f or nu is no number, nu is not positive, or f is not positive; 0 for an infinite f."""
+    sound = F.col(f).isNotNull() & ~F.isnan(f) & F.col(nu).isNotNull() & ~F.isnan(nu) & (F.col(nu) > 0) & (F.col(nu) < MAX_DOUBLE)
+    inner = sound & (F.col(f) > 0) & (F.col(f) < MAX_DOUBLE)
+    d = df.withColumns({"_f": F.when(inner, F.col(f).cast("double")), "_nu": F.when(inner, F.col(nu).cast("double"))})
+    d = d.withColumns({"_a": F.col("_nu") / 2.0, "_x": F.col("_nu") / (F.col("_nu") + F.col("_f")), "_y": F.col("_f") / (F.col("_nu") + F.col("_f"))})
+    # Where x is large the other side's fraction converges, in few steps.
+    d = d.withColumn("_near", F.col("_x") < (F.col("_a") + 1.0) / (F.col("_a") + 2.5))
+    steps = F.when(F.col("_near"), F.ceil(F.lit(24.0) * F.sqrt(F.col("_nu") / F.col("_f")))).otherwise(F.lit(0)) + F.lit(400)
+    half = F.lit(0.5)
+    front = F.exp(_log_gamma_ratio(F.col("_a")) - F.lit(0.5 * math.log(math.pi)) - F.col("_a") * F.log1p(F.col("_f") / F.col("_nu")) + half * F.log("_y"))
+    d = d.withColumns({"_steps": steps.cast("int"), "_front": front})
+    d = d.withColumns({
+        "_p": F.when(F.col("_near"), F.col("_a")).otherwise(half), "_q": F.when(F.col("_near"), half).otherwise(F.col("_a")),
+        "_z": F.when(F.col("_near"), F.col("_x")).otherwise(F.col("_y")),
+    })
+    side = F.col("_front") * _fraction(F.col("_p"), F.col("_q"), F.col("_z"), F.col("_steps")) / F.col("_p")
+    d = d.withColumn("_side", F.when(F.col("_steps").isNotNull() & F.col("_p").isNotNull(), side))
+    p = F.when(F.col("_near"), F.col("_side")).otherwise(F.lit(1.0) - F.col("_side"))
+    edge = F.when(sound & (F.col(f) >= MAX_DOUBLE), F.lit(0.0)).otherwise(F.lit(1.0))
+    return d.withColumn(out, F.coalesce(F.nanvl(p, F.lit(1.0)), edge)).drop("_f", "_nu", "_a", "_x", "_y", "_near", "_steps", "_front", "_p", "_q", "_z", "_side")

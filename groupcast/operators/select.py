@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from groupcast.constants import FEATURE_ALPHA, FEATURE_TOP_K
 from groupcast.functions.columns import safe_div
-from groupcast.functions.stats import f_pvalue_udf
+from groupcast.functions.stats import with_f1_pvalue
 
 MAX_DOUBLE = 1.7976931348623157e308
 
@@ -44,7 +44,7 @@ def f_scores(train: DataFrame, feature_cols: list[str], y_col: str = "y") -> Dat
 
 def add_pvalues(scores: DataFrame) -> DataFrame:
     """G2 + B12: p = P(F(1, n-2) > F); non-finite p -> 1."""
-    return scores.withColumn("p_value", f_pvalue_udf(F.col("f_score"), F.col("n").cast("double")))
+    return with_f1_pvalue(scores.withColumn("_dof", F.col("n").cast("double") - 2.0), "f_score", "_dof").drop("_dof")
 
 
 def rank_features(scores: DataFrame, top_k: int = FEATURE_TOP_K, alpha: float = FEATURE_ALPHA,

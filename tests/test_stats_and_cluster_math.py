@@ -3,7 +3,6 @@
 import numpy as np
 import pytest
 
-from groupcast.functions.stats import f_sf
 from groupcast.operators import cluster as C
 
 N = 885352  # pooled train rows of the published run
@@ -18,23 +17,36 @@ GOLDEN = [
 ]
 
 
-@pytest.mark.parametrize("f,p", GOLDEN)
-def test_pvalue_goldens(f, p):
-    assert f_sf(f, 1.0, N - 2) == pytest.approx(p, rel=1e-8)
+def tails(spark, rows):
+    from groupcast.functions.stats import with_f1_pvalue
 
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, f double, nu double")
+    return [r.p_value for r in sorted(with_f1_pvalue(df, "f", "nu").collect(), key=lambda r: r.i)]
 
-def test_pvalue_edges():
-    assert f_sf(0.0, 1.0, 100) == 1.0
-    assert f_sf(float("nan"), 1.0, 100) == 1.0
-    assert f_sf(4447361.77, 1.0, N - 2) == 0.0
 
+def test_pvalue_goldens(spark):
+    got = tails(spark, [(f, float(N - 2)) for f, _ in GOLDEN])
+    assert got == pytest.approx([p for _, p in GOLDEN], rel=1e-8)
 
-def test_pvalue_monotone_in_f():
-    fs = [0.1, 1.0, 3.0, 3.1, 10.0, 50.0]
-    ps = [f_sf(f, 1.0, 1000.0) for f in fs]
+
+def test_pvalue_edges(spark):
+    rows = [(0.0, 100.0), (float("nan"), 100.0), (4447361.77, float(N - 2)), (None, 5.0), (2.0, None), (2.0, 0.0), (1.7976931348623157e308, 9.0), (float("inf"), 9.0)]
+    assert tails(spark, rows) == [1.0, 1.0, 0.0, 1.0, 1.0, 1.0, 0.0, 0.0]
+
+
+def test_pvalue_monotone_in_f(spark):
+    ps = tails(spark, [(f, 1000.0) for f in (0.1, 1.0, 3.0, 3.1, 10.0, 50.0)])
     assert all(a > b for a, b in zip(ps, ps[1:]))
 
 
+def test_pvalue_of_few_and_many_rows(spark):
+    """Closed forms: nu = 1 is a Cauchy tail, nu = 2 algebraic; for large nu the normal tail."""
+    import math
+
+    fs = [1e-6, 0.01, 0.5, 1.4, 1.6, 4.0, 90.0, 1e6]
+    assert tails(spark, [(f, 1.0) for f in fs]) == pytest.approx([1 - 2 / math.pi * math.atan(math.sqrt(f)) for f in fs], rel=1e-9, abs=1e-13)
+    assert tails(spark, [(f, 2.0) for f in fs]) == pytest.approx([1 - math.sqrt(f / (f + 2)) for f in fs], rel=1e-6, abs=1e-13)
+    assert tails(spark, [(f, 1e9) for f in (0.01, 0.5, 2.0, 30.0)]) == pytest.approx([math.erfc(math.sqrt(f / 2)) for f in (0.01, 0.5, 2.0, 30.0)], rel=1e-5)
 
 
 def test_k_range(spark):
