@@ -9,66 +9,97 @@ Files are listed and read by Spark; the client id comes from the file path,
 so all clients of one kind are one DataFrame, and a listing is a DataFrame too.
 Columns are decided per file: a CSV file's header names its own columns, and each
 client's renames, defaults and date column depend on its own file. A missing
-folder raises. SQLite files are read by a Python data source with one input partition
-per file; they need a POSIX path, so on a cluster they must sit on a shared mounted
+folder raises. SQLite files are read by a Python data source in parts of bounded size, with columns and filters
+pushed to them; they need a POSIX path, so on a cluster they must sit on a shared mounted
 file system. CSV and parquet work on any Hadoop store.
 """
 
 from __future__ import annotations
 
-import glob
+import json
+import math
 import os
 import sqlite3
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import (
+    DataSource,
+    DataSourceReader,
+    EqualNullSafe,
+    EqualTo,
+    GreaterThan,
+    GreaterThanOrEqual,
+    In,
+    InputPartition,
+    LessThan,
+    LessThanOrEqual,
+)
 
 from groupcast.operators.panel import calendar_basic, choose_target, drop_incomplete, parse_date, require_columns
+from groupcast.session import settle
 
 _SQLITE_TYPES = {"INTEGER": "bigint", "INT": "bigint", "REAL": "double", "FLOAT": "double", "DOUBLE": "double",
                  "NUMERIC": "double", "TEXT": "string", "VARCHAR": "string", "DATE": "string", "TIMESTAMP": "string"}
 
 
 def list_files(spark: SparkSession, data_dir: str, pattern: str, recursive: bool = False) -> DataFrame:
-    """(path, client_dir) of the files whose name matches a glob, listed by Spark
+    """(path, length, client_dir) of the files whose name matches a glob, listed by Spark
     (any Hadoop-compatible store). Contents are not read: the binary source
     prunes the unused column."""
     rd = spark.read.format("binaryFile").option("pathGlobFilter", pattern)
     if recursive:
         rd = rd.option("recursiveFileLookup", True)
-    return rd.load(data_dir).select("path", F.regexp_extract("path", r"/([^/]+)/[^/]+$", 1).alias("client_dir"))
+    return rd.load(data_dir).select("path", "length", F.regexp_extract("path", r"/([^/]+)/[^/]+$", 1).alias("client_dir"))
+
+
+PART_BYTES = 64 << 20
+READ_ROWS = 16_384
+
+
+class _RowRange(InputPartition):
+    """Part ``k`` of ``parts`` of a file: an equal share of its table's rowids."""
+
+    def __init__(self, path: str, k: int, parts: int):
+        super().__init__((path, k, parts))
+        self.path, self.k, self.parts = path, k, parts
 
 
 def _client_of_db(path: str) -> str:
-    base = os.path.basename(path)
-    return base[len("client_"):-len(".db")]
+    return os.path.basename(path)[len("client_"):-len(".db")]
 
 
-class _FilePartition(InputPartition):
-    def __init__(self, path: str):
-        super().__init__(path)
-        self.path = path
+def _local(path: str) -> str:
+    return path.removeprefix("file://").removeprefix("file:")
 
 
 class SqliteTableSource(DataSource):
-    """``spark.read.format("groupcast_sqlite").option("path", dir).option("table", T)``.
+    """``spark.read.format("groupcast_sqlite")`` with options ``table`` and ``listing`` (JSON: the files of a table of
+    (path, length) that Spark listed; see ``read_sqlite_table``).
 
-    Adds ``client_id`` (from ``client_<id>.db``). The schema is read from the
-    first file's table definition (metadata only) unless given."""
+    Adds ``client_id`` (from ``client_<id>.db``). The schema is read from the first file's table definition
+    (metadata only) unless given; a given schema is also the pruning, as only its columns are read. Files of more than
+    PART_BYTES are read in parts, by ranges of rowid. Filters go to SQLite where it compares as Spark does, and
+    Spark applies them again."""
 
     @classmethod
     def name(cls):
         return "groupcast_sqlite"
 
-    def _files(self):
-        return sorted(glob.glob(os.path.join(self.options["path"], "client_*.db")))
+    def _files(self) -> list[tuple[str, int]]:
+        found: list[tuple[str, int]] = []
+        for part in json.loads(self.options["listing"]):
+            rows = pq.read_table(_local(part)).to_pylist()
+            found += [(_local(r["path"]), r["length"]) for r in rows]
+        return sorted(found)
 
     def schema(self):
         files = self._files()
         if not files:
-            raise FileNotFoundError(f"no client_*.db under {self.options['path']}")
-        con = sqlite3.connect(files[0])
+            raise FileNotFoundError("no client_*.db found")
+        con = sqlite3.connect(files[0][0])
         try:
             cols = con.execute(f"PRAGMA table_info({self.options['table']})").fetchall()
         finally:
@@ -83,25 +114,84 @@ class SqliteTableSource(DataSource):
 class _SqliteReader(DataSourceReader):
     def __init__(self, options, schema, files):
         self.table = options["table"]
-        self.names = [f.name for f in schema.fields if f.name != "client_id"]
+        self.part_bytes = int(options.get("part_bytes", PART_BYTES))
+        self.kinds = {f.name: f.dataType.simpleString() for f in schema.fields}
         self.files = files
+        self.where: list[tuple[str, str, list]] = []  # column, SQL operator, values
+
+    def pushFilters(self, filters):
+        """Comparisons of a column with a value: on numbers all, on text only equality (an ordering would be
+        SQLite's). On client_id they choose the files. All go back to Spark as well."""
+        signs = {GreaterThan: ">", GreaterThanOrEqual: ">=", LessThan: "<", LessThanOrEqual: "<="}
+        for f in filters:
+            column = f.attribute[0] if len(getattr(f, "attribute", ())) == 1 else None
+            number = self.kinds.get(column) in ("bigint", "double", "int")
+            values = list(f.value) if isinstance(f, In) else [f.value] if hasattr(f, "value") else []
+            plain = all(isinstance(v, (int, float) if number else str) and not isinstance(v, bool) and v == v for v in values)
+            if column in self.kinds and plain and values:
+                if isinstance(f, (EqualTo, EqualNullSafe, In)):
+                    self.where.append((column, "in", values))
+                elif type(f) in signs and number:
+                    self.where.append((column, signs[type(f)], values))
+            yield f
 
     def partitions(self):
-        return [_FilePartition(p) for p in self.files]
+        chosen = [v for c, _, v in self.where if c == "client_id"]
+        out = []
+        for path, length in self.files:
+            if all(_client_of_db(path) in v for v in chosen):
+                parts = max(1, -(-length // self.part_bytes))
+                out += [_RowRange(path, k, parts) for k in range(parts)]
+        return out
+
+    def _sql(self, con, partition) -> tuple[str, list]:
+        tests, values = [], []
+        for column, sign, wanted in self.where:
+            if column != "client_id":
+                tests.append(f'"{column}" IN ({", ".join("?" * len(wanted))})' if sign == "in" else f'"{column}" {sign} ?')
+                values += wanted
+        if partition.parts > 1:
+            low, high = con.execute(f"SELECT min(rowid), max(rowid) FROM {self.table}").fetchone()
+            if low is not None:
+                share = (high - low + 1) / partition.parts
+                edge = [low + math.ceil(share * k) for k in (partition.k, partition.k + 1)]
+                tests.append("rowid >= ? AND rowid < ?")
+                values += edge
+        cols = ", ".join(f'"{n}"' for n in self.kinds if n != "client_id") or "1"
+        return f"SELECT {cols} FROM {self.table}" + (f" WHERE {' AND '.join(tests)}" if tests else ""), values
 
     def read(self, partition):
-        con = sqlite3.connect(partition.path)
+        if partition is None:  # Spark's stand-in when the filters leave no file
+            return
+        types = {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64()}
+        names = [n for n in self.kinds if n != "client_id"]
+        con = sqlite3.connect(f"file:{partition.path}?mode=ro", uri=True)
         try:
-            cid = _client_of_db(partition.path)
-            cols = ", ".join(f'"{n}"' for n in self.names)
-            for row in con.execute(f"SELECT {cols} FROM {self.table}"):
-                yield (cid, *row)
+            rows = con.execute(*self._sql(con, partition))
+            while part := rows.fetchmany(READ_ROWS):
+                found = dict(zip(names, zip(*part, strict=True), strict=False))
+                found["client_id"] = [_client_of_db(partition.path)] * len(part)
+                texts = lambda col: [None if v is None else str(v) for v in col]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(found[n], types[k]) if k in types else pa.array(texts(found[n]), pa.string()) for n, k in self.kinds.items()],
+                    names=list(self.kinds))
         finally:
             con.close()
 
 
 def register_sources(spark: SparkSession) -> None:
+    """Makes the SQLite source known to the session, and lets Python sources take filters."""
     spark.dataSource.register(SqliteTableSource)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+
+
+def read_sqlite_table(spark: SparkSession, data_dir: str, table: str, columns: str | None = None, part_bytes: int = PART_BYTES) -> DataFrame:
+    """One table of every client_<id>.db under ``data_dir``, with ``client_id``; ``columns`` (a DDL list) prunes."""
+    register_sources(spark)
+    files = settle(list_files(spark, data_dir, "client_*.db").select("path", "length"))
+    rd = spark.read.format("groupcast_sqlite").option("table", table).option("part_bytes", str(part_bytes))
+    rd = rd.option("listing", json.dumps(files.inputFiles()))
+    return (rd.schema(columns) if columns else rd).load()
 
 
 # --------------------------------------------------------------------- A1
@@ -115,11 +205,10 @@ def discover_clients(spark: SparkSession, data_dir: str) -> DataFrame:
 def read_client_sqlite(spark: SparkSession, data_dir: str) -> DataFrame:
     """A2 + C1: FEATURES joined with SALES_RECORDS on (client, item, sale_date);
     ``sales`` becomes ``quantity``; duplicates multiply, as an inner join."""
-    register_sources(spark)
-    rd = spark.read.format("groupcast_sqlite").option("path", data_dir.removeprefix("file://").removeprefix("file:"))
-    f = rd.option("table", "FEATURES").load()
-    s = rd.option("table", "SALES_RECORDS").load()
-    s = s.select("client_id", "item_id", "sale_date", F.col("sales").cast("double").alias("quantity"))
+    f = read_sqlite_table(spark, data_dir, "FEATURES")
+    kinds = {c.name: c.dataType.simpleString() for c in f.schema}
+    s = read_sqlite_table(spark, data_dir, "SALES_RECORDS", f"client_id string, item_id {kinds['item_id']}, sale_date {kinds['sale_date']}, sales double")
+    s = s.withColumnRenamed("sales", "quantity")
     j = f.join(s, ["client_id", "item_id", "sale_date"], "inner")
     return parse_date(j, "sale_date")
 

@@ -123,15 +123,16 @@ def write_json(df: DataFrame, path: str) -> None:
 
 
 def write_metrics_csv(parts: list[DataFrame], path: str) -> None:
-    """A10: rows of unlike shapes as one CSV; the header is the sorted union of
-    their columns. No rows give a file without lines."""
+    """A10: rows of unlike shapes as one CSV table; its header, the first line of every part, is the sorted union of
+    their columns. Parts are written in parallel and show only when the job commits, so a job that fails leaves no
+    part. No rows give a file without lines."""
     if not parts:
         raise ValueError("no metrics table given")
     whole = parts[0]
     for p in parts[1:]:
         whole = whole.unionByName(p, allowMissingColumns=True)
     header = not whole.isEmpty()
-    whole.select(*sorted(whole.columns)).coalesce(1).write.mode("overwrite").option("header", header).csv(path)
+    whole.select(*sorted(whole.columns)).write.mode("overwrite").option("header", header).csv(path)
 
 
 def write_config(spark: SparkSession, config: dict, path: str) -> DataFrame:

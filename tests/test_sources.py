@@ -163,3 +163,64 @@ def test_client_without_train_rows_stops(spark):
     df = spark.createDataFrame(rows, "client_id string, item_id string, date date, f double, quantity double")
     with pytest.raises(Exception, match="no rows to fit on: b"):
         prepare(df, ["f"]).scaled.collect()
+
+
+def _stores(tmp_path, clients, rows):
+    for c in clients:
+        con = sqlite3.connect(tmp_path / f"client_{c}.db")
+        con.execute("CREATE TABLE FEATURES (item_id INTEGER, sale_date DATE, lag_7 REAL, note TEXT)")
+        con.executemany("INSERT INTO FEATURES VALUES (?, ?, ?, ?)", [(k % 50, f"2020-01-{k % 28 + 1:02d}", k / 4, None if k % 3 else f"n{k}") for k in range(rows)])
+        con.execute("DELETE FROM FEATURES WHERE rowid % 7 = 0")
+        con.commit()
+        con.close()
+
+
+def test_sqlite_large_file_is_read_in_parts(spark, tmp_path):
+    from groupcast.sources.client_files import read_sqlite_table
+
+    _stores(tmp_path, ["a", "b"], 4000)
+    df = read_sqlite_table(spark, str(tmp_path), "FEATURES", part_bytes=20_000)
+    assert df.dtypes == [("client_id", "string"), ("item_id", "bigint"), ("sale_date", "string"), ("lag_7", "double"), ("note", "string")]
+    parts = df.withColumn("p", F.spark_partition_id()).groupBy("client_id").agg(F.countDistinct("p").alias("parts"), F.count("*").alias("n"), F.countDistinct("lag_7").alias("d"))
+    want = sum(1 for k in range(1, 4001) if k % 7)
+    for r in parts.collect():
+        assert r.parts > 3 and r.n == r.d == want
+    narrow = read_sqlite_table(spark, str(tmp_path), "FEATURES", "client_id string, lag_7 double")
+    assert narrow.columns == ["client_id", "lag_7"] and narrow.count() == 2 * want
+
+
+def test_sqlite_filters_reach_the_file(spark, tmp_path):
+    from groupcast.sources import client_files as cf
+
+    _stores(tmp_path, ["a", "b", "c"], 200)
+    df = cf.read_sqlite_table(spark, str(tmp_path), "FEATURES")
+    some = df.filter((F.col("item_id") == 7) & (F.col("lag_7") > 3.0) & F.col("client_id").isin("a", "c"))
+    whole = [(c, k % 50, k / 4) for c in "abc" for k in range(200) if (k + 1) % 7]
+    assert sorted((r.client_id, r.item_id, r.lag_7) for r in some.collect()) == sorted(w for w in whole if w[0] in "ac" and w[1] == 7 and w[2] > 3)
+    assert df.filter("note IS NULL").count() == 3 * sum(1 for k in range(200) if (k + 1) % 7 and k % 3)
+    assert df.filter("sale_date >= '2020-01-10' AND note = 'n9'").count() == 3
+    # What the reader asks of SQLite
+    reader = cf._SqliteReader({"table": "FEATURES"}, df.schema, [(str(tmp_path / f"client_{c}.db"), 1) for c in "abc"])
+    given = [cf.EqualTo(("item_id",), 7), cf.GreaterThan(("lag_7",), 3.0), cf.In(("client_id",), ("a", "c")), cf.GreaterThan(("sale_date",), "2020-01-10")]
+    assert list(reader.pushFilters(given)) == given  # Spark applies them again
+    assert [os.path.basename(p.path) for p in reader.partitions()] == ["client_a.db", "client_c.db"]
+    con = sqlite3.connect(tmp_path / "client_a.db")
+    sql, values = reader._sql(con, reader.partitions()[0])
+    assert sql.endswith('WHERE "item_id" IN (?) AND "lag_7" > ?') and values == [7, 3.0]
+    con.close()
+
+
+def test_metrics_csv_of_a_failing_job_leaves_no_part(spark, tmp_path):
+    import pytest
+
+    from groupcast.sources.records import write_metrics_csv
+
+    good = spark.range(0, 40, 1, 4).select(F.col("id").alias("round"), (F.col("id") * 1.5).alias("mae"))
+    write_metrics_csv([good], f"{tmp_path}/good")
+    assert len([f for f in os.listdir(tmp_path / "good") if f.startswith("part-")]) == 4
+    assert spark.read.option("header", True).csv(f"{tmp_path}/good").count() == 40
+    bad = good.withColumn("mae", F.when(F.col("round") == 39, F.raise_error(F.lit("lost"))).otherwise(F.col("mae")))
+    with pytest.raises(Exception, match="lost"):
+        write_metrics_csv([bad], f"{tmp_path}/bad")
+    left = os.listdir(tmp_path / "bad") if (tmp_path / "bad").exists() else []
+    assert not [f for f in left if f.startswith("part-") or f == "_SUCCESS"]
