@@ -482,6 +482,188 @@ def q_strategy_comparison(spark: SparkSession, sf: str) -> DataFrame:
     return compare_strategies(_two_strategies(spark, sf)).select("strategy", *[_r(c) for c in ["rmse", "smape", "mae", "wmape", "mase"]])
 
 
+# ------------------------------------------------ files and records, written and read back
+def _folder(spark, name):
+    import uuid
+
+    from groupcast.session import checkpoint_folder
+
+    return f"{checkpoint_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def _client_files(spark, sf, kind):
+    """The panel as client files in a shared folder; ``kind`` is a column of it."""
+    from groupcast.sources.client_export import write_client_files
+
+    cols = ["item_id", "date", "quantity", *CANDIDATE_FEATURES, "target_7d"]
+    folder = _folder(spark, "clients")
+    write_client_files(_features(spark, sf).select("client_id", kind.alias("kind"), *cols), folder)
+    return folder
+
+
+def _panel_columns(df):
+    return df.select("client_id", "item_id", _d(), _r("quantity"), *[_r(c) for c in CANDIDATE_FEATURES], _r("target_7d"))
+
+
+def q_clients_sqlite(spark: SparkSession, sf: str) -> DataFrame:
+    """The panel through SQLite client files."""
+    from groupcast.sources.client_files import read_client_sqlite
+
+    return _panel_columns(read_client_sqlite(spark, _client_files(spark, sf, F.lit("sqlite"))))
+
+
+def q_clients_csv(spark: SparkSession, sf: str) -> DataFrame:
+    """Through CSV pairs with renamed columns."""
+    from groupcast.sources.client_files import read_client_csv
+
+    return _panel_columns(read_client_csv(spark, _client_files(spark, sf, F.lit("csv"))))
+
+
+def q_clients_parquet(spark: SparkSession, sf: str) -> DataFrame:
+    """A4: through parquet client files."""
+    from groupcast.sources.client_files import read_client_parquet
+
+    return _panel_columns(read_client_parquet(spark, _client_files(spark, sf, F.lit("parquet"))))
+
+
+def _kind_of_region():
+    r = _region()
+    return F.when(r.startswith("A"), F.when(r == "ASIA", "csv").otherwise("sqlite")).when(r == "EUROPE", "csv").otherwise("parquet")
+
+
+def q_client_sources(spark: SparkSession, sf: str) -> DataFrame:
+    """A1, A5: which clients have a database, and the source picked for each client."""
+    from groupcast.sources.client_files import discover_clients, pick_source, source_listing
+
+    folder = _client_files(spark, sf, _kind_of_region())
+    chosen = pick_source(source_listing(spark, folder))
+    db = discover_clients(spark, folder).withColumn("has_db", F.lit(True))
+    return chosen.join(db, "client_id", "left").select("client_id", "kind", F.coalesce("has_db", F.lit(False)).alias("has_db"))
+
+
+def q_load_panel(spark: SparkSession, sf: str) -> DataFrame:
+    """Clients of three kinds as one panel of complete rows."""
+    from groupcast.sources.client_files import load_panel
+
+    p = load_panel(spark, _client_files(spark, sf, _kind_of_region()), list(CANDIDATE_FEATURES))
+    return p.select("client_id", "item_id", _d(), *[_r(c) for c in CANDIDATE_FEATURES], _r("y"))
+
+
+def q_profiles_file(spark: SparkSession, sf: str) -> DataFrame:
+    """The profiles through their JSON file."""
+    from groupcast.sources.records import read_profiles_json, write_profiles_json
+
+    path = _folder(spark, "profiles")
+    write_profiles_json(_noisy_profiles(spark, sf), path)
+    return _long(read_profiles_json(spark, path), "importance")
+
+
+def q_cluster_history(spark: SparkSession, sf: str) -> DataFrame:
+    """The last record of an appended history, member by member."""
+    from groupcast.constants import MAX_CLUSTERS_PIPELINE
+    from groupcast.operators.cluster import cluster_profiles, cluster_record
+    from groupcast.session import settle
+    from groupcast.sources.records import append_cluster_history, read_cluster_history, read_history_records
+
+    clusters = settle(cluster_profiles(_normalised(spark, sf), "dist", max_clusters=MAX_CLUSTERS_PIPELINE))
+    path = _folder(spark, "history")
+    append_cluster_history(cluster_record(clusters, "initial_clustering", 0), path, reset=True)
+    append_cluster_history(cluster_record(clusters, "dynamic_recluster", 20), path)
+    last = read_history_records(spark, path).filter("sequence = 2").select(
+        F.lit("all").alias("scope"), "sequence", "stage", "round", "k_star", "total_clients", "num_clusters", "num_isolated_clients",
+        F.col("cluster_size_stats.max").alias("largest"))
+    members = read_cluster_history(spark, path).withColumn("scope", F.lit("all"))
+    return members.join(last, "scope").drop("scope")
+
+
+def q_clusters_from_file(spark: SparkSession, sf: str) -> DataFrame:
+    """The profiles' JSON file clustered."""
+    from groupcast.constants import MAX_CLUSTERS_PIPELINE
+    from groupcast.plans.clustering import cluster_from_file
+    from groupcast.sources.records import write_profiles_json
+
+    path = _folder(spark, "profiles")
+    write_profiles_json(_noisy_profiles(spark, sf), path)
+    return cluster_from_file(spark, path, MAX_CLUSTERS_PIPELINE)[0]
+
+
+def q_first_clustering(spark: SparkSession, sf: str) -> DataFrame:
+    """I16: profiles of the train blocks, clustered."""
+    from groupcast.constants import PIPELINE_EPSILON, SEED
+    from groupcast.plans.clustering import first_clustering
+
+    return first_clustering(_prep(spark, sf).train, PIPELINE_EPSILON, SEED)[1]
+
+
+def q_params_files(spark: SparkSession, sf: str) -> DataFrame:
+    """All clients' parameters, and each region's shared part, through their files."""
+    from groupcast.sources.records import read_params, write_params
+
+    p, params = _train_ctx(spark, sf)
+    path = _folder(spark, "params")
+    write_params(params, p.clients.select("client_id", _region().alias("bubble"), F.lit(False).alias("is_isolated")), path)
+    cols = ["owner_id", "layer", F.col("pos").cast("long").alias("pos"), F.round("value", 8).alias("value")]
+    return read_params(spark, path, "clients").select(F.lit("client").alias("kind"), *cols).unionByName(
+        read_params(spark, path, "bubbles").select(F.lit("bubble").alias("kind"), *cols))
+
+
+def q_metrics_csv(spark: SparkSession, sf: str) -> DataFrame:
+    """A10: two metrics tables of unlike shapes through one CSV."""
+    from groupcast.sources.records import write_metrics_csv
+
+    m = _naive_client(spark, sf).select("client_id", "num_samples", "mae", "rmse", "smape", "wmape", "mase")
+    path = _folder(spark, "metrics")
+    total = m.groupBy().agg(F.sum("num_samples").alias("num_samples"), F.count("*").alias("clients"))
+    write_metrics_csv([m, total], path)
+    got = spark.read.option("header", True).csv(path)
+    whole = ["num_samples", "clients"]
+    zero = F.lit(0)  # the total has no errors, the clients no count
+    return got.select(F.coalesce("client_id", F.lit("total")).alias("client_id"), *[F.coalesce(F.col(c).cast("long"), zero).alias(c) for c in whole],
+                      *[F.round(F.coalesce(F.col(c).cast("double"), zero.cast("double")), 6).alias(c) for c in ["mae", "rmse", "smape", "wmape", "mase"]])
+
+
+def q_report(spark: SparkSession, sf: str) -> DataFrame:
+    """The report's line of the strategies."""
+    from groupcast.sources.records import render_report
+
+    return render_report(_two_strategies(spark, sf), ["initial", "naive", "none"])
+
+
+def q_results_record(spark: SparkSession, sf: str) -> DataFrame:
+    """The run's results record, strategy by strategy."""
+    from groupcast.sources.records import results_record
+
+    r = results_record(spark, "run", _two_strategies(spark, sf))
+    return r.select("run_id", "evaluation_split", "metric_weight", F.explode("results").alias("strategy", "m")).select(
+        "run_id", "evaluation_split", "metric_weight", "strategy", *[F.round(F.col(f"m.{c}"), 6).alias(c) for c in ["rmse", "smape", "mae", "wmape", "mase"]])
+
+
+def q_scaler_all_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """the scalers fitted on the rows of all splits."""
+    from groupcast.operators.scale import fit_robust, fit_standard, standard_long
+
+    p = _prep(spark, sf)
+    x = standard_long(fit_standard(p.split, p.feature_cols, "all"), p.feature_cols)
+    y = fit_robust(p.split, "y", "all").select("client_id", F.lit("y").alias("feature"), F.col("y_center").alias("center"), F.col("y_scale").alias("scale"))
+    return x.unionByName(y).select("client_id", "feature", _r("center"), _r("scale"))
+
+
+LONG_WINDOW = 1000  # rows: longer than the val and test runs, so clients fall back
+
+
+def q_sequence_fallback(spark: SparkSession, sf: str) -> DataFrame:
+    """Windows of LONG_WINDOW rows: per client and set the sequences, and those that stand in for none; and the
+    sequences of a client's rows taken as one run."""
+    from groupcast.operators.blocks import series_blocks
+    from groupcast.plans.prepare import prepare
+
+    p = prepare(_features(spark, sf), list(CANDIDATE_FEATURES)[:2], seq_len=LONG_WINDOW)
+    one_run = series_blocks(p.split, ["dayofweek"], "y", LONG_WINDOW, keys=["client_id"]).withColumn("is_fallback", F.lit(False))
+    parts = [("train", p.train), ("eval", p.eval), ("one_run", one_run)]
+    counted = [d.groupBy("client_id", F.lit(name).alias("part"), "is_fallback").agg(F.sum("n").cast("long").alias("n")) for name, d in parts]
+    return counted[0].unionByName(counted[1]).unionByName(counted[2])
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Flagship: rank the 16 candidate features by F test on train rows (sf0.001)."""
     return q_feature_pvalues(spark, SF_SMOKE)
@@ -540,6 +722,21 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "round_metrics": q_round_metrics,
         "flatten_history": q_flatten_history,
         "strategy_comparison": q_strategy_comparison,
+        "clients_sqlite": q_clients_sqlite,
+        "clients_csv": q_clients_csv,
+        "clients_parquet": q_clients_parquet,
+        "client_sources": q_client_sources,
+        "load_panel": q_load_panel,
+        "profiles_file": q_profiles_file,
+        "cluster_history": q_cluster_history,
+        "clusters_from_file": q_clusters_from_file,
+        "first_clustering": q_first_clustering,
+        "params_files": q_params_files,
+        "metrics_csv": q_metrics_csv,
+        "report": q_report,
+        "results_record": q_results_record,
+        "scaler_all_rows": q_scaler_all_rows,
+        "sequence_fallback": q_sequence_fallback,
         "split_summary_selected": q_split_summary_selected,
     }
 
@@ -938,7 +1135,61 @@ def _oracle_sql() -> dict[str, str]:
     prof = [*_base(), _FEATS, _split_cte(c16), _scaled_cte(c16), _profile_sql(c16, "train", "t", PIPELINE_EPSILON)]
     tr = [*_base(), _FEATS, _split_cte(c16), _scaled_cte(c16), _train_sql(c16)]
     tr_region = [*tr[:-1], _region_start(_train_sql(c16))]
+    metrics = ["rmse", "smape", "mae", "wmape", "mase"]
+    strategies = _with(*tr, _EVALUATED, _NAIVE.replace("naive AS (", "naive0 AS (").replace("LEFT JOIN naive n", "LEFT JOIN naive0 n"),
+                       "res AS (SELECT strategy, " + ", ".join(f"sum({m} * num_samples) / sum(num_samples) AS {m}" for m in metrics)
+                       + " FROM (SELECT 'initial' AS strategy, num_samples, rmse, smape, mae, wmape, mase FROM evm"
+                       " UNION ALL SELECT 'naive', num_samples, rmse, smape, mae, wmape, mase FROM cm) z GROUP BY strategy"
+                       " UNION ALL SELECT 'none', 0.0, 0.0, 0.0, 0.0, 0.0)")
+    panel = _with(*_base(), _FEATS) + f" SELECT {_FEAT_SELECT} FROM feat"
+    kind = ("CASE WHEN client_id LIKE 'ASIA%' OR client_id LIKE 'EUROPE%' THEN 'csv' WHEN client_id LIKE 'A%' THEN 'sqlite' ELSE 'parquet' END")
+    clusters = (
+        _with(*prof, _CLUSTERS.replace("{most}", str(MAX_CLUSTERS_PIPELINE)),
+              "found AS (SELECT x.client_id, n.cluster_id, n.size, (SELECT count(*) FROM num) AS k_star, c.n AS n_clients"
+              " FROM fin f JOIN idx x ON x.i = f.i JOIN num n ON n.lab = f.lab, cnt c)").replace("WITH ", "WITH RECURSIVE ", 1))
+    assigned = (clusters + " SELECT 'all' AS scope, client_id, CAST(cluster_id AS INTEGER) AS cluster_id, CAST(size AS INTEGER) AS cluster_size,"
+                " size = 1 AS is_isolated, CAST(k_star AS INTEGER) AS k_star, CAST(n_clients AS INTEGER) AS n_clients FROM found")
+    all_stats = ", ".join(f"avg({c}) AS m{i}, stddev_pop({c}) AS s{i}" for i, c in enumerate(c16))
+    params = ("SELECT client_id, 'body.w' AS layer, CAST(pos AS BIGINT) AS pos, w AS value FROM pw"
+              " UNION ALL SELECT client_id, 'head.a', 0, a FROM ph UNION ALL SELECT client_id, 'head.b', 0, b FROM ph")
     return {
+        "clients_sqlite": panel,
+        "clients_csv": panel,
+        "clients_parquet": panel,
+        "client_sources": _with(*_base()) + f" SELECT DISTINCT client_id, {kind} AS kind, {kind} = 'sqlite' AS has_db FROM panel",
+        "load_panel": _with(*_base(), _FEATS, _split_cte(c16)) + " SELECT client_id, item_id, CAST(date AS VARCHAR) AS date, "
+        + ", ".join(f"round({c}, 6) AS {c}" for c in c16) + ", round(y, 6) AS y FROM split",
+        "profiles_file": _with(*prof) + " SELECT client_id, pos, round(value, 6) AS value FROM noisy_t",
+        "clusters_from_file": assigned,
+        "first_clustering": assigned,
+        "cluster_history": clusters.rstrip() + ", many AS (SELECT cluster_id, row_number() OVER (ORDER BY min(client_id)) - 1 AS bubble FROM found"
+        " WHERE size > 1 GROUP BY cluster_id)"
+        " SELECT f.client_id, CAST(m.bubble AS INTEGER) AS bubble, f.size = 1 AS is_isolated, 2 AS sequence, 'dynamic_recluster' AS stage, 20 AS round,"
+        " CAST(f.k_star AS INTEGER) AS k_star, CAST(f.n_clients AS INTEGER) AS total_clients, CAST(f.k_star AS INTEGER) AS num_clusters,"
+        " CAST((SELECT count(*) FROM found WHERE size = 1) AS INTEGER) AS num_isolated_clients, CAST((SELECT max(size) FROM found) AS INTEGER) AS largest"
+        " FROM found f LEFT JOIN many m ON m.cluster_id = f.cluster_id",
+        "params_files": _with(*tr, f"pl AS ({params})", "rep AS (SELECT split_part(client_id, '_', 1) AS bubble, min(client_id) AS client_id FROM ph GROUP BY 1)")
+        + " SELECT 'client' AS kind, client_id AS owner_id, layer, pos, round(value, 8) AS value FROM pl"
+        " UNION ALL SELECT 'bubble', rep.bubble, layer, pos, round(value, 8) FROM pl JOIN rep ON rep.client_id = pl.client_id WHERE layer = 'body.w'",
+        "metrics_csv": _with(*_base(), _FEATS, _split_cte(c16), _scaled_cte(c16), _NAIVE)
+        + " SELECT client_id, CAST(num_samples AS BIGINT) AS num_samples, CAST(0 AS BIGINT) AS clients, "
+        + ", ".join(f"round({c}, 6) AS {c}" for c in ["mae", "rmse", "smape", "wmape", "mase"]) + " FROM cm"
+        " UNION ALL SELECT 'total', CAST(sum(num_samples) AS BIGINT), count(*), 0.0, 0.0, 0.0, 0.0, 0.0 FROM cm",
+        "report": strategies + " SELECT format('{} | rmse {:.4f} | smape {:.4f} | mae {:.4f} | wmape {:.4f} | mase {:.4f}', strategy, rmse, smape, mae, wmape, mase) AS line FROM res",
+        "results_record": strategies + " SELECT 'run' AS run_id, 'test' AS evaluation_split, 'evaluation sequence count' AS metric_weight, strategy, "
+        + ", ".join(f"round({m}, 6) AS {m}" for m in metrics) + " FROM res",
+        "scaler_all_rows": _with(*_base(), _FEATS, _split_cte(c16), f"st AS (SELECT client_id, {all_stats}, quantile_cont(y, 0.5) AS q2,"
+                                 " quantile_cont(y, 0.75) - quantile_cont(y, 0.25) AS iqr FROM split GROUP BY client_id)")
+        + " " + " UNION ALL ".join(f"SELECT client_id, '{c}' AS feature, round(m{i}, 6) AS center, round(CASE WHEN s{i} = 0 THEN 1.0 ELSE s{i} END, 6) AS scale FROM st"
+                                   for i, c in enumerate(c16))
+        + " UNION ALL SELECT client_id, 'y', round(q2, 6), round(CASE WHEN iqr = 0 THEN 1.0 ELSE iqr END, 6) FROM st",
+        "sequence_fallback": _with(*_base(), _FEATS, _split_cte(c16[:2]),
+                                   f"runs AS (SELECT client_id, split, greatest(count(*) - {LONG_WINDOW}, 0) AS s FROM split GROUP BY client_id, item_id, split)",
+                                   "per AS (SELECT client_id, coalesce(sum(s) FILTER (WHERE split = 'train'), 0) AS tr, coalesce(sum(s) FILTER (WHERE split = 'val'), 0) AS va,"
+                                   " coalesce(sum(s) FILTER (WHERE split = 'test'), 0) AS te FROM runs GROUP BY client_id)")
+        + " SELECT client_id, 'train' AS part, tr = 0 AS is_fallback, CAST(CASE WHEN tr = 0 THEN 1 ELSE tr END AS BIGINT) AS n FROM per"
+        " UNION ALL SELECT client_id, 'eval', te = 0 AND va = 0, CAST(CASE WHEN te > 0 THEN te WHEN va > 0 THEN va ELSE 1 END AS BIGINT) FROM per"
+        f" UNION ALL SELECT client_id, 'one_run', false, CAST(count(*) - {LONG_WINDOW} AS BIGINT) FROM split GROUP BY client_id HAVING count(*) > {LONG_WINDOW}",
         "panel_daily": _with(_TPCH_ROWS, _PANEL) + " SELECT client_id, item_id, CAST(date AS VARCHAR) AS date, round(quantity, 6) AS quantity, round(sell_price, 6) AS sell_price FROM panel",
         "panel_dense": _with(_TPCH_ROWS, _PANEL) + " SELECT client_id, item_id, CAST(date AS VARCHAR) AS date, round(quantity, 6) AS quantity, round(sell_price, 6) AS sell_price FROM dense",
         "panel_features": _with(*_base(), _FEATS) + f" SELECT {_FEAT_SELECT} FROM feat",

@@ -20,6 +20,7 @@ import json
 import math
 import os
 import sqlite3
+from urllib.parse import quote
 
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -67,6 +68,12 @@ class _RowRange(InputPartition):
         self.path, self.k, self.parts = path, k, parts
 
 
+def client_folder(path):
+    """The folder that holds a file, from Spark's file_path, which is a URI."""
+    plain = F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+    return F.regexp_extract(plain, r"/([^/]+)/[^/]+$", 1)
+
+
 def _client_of_db(path: str) -> str:
     return os.path.basename(path)[len("client_"):-len(".db")]
 
@@ -165,7 +172,7 @@ class _SqliteReader(DataSourceReader):
             return
         types = {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64()}
         names = [n for n in self.kinds if n != "client_id"]
-        con = sqlite3.connect(f"file:{partition.path}?mode=ro", uri=True)
+        con = sqlite3.connect(f"file:{quote(partition.path)}?mode=ro", uri=True)
         try:
             rows = con.execute(*self._sql(con, partition))
             while part := rows.fetchmany(READ_ROWS):
@@ -251,7 +258,7 @@ def read_client_csv(spark: SparkSession, data_dir: str) -> DataFrame:
         value = F.nullif(value, F.lit(""))
         return (value if name in TEXT_COLUMNS else value.cast("double")).alias(name)
 
-    out = named.select(F.regexp_extract("path", r"/([^/]+)/[^/]+$", 1).alias("client_id"),
+    out = named.select(client_folder(F.col("path")).alias("client_id"),
                        F.map_contains_key("m", F.lit("rolling_std_28")).alias("_has"),
                        *[column(c) for c in dict.fromkeys(wanted)])
     # B2 per client: a client without the column in any of its files gets 0.
@@ -267,7 +274,7 @@ def read_client_parquet(spark: SparkSession, data_dir: str) -> DataFrame:
     Files may have unlike columns: schemas are merged."""
     rd = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "features.parquet").option("mergeSchema", True)
     df = rd.parquet(data_dir)
-    client = F.regexp_extract("_metadata.file_path", r"/([^/]+)/[^/]+$", 1)
+    client = client_folder(F.col("_metadata.file_path"))
     days = [F.to_date(F.col(c)) for c in ("date", "sale_date") if c in df.columns]
     if not days:
         raise KeyError("parquet clients: no column named date or sale_date")
