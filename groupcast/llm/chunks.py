@@ -143,16 +143,19 @@ def of_worker(key: tuple, make: Callable):
 class Encoder:
     """ids of texts by ``encode`` (a list of chunks to a list of id lists), each distinct chunk once.
 
-    With ``lengths`` (bytes per id), chunks that start with white space and end with another character are
-    encoded many in one text and told apart by their bytes."""
+    Chunks that match WHOLE are encoded many in one text, where ``joined`` can tell their ids apart."""
 
-    WHOLE = re.compile(rb"[ \n].*(?:[!-~]|\xc3[\x80-\xbf])", re.S)
+    WHOLE: re.Pattern | None = None
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], cuts: bytes, lengths: np.ndarray | None = None):
-        self.encode, self.cuts, self.lengths = encode, cuts, lengths
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], cuts: bytes):
+        self.encode, self.cuts = encode, cuts
         self.rows: dict[bytes, int] = {}
         self.ids = Lists("<u4")
 
+    def joined(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids of these chunks, encoded as one text, and how many each has; None if they cannot be told apart."""
+        return None
+
     def _add(self, words: list[bytes], ids: np.ndarray, sizes: np.ndarray) -> None:
         self.rows.update(zip(words, range(len(self.rows), len(self.rows) + len(words)), strict=True))
         self.ids.add(ids, sizes)
@@ -162,20 +165,17 @@ class Encoder:
             self.rows, self.ids = {}, Lists("<u4")
         new = [w for w in words if w not in self.rows]
         apart = new
-        if self.lengths is not None:
-            joined, apart = [], []
+        if self.WHOLE is not None:
+            whole, apart = [], []
             for w in new:
-                (joined if self.WHOLE.fullmatch(w) else apart).append(w)
-            for at in range(0, len(joined), 4096):
-                part = joined[at : at + 4096]
-                ids = np.asarray(self.encode([b"".join(part).decode()])[0], dtype="<u4")
-                ends = np.cumsum(np.fromiter(map(len, part), np.int64, len(part)))
-                have = np.cumsum(self.lengths[ids])
-                stops = np.searchsorted(have, ends) + 1
-                if stops[-1] == len(ids) and (have[stops - 1] == ends).all():
-                    self._add(part, ids, np.diff(stops, prepend=0))
-                else:
+                (whole if self.WHOLE.fullmatch(w) else apart).append(w)
+            for at in range(0, len(whole), 4096):
+                part = whole[at : at + 4096]
+                got = self.joined(part)
+                if got is None:
                     apart += part
+                else:
+                    self._add(part, *got)
         for at in range(0, len(apart), 4096):
             part = apart[at : at + 4096]
             lists = self.encode([w.decode() for w in part])
@@ -192,17 +192,34 @@ class Encoder:
         return self.ids.flat[spots], ends[got.bounds]
 
 
-def byte_encoder(path: str, special: bool = True, cuts: bytes = CUTS) -> Encoder:
-    """Encoder of a byte-level tokenizer file; without ``special``, its special tokens' strings are plain text."""
+class ByteEncoder(Encoder):
+    """Encoder of a byte-level tokenizer file. Chunks that start with white space and end with another character
+    are told apart by their bytes."""
+
+    WHOLE = re.compile(rb"[ \n].*(?:[!-~]|\xc3[\x80-\xbf])", re.S)
+
+    def __init__(self, path: str):
+        tok = load_tokenizer(path)
+        super().__init__(lambda words: [e.ids for e in tok.encode_batch_fast(words, add_special_tokens=False)], CUTS)
+        self.lengths = np.fromiter(map(len, byte_pieces(tok)), np.int64)
+
+    def joined(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray] | None:
+        ids = np.asarray(self.encode([b"".join(words).decode()])[0], dtype="<u4")
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+        have = np.cumsum(self.lengths[ids])
+        stops = np.searchsorted(have, ends) + 1
+        if stops[-1] == len(ids) and (have[stops - 1] == ends).all():
+            return ids, np.diff(stops, prepend=0)
+        return None
+
+
+def load_tokenizer(path: str):
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = not special
-    lengths = np.fromiter(map(len, byte_pieces(tok)), np.int64)
-    return Encoder(lambda words: [e.ids for e in tok.encode_batch_fast(words, add_special_tokens=False)], cuts, lengths)
+    return Tokenizer.from_file(path)
 
 
 def filled(texts: pa.Array, prefix: str = "") -> pa.Array:

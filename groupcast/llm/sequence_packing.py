@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from groupcast.llm.chunks import byte_encoder, filled, groups, of_worker
+from groupcast.llm.chunks import ByteEncoder, filled, groups, of_worker
 from groupcast.llm.common import arrow_rows, shared_path
 
 CAPACITY = 1024
@@ -133,7 +133,7 @@ def encoded(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int) ->
     def run(batches):
         from pyspark import TaskContext
 
-        encode = of_worker((tokenizer_path, "plain"), lambda: byte_encoder(tokenizer_path))
+        encode = of_worker(("bytes", tokenizer_path), lambda: ByteEncoder(tokenizer_path))
         place = TaskContext.get().partitionId() << 32
         runs = place
         for rows in groups(batches, "text", GROUP_BYTES):

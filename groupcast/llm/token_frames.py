@@ -15,8 +15,7 @@ decompresses only frames that hold requested documents, checking each against it
 
 Texts are dealt by ranges of doc_id and sorted within a range; each range becomes one file,
 written to a temporary name and moved into place, so a lost or repeated task leaves one whole
-file. White space always ends a token, so a word's ids don't depend on its neighbours: words are
-encoded by the tokenizers library and remembered (a bounded cache).
+file. Texts are encoded by the tokenizers library chunk by chunk (chunks.py), each distinct one once.
 
 Cases: a null or empty text is the end id alone; a null doc_id sorts first and is stored as the
 smallest int64; documents with one id go by text; repeated rows stay; an empty table gives no file; other
@@ -29,7 +28,6 @@ import re
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +35,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from groupcast.llm.common import ensure_dir, open_store, shared_path, small_batches, space_words
+from groupcast.llm.chunks import CUTS, Encoder, filled, groups, load_tokenizer, of_worker
+from groupcast.llm.common import ensure_dir, open_store, shared_path, small_batches
 
 MAGIC = b"GCTOKSK1"
 FRAME_TOKENS = 1 << 16
@@ -45,111 +44,28 @@ END_ID = 1
 NO_ID = -(1 << 63)
 FOOTER = "<QQQ8s"
 ENTRY = "<QQQQ"
-CACHE_WORDS = 600_000
-GROUP_CHARS = 4_000_000
-MARKS = frozenset(b",.;:!?")
-AFTER = frozenset(b"abcdefghijklmnopqrstuvwxyz0123456789")
-#: a-z and the lower-case letters of Latin-1 as UTF-8: composed, unchanged by lowering
-PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
+GROUP_BYTES = 4_000_000
 
 
-class WordEncoder:
-    """Text to token ids (uint32 bytes) through a cache of words.
-
-    Words are what lies between ASCII white space, A-Z lowered: white space ends a token and the
-    tokenizer lowers all letters. A mark after a letter or digit is a token of its own. Words of plain
-    lower-case letters are encoded many at a time, in one text: each is one pre-token, so each ends at the
-    next piece with a word end. Only texts that hold ``<|`` go through whole, as special tokens keep their case.
-
-    The cache has two generations of at most CACHE_WORDS words (and a batch's): when the younger is full it becomes the
-    older, and words met again move up. A Python worker keeps its encoder from task to task."""
+class WordEncoder(Encoder):
+    """Encoder of a tokenizer that lowers letters, drops white space and ends every pre-token with a piece that has
+    MARK. A chunk of letters alone is one pre-token, so many of them in one text are told apart by those pieces."""
 
     MARK = "</w>"
+    #: white space or none, then A-Z a-z and the lower-case letters of Latin-1 as UTF-8: composed, one pre-token
+    WHOLE = re.compile(rb"[ \n]?(?:[A-Za-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
 
     def __init__(self, path: str):
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.young: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
-        self.tok = Tokenizer.from_file(path)
-        vocab = self.tok.get_vocab()
+        tok = load_tokenizer(path)
+        super().__init__(lambda words: [e.ids for e in tok.encode_batch_fast(words, add_special_tokens=False)], CUTS)
+        vocab = tok.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
         self.ends[[i for piece, i in vocab.items() if piece.endswith(self.MARK)]] = True
-        self.marks = {bytes([c]): self.whole(chr(c)) for c in MARKS}
-
-    @classmethod
-    def of_worker(cls, path: str) -> WordEncoder:
-        import sys
-        import types
-
-        kept = sys.modules.setdefault("_token_frames_of_worker", types.ModuleType("_token_frames_of_worker")).__dict__
-        if path not in kept:
-            kept[path] = cls(path)
-        return kept[path]
-
-    def whole(self, text: str) -> bytes:
-        return np.asarray(self.tok.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def learn(self, words: set[bytes]) -> None:
-        if len(self.young) > CACHE_WORDS:
-            self.old, self.young = self.young, {}
-        young, old = self.young, self.old
-        new = words.difference(young)
-        # (set operations with a dict on the right may walk the whole dict; these walk the new words)
-        again = [w for w in new if w in old]
-        young.update(zip(again, map(old.__getitem__, again), strict=True))
-        new.difference_update(again)
-        # A word with a mark is its core's ids and the mark's.
-        marked = [w for w in new if w[-1] in MARKS and len(w) > 1 and w[-2] in AFTER]
-        cores = {w[:-1] for w in marked}
-        cores.update(new.difference(marked))
-        cores = cores.difference(young)
-        again = [w for w in cores if w in old]
-        young.update(zip(again, map(old.__getitem__, again), strict=True))
-        cores.difference_update(again)
-        plain = list(filter(PLAIN.fullmatch, cores))
-        other = list(cores.difference(plain))
-        for at in range(0, len(plain), 4096):
-            part = plain[at : at + 4096]
-            raw = self.tok.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids
-            ids = np.asarray(raw, dtype="<u4")
-            ends = (np.flatnonzero(self.ends[ids]) + 1) * 4
-            if len(ends) != len(part):
-                other += part
-                continue
-            packed, ends = ids.tobytes(), ends.tolist()
-            young.update(zip(part, [packed[a:b] for a, b in zip([0, *ends], ends, strict=False)], strict=True))
-        for at in range(0, len(other), 2048):
-            part = other[at : at + 2048]
-            got = self.tok.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-            for w, e in zip(part, got, strict=True):
-                young[w] = np.asarray(e.ids, dtype="<u4").tobytes()
-        marks = self.marks
-        for w in marked:
-            young[w] = young[w[:-1]] + marks[w[-1:]]
-
-    def encode(self, texts: list[str | None]) -> Iterator[bytes]:
-        """The ids of each text; words are looked for in about GROUP_CHARS of text at a time."""
-        group: list[str | None] = []
-        size = 0
-        for t in texts:
-            group.append(t)
-            size += len(t or "")
-            if size > GROUP_CHARS:
-                yield from self.encode_group(group)
-                group, size = [], 0
-        yield from self.encode_group(group)
-
-    def encode_group(self, texts: list[str | None]) -> list[bytes]:
-        split = [None if t and "<|" in t else space_words(t) for t in texts]
-        self.learn(set().union(*[words for words in split if words]))
-        got = self.young.__getitem__
-        return [
-            self.whole(t) if words is None else b"".join(map(got, words)) for t, words in zip(texts, split, strict=True)
-        ]
+
+    def joined(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray] | None:
+        ids = np.asarray(self.encode([b" ".join(w.strip() for w in words).decode()])[0], dtype="<u4")
+        stops = np.flatnonzero(self.ends[ids]) + 1
+        return (ids, np.diff(stops, prepend=0)) if len(stops) == len(words) and stops[-1] == len(ids) else None
 
 
 class FrameWriter:
@@ -254,18 +170,18 @@ def write_files(docs: DataFrame, tokenizer_path: str, folder: str | None = None)
     end = np.asarray([END_ID], dtype="<u4").tobytes()
 
     def run(batches):
-        encoder, name, store, writer, first = WordEncoder.of_worker(tokenizer_path), f"{uuid.uuid4().hex}.tok", None, None, None
-        for b in batches:
-            ids = b.column("doc_id").to_pylist()
-            if not ids:
-                continue
+        encode = of_worker(("words", tokenizer_path), lambda: WordEncoder(tokenizer_path))
+        name, store, writer, first = f"{uuid.uuid4().hex}.tok", None, None, None
+        for rows in groups(batches, "text", GROUP_BYTES):
+            ids = rows.column("doc_id").to_pylist()
             if writer is None:
                 first = ids[0]
                 store, path = open_store(folder)
                 out = store.open_output_stream(f"{path}/_{name}")
                 writer = FrameWriter(out)
-            for doc_id, code in zip(ids, encoder.encode(b.column("text").to_pylist()), strict=True):
-                writer.add(NO_ID if doc_id is None else doc_id, code + end)
+            codes, bounds = encode(filled(rows.column("text").combine_chunks()))
+            for doc_id, p, q in zip(ids, bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                writer.add(NO_ID if doc_id is None else doc_id, codes[p:q].tobytes() + end)
         if writer is not None:
             writer.close()
             out.close()

@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from groupcast.llm.chunks import STORE_CHUNKS, STORE_IDS, Chunks, Lists, byte_pieces, filled, groups, of_worker, safe_cuts
+from groupcast.llm.chunks import STORE_CHUNKS, STORE_IDS, Chunks, Lists, byte_pieces, filled, groups, load_tokenizer, of_worker, safe_cuts
 from groupcast.llm.common import arrow_rows, cut, shared_path
 
 BLOCK_BYTES = 6_000_000
@@ -66,13 +66,9 @@ class Aligner:
     """Chunks and their alignment, remembered by a worker."""
 
     def __init__(self, path_a: str, path_b: str):
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
-        from tokenizers import Tokenizer
 
-        self.a = Tokenizer.from_file(path_a)
+        self.a = load_tokenizer(path_a)
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         self.bytes_a = byte_pieces(self.a)

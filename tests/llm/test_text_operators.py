@@ -315,17 +315,26 @@ def test_token_file_checks_and_reads_only_what_is_asked():
         list(FrameReader(Source(bytes(damaged))).documents())
 
 
-def test_word_cache_of_two_generations_encodes_as_the_library(monkeypatch):
-    from groupcast.llm import token_frames
+def test_remembered_chunks_encode_as_the_library(monkeypatch):
+    import random
 
-    monkeypatch.setattr(token_frames, "CACHE_WORDS", 40)
-    encoder = token_frames.WordEncoder(tokenizer_path())
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from groupcast.llm import chunks, token_frames
+
+    monkeypatch.setattr(chunks, "STORE_CHUNKS", 40)
+    encoder, library = token_frames.WordEncoder(tokenizer_path()), Tokenizer.from_file(tokenizer_path())
     hard = [
         "x\x0cy don't, it's. 3.5; a!! b!? «ça» naïve, Straße: Ünï cödé 😀, éa.  x y ЖЖ, 中文. ½, x²: ﬁ.",
-        "A<|B", "<|ENDOFTEXT|> a", "<|endoftext|>", "", None, "...", ".,a.", "É, é. İx", edited(texts()[1], 1),
+        "A<|B", "<|ENDOFTEXT|> a", "<|endoftext|>", "x<|endoftext|>y", "", None, "...", ".,a.", "É, é. İx", edited(texts()[1], 1),
+        "a=\u0338b !\u0301 e\u0301, Σας ΣΑΣ. \u00a0 x\u2028 y\u3000 z \u0085 w", "\n\n A\n b\t c \x1c d\r\n",
     ]
+    rng = random.Random(4)
+    letters = [" ", "\n", "\t", "\xa0", "a", "B", "é", "'s", "1", ",", "!!", "=", "\u0338", "\u0301", "<|endoftext|>", "漢", "😀", "ﬁ", "Σ", "|", "word"]
+    hard += ["".join(rng.choice(letters) for _ in range(rng.randint(1, 25))) for _ in range(1500)]
     for _ in range(2):
-        for t in [*hard, *texts()[:10]]:
-            want = np.array(encoder.tok.encode(t or "", add_special_tokens=False).ids, dtype="<u4").tobytes()
-            assert list(encoder.encode([t])) == [want]
-    assert len(encoder.young) + len(encoder.old) < 40 * 2 + 400
+        for some in (hard, texts()[:10], [hard[0]]):
+            ids, bounds = encoder(chunks.filled(pa.array(some, pa.string())))
+            for t, p, q in zip(some, bounds[:-1], bounds[1:], strict=True):
+                assert ids[p:q].tolist() == library.encode(t or "", add_special_tokens=False).ids, t
