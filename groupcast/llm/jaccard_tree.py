@@ -2,7 +2,8 @@
 
 A document's set is its distinct K-word shingles (fewer words: the whole sequence is one; none: empty,
 linked with nothing), as 64-bit hashes. Equal sets are one class, read from a row with its smallest doc_id (``least``),
-whose row number stands for the class (``node``).
+whose row number stands for the class (``node``). Before that row is known, a hash of the fingerprint names the class, so
+signatures meet without a join of their documents; of a class's copies in one task only the first sends them.
 
 Blocks. A pair at the threshold whose larger set has m shingles differs in at most
 d = 2 * (100 - PERCENT) * m / (100 + PERCENT) of them. Sizes fall into classes (WIDTH apart); for a class with at most
@@ -37,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from groupcast.llm.common import WordHashes, bit_filter, components, cut, mix64, shingle_hashes, small_batches, space_words
+from groupcast.llm.common import WordHashes, bit_filter, components, cut, free_name, mix64, shingle_hashes, small_batches, space_words
 
 PERCENT = 90
 K = 3
@@ -236,18 +237,24 @@ def pair_links(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def document_sets(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
-    """rid, doc_id, n, fp (of the set; null if empty), sigs. Written to the shared folder."""
+    """rid, doc_id, n, fp (of the set; null if empty), sigs (none where doc_id is null or an equal set came before in
+    the task). Written to the shared folder."""
     def run(batches):
         import xxhash
 
-        known = WordHashes()
+        known, sent, none = WordHashes(), set(), np.empty(0, dtype=np.int64)
         for b in batches:
             n, fp, sigs = [], [], []
-            for text in b.column("text").to_pylist():
+            for text, doc_id in zip(b.column("text").to_pylist(), b.column("doc_id").to_pylist(), strict=True):
                 s = shingle_set(space_words(text), known, k)
+                mark = xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None
                 n.append(len(s))
-                fp.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-                sigs.append(segment_signatures(s, percent))
+                fp.append(mark)
+                if doc_id is None or mark in sent:
+                    sigs.append(none)
+                else:
+                    sent.add(mark)  # 16 bytes a document of the task
+                    sigs.append(segment_signatures(s, percent))
             offsets = np.cumsum([0, *map(len, sigs)])
             flat = np.concatenate(sigs) if sigs else np.empty(0, dtype=np.int64)
             yield pa.RecordBatch.from_arrays(
@@ -348,14 +355,13 @@ def link_texts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     sets = document_sets(docs)
     first = sets.where("fp is not null and doc_id is not null").groupBy("fp").agg(F.min(F.struct("doc_id", "rid")).alias("m"))
     reps = cut(first.select("fp", F.col("m.doc_id").alias("least"), F.col("m.rid").alias("node")), "classes")
-    # Only numbers of rows meet the signatures: 8 bytes a class.
-    holders = sets.join(reps.select("node"), F.col("rid") == F.col("node")).select("node", F.explode("sigs").alias("sig"))
-    shared = holders.groupBy("sig").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
-    meet = holders.join(shared.select("sig", "low"), "sig").where("node != low").select(
-        F.col("low").alias("a"), F.col("node").alias("b")
+    holders = sets.select(F.xxhash64("fp").alias("name"), F.explode("sigs").alias("sig"))
+    shared = holders.groupBy("sig").agg(F.min("name").alias("low"), F.max("name").alias("high")).where("low < high")
+    meet = holders.join(shared.select("sig", "low"), "sig").where("name != low").select(
+        F.col("low").alias("a"), F.col("name").alias("b")
     )
-    blocks = components(meet.distinct())
-    nodes = cut(reps.join(blocks, "node").withColumnRenamed("root", "block"), "nodes")
+    blocks = components(meet.distinct()).select(F.col("node").alias("name"), F.col("root").alias("block"))
+    nodes = cut(reps.withColumn("name", F.xxhash64("fp")).join(blocks, "name").drop("name"), "nodes")
     members = cut(token_sets(docs, nodes), "members")
 
     # Each page by itself: a document is in one page, so its group there needs no further merging.
@@ -411,8 +417,8 @@ def link_documents(docs: DataFrame) -> DataFrame:
     )
 
 
-def with_fingerprint(docs: DataFrame, k: int = K) -> DataFrame:
-    """docs with _fp, the fingerprint of the text's set."""
+def with_fingerprint(docs: DataFrame, name: str, k: int = K) -> DataFrame:
+    """docs with a column more: the fingerprint of the text's set."""
     def run(batches):
         import xxhash
 
@@ -420,10 +426,10 @@ def with_fingerprint(docs: DataFrame, k: int = K) -> DataFrame:
         for b in batches:
             sets = [shingle_set(space_words(t), known, k) for t in b.column("text").to_pylist()]
             fp = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fp, pa.binary())], names=[*b.schema.names, "_fp"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fp, pa.binary())], names=[*b.schema.names, name])
 
     small_batches(docs.sparkSession)
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("_fp", T.BinaryType())]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.BinaryType())]))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
@@ -443,6 +449,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     # Rows of ids that repeat are told apart by their sets.
     again = ids.where("stays").select("doc_id")
     stay = judged.where("stays").join(again, "doc_id", "left_semi").select("doc_id", "fp").distinct()
-    some = with_fingerprint(docs.join(again, "doc_id", "left_semi").select(*docs.columns)).dropDuplicates(["doc_id", "_fp"])
-    same = F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")) & F.col("d._fp").eqNullSafe(F.col("s.fp"))
+    mark = free_name(docs, "fp")
+    some = with_fingerprint(docs.join(again, "doc_id", "left_semi").select(*docs.columns), mark).dropDuplicates(["doc_id", mark])
+    same = F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")) & F.col(f"d.{mark}").eqNullSafe(F.col("s.fp"))
     return single.union(some.alias("d").join(stay.alias("s"), same, "left_semi").select(*docs.columns))

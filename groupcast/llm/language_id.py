@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from groupcast.llm.common import LOWER_WORDS, cut, small_batches
+from groupcast.llm.common import free_name, LOWER_WORDS, cut, small_batches
 
 BUCKETS = 1 << 15
 DIM = 16
@@ -204,18 +204,18 @@ def keep_identified(docs: DataFrame, model: Model | None) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(parts_of(model))
-    names = docs.columns
+    names, letters = docs.columns, free_name(docs, "ok")
 
     def run(batches):
         m = Model(*shared.value) if shared.value else None
         for b in batches:
             ok = [
                 bool(o and m) and predict(m, t)[1] >= m.reject_below
-                for t, o in zip(b.column("text").to_pylist(), b.column("_ok").to_pylist(), strict=True)
+                for t, o in zip(b.column("text").to_pylist(), b.column(letters).to_pylist(), strict=True)
             ]
             yield b.select(names).filter(pa.array(ok, pa.bool_()))
 
-    return docs.withColumn("_ok", has_letter("text")).mapInArrow(run, docs.schema)
+    return docs.withColumn(letters, has_letter("text")).mapInArrow(run, docs.schema)
 
 
 def held_out(doc_id="doc_id", remainder: int = 0):
