@@ -2,8 +2,8 @@
 
 A document's set is its distinct K-word shingles (fewer words: the whole sequence is one; none: empty,
 linked with nothing), as 64-bit hashes. Equal sets are one class, read from a row with its smallest doc_id (``least``),
-whose row number stands for the class (``node``). Before that row is known, a hash of the fingerprint names the class, so
-signatures meet without a join of their documents; of a class's copies in one task only the first sends them.
+whose row number stands for the class (``node``). Before that row is known, half of the fingerprint names the class, so
+signatures meet without a join of their documents.
 
 Blocks. A pair at the threshold whose larger set has m shingles differs in at most
 d = 2 * (100 - PERCENT) * m / (100 + PERCENT) of them. Sizes fall into classes (WIDTH apart); for a class with at most
@@ -37,6 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from groupcast.llm.common import WordHashes, bit_filter, components, cut, free_name, mix64, shingle_hashes, small_batches, space_words
 
@@ -50,6 +51,8 @@ LEAF = 16
 FAN = 4
 BITMAP_WORDS = 32
 FILTER_BITS = 1 << 23
+#: Signatures that a task joins at a time
+PART_SIGNATURES = 1 << 20
 
 
 def size_bounds(most: int = 1 << 40) -> list[int]:
@@ -236,37 +239,73 @@ def pair_links(pdf: pd.DataFrame) -> pd.DataFrame:
     return out[out["x"] != out["y"]].drop_duplicates()
 
 
+SETS = "rid long, doc_id long, n long, fp binary, name long, sigs array<long>, low array<long>, a array<long>, b array<long>"
+
+
+class Signatures:
+    """The signatures of a part of a task, each with the smallest class name that holds it, and the edges between names
+    that share one."""
+
+    def __init__(self):
+        self.sigs: list[np.ndarray] = []
+        self.names: list[int] = []
+        self.size = 0
+
+    def add(self, sigs: np.ndarray, name: int) -> None:
+        self.sigs.append(sigs)
+        self.names.append(name)
+        self.size += len(sigs)
+
+    def take(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        sig = np.concatenate(self.sigs) if self.sigs else np.empty(0, dtype=np.int64)
+        name = np.repeat(np.array(self.names, dtype=np.int64), [len(x) for x in self.sigs])
+        order = np.lexsort((name, sig))
+        sig, name = sig[order], name[order]
+        first = np.flatnonzero(np.concatenate([[True], np.diff(sig) != 0])) if len(sig) else np.empty(0, np.int64)
+        low = np.repeat(name[first], np.diff(np.append(first, len(sig))))
+        meet = np.unique(np.stack([low, name])[:, low != name], axis=1)
+        self.__init__()
+        return sig[first], name[first], meet[0], meet[1]
+
+
 def document_sets(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
-    """rid, doc_id, n, fp (of the set; null if empty), sigs (none where doc_id is null or an equal set came before in
-    the task). Written to the shared folder."""
+    """Written to the shared folder: per document rid, doc_id, n, fp (of the set; null if empty) and name (half of it);
+    per PART_SIGNATURES of a task's signatures (rid null) sigs with the smallest name of each, and the pairs a, b of
+    names that share one there. Documents without an id send none, equal sets of a task send theirs once."""
+    def lists(columns):
+        return [pa.array([c], pa.list_(pa.int64())) for c in columns]
+
     def run(batches):
         import xxhash
 
-        known, sent, none = WordHashes(), set(), np.empty(0, dtype=np.int64)
+        known, sent, held = WordHashes(), set(), Signatures()
+        names = [c.split()[0] for c in SETS.split(", ")]
+
+        def part():
+            nothing = [pa.nulls(1, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64())]
+            return pa.RecordBatch.from_arrays([*nothing, *lists(held.take())], names=names)
+
         for b in batches:
-            n, fp, sigs = [], [], []
+            n, fp, name = [], [], []
             for text, doc_id in zip(b.column("text").to_pylist(), b.column("doc_id").to_pylist(), strict=True):
                 s = shingle_set(space_words(text), known, k)
                 mark = xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None
                 n.append(len(s))
                 fp.append(mark)
-                if doc_id is None or mark in sent:
-                    sigs.append(none)
-                else:
+                name.append(None if mark is None else int.from_bytes(mark[:8], "little", signed=True))
+                if mark is not None and doc_id is not None and mark not in sent:
                     sent.add(mark)  # 16 bytes a document of the task
-                    sigs.append(segment_signatures(s, percent))
-            offsets = np.cumsum([0, *map(len, sigs)])
-            flat = np.concatenate(sigs) if sigs else np.empty(0, dtype=np.int64)
+                    held.add(segment_signatures(s, percent), name[-1])
+            empty = [pa.nulls(len(n), pa.list_(pa.int64()))] * 4
             yield pa.RecordBatch.from_arrays(
-                [
-                    b.column("rid"), b.column("doc_id"), pa.array(n, pa.int64()), pa.array(fp, pa.binary()),
-                    pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int64())),
-                ],
-                names=["rid", "doc_id", "n", "fp", "sigs"],
-            )
+                [b.column("rid"), b.column("doc_id"), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(name, pa.int64()), *empty], names=names)
+            if held.size >= PART_SIGNATURES:
+                yield part()
+        if held.size:
+            yield part()
 
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return cut(rows.mapInArrow(run, "rid long, doc_id long, n long, fp binary, sigs array<long>"), "sets")
+    return cut(rows.mapInArrow(run, SETS), "sets")
 
 
 def token_sets(docs: DataFrame, nodes: DataFrame, k: int = K) -> DataFrame:
@@ -352,16 +391,19 @@ def link_texts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     group of linked classes. Empty sets have no class. Rows of one doc_id are linked by their texts only."""
     small_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
-    sets = document_sets(docs)
-    first = sets.where("fp is not null and doc_id is not null").groupBy("fp").agg(F.min(F.struct("doc_id", "rid")).alias("m"))
-    reps = cut(first.select("fp", F.col("m.doc_id").alias("least"), F.col("m.rid").alias("node")), "classes")
-    holders = sets.select(F.xxhash64("fp").alias("name"), F.explode("sigs").alias("sig"))
-    shared = holders.groupBy("sig").agg(F.min("name").alias("low"), F.max("name").alias("high")).where("low < high")
-    meet = holders.join(shared.select("sig", "low"), "sig").where("name != low").select(
-        F.col("low").alias("a"), F.col("name").alias("b")
+    made = document_sets(docs)
+    sets = made.where("rid is not null")
+    first = sets.where("fp is not null and doc_id is not null").groupBy("fp").agg(F.min(F.struct("doc_id", "rid", "name")).alias("m"))
+    reps = cut(first.select("fp", F.col("m.doc_id").alias("least"), F.col("m.rid").alias("node"), F.col("m.name").alias("name")), "classes")
+    parts = made.where("rid is null")
+    holders = parts.select(F.explode(F.arrays_zip("sigs", "low")).alias("z")).select(F.col("z.sigs").alias("sig"), F.col("z.low").alias("name"))
+    # At most a row per task part and signature: a window holds one signature's.
+    least = holders.withColumn("low", F.min("name").over(Window.partitionBy("sig")))
+    meet = least.where("name != low").select(F.col("low").alias("a"), F.col("name").alias("b")).union(
+        parts.select(F.explode(F.arrays_zip("a", "b")).alias("z")).select("z.a", "z.b")
     )
     blocks = components(meet.distinct()).select(F.col("node").alias("name"), F.col("root").alias("block"))
-    nodes = cut(reps.withColumn("name", F.xxhash64("fp")).join(blocks, "name").drop("name"), "nodes")
+    nodes = cut(reps.join(blocks, "name").drop("name"), "nodes")
     members = cut(token_sets(docs, nodes), "members")
 
     # Each page by itself: a document is in one page, so its group there needs no further merging.
@@ -393,7 +435,7 @@ def link_texts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     groups = first.select("node", "comp").join(bridge, "comp", "left").join(roots, "wide", "left").select(
         "node", F.coalesce("root", "wide", "comp").alias("top")
     )
-    top = reps.join(groups, "node", "left").select("fp", "least", F.coalesce("top", "node").alias("top"))
+    top = reps.drop("name").join(groups, "node", "left").select("fp", "least", F.coalesce("top", "node").alias("top"))
     return sets.select("doc_id", "n", "fp"), top
 
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from groupcast.llm.common import free_name, LOWER_WORDS, cut, small_batches
+from groupcast.llm.common import LOWER_WORDS, cut, free_name, small_batches
 
 BUCKETS = 1 << 15
 DIM = 16

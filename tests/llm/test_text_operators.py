@@ -52,6 +52,7 @@ def test_jaccard_groups(spark, monkeypatch, page):
     from groupcast.llm import jaccard_tree
 
     monkeypatch.setattr(jaccard_tree, "PAGE", page)  # 8: blocks of several pages
+    monkeypatch.setattr(jaccard_tree, "PART_SIGNATURES", page)  # 8: a task's signatures in many parts
     want = groups(rows())
     got = jaccard_tree.link_documents(frame(spark)).collect()
     assert len(got) == len(rows())
