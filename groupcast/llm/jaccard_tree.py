@@ -309,7 +309,7 @@ def document_sets(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFr
 
 
 def token_sets(docs: DataFrame, nodes: DataFrame, k: int = K) -> DataFrame:
-    """nodes (node, least, fp, block) with n and tokens, the sorted hashes of the document's set.
+    """nodes (node, least, fp, ..) with n and tokens, the sorted hashes of the document's set.
 
     Documents are chosen by a filter of fixed size before their texts are cut again; the join is exact."""
     spark = docs.sparkSession
@@ -333,7 +333,7 @@ def token_sets(docs: DataFrame, nodes: DataFrame, k: int = K) -> DataFrame:
     at = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(FILTER_BITS))
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("least"), "text", at.alias("at"))
     sets = rows.mapInArrow(run, "least long, fp binary, n long, tokens binary")
-    return nodes.join(sets, ["least", "fp"]).dropDuplicates(["node"])
+    return nodes.drop("n").join(sets, ["least", "fp"]).dropDuplicates(["node"])
 
 
 def _paged(members: DataFrame, keys: list[str]) -> DataFrame:
@@ -393,8 +393,8 @@ def link_texts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     docs = docs.select("doc_id", "text")
     made = document_sets(docs)
     sets = made.where("rid is not null")
-    first = sets.where("fp is not null and doc_id is not null").groupBy("fp").agg(F.min(F.struct("doc_id", "rid", "name")).alias("m"))
-    reps = cut(first.select("fp", F.col("m.doc_id").alias("least"), F.col("m.rid").alias("node"), F.col("m.name").alias("name")), "classes")
+    first = sets.where("fp is not null and doc_id is not null").groupBy("fp").agg(F.min(F.struct("doc_id", "rid", "name", "n")).alias("m"))
+    reps = cut(first.select("fp", F.col("m.doc_id").alias("least"), F.col("m.rid").alias("node"), "m.name", "m.n"), "classes")
     parts = made.where("rid is null")
     holders = parts.select(F.explode(F.arrays_zip("sigs", "low")).alias("z")).select(F.col("z.sigs").alias("sig"), F.col("z.low").alias("name"))
     # At most a row per task part and signature: a window holds one signature's.
@@ -403,29 +403,25 @@ def link_texts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         parts.select(F.explode(F.arrays_zip("a", "b")).alias("z")).select("z.a", "z.b")
     )
     blocks = components(meet.distinct()).select(F.col("node").alias("name"), F.col("root").alias("block"))
-    nodes = cut(reps.join(blocks, "name").drop("name"), "nodes")
+    # Who goes to which page is settled on narrow rows; the sets are joined to that once a step.
+    nodes = cut(_paged(reps.join(blocks, "name").drop("name"), ["block"]), "nodes")
     members = cut(token_sets(docs, nodes), "members")
 
     # Each page by itself: a document is in one page, so its group there needs no further merging.
-    paged = _paged(members, ["block"])
-    inner = paged.groupBy("block", "page").applyInPandas(page_groups, "node long, comp long")
-    sizes = paged.select("node", (F.col("pages") > 1).alias("more")).distinct()
-    first = cut(inner.join(sizes, "node"), "first")
+    inner = members.groupBy("block", "page").applyInPandas(page_groups, "node long, comp long")
+    first = cut(inner.join(nodes.select("node", "block", "n", (F.col("pages") > 1).alias("more")), "node"), "first")
     # Blocks of several pages: one document per group, again a page each ...
-    large = members.join(first.where("more").select("node", "comp"), "node")
-    inner = _paged(large.where("node = comp").drop("comp"), ["block"]).groupBy("block", "page").applyInPandas(
-        page_groups, "node long, comp long"
-    )
+    large = first.where("more").drop("more")
+    tokens = members.where("pages > 1").select("node", "tokens")
+    heads = _paged(large.where("node = comp").drop("comp"), ["block"])
+    inner = tokens.join(heads, "node").groupBy("block", "page").applyInPandas(page_groups, "node long, comp long")
     bridge = cut(inner.select(F.col("node").alias("comp"), F.col("comp").alias("wide")), "bridge")
     # ... then pairs of pages that hold unlike groups.
-    arranged = large.join(bridge, "comp").drop("comp").withColumnRenamed("wide", "comp")
-    counts = arranged.groupBy("block", "comp").agg((F.count("*") >= PAGE // 2).alias("own"))
-    arranged = arranged.join(counts, ["block", "comp"]).withColumn("pure", F.when(F.col("own"), F.col("comp")).otherwise(F.lit(-1)))
-    arranged = _paged(arranged.drop("own"), ["block", "pure"])
-    arranged = cut(
-        arranged.withColumn("page", F.concat_ws(":", "block", "pure", "page")).select("node", "n", "tokens", "comp", "block", "page"),
-        "arranged",
-    )
+    wide = large.join(bridge, "comp").drop("comp").withColumnRenamed("wide", "comp")
+    counts = wide.groupBy("block", "comp").agg((F.count("*") >= PAGE // 2).alias("own"))
+    wide = wide.join(counts, ["block", "comp"]).withColumn("pure", F.when(F.col("own"), F.col("comp")).otherwise(F.lit(-1)))
+    places = _paged(wide.drop("own"), ["block", "pure"]).withColumn("page", F.concat_ws(":", "block", "pure", "page"))
+    arranged = cut(tokens.join(places.select("node", "n", "comp", "block", "page"), "node"), "arranged")
     pairs = cut(page_pairs(arranged), "pairs")
     sides = pairs.select("a", "b", "sided", F.col("a").alias("page"), F.lit(0).alias("side")).union(
         pairs.where("sided").select("a", "b", "sided", F.col("b").alias("page"), F.lit(1).alias("side"))
@@ -435,7 +431,7 @@ def link_texts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     groups = first.select("node", "comp").join(bridge, "comp", "left").join(roots, "wide", "left").select(
         "node", F.coalesce("root", "wide", "comp").alias("top")
     )
-    top = reps.drop("name").join(groups, "node", "left").select("fp", "least", F.coalesce("top", "node").alias("top"))
+    top = reps.select("fp", "least", "node").join(groups, "node", "left").select("fp", "least", F.coalesce("top", "node").alias("top"))
     return sets.select("doc_id", "n", "fp"), top
 
 
