@@ -97,6 +97,94 @@ def test_tree_matching_is_the_best_alignment():
     assert align(a, b)[0] == 5  # a, e, b, c, f
 
 
+def test_tree_matching_equals_a_brute_force():
+    import random
+
+    from groupcast.llm.html_wrapper import align
+
+    rng = random.Random(5)
+
+    def tree(depth):
+        return [rng.choice("abc"), 1, None, [tree(depth - 1) for _ in range(rng.randrange(4))] if depth else []]
+
+    def weight(a, b):
+        """The heaviest order-keeping alignment by trying all ways of leaving out the first child of either."""
+        if a[0] != b[0]:
+            return 0
+
+        def rest(x, y):
+            if not x or not y:
+                return 0
+            return max(rest(x[1:], y), rest(x, y[1:]), weight(x[0], y[0]) + rest(x[1:], y[1:]) if x[0][0] == y[0][0] else 0)
+
+        return 1 + rest(a[3], b[3])
+
+    def positions(top):
+        out, stack = {}, [(top, ())]
+        while stack:
+            node, at = stack.pop()
+            out[id(node)] = at
+            stack += [(c, (*at, i)) for i, c in enumerate(node[3])]
+        return out
+
+    for _ in range(300):
+        a, b = ["r", 1, None, tree(3)[3]], ["r", 1, None, tree(3)[3]]
+        got, pairs = align(a, b)
+        assert got == len(pairs) == weight(a, b)
+        at, to = positions(a), positions(b)
+        places = sorted((at[id(x)], to[id(y)]) for x, y in pairs)
+        assert all(x[0] == y[0] for x, y in pairs)
+        assert [q for _, q in places] == sorted({q for _, q in places})  # one to one, in order
+        assert all((p[:-1], q[:-1]) in set(places) for p, q in places if p)  # below matched nodes
+
+
+def test_template_is_what_meets_in_the_aligned_trees(spark):
+    from groupcast.llm.html_wrapper import extract
+
+    # One label path, in two places of the page: behind the body on five pages, before it on four.
+    line, body = "<div class=x><p>Site</p></div>", "<div class=y><h2>Head {0}</h2><p>text {0}</p></div>"
+    pages = [(i, "http://a/", body.format(i) + line) for i in range(5)]
+    pages += [(i, "http://a/", line + body.format(i)) for i in range(5, 9)]
+    want = {i: f"Head {i}\ntext {i}" if i < 5 else f"Site\nHead {i}\ntext {i}" for i in range(9)}
+    # Pages that have some of a host's nodes, in one order: each node is counted on all pages that have it.
+    line = ["<div class={0}><p>Part {0}</p></div>".format(c) for c in "abcd"]
+    line.insert(2, body)
+    for i in range(20, 36):
+        pages.append((i, "http://b/", "".join(p for k, p in zip((0, 1, 9, 2, 3), line) if k == 9 or (i >> k) & 1).format(i)))
+    want |= {i: f"Head {i}\ntext {i}" for i in range(20, 36)}
+    for some, n in ((pages, 1), (pages[::-1], 5)):
+        got = extract(spark.createDataFrame(some, "page_id long, url string, html string").repartition(n)).collect()
+        assert {r.page_id: r.text for r in got} == want
+
+
+def test_a_wrapper_holds_the_nodes_of_all_its_pages():
+    from groupcast.llm.html_wrapper import align, merge, pack, settle, unpack
+
+    def tree(spec, n=1):
+        return [spec[0], n, None, [tree(c, n) for c in spec[1:]]]
+
+    b = ("b", ("x",))  # heavier than a alone
+    specs = [("r", ("a", ("x",)), b), ("r", b, ("c", ("y",))), ("r", ("a", ("z",)), ("c",)), ("r", b, ("a",))]
+    numbers = {c: i for i, c in enumerate("rabcxyz")}
+
+    def named(node):
+        return [numbers[node[0]], node[1], None, [named(c) for c in node[3]]]
+
+    wrapper = named(tree(specs[0], 2))
+    for spec in specs[1:]:
+        merge(wrapper, named(tree(spec)))
+    assert wrapper[1] == 5
+    again = unpack(pack(wrapper))[0]
+    assert again == wrapper
+    for spec in specs:
+        page = named(tree(spec))
+        assert align(page, wrapper)[0] == align(page, page)[0]
+    counts = [(c[0], c[1]) for c in wrapper[3]]
+    assert counts in ([(1, 3), (2, 4), (3, 2), (1, 1)], [(1, 3), (2, 4), (1, 1), (3, 2)])  # the late a is a node of its own
+    settle(wrapper)
+    assert [(c[0], c[1]) for c in wrapper[3]] == [(1, 3), (2, 4), (3, 2)]
+
+
 def test_copies_of_one_page_keep_their_text(spark):
     from groupcast.llm.html_wrapper import extract
 
